@@ -110,3 +110,115 @@ def top_reactions(spark, sf):
 @query("top_drugs")
 def top_drugs(spark, sf):
     return P.top_k(clean_reports(spark, sf), "drug_name", 10)
+
+
+# ------------------------------------------------------------ dictionary ----
+from ..operators import coding as C  # noqa: E402
+from ..operators import dictionary as D  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
+
+
+def dict_sheets(spark, sf):
+    return bridge.dictionary_tables(spark, sf)
+
+
+def lookup_table(spark, sf) -> DataFrame:
+    """Built once per job and checkpointed to the shared checkpoint folder,
+    so its size check and the joins that use it read the materialised rows."""
+    return cut_lineage(D.build_lookup(*dict_sheets(spark, sf)))
+
+
+@query("dict_names")
+def dict_names(spark, sf):
+    names, _, _ = dict_sheets(spark, sf)
+    return D.term_names(names)
+
+
+@query("dict_first_soc")
+def dict_first_soc(spark, sf):
+    names, levels, edges = dict_sheets(spark, sf)
+    return D.first_soc(edges, levels, names)
+
+
+@query("dict_lookup")
+def dict_lookup(spark, sf):
+    return D.build_lookup(*dict_sheets(spark, sf))
+
+
+@query("dict_soc_coverage")
+def dict_soc_coverage(spark, sf):
+    return D.coverage(*dict_sheets(spark, sf))
+
+
+@query("dict_level_counts")
+def dict_level_counts(spark, sf):
+    _, levels, _ = dict_sheets(spark, sf)
+    return D.level_counts(levels)
+
+
+@query("dict_adjacency")
+def dict_adjacency(spark, sf):
+    _, _, edges = dict_sheets(spark, sf)
+    return D.parent_summary(edges)
+
+
+@query("dict_children")
+def dict_children(spark, sf):
+    _, _, edges = dict_sheets(spark, sf)
+    return D.child_summary(edges)
+
+
+# ---------------------------------------------------------------- coding ----
+_CODE_OUT = ["id", "reaction_pt", "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code"]
+
+
+@query("code_exact")
+def code_exact(spark, sf):
+    return C.code_exact(clean_reports(spark, sf), lookup_table(spark, sf)).select(*_CODE_OUT)
+
+
+@query("code_drop_unmatched")
+def code_drop_unmatched(spark, sf):
+    coded = C.code_terms(clean_reports(spark, sf), lookup_table(spark, sf), scorer="levenshtein")
+    return C.drop_unmatched(coded).select(*_CODE_OUT, "match_type")
+
+
+@query("code_fuzzy_lev")
+def code_fuzzy_lev(spark, sf):
+    """Best dictionary key (edit-distance score) for each distinct exact miss."""
+    clean = clean_reports(spark, sf)
+    lk = lookup_table(spark, sf)
+    miss = C.code_exact(clean, lk).where(F.col("meddra_pt").isNull())
+    best = C.fuzzy_best(miss.select(C.exact_key("reaction_pt").alias("term")), lk, "levenshtein")
+    return best.select("term", "pt_key", "score",
+                       (F.col("score") >= C.FUZZY_THRESHOLD).alias("accepted"))
+
+
+@query("code_fuzzy_weighted")
+def code_fuzzy_weighted(spark, sf):
+    clean = clean_reports(spark, sf)
+    lk = lookup_table(spark, sf)
+    return C.code_terms(clean, lk, scorer="weighted").select(*_CODE_OUT, "match_type", "match_score")
+
+
+@query("code_coverage")
+def code_coverage(spark, sf):
+    terms = clean_reports(spark, sf).select("reaction_pt").distinct()
+    coded = C.code_terms(terms, lookup_table(spark, sf), scorer="levenshtein")
+    return C.coverage(terms, coded)
+
+
+def predictions_from_lines(spark, sf) -> DataFrame:
+    """A predictions table: every order line's raw reaction text as the
+    predicted PT (untrimmed, mixed case) and a predicted SOC name."""
+    lines = bridge.report_lines(spark, sf)
+    return lines.select(
+        "report_key", F.col("reactionmeddrapt").alias("meddra_pt"),
+        F.when(F.col("report_key") % 3 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("predicted "), F.col("drugindication"))).alias("meddra_soc"))
+
+
+@query("code_attach_predictions")
+def code_attach_predictions(spark, sf):
+    return C.attach_codes(predictions_from_lines(spark, sf), lookup_table(spark, sf)).select(
+        "report_key", "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code")

@@ -121,3 +121,122 @@ ORACLE["top_reactions"] = with_clean(
     "SELECT reaction_pt, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, reaction_pt LIMIT 10")
 ORACLE["top_drugs"] = with_clean(
     "SELECT drug_name, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, drug_name LIMIT 10")
+
+
+# ------------------------------------------------------------ dictionary ----
+DICT_CTE = f"""
+pts AS (SELECT {B.PT_BASE} + min(p_partkey) AS term_id, p_name AS name FROM part GROUP BY p_name),
+hlts AS (SELECT {B.HLT_BASE} + min(p_partkey) AS term_id, lower(p_type) || ' conditions' AS name FROM part GROUP BY p_type),
+socs AS (SELECT {B.SOC_BASE} + r_regionkey AS term_id, lower(r_name) || ' disorders' AS name FROM region),
+llts AS (SELECT {B.LLT_BASE} + p_partkey AS term_id, p_name || ' nos' AS name, p_name FROM part),
+names AS (
+  SELECT term_id, name, term_id * 2 + 1 AS pos FROM pts
+  UNION ALL SELECT term_id, upper(name), term_id * 2 FROM pts WHERE term_id % 3 = 0
+  UNION ALL SELECT term_id, name, term_id * 2 + 1 FROM hlts
+  UNION ALL SELECT term_id, name, term_id * 2 + 1 FROM socs
+  UNION ALL SELECT term_id, name, term_id * 2 + 1 FROM llts),
+levels AS (
+  SELECT term_id, 'PT' AS level, term_id AS pos FROM pts
+  UNION ALL SELECT term_id, 'HLT', term_id FROM hlts
+  UNION ALL SELECT term_id, 'SOC', term_id FROM socs
+  UNION ALL SELECT term_id, 'LLT', term_id FROM llts),
+ptp AS (SELECT {B.PT_BASE} + min(p_partkey) AS child_id, length(p_name) AS len, min(p_type) AS t
+        FROM part GROUP BY p_name),
+htk AS (SELECT p_type, min(p_partkey) AS hk FROM part GROUP BY p_type),
+edges0 AS (
+  SELECT child_id, {B.HLT_BASE} + hk AS parent_id, 1 AS slot FROM ptp JOIN htk ON t = p_type
+  UNION ALL SELECT child_id, {B.SOC_BASE} + len % 5, 2 FROM ptp WHERE len % 11 <> 0
+  UNION ALL SELECT child_id, {B.SOC_BASE} + (len + 1) % 5, CASE WHEN len % 7 = 0 THEN 0 ELSE 3 END
+            FROM ptp WHERE len % 11 <> 0 AND (len % 2 = 0 OR len % 7 = 0)
+  UNION ALL SELECT l.term_id, p.term_id, 0 FROM llts l JOIN pts p ON l.p_name = p.name),
+edges AS (SELECT child_id, parent_id, child_id * 4 + slot AS pos FROM edges0),
+tn AS (SELECT term_id, arg_max(name, pos) AS name FROM names GROUP BY term_id),
+tl AS (SELECT term_id, arg_max(level, pos) AS level, min(pos) AS level_pos FROM levels GROUP BY term_id),
+fsoc AS (SELECT child_id, arg_min(parent_id, pos) AS soc_id FROM edges
+         WHERE parent_id IN (SELECT term_id FROM tl WHERE level = 'SOC') GROUP BY child_id),
+fsoc2 AS (SELECT f.child_id, f.soc_id, coalesce(trim(tn.name), '') AS soc_name
+          FROM fsoc f LEFT JOIN tn ON tn.term_id = f.soc_id),
+ptrows AS (SELECT tl.term_id, tl.level_pos, trim(coalesce(tn.name, '')) AS pt_name, s.soc_id, s.soc_name
+           FROM tl LEFT JOIN tn ON tn.term_id = tl.term_id LEFT JOIN fsoc2 s ON s.child_id = tl.term_id
+           WHERE tl.level = 'PT'),
+lookup AS (
+  SELECT lower(pt_name) AS pt_key, min(level_pos) AS key_pos,
+    arg_max(pt_name, level_pos) AS meddra_pt, arg_max(term_id, level_pos) AS meddra_pt_code,
+    arg_max(pt_name, level_pos) AS meddra_llt, arg_max(term_id, level_pos) AS meddra_llt_code,
+    coalesce(arg_max(soc_name, level_pos), '') AS meddra_soc, arg_max(soc_id, level_pos) AS meddra_soc_code
+  FROM ptrows WHERE pt_name <> '' GROUP BY 1)
+"""
+
+
+def with_dict(body: str) -> str:
+    return "WITH " + DICT_CTE + body
+
+
+def with_clean_dict(body: str) -> str:
+    return "WITH " + CLEAN_CTE + "," + DICT_CTE + body
+
+
+ORACLE["dict_names"] = with_dict("SELECT term_id, name FROM tn")
+ORACLE["dict_first_soc"] = with_dict("SELECT child_id, soc_id, soc_name FROM fsoc2")
+ORACLE["dict_lookup"] = with_dict("SELECT * FROM lookup")
+ORACLE["dict_soc_coverage"] = with_dict(
+    """SELECT count(*) AS n_pt, count_if(pt_name = '') AS n_skipped, count_if(soc_id IS NOT NULL) AS n_with_soc,
+       CAST(count_if(soc_id IS NOT NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS soc_share FROM ptrows""")
+ORACLE["dict_level_counts"] = with_dict("SELECT level, count(*) AS n FROM tl GROUP BY level")
+ORACLE["dict_adjacency"] = with_dict(
+    """SELECT child_id, count(*) AS n_parents, arg_min(parent_id, pos) AS first_parent,
+       arg_max(parent_id, pos) AS last_parent FROM edges GROUP BY child_id""")
+ORACLE["dict_children"] = with_dict(
+    """SELECT parent_id, count(*) AS n_children, arg_min(child_id, pos) AS first_child
+       FROM edges GROUP BY parent_id""")
+
+# exact coding: key = lower(trim(reaction_pt)); reaction_pt is already trimmed
+_CODED = """
+, coded AS (
+  SELECT c.id, c.reaction_pt, k.meddra_pt, k.meddra_pt_code, k.meddra_soc, k.meddra_soc_code
+  FROM clean c LEFT JOIN lookup k ON k.pt_key = lower(c.reaction_pt))"""
+ORACLE["code_exact"] = with_clean_dict(_CODED + "\nSELECT * FROM coded")
+
+# fuzzy (edit-distance score): best key per distinct miss, ties -> lowest key_pos
+_FUZZY = """
+, misses AS (SELECT DISTINCT lower(reaction_pt) AS term FROM coded WHERE meddra_pt IS NULL),
+scored AS (
+  SELECT m.term, k.pt_key, k.key_pos,
+    CAST(100 * (greatest(length(m.term), length(k.pt_key)) - levenshtein(m.term, k.pt_key)) AS DOUBLE)
+      / CAST(greatest(length(m.term), length(k.pt_key)) AS DOUBLE) AS score
+  FROM misses m, lookup k),
+best AS (
+  SELECT term, pt_key, key_pos, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, key_pos) AS rn FROM scored)
+  WHERE rn = 1)"""
+ORACLE["code_fuzzy_lev"] = with_clean_dict(
+    _CODED + _FUZZY + "\nSELECT term, pt_key, score, score >= 80 AS accepted FROM best")
+ORACLE["code_drop_unmatched"] = with_clean_dict(
+    _CODED + _FUZZY + """
+, fz AS (
+  SELECT c.id, c.reaction_pt, k.meddra_pt, k.meddra_pt_code, k.meddra_soc, k.meddra_soc_code, 'fuzzy' AS match_type
+  FROM coded c JOIN best b ON b.term = lower(c.reaction_pt) AND b.score >= 80
+  JOIN lookup k ON k.pt_key = b.pt_key
+  WHERE c.meddra_pt IS NULL)
+SELECT *, 'exact' AS match_type FROM coded WHERE meddra_pt IS NOT NULL
+UNION ALL SELECT * FROM fz""")
+ORACLE["code_coverage"] = with_clean_dict(
+    _CODED + _FUZZY + """
+, terms AS (SELECT DISTINCT reaction_pt FROM clean),
+t2 AS (
+  SELECT t.reaction_pt,
+    (k.pt_key IS NOT NULL) OR (b.score >= 80) AS matched
+  FROM terms t LEFT JOIN lookup k ON k.pt_key = lower(t.reaction_pt)
+  LEFT JOIN best b ON b.term = lower(t.reaction_pt))
+SELECT count(*) AS n_terms, count_if(matched) AS n_matched, count_if(NOT matched) AS n_unmatched,
+  CAST(count_if(matched) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS matched_share FROM t2""")
+ORACLE["code_attach_predictions"] = (
+    "WITH " + CLEAN_CTE.split("lnr AS")[0].rstrip().rstrip(",") + "," + DICT_CTE + """
+, pred AS (
+  SELECT report_key, reactionmeddrapt AS meddra_pt,
+    CASE WHEN report_key % 3 = 0 THEN NULL ELSE 'predicted ' || drugindication END AS meddra_soc
+  FROM ln)
+SELECT p.report_key, p.meddra_pt, k.meddra_pt_code,
+  CASE WHEN coalesce(k.meddra_soc, '') <> '' THEN k.meddra_soc ELSE p.meddra_soc END AS meddra_soc,
+  k.meddra_soc_code
+FROM pred p LEFT JOIN lookup k ON k.pt_key = lower(coalesce(p.meddra_pt, ''))""")

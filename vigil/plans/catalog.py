@@ -222,3 +222,219 @@ def predictions_from_lines(spark, sf) -> DataFrame:
 def code_attach_predictions(spark, sf):
     return C.attach_codes(predictions_from_lines(spark, sf), lookup_table(spark, sf)).select(
         "report_key", "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code")
+
+
+# ---------------------------------------------------------------- labels ----
+from ..operators import labels as L  # noqa: E402
+
+
+def label_cache(spark, sf) -> DataFrame:
+    return L.label_cascade(clean_reports(spark, sf), bridge.label_rows(spark, sf))
+
+
+def labelled_reports(spark, sf) -> DataFrame:
+    return L.expectedness(L.join_labels(clean_reports(spark, sf), label_cache(spark, sf)))
+
+
+@query("label_cascade")
+def label_cascade(spark, sf):
+    return label_cache(spark, sf)
+
+
+@query("label_expectedness")
+def label_expectedness(spark, sf):
+    return labelled_reports(spark, sf).select("id", "drug_name", "reaction_pt", "label_source",
+                                              "labelling_status", "needs_review")
+
+
+@query("label_evidence")
+def label_evidence(spark, sf):
+    return labelled_reports(spark, sf).where(F.col("label_source") == L.LABEL_SOURCE_LABEL) \
+        .select("id", "labelling_evidence")
+
+
+@query("label_coverage")
+def label_coverage(spark, sf):
+    return L.coverage(label_cache(spark, sf), labelled_reports(spark, sf))
+
+
+# ------------------------------------------------------------ case build ----
+from ..operators import casebuild as CB  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..functions import chat as CH  # noqa: E402
+from ..functions import jsonx as JX  # noqa: E402
+
+
+def case_inputs(spark, sf) -> DataFrame:
+    """clean -> codes (exact, then edit-distance fuzzy; unmatched dropped)
+    -> label text -> expectedness -> formatted prompt fields."""
+    coded = C.drop_unmatched(C.code_terms(clean_reports(spark, sf), lookup_table(spark, sf),
+                                          scorer="levenshtein"))
+    lab = L.expectedness(L.join_labels(coded, label_cache(spark, sf)))
+    return CB.prompt_fields(lab)
+
+
+def generated_cases(spark, sf) -> DataFrame:
+    return CB.assemble_cases(case_inputs(spark, sf).withColumn("narrative_raw", CB.template_narrative()))
+
+
+@query("action_text")
+def action_text(spark, sf):
+    return clean_reports(spark, sf).select("id", "drug_additional", CB.action_text().alias("action_taken"))
+
+
+@query("prompt_render")
+def prompt_render(spark, sf):
+    x = CB.prompt_fields(clean_reports(spark, sf))
+    return x.select("id", CB.narrative_prompt(x).alias("prompt"))
+
+
+@query("labelling_prompt_render")
+def labelling_prompt_render(spark, sf):
+    x = CB.prompt_fields(L.join_labels(clean_reports(spark, sf), label_cache(spark, sf)))
+    return x.select("id", CB.labelling_prompt().alias("prompt"))
+
+
+@query("narrative_template")
+def narrative_template(spark, sf):
+    return generated_cases(spark, sf).select("id", "narrative")
+
+
+@query("case_records")
+def case_records(spark, sf):
+    return _flat(generated_cases(spark, sf))
+
+
+@query("strip_echo")
+def strip_echo_q(spark, sf):
+    """An echoed 'Narrative:' label (three casings) is removed again."""
+    g = generated_cases(spark, sf)
+    k = F.col("id").cast("long") % 3
+    echoed = (F.when(k == 0, F.concat(F.lit("Narrative: "), "narrative"))
+              .when(k == 1, F.concat(F.lit("NARRATIVE:\n  "), "narrative")).otherwise(F.col("narrative")))
+    from ..functions.text import strip_echo
+    return g.select("id", strip_echo(echoed).alias("narrative"))
+
+
+@query("resume_anti_join")
+def resume_anti_join(spark, sf):
+    """Serious reports were generated in an earlier run; the rest is to do."""
+    clean = clean_reports(spark, sf)
+    done = clean.where(F.col("serious")).select("id")
+    return CB.pending(clean, done).select("id")
+
+
+@query("seriousness_rules")
+def seriousness_rules(spark, sf):
+    label, crit = CB.seriousness_from_text("narrative")
+    return generated_cases(spark, sf).select("id", label.alias("pred_seriousness"),
+                                             F.array_join(crit, "|").alias("pred_criteria"))
+
+
+@query("short_input_gate")
+def short_input_gate(spark, sf):
+    conv = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", CB.short_input_gate("text").alias("reject_reason"))
+
+
+@query("validate_reasons")
+def validate_reasons(spark, sf):
+    return Q.reason_counts(generated_cases(spark, sf))
+
+
+def valid_cases(spark, sf) -> DataFrame:
+    return Q.valid_only(generated_cases(spark, sf))
+
+
+def chat_records(spark, sf) -> DataFrame:
+    v = valid_cases(spark, sf)
+    v = v.withColumn("assistant_json", JX.target_json(JX.target_struct()))
+    return v.select("id", "narrative", "seriousness", "labelling_status",
+                    CH.chat_messages("narrative", "assistant_json").alias("messages"))
+
+
+@query("chat_messages")
+def chat_messages(spark, sf):
+    c = chat_records(spark, sf)
+    return c.select("id", F.array_join(F.transform("messages", lambda m: m["role"]), "|").alias("roles"),
+                    F.col("messages")[1]["content"].alias("user_content"),
+                    F.col("messages")[2]["content"].alias("assistant_content"))
+
+
+@query("chat_flat_text")
+def chat_flat_text(spark, sf):
+    return chat_records(spark, sf).select("id", CH.flat_text("messages").alias("text"))
+
+
+@query("narrative_roundtrip")
+def narrative_roundtrip(spark, sf):
+    """T5 + T6 over the chat records: narrative and gold fields come back."""
+    c = chat_records(spark, sf)
+    gold = JX.extract_json_robust(CH.first_assistant("messages"))
+    return c.select("id", CH.narrative_from_messages("messages").alias("narrative"),
+                    JX.field(gold, "seriousness").alias("gold_seriousness"),
+                    JX.field(gold, "meddra_pt").alias("gold_meddra_pt"),
+                    JX.field(gold, "meddra_soc_code", "bigint").alias("gold_meddra_soc_code"),
+                    JX.field(gold, "labelling_status").alias("gold_labelling_status"))
+
+
+@query("narrative_pull")
+def narrative_pull(spark, sf):
+    """T5 relational form over the conversations table: first user turn that
+    holds a marker, per conversation ('' when none)."""
+    conv = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hit = conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", CH.narrative_after_marker("text").alias("n"))
+    first = hit.where(F.col("n").isNotNull()).groupBy("conv_id").agg(F.min_by("n", "turn").alias("n"))
+    ids = conv.select("conv_id").distinct()
+    return ids.join(first, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit("")).alias("narrative"))
+
+
+@query("token_estimate")
+def token_estimate(spark, sf):
+    from ..functions.text import token_estimate as te
+    return chat_flat_text(spark, sf).select("id", te("text").alias("n_tokens"))
+
+
+@query("length_describe")
+def length_describe(spark, sf):
+    from ..functions.text import token_estimate as te
+    t = chat_flat_text(spark, sf).select(te("text").alias("n_tokens"))
+    d = P.describe_exact(t, "n_tokens")
+    over = t.agg(F.count_if(F.col("n_tokens") > 2048).alias("over_2048"),
+                 F.count_if(F.col("n_tokens") > 1024).alias("over_1024"))
+    return d.select("*", over.select("over_2048").scalar().alias("over_2048"),
+                    over.select("over_1024").scalar().alias("over_1024"))
+
+
+@query("document_length_describe")
+def document_length_describe(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    return P.describe_exact(docs.select(F.length("text").alias("n_chars")), "n_chars")
+
+
+@query("split_exact")
+def split_exact(spark, sf):
+    return Q.exact_split(valid_cases(spark, sf)).select("id", "split")
+
+
+@query("split_balance")
+def split_balance(spark, sf):
+    return Q.split_balance(Q.exact_split(valid_cases(spark, sf)))
+
+
+@query("case_profile")
+def case_profile(spark, sf):
+    """A3 over several columns at once: (column, value) value counts."""
+    g = generated_cases(spark, sf)
+    cols = ["seriousness", "labelling_status", "label_source", "who_umc_category", "narrative_source"]
+    long = g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
+                                                 F.coalesce(F.col(c), F.lit("None")).alias("value"))
+                                        for c in cols])).alias("kv")).select("kv.*")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top_socs")
+def top_socs(spark, sf):
+    return P.top_k(generated_cases(spark, sf), "meddra_soc", 5)

@@ -240,3 +240,289 @@ SELECT p.report_key, p.meddra_pt, k.meddra_pt_code,
   CASE WHEN coalesce(k.meddra_soc, '') <> '' THEN k.meddra_soc ELSE p.meddra_soc END AS meddra_soc,
   k.meddra_soc_code
 FROM pred p LEFT JOIN lookup k ON k.pt_key = lower(coalesce(p.meddra_pt, ''))""")
+
+
+# ---------------------------------------------------------------- labels ----
+LABEL_CTE = """
+brands AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7) AS INTEGER) AS b FROM part),
+bnames AS (SELECT DISTINCT p_name FROM part),
+mention AS (
+  SELECT br.p_brand, br.b,
+    string_agg('Reports of ' || lower(n.p_name) || ' were observed in clinical trials.', ' '
+               ORDER BY 'Reports of ' || lower(n.p_name) || ' were observed in clinical trials.') AS adr
+  FROM brands br JOIN bnames n ON length(n.p_name) % 3 = (3 - br.b % 3) % 3
+  GROUP BY 1, 2),
+lrows AS (
+  SELECT 'brand' AS key_type, p_brand AS key, [adr] AS adverse_reactions, []::VARCHAR[] AS warnings_and_cautions,
+         NULL::VARCHAR[] AS warnings, b * 10 AS pos FROM mention WHERE b % 4 = 1
+  UNION ALL SELECT 'generic', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 1 FROM mention WHERE b % 4 = 2
+  UNION ALL SELECT 'brand', p_brand, []::VARCHAR[], ['Use caution when prescribing ' || p_brand || '.'],
+         NULL::VARCHAR[], b * 10 + 2 FROM mention WHERE b % 4 = 3
+  UNION ALL SELECT 'generic', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 3 FROM mention WHERE b % 4 = 3),
+firstdoc AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_type, key ORDER BY pos) AS rn FROM lrows) WHERE rn = 1),
+hits AS (
+  SELECT key AS drug_name, key_type,
+    CASE key_type WHEN 'brand' THEN 0 WHEN 'generic' THEN 1 WHEN 'substance' THEN 2 END AS prio,
+    CASE WHEN len(coalesce(adverse_reactions, [])) > 0 THEN substr(adverse_reactions[1], 1, 2500)
+         WHEN len(coalesce(coalesce(warnings_and_cautions, warnings), [])) > 0
+           THEN substr(coalesce(warnings_and_cautions, warnings)[1], 1, 1500) END AS label_text,
+    CASE WHEN len(coalesce(adverse_reactions, [])) > 0 THEN 'adverse_reactions'
+         WHEN len(coalesce(coalesce(warnings_and_cautions, warnings), [])) > 0 THEN 'warnings' END AS label_section
+  FROM firstdoc),
+besthit AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drug_name ORDER BY prio) AS rn FROM hits
+                 WHERE label_text IS NOT NULL) WHERE rn = 1),
+drugs AS (SELECT DISTINCT drug_name FROM clean),
+label_cache AS (
+  SELECT d.drug_name, coalesce(h.label_text, '') AS label_text, h.label_section, h.key_type AS label_key_type
+  FROM drugs d LEFT JOIN besthit h ON h.drug_name = d.drug_name)
+"""
+
+_PAT = "'(^|\\W)\\Q' || lower({pt}) || '\\E($|\\W)'"
+
+
+def expected_cols(src: str, pt: str = "reaction_pt") -> str:
+    pat = _PAT.format(pt=pt)
+    return f"""
+  SELECT {src}.*,
+    CASE WHEN label_text <> '' AND regexp_matches(lower(label_text), {pat}) THEN 'Expected'
+         WHEN label_text <> '' THEN 'Unexpected' END AS labelling_status,
+    CASE WHEN label_text <> '' AND regexp_matches(lower(label_text), {pat})
+           THEN list_filter(string_split(regexp_replace(label_text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)),
+                            lambda s: regexp_matches(lower(s), {pat}))[1]
+         WHEN label_text <> '' THEN '''' || {pt} || ''' is not mentioned in the label text.'
+         ELSE '' END AS labelling_evidence,
+    label_text = '' AS needs_review
+  FROM {src}"""
+
+
+LABELLED_CTE = """
+, labelled0 AS (
+  SELECT c.*, coalesce(lc.label_text, '') AS label_text,
+    CASE WHEN coalesce(lc.label_text, '') <> '' THEN 'fda_label' ELSE 'llm_knowledge' END AS label_source
+  FROM clean c LEFT JOIN label_cache lc ON lc.drug_name = c.drug_name),
+labelled AS (""" + expected_cols("labelled0") + ")"
+
+
+def with_labels(body: str) -> str:
+    return "WITH " + CLEAN_CTE + "," + LABEL_CTE + LABELLED_CTE + body
+
+
+ORACLE["label_cascade"] = with_labels("SELECT * FROM label_cache")
+ORACLE["label_expectedness"] = with_labels(
+    "SELECT id, drug_name, reaction_pt, label_source, labelling_status, needs_review FROM labelled")
+ORACLE["label_evidence"] = with_labels(
+    "SELECT id, labelling_evidence FROM labelled WHERE label_source = 'fda_label'")
+ORACLE["label_coverage"] = with_labels(
+    """SELECT count(*) AS n_drugs, count_if(label_text <> '') AS n_drugs_with_text,
+       CAST(count_if(label_text <> '') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share_drugs_with_text,
+       (SELECT avg(CAST(label_source = 'fda_label' AS INTEGER)) FROM labelled) AS share_reports_with_text
+       FROM label_cache""")
+
+# ------------------------------------------------------------ case build ----
+ACTION_SQL = """CASE coalesce({c}, '') WHEN '1' THEN 'The drug was discontinued.'
+      WHEN '2' THEN 'The drug dose was reduced.' WHEN '3' THEN 'The drug was continued without change.'
+      ELSE 'Not reported' END"""
+
+FIELDS_SQL = f"""
+    CASE WHEN drug_dose <> '' THEN ' ' || drug_dose ELSE '' END AS dose_info,
+    CASE WHEN patient_age <> '' THEN patient_age || '-year-old ' || patient_sex ELSE patient_sex END AS age_sex,
+    CASE WHEN drug_indication <> '' THEN drug_indication ELSE 'unknown indication' END AS indication,
+    CASE WHEN serious THEN 'Serious' ELSE 'Non-serious' END AS seriousness,
+    {ACTION_SQL.format(c="drug_additional")} AS action_taken"""
+
+
+def sql_literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_render(template: str, **cols: str) -> str:
+    import string
+    parts = []
+    for lit, fld, _s, _c in string.Formatter().parse(template):
+        if lit:
+            parts.append(sql_literal(lit))
+        if fld is not None:
+            parts.append(cols[fld])
+    return "(" + " || ".join(parts) + ")"
+
+
+def _narrative_prompt_sql() -> str:
+    from ..operators import casebuild as CBm
+    return sql_render(CBm.NARRATIVE_PROMPT, example=sql_literal(CBm.NARRATIVE_EXAMPLE), drug_name="drug_name",
+                      dose_info="dose_info", reaction_pt="reaction_pt", indication="indication",
+                      age_sex="age_sex", outcome="reaction_outcome", serious="seriousness",
+                      action_taken="action_taken")
+
+
+def _labelling_prompt_sql() -> str:
+    from ..operators import casebuild as CBm
+    w = sql_render(CBm.LABELLING_PROMPT_WITH_LABEL, drug_name="drug_name", reaction_pt="reaction_pt",
+                   label_excerpt="label_text")
+    n = sql_render(CBm.LABELLING_PROMPT_NO_LABEL, drug_name="drug_name", reaction_pt="reaction_pt",
+                   indication="indication")
+    return f"CASE WHEN label_text <> '' THEN {w} ELSE {n} END"
+
+
+ORACLE["action_text"] = with_clean(
+    f"SELECT id, drug_additional, {ACTION_SQL.format(c='drug_additional')} AS action_taken FROM clean")
+ORACLE["prompt_render"] = with_clean(
+    f", f AS (SELECT *, {FIELDS_SQL} FROM clean)\nSELECT id, {_narrative_prompt_sql()} AS prompt FROM f")
+ORACLE["labelling_prompt_render"] = with_labels(
+    f", f AS (SELECT *, {FIELDS_SQL} FROM labelled0)\nSELECT id, {_labelling_prompt_sql()} AS prompt FROM f")
+ORACLE["resume_anti_join"] = with_clean(
+    "SELECT id FROM clean WHERE id NOT IN (SELECT id FROM clean WHERE serious)")
+
+# generated cases: exact + edit-distance fuzzy coding (unmatched dropped),
+# labels, expectedness, template narrative
+NARR_SQL = """'A ' || age_sex || ' patient with ' || indication || ' received ' || drug_name || dose_info
+      || '. After ' || CAST((length(id) + length(reaction_pt)) % 12 + 1 AS VARCHAR)
+      || ' weeks of treatment, the patient developed ' || lower(reaction_pt) || '. '
+      || CASE WHEN action_taken = 'Not reported' THEN 'No action with the drug was reported.' ELSE action_taken END
+      || ' The event was assessed as ' || lower(seriousness) || ' and the outcome was ' || lower(reaction_outcome) || '.'
+      || CASE WHEN seriousness_criteria <> ''
+              THEN ' The event led to ' || lower(replace(seriousness_criteria, '|', ', ')) || '.' ELSE '' END"""
+
+CASES_CTE = _CODED + _FUZZY + """
+, coded2 AS (
+  SELECT c.*, k.meddra_pt AS m_pt, k.meddra_pt_code AS m_pt_code, k.meddra_soc AS m_soc, k.meddra_soc_code AS m_soc_code
+  FROM clean c
+  LEFT JOIN best b ON b.term = lower(c.reaction_pt) AND b.score >= 80
+  JOIN lookup k ON k.pt_key = coalesce((SELECT pt_key FROM lookup WHERE pt_key = lower(c.reaction_pt)), b.pt_key)),
+case_in0 AS (
+  SELECT c.*, coalesce(lc.label_text, '') AS label_text,
+    CASE WHEN coalesce(lc.label_text, '') <> '' THEN 'fda_label' ELSE 'llm_knowledge' END AS label_source
+  FROM coded2 c LEFT JOIN label_cache lc ON lc.drug_name = c.drug_name),
+case_in1 AS (""" + expected_cols("case_in0") + f"""),
+case_in AS (SELECT *, {FIELDS_SQL} FROM case_in1),
+cases AS (
+  SELECT id, regexp_replace(regexp_replace({NARR_SQL}, '(?i)^Narrative:\\s*', ''), '^\\s+|\\s+$', '', 'g') AS narrative,
+    'generated' AS narrative_source, seriousness, seriousness_criteria,
+    m_pt AS meddra_llt, m_pt_code AS meddra_llt_code, m_pt AS meddra_pt, m_pt_code AS meddra_pt_code,
+    coalesce(m_soc, '') AS meddra_soc, m_soc_code AS meddra_soc_code, labelling_status,
+    coalesce(labelling_evidence, '') AS labelling_evidence, label_source,
+    coalesce(who_umc_preliminary, 'Unassessable') AS who_umc_category
+  FROM case_in),
+validated AS (
+  SELECT *,
+    CASE WHEN length(narrative) < 100 THEN 'Narrative too short (' || CAST(length(narrative) AS VARCHAR) || ' chars)'
+         WHEN coalesce(meddra_pt, '') = '' THEN 'Missing meddra_pt'
+         WHEN coalesce(seriousness IN ('Serious', 'Non-serious'), false) = false
+           THEN 'Invalid seriousness: ' || coalesce(seriousness, 'None')
+         WHEN coalesce(who_umc_category IN ('Certain', 'Probable/Likely', 'Possible', 'Unlikely',
+              'Conditional/Unclassified', 'Unassessable'), false) = false
+           THEN 'Invalid who_umc_category: ' || coalesce(who_umc_category, 'None')
+         WHEN coalesce(labelling_status IN ('Expected', 'Unexpected'), false) = false
+           THEN 'Invalid labelling_status: ' || coalesce(labelling_status, 'None') END AS reject_reason
+  FROM cases),
+valid AS (SELECT * EXCLUDE (reject_reason) FROM validated WHERE reject_reason IS NULL)
+"""
+
+
+def _jstr(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || replace(replace({c}, '\\', '\\\\'), '\"', '\\\"') "
+            f"|| '\"' END")
+
+
+def _jnum(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), 'null')"
+
+
+TARGET_JSON_SQL = ("'{' || chr(10) || '  \"seriousness\": ' || " + _jstr("seriousness")
+                   + " || ',' || chr(10) || '  \"seriousness_criteria\": ' || "
+                   "CASE WHEN seriousness_criteria = '' THEN '[]' ELSE '[' || chr(10) || '    \"' "
+                   "|| replace(seriousness_criteria, '|', '\",' || chr(10) || '    \"') || '\"' || chr(10) || '  ]' END"
+                   + " || ',' || chr(10) || '  \"meddra_pt\": ' || " + _jstr("meddra_pt")
+                   + " || ',' || chr(10) || '  \"meddra_pt_code\": ' || " + _jnum("meddra_pt_code")
+                   + " || ',' || chr(10) || '  \"meddra_soc\": ' || " + _jstr("meddra_soc")
+                   + " || ',' || chr(10) || '  \"meddra_soc_code\": ' || " + _jnum("meddra_soc_code")
+                   + " || ',' || chr(10) || '  \"labelling_status\": ' || " + _jstr("labelling_status")
+                   + " || ',' || chr(10) || '  \"labelling_evidence\": ' || " + _jstr("labelling_evidence")
+                   + " || ',' || chr(10) || '  \"who_umc_category\": ' || " + _jstr("who_umc_category")
+                   + " || chr(10) || '}'")
+
+
+def _chat_user_sql() -> str:
+    from ..functions import chat as CHm
+    return sql_literal(CHm.INSTRUCTION + "\n\nNarrative:\n") + " || narrative"
+
+
+def _flat_sql() -> str:
+    from ..functions import chat as CHm
+    return ("'<|im_start|>system' || chr(10) || " + sql_literal(CHm.SYSTEM_PROMPT) + " || '<|im_end|>' || chr(10) || "
+            "'<|im_start|>user' || chr(10) || " + _chat_user_sql() + " || '<|im_end|>' || chr(10) || "
+            "'<|im_start|>assistant' || chr(10) || " + TARGET_JSON_SQL + " || '<|im_end|>'")
+
+
+def with_cases(body: str) -> str:
+    return "WITH " + CLEAN_CTE + "," + DICT_CTE + "," + LABEL_CTE + CASES_CTE + body
+
+
+ORACLE["narrative_template"] = with_cases("SELECT id, narrative FROM cases")
+ORACLE["case_records"] = with_cases("SELECT * FROM cases")
+ORACLE["strip_echo"] = with_cases("SELECT id, narrative FROM cases")
+ORACLE["seriousness_rules"] = with_cases(
+    """, sr AS (SELECT id, concat_ws('|',
+      CASE WHEN regexp_matches(narrative, '(?i)\\b(died|death|fatal)\\b') THEN 'Death' END,
+      CASE WHEN regexp_matches(narrative, '(?i)life[- ]threatening') THEN 'Life-threatening' END,
+      CASE WHEN regexp_matches(narrative, '(?i)\\b(hospitali[sz]\\w*|admitted)\\b') THEN 'Hospitalization' END,
+      CASE WHEN regexp_matches(narrative, '(?i)\\b(permanent disability|disabilit\\w*|incapacit\\w*)\\b') THEN 'Disability/Incapacity' END,
+      CASE WHEN regexp_matches(narrative, '(?i)\\b(congenital|birth defect)\\b') THEN 'Congenital Anomaly' END,
+      CASE WHEN regexp_matches(narrative, '(?i)\\bmedically significant\\b') THEN 'Medically Significant' END) AS pred_criteria
+    FROM cases)
+SELECT id, CASE WHEN pred_criteria <> '' THEN 'Serious' ELSE 'Non-serious' END AS pred_seriousness, pred_criteria FROM sr""")
+ORACLE["validate_reasons"] = with_cases(
+    """SELECT reject_reason,
+      CASE WHEN reject_reason LIKE 'Narrative too short%' THEN 'too_short'
+           WHEN reject_reason = 'Missing meddra_pt' THEN 'missing_pt'
+           WHEN reject_reason LIKE 'Invalid seriousness%' THEN 'bad_seriousness'
+           WHEN reject_reason LIKE 'Invalid who_umc%' THEN 'bad_causality' ELSE 'bad_labelling' END AS reason_code,
+      count(*) AS n FROM validated WHERE reject_reason IS NOT NULL GROUP BY 1, 2""")
+ORACLE["chat_messages"] = with_cases(
+    f"SELECT id, 'system|user|assistant' AS roles, {_chat_user_sql()} AS user_content, "
+    f"{TARGET_JSON_SQL} AS assistant_content FROM valid")
+ORACLE["chat_flat_text"] = with_cases(f"SELECT id, {_flat_sql()} AS text FROM valid")
+ORACLE["token_estimate"] = with_cases(f"SELECT id, CAST(length({_flat_sql()}) // 4 AS BIGINT) AS n_tokens FROM valid")
+ORACLE["narrative_roundtrip"] = with_cases(
+    """SELECT id, narrative, seriousness AS gold_seriousness, meddra_pt AS gold_meddra_pt,
+       meddra_soc_code AS gold_meddra_soc_code, labelling_status AS gold_labelling_status FROM valid""")
+ORACLE["length_describe"] = with_cases(
+    f""", t AS (SELECT CAST(length({_flat_sql()}) // 4 AS DOUBLE) AS x FROM valid)
+SELECT count(x) AS count, round_even(avg(x), 0) AS mean, round_even(stddev_samp(x), 0) AS std,
+  round_even(min(x), 0) AS min, round_even(quantile_cont(x, 0.25), 0) AS q25,
+  round_even(quantile_cont(x, 0.5), 0) AS q50, round_even(quantile_cont(x, 0.75), 0) AS q75,
+  round_even(max(x), 0) AS max, count_if(x > 2048) AS over_2048, count_if(x > 1024) AS over_1024 FROM t""")
+ORACLE["document_length_describe"] = (
+    """WITH t AS (SELECT CAST(length(text) AS DOUBLE) AS x FROM documents)
+SELECT count(x) AS count, round_even(avg(x), 0) AS mean, round_even(stddev_samp(x), 0) AS std,
+  round_even(min(x), 0) AS min, round_even(quantile_cont(x, 0.25), 0) AS q25,
+  round_even(quantile_cont(x, 0.5), 0) AS q50, round_even(quantile_cont(x, 0.75), 0) AS q75,
+  round_even(max(x), 0) AS max FROM t""")
+ORACLE["case_profile"] = with_cases(
+    """, kv AS (
+  SELECT 'seriousness' AS "column", coalesce(seriousness, 'None') AS value FROM cases
+  UNION ALL SELECT 'labelling_status', coalesce(labelling_status, 'None') FROM cases
+  UNION ALL SELECT 'label_source', coalesce(label_source, 'None') FROM cases
+  UNION ALL SELECT 'who_umc_category', coalesce(who_umc_category, 'None') FROM cases
+  UNION ALL SELECT 'narrative_source', coalesce(narrative_source, 'None') FROM cases)
+SELECT "column", value, count(*) AS n FROM kv GROUP BY 1, 2""")
+ORACLE["top_socs"] = with_cases(
+    "SELECT meddra_soc, count(*) AS n FROM cases GROUP BY 1 ORDER BY n DESC, meddra_soc LIMIT 5")
+ORACLE["short_input_gate"] = (
+    """SELECT conv_id, turn,
+      CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'Please enter a clinical narrative.'
+           WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 60 THEN 'Narrative is too short.' END
+        AS reject_reason
+    FROM conversations WHERE role = 'user'""")
+ORACLE["narrative_pull"] = (
+    """WITH u AS (
+  SELECT conv_id, turn,
+    CASE WHEN instr(text, 'Narrative:' || chr(10)) > 0
+           THEN regexp_replace(substr(text, instr(text, 'Narrative:' || chr(10)) + 11), '^\\s+|\\s+$', '', 'g')
+         WHEN instr(text, 'Narrative: ') > 0
+           THEN regexp_replace(substr(text, instr(text, 'Narrative: ') + 11), '^\\s+|\\s+$', '', 'g') END AS n
+  FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, arg_min(n, turn) AS n FROM u WHERE n IS NOT NULL GROUP BY conv_id)
+SELECT c.conv_id, coalesce(f.n, '') AS narrative FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN f ON f.conv_id = c.conv_id""")

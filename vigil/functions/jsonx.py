@@ -25,10 +25,44 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
+def object_end(text: Column) -> Column:
+    """1-based position of the brace closing the first top-level object,
+    skipping braces inside JSON strings (escape-aware); 0 if it never closes.
+
+    The text is split after every '{', '}', '"' and backslash, so the scan
+    visits one element per special character."""
+    chunks = F.split(text, r'(?<=[{}"\\])')
+    init = F.struct(*[F.lit(0).alias(k) for k in ("d", "q", "esc", "n", "e")])
+
+    def step(acc, ch):
+        ln = F.length(ch)
+        last = F.substring(ch, -1, 1)
+        # a pending escape consumes the first char; a 1-char chunk is then done
+        live = ~((acc["esc"] == 1) & (ln == 1))
+        in_str = acc["q"] == 1
+        esc = F.when(live & in_str & (last == "\\"), 1).otherwise(0)
+        q = (F.when(live & in_str & (last == '"'), 0)
+             .when(live & ~in_str & (last == '"'), 1).otherwise(acc["q"]))
+        d = acc["d"] + F.when(live & ~in_str & (last == "{"), 1) \
+            .when(live & ~in_str & (last == "}"), -1).otherwise(0)
+        n = acc["n"] + ln
+        e = F.when((acc["e"] == 0) & live & ~in_str & (last == "}") & (d == 0), n).otherwise(acc["e"])
+        return F.struct(d.alias("d"), q.alias("q"), esc.alias("esc"), n.alias("n"), e.alias("e"))
+
+    return F.aggregate(chunks, init, step)["e"]
+
+
 def parse_object(text: Column) -> Column:
-    """VARIANT of a JSON object, null when the text is not one."""
+    """VARIANT of a JSON object, null when the text is not exactly one.
+
+    Spark's JSON readers stop after the first value and ignore trailing
+    text; Python's ``json.loads`` rejects it ("Extra data").  So the parse
+    only counts when nothing but JSON whitespace follows the object's
+    closing brace."""
     v = F.try_parse_json(text)
-    return F.when(v.isNotNull() & _is_object(v), v)
+    end = object_end(text)
+    rest_blank = F.substring(text, end + 1, 1 << 30).rlike(r"^[ \t\n\r]*$")
+    return F.when(v.isNotNull() & _is_object(v) & (end > 0) & rest_blank, v)
 
 
 def _group_or_null(text: Column, regex: str) -> Column:

@@ -438,3 +438,159 @@ def case_profile(spark, sf):
 @query("top_socs")
 def top_socs(spark, sf):
     return P.top_k(generated_cases(spark, sf), "meddra_soc", 5)
+
+
+# ------------------------------------------------------- JSON extraction ----
+from ..functions.text import strip_think  # noqa: E402
+
+# model-output forms derived from events: plain, fenced, think-block with a
+# decoy, prose with two objects, unbalanced, brace inside a string
+OUTPUT_OBJECT = ("'{\"event\": \"' || event_type || '\", \"props\": ' || props || ', \"user\": ' "
+                 "|| CAST(user_id AS STRING) || '}'")
+OUTPUT_FORMS = (
+    "CASE event_id % 6 "
+    "WHEN 0 THEN obj "
+    "WHEN 1 THEN 'Assessment:' || chr(10) || '```json' || chr(10) || obj || chr(10) || '```' || chr(10) || 'End.' "
+    "WHEN 2 THEN '<think>maybe {\"event\": \"none\"}</think>' || chr(10) || obj "
+    "WHEN 3 THEN 'Result: ' || obj || ' Alternative: {\"event\": \"other\"}' "
+    "WHEN 4 THEN 'Result: ' || substr(obj, 1, length(obj) - 1) "
+    "ELSE '{\"event\": \"' || event_type || '}\", \"user\": 1}' END")
+
+
+def model_outputs(spark, sf) -> DataFrame:
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id", "props")
+    return ev.withColumn("obj", F.expr(OUTPUT_OBJECT)).select("event_id", F.expr(OUTPUT_FORMS).alias("raw"))
+
+
+def _json_fields(v):
+    return [JX.field(v, "event").alias("event"), JX.field(v, "user", "bigint").alias("user"),
+            JX.field(v, "props.k", "bigint").alias("k")]
+
+
+@query("json_fenced")
+def json_fenced(spark, sf):
+    """Three-tier extraction (whole text, fenced block, greedy span)."""
+    m = model_outputs(spark, sf)
+    v = JX.extract_json_tiers("raw")
+    return m.select("event_id", v.isNotNull().alias("parse_ok"), *_json_fields(v))
+
+
+@query("json_depth_scan")
+def json_depth_scan(spark, sf):
+    """Think-strip, fenced block, else first balanced block (must parse)."""
+    m = model_outputs(spark, sf)
+    v = JX.extract_json_robust("raw")
+    return m.select("event_id", v.isNotNull().alias("parse_ok"), *_json_fields(v))
+
+
+@query("think_strip")
+def think_strip(spark, sf):
+    """T3 + T4: think blocks and the end marker removed."""
+    from ..functions.text import strip_end_marker
+    m = model_outputs(spark, sf).withColumn("raw", F.concat("raw", F.lit("<|im_end|>")))
+    return m.select("event_id", utrim_(strip_end_marker(strip_think(F.col("raw")))).alias("text"))
+
+
+def utrim_(c):
+    from ..functions.text import utrim
+    return utrim(c)
+
+
+# ------------------------------------------------------------- evaluation ----
+from ..operators import evaluate as EV  # noqa: E402
+
+PRED_RULES = {
+    "base": {
+        "seriousness": "CASE WHEN n_chars > 5000 THEN 'Serious' ELSE 'Non-serious' END",
+        "labelling_status": "CASE WHEN doc_id % 3 = 0 THEN 'Expected' ELSE 'Unexpected' END",
+        "meddra_pt": "CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END",
+        "meddra_soc": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END",
+    },
+    "tuned": {
+        "seriousness": "CASE WHEN n_chars > 2000 THEN 'Serious' ELSE 'Non-serious' END",
+        "labelling_status": "CASE WHEN length(text) % 2 = 0 THEN 'Expected' ELSE 'Unexpected' END",
+        "meddra_pt": "lang",
+        "meddra_soc": "source",
+    },
+}
+GOLD_RULES = {
+    "seriousness": "CASE WHEN quality = 1 THEN 'Serious' ELSE 'Non-serious' END",
+    "labelling_status": "CASE WHEN toxic = 1 THEN 'Expected' ELSE 'Unexpected' END",
+    "meddra_pt": "lang",
+    "meddra_soc": "source",
+}
+PRED_FORMS = (
+    "CASE doc_id % 5 WHEN 0 THEN obj "
+    "WHEN 1 THEN 'Here is the review:' || chr(10) || '```json' || chr(10) || obj || chr(10) || '```' "
+    "WHEN 2 THEN '<think>checking</think>' || obj "
+    "WHEN 3 THEN substr(obj, 1, length(obj) - 1) "
+    "ELSE 'Assessment follows. ' || obj || ' Hope this helps.' END")
+
+
+def _jv(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
+
+
+def eval_pairs(spark, sf, mode: str = "base") -> DataFrame:
+    """Predictions (model-output text rendered from rules over `documents`)
+    paired by index with gold (from `labels`); records without gold or
+    narrative are skipped before scoring."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    gold = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    x = docs.join(gold, "doc_id", "inner").where(utrim_(F.col("text")) != "")
+    pr = PRED_RULES[mode]
+    for k, e in pr.items():
+        x = x.withColumn(f"_p_{k}", F.expr(e))
+    obj = ("'{\"seriousness\": ' || " + _jv("_p_seriousness") + " || ', \"meddra_pt\": ' || "
+           + _jv("_p_meddra_pt") + " || ', \"meddra_soc\": ' || " + _jv("_p_meddra_soc")
+           + " || ', \"labelling_status\": ' || " + _jv("_p_labelling_status") + " || '}'")
+    x = x.withColumn("obj", F.expr(obj)).withColumn("raw_output", F.expr(PRED_FORMS))
+    v = JX.extract_json_robust("raw_output")
+    cols = [F.col("doc_id").alias("index"), v.isNotNull().alias("parse_ok"), F.col("text").alias("narrative"),
+            F.col("raw_output")]
+    for k in GOLD_RULES:
+        cols.append(F.when(v.isNotNull(), JX.field(v, k)).alias(f"pred_{k}"))
+        cols.append(F.expr(GOLD_RULES[k]).alias(f"gold_{k}"))
+    return x.select(*cols)
+
+
+def scored(spark, sf, mode="base") -> DataFrame:
+    return EV.score_pairs(eval_pairs(spark, sf, mode))
+
+
+@query("eval_scored")
+def eval_scored(spark, sf):
+    s = scored(spark, sf)
+    out = [F.col("index"), F.col("parse_ok"), F.col("narrative")]
+    for name, _k, _h in EV.FIELDS:
+        out += [F.col(f"{name}.pred").alias(f"{name}_pred"), F.col(f"{name}.gold").alias(f"{name}_gold"),
+                F.col(f"{name}.match").alias(f"{name}_match")]
+    return s.select(*out, "all_match")
+
+
+@query("eval_counters")
+def eval_counters(spark, sf):
+    return EV.counters(scored(spark, sf))
+
+
+@query("eval_rates")
+def eval_rates(spark, sf):
+    return EV.rates(EV.counters(scored(spark, sf)))
+
+
+@query("eval_running")
+def eval_running(spark, sf):
+    return EV.running_log(scored(spark, sf))
+
+
+@query("eval_compare")
+def eval_compare(spark, sf):
+    both = scored(spark, sf, "base").withColumn("mode", F.lit("base")).unionByName(
+        scored(spark, sf, "tuned").withColumn("mode", F.lit("tuned")))
+    return EV.compare_modes(EV.rates(EV.counters(both, "mode")))
+
+
+@query("eval_samples")
+def eval_samples(spark, sf):
+    """The first five raw outputs (a sample report: the limit is the feature)."""
+    return eval_pairs(spark, sf).orderBy("index").limit(5).select("index", "raw_output")

@@ -526,3 +526,120 @@ ORACLE["narrative_pull"] = (
 f AS (SELECT conv_id, arg_min(n, turn) AS n FROM u WHERE n IS NOT NULL GROUP BY conv_id)
 SELECT c.conv_id, coalesce(f.n, '') AS narrative FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN f ON f.conv_id = c.conv_id""")
+
+
+# ------------------------------------------------------- JSON extraction ----
+def _outputs_cte() -> str:
+    from . import catalog as K
+    return (f"WITH ev AS (SELECT event_id, {K.OUTPUT_OBJECT.replace('AS STRING', 'AS VARCHAR')} AS obj, event_type "
+            f"FROM events), m AS (SELECT event_id, {K.OUTPUT_FORMS} AS raw FROM ev)")
+
+
+_B1 = r"\{[^{}]*\}"
+_B2 = r"\{[^{}]*(?:" + _B1 + r"[^{}]*)*\}"
+_B3 = r"\{[^{}]*(?:" + _B2 + r"[^{}]*)*\}"
+_OBJ = "CASE WHEN json_valid({x}) AND json_type({x}) = 'OBJECT' THEN {x} END"
+_TR = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _nz(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+def _tiers_sql() -> str:
+    t = _TR.format(x="raw")
+    fence = _nz(f"regexp_extract({t}, '(?s)```(?:json)?\\s*(\\{{.*?\\}})\\s*```', 1)")
+    greedy = _nz(f"regexp_extract({t}, '(?s)(\\{{.*\\}})', 1)")
+    return f"coalesce({_OBJ.format(x=t)}, {_OBJ.format(x=fence)}, {_OBJ.format(x=greedy)})"
+
+
+def _robust_sql() -> str:
+    t = _TR.format(x="regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g')")
+    fence = _nz(f"regexp_extract({t}, '(?s)```(?:json)?\\s*(\\{{.*?\\}})\\s*```', 1)")
+    from_first = f"substr({t}, instr({t}, '{{'))"
+    bal = _nz(f"regexp_extract({from_first}, '^({_B3})', 1)")
+    return f"coalesce({_OBJ.format(x=fence)}, {_OBJ.format(x=bal)})"
+
+
+def _json_select(v: str) -> str:
+    return (f"SELECT event_id, {v} IS NOT NULL AS parse_ok, json_extract_string({v}, '$.event') AS event, "
+            f"CAST(json_extract({v}, '$.user') AS BIGINT) AS user, "
+            f"CAST(json_extract({v}, '$.props.k') AS BIGINT) AS k FROM m")
+
+
+ORACLE["json_fenced"] = _outputs_cte() + "\n" + _json_select(_tiers_sql())
+ORACLE["json_depth_scan"] = _outputs_cte() + "\n" + _json_select(_robust_sql())
+ORACLE["think_strip"] = _outputs_cte() + """
+SELECT event_id, regexp_replace(replace(regexp_replace(raw || '<|im_end|>', '(?s)<think>.*?</think>', '', 'g'),
+  '<|im_end|>', ''), '^\\s+|\\s+$', '', 'g') AS text FROM m"""
+
+
+# ------------------------------------------------------------- evaluation ----
+def _pairs_sql(mode: str) -> str:
+    from . import catalog as K
+    pr, gr = K.PRED_RULES[mode], K.GOLD_RULES
+    cols = ", ".join(f"{e} AS p_{k}" for k, e in pr.items())
+    g = ", ".join(f"{e} AS g_{k}" for k, e in gr.items())
+    return f"""
+SELECT doc_id AS idx, doc_id % 5 <> 3 AS parse_ok, text AS narrative, {cols}, {g}
+FROM documents JOIN labels USING (doc_id)
+WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''"""
+
+
+def _scored_sql(mode: str) -> str:
+    return f"""
+SELECT idx AS "index", parse_ok, CASE WHEN NOT parse_ok THEN substr(narrative, 1, 80) END AS narrative,
+  CASE WHEN parse_ok THEN p_seriousness END AS seriousness_pred, CASE WHEN parse_ok THEN g_seriousness END AS seriousness_gold,
+  CASE WHEN parse_ok THEN p_seriousness IS NOT DISTINCT FROM g_seriousness END AS seriousness_match,
+  CASE WHEN parse_ok THEN p_labelling_status END AS labelling_pred, CASE WHEN parse_ok THEN g_labelling_status END AS labelling_gold,
+  CASE WHEN parse_ok THEN p_labelling_status IS NOT DISTINCT FROM g_labelling_status END AS labelling_match,
+  CASE WHEN parse_ok THEN p_meddra_pt END AS meddra_pt_pred, CASE WHEN parse_ok THEN g_meddra_pt END AS meddra_pt_gold,
+  CASE WHEN parse_ok THEN lower(coalesce(p_meddra_pt, '')) = lower(coalesce(g_meddra_pt, '')) END AS meddra_pt_match,
+  CASE WHEN parse_ok THEN p_meddra_soc END AS meddra_soc_pred, CASE WHEN parse_ok THEN g_meddra_soc END AS meddra_soc_gold,
+  CASE WHEN parse_ok THEN lower(coalesce(p_meddra_soc, '')) = lower(coalesce(g_meddra_soc, '')) END AS meddra_soc_match
+FROM ({_pairs_sql(mode)})"""
+
+
+def _with_scored(mode: str, name: str = "s") -> str:
+    return f"""{name}0 AS ({_scored_sql(mode)}),
+{name} AS (SELECT *, seriousness_match AND labelling_match AND meddra_pt_match AND meddra_soc_match AS all_match
+      FROM {name}0)"""
+
+
+_COUNTERS = """count(*) AS total, count_if(parse_ok) AS json_parse_ok,
+  count_if(seriousness_match) AS seriousness_match, count_if(labelling_match) AS labelling_match,
+  count_if(meddra_pt_match) AS meddra_pt_match, count_if(meddra_soc_match) AS meddra_soc_match,
+  count_if(all_match) AS all_fields_match"""
+
+
+def _rates(src: str, keep: str = "") -> str:
+    p = "CAST(greatest(json_parse_ok, 1) AS DOUBLE)"
+    r = lambda c, den: f"CASE WHEN total > 0 THEN CAST({c} AS DOUBLE) * 100.0 / {den} END"
+    return f"""SELECT {keep}total, json_parse_ok, {r('json_parse_ok', 'CAST(total AS DOUBLE)')} AS parse_rate,
+  {r('seriousness_match', p)} AS seriousness_acc, {r('meddra_pt_match', p)} AS meddra_pt_acc,
+  {r('meddra_soc_match', p)} AS meddra_soc_acc, {r('labelling_match', p)} AS labelling_acc,
+  {r('all_fields_match', p)} AS all_fields_acc FROM {src}"""
+
+
+ORACLE["eval_scored"] = "WITH " + _with_scored("base") + "\nSELECT * FROM s"
+ORACLE["eval_counters"] = "WITH " + _with_scored("base") + f"\nSELECT {_COUNTERS} FROM s"
+ORACLE["eval_rates"] = "WITH " + _with_scored("base") + f", c AS (SELECT {_COUNTERS} FROM s)\n" + _rates("c")
+ORACLE["eval_running"] = "WITH " + _with_scored("base") + """
+, r AS (SELECT "index", parse_ok,
+    count(*) OVER w AS evaluated,
+    sum(CAST(coalesce(seriousness_match, false) AS INTEGER)) OVER w AS seriousness_match,
+    sum(CAST(coalesce(labelling_match, false) AS INTEGER)) OVER w AS labelling_match,
+    sum(CAST(coalesce(meddra_pt_match, false) AS INTEGER)) OVER w AS meddra_pt_match
+  FROM s WINDOW w AS (ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT "index", evaluated, CAST(seriousness_match AS BIGINT) AS seriousness_match,
+  CAST(labelling_match AS BIGINT) AS labelling_match, CAST(meddra_pt_match AS BIGINT) AS meddra_pt_match
+FROM r WHERE ("index" + 1) % 10 = 0 AND parse_ok"""
+ORACLE["eval_compare"] = ("WITH " + _with_scored("base", "sb") + ", " + _with_scored("tuned", "st") + f"""
+, c AS (SELECT 'base' AS mode, {_COUNTERS} FROM sb UNION ALL SELECT 'tuned', {_COUNTERS} FROM st),
+r AS ({_rates('c', 'mode, ')}),
+r2 AS (SELECT *, (seriousness_acc + meddra_pt_acc + meddra_soc_acc + labelling_acc) / 4.0 AS mean_field_acc FROM r),
+long AS (UNPIVOT r2 ON parse_rate, seriousness_acc, meddra_pt_acc, meddra_soc_acc, labelling_acc, all_fields_acc,
+         mean_field_acc INTO NAME metric VALUE value)
+SELECT metric, max(value) FILTER (WHERE mode = 'base') AS base, max(value) FILTER (WHERE mode = 'tuned') AS tuned,
+  max(value) FILTER (WHERE mode = 'tuned') - max(value) FILTER (WHERE mode = 'base') AS delta_pts
+FROM long GROUP BY metric""")

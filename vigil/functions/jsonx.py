@@ -159,3 +159,39 @@ def target_json(s: pd.DataFrame) -> pd.Series:
         obj = {k: _plain(v) for k, v in zip(cols, row)}
         out.append(json.dumps(obj, indent=2))
     return pd.Series(out)
+
+
+# ---- staged (DataFrame-level) forms: each intermediate is its own column, so
+# no large expression is evaluated twice (higher-order functions run
+# interpreted; Catalyst will not collapse projections that would duplicate them).
+def _parse_staged(df, src: str, out: str):
+    df = df.withColumn(out + "_v", F.try_parse_json(F.col(src))) \
+           .withColumn(out + "_e", object_end(F.col(src)))
+    ok = (F.col(out + "_v").isNotNull() & _is_object(F.col(out + "_v")) & (F.col(out + "_e") > 0)
+          & F.substring(F.col(src), F.col(out + "_e") + 1, 1 << 30).rlike(r"^[ \t\n\r]*$"))
+    return df.withColumn(out, F.when(ok, F.col(out + "_v"))).drop(out + "_v", out + "_e")
+
+
+def with_json_robust(df, src: str, out: str = "parsed", strip_marker: bool = False):
+    """T2 as staged columns; adds VARIANT column ``out`` (null = no object)."""
+    t = strip_think(F.col(src))
+    if strip_marker:
+        t = strip_end_marker(utrim(t))
+    df = df.withColumn("_jt", utrim(t))
+    df = df.withColumn("_jf", _group_or_null(F.col("_jt"), FENCE_RE))
+    df = _parse_staged(df, "_jf", "_jfv")
+    df = df.withColumn("_jb", F.when(F.col("_jfv").isNull(), balanced_prefix(F.col("_jt"))))
+    df = _parse_staged(df, "_jb", "_jbv")
+    return df.withColumn(out, F.coalesce("_jfv", "_jbv")).drop("_jt", "_jf", "_jfv", "_jb", "_jbv")
+
+
+def with_json_tiers(df, src: str, out: str = "parsed"):
+    """T1 as staged columns."""
+    df = df.withColumn("_jt", utrim(F.col(src)))
+    df = _parse_staged(df, "_jt", "_j1")
+    df = df.withColumn("_jf", F.when(F.col("_j1").isNull(), _group_or_null(F.col("_jt"), FENCE_RE)))
+    df = _parse_staged(df, "_jf", "_j2")
+    df = df.withColumn("_jg", F.when(F.col("_j1").isNull() & F.col("_j2").isNull(),
+                                     _group_or_null(F.col("_jt"), GREEDY_RE)))
+    df = _parse_staged(df, "_jg", "_j3")
+    return df.withColumn(out, F.coalesce("_j1", "_j2", "_j3")).drop("_jt", "_jf", "_jg", "_j1", "_j2", "_j3")

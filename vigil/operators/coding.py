@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utrim
+from ..session import cut_lineage
 from .joins import checked_broadcast
 
 LOOKUP_COLS = ["meddra_pt", "meddra_pt_code", "meddra_llt", "meddra_llt_code",
@@ -113,7 +114,10 @@ def code_terms(df: DataFrame, lookup: DataFrame, term_col: str = "reaction_pt",
         .withColumn("match_score", F.lit(100.0))
     miss = coded.where(F.col("meddra_pt").isNull()).drop(*LOOKUP_COLS)
     miss = miss.withColumn("_term", exact_key(term_col))
-    best = fuzzy_best(miss.select(F.col("_term").alias("term")), lookup, scorer)
+    # distinct misses are few (bounded by the term vocabulary, not by rows);
+    # materialise them once so sizing the grid does not recompute the scan
+    terms = cut_lineage(miss.select(F.col("_term").alias("term")).distinct())
+    best = fuzzy_best(terms, lookup, scorer)
     best = best.where(F.col("score") >= threshold)
     fz = (miss.join(best.withColumnRenamed("term", "_term"), "_term", "left")
               .join(checked_broadcast(lk), "pt_key", "left")

@@ -370,8 +370,9 @@ def chat_flat_text(spark, sf):
 @query("narrative_roundtrip")
 def narrative_roundtrip(spark, sf):
     """T5 + T6 over the chat records: narrative and gold fields come back."""
-    c = chat_records(spark, sf)
-    gold = JX.extract_json_robust(CH.first_assistant("messages"))
+    c = chat_records(spark, sf).withColumn("_gold_text", CH.first_assistant("messages"))
+    c = JX.with_json_robust(c, "_gold_text", "_gold")
+    gold = F.col("_gold")
     return c.select("id", CH.narrative_from_messages("messages").alias("narrative"),
                     JX.field(gold, "seriousness").alias("gold_seriousness"),
                     JX.field(gold, "meddra_pt").alias("gold_meddra_pt"),
@@ -470,17 +471,15 @@ def _json_fields(v):
 @query("json_fenced")
 def json_fenced(spark, sf):
     """Three-tier extraction (whole text, fenced block, greedy span)."""
-    m = model_outputs(spark, sf)
-    v = JX.extract_json_tiers("raw")
-    return m.select("event_id", v.isNotNull().alias("parse_ok"), *_json_fields(v))
+    m = JX.with_json_tiers(model_outputs(spark, sf), "raw", "v")
+    return m.select("event_id", F.col("v").isNotNull().alias("parse_ok"), *_json_fields(F.col("v")))
 
 
 @query("json_depth_scan")
 def json_depth_scan(spark, sf):
     """Think-strip, fenced block, else first balanced block (must parse)."""
-    m = model_outputs(spark, sf)
-    v = JX.extract_json_robust("raw")
-    return m.select("event_id", v.isNotNull().alias("parse_ok"), *_json_fields(v))
+    m = JX.with_json_robust(model_outputs(spark, sf), "raw", "v")
+    return m.select("event_id", F.col("v").isNotNull().alias("parse_ok"), *_json_fields(F.col("v")))
 
 
 @query("think_strip")
@@ -545,7 +544,8 @@ def eval_pairs(spark, sf, mode: str = "base") -> DataFrame:
            + _jv("_p_meddra_pt") + " || ', \"meddra_soc\": ' || " + _jv("_p_meddra_soc")
            + " || ', \"labelling_status\": ' || " + _jv("_p_labelling_status") + " || '}'")
     x = x.withColumn("obj", F.expr(obj)).withColumn("raw_output", F.expr(PRED_FORMS))
-    v = JX.extract_json_robust("raw_output")
+    x = JX.with_json_robust(x, "raw_output", "_pv")
+    v = F.col("_pv")
     cols = [F.col("doc_id").alias("index"), v.isNotNull().alias("parse_ok"), F.col("text").alias("narrative"),
             F.col("raw_output")]
     for k in GOLD_RULES:

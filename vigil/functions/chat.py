@@ -90,17 +90,75 @@ def truncate_ids(ids, max_len: int = MAX_SEQ_LENGTH) -> Column:
 def response_mask(ids, template: list[int], attention=None) -> Column:
     """labels = ids with every position up to and including the LAST
     occurrence of the template set to -100; template absent -> all -100;
-    padding positions (attention 0) -> -100."""
+    padding positions (attention 0) -> -100.
+
+    The last occurrence is found by a JVM string search (on the reversed
+    comma-joined ids), and the labels are built with
+    ``array_repeat`` + ``slice``: no per-element lambda on the hot path."""
     x = col_(ids)
     t = len(template)
-    tpl = F.array(*[F.lit(v) for v in template])
     n = F.size(x)
-    starts = F.when(n >= t, F.sequence(F.lit(0), n - t)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.slice(x, i + 1, t) == tpl)
-    last = F.array_max(hits)
-    until = F.coalesce(last + t, n)
-    lab = F.transform(x, lambda v, i: F.when(i < until, F.lit(IGNORE_INDEX)).otherwise(v))
+    joined = F.concat(F.lit(","), F.array_join(x, ","), F.lit(","))
+    pat = "," + ",".join(str(v) for v in template) + ","
+    # last occurrence = first occurrence in the reversed string
+    rpos = F.instr(F.reverse(joined), F.lit(pat[::-1]))
+    found = rpos > 0
+    prefix = F.substring(joined, 1, F.length(joined) - rpos - len(pat) + 1)
+    # tokens before the match = commas in the prefix (the prefix starts with one)
+    start = F.length(prefix) - F.length(F.replace(prefix, F.lit(","), F.lit("")))
+    until = F.when(found & (n >= t), start + t).otherwise(n)
+    lab = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), until), F.slice(x, until + 1, F.greatest(n - until, F.lit(1))))
+    lab = F.when(until >= n, F.array_repeat(F.lit(IGNORE_INDEX), n)).otherwise(lab)
     if attention is not None:
         a = col_(attention)
         lab = F.zip_with(lab, a, lambda v, m: F.when(m == 0, F.lit(IGNORE_INDEX)).otherwise(v))
     return lab
+
+
+def byte_tokenizer(texts: list[str]) -> list[list[int]]:
+    """Default offline tokenizer: UTF-8 bytes as ids (any callable with the
+    same signature can be plugged in, e.g. a subword tokenizer)."""
+    return [list(t.encode("utf-8")) if t is not None else [] for t in texts]
+
+
+def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int = MAX_SEQ_LENGTH,
+             keep: list[str] | None = None):
+    """Batched tokenisation in Arrow batches, truncated to ``max_len``;
+    the text column is dropped.  Adds ``input_ids`` and ``attention_mask``."""
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    keep = keep or [c for c in df.columns if c != text_col]
+    ints = ArrayType(IntegerType())
+    schema = StructType(list(df.select(*keep).schema.fields)
+                        + [StructField("input_ids", ints), StructField("attention_mask", ints)])
+
+    def run(batches):
+        for pdf in batches:
+            ids = [x[:max_len] for x in tokenizer(pdf[text_col].tolist())]
+            out = pdf[keep].copy()
+            out["input_ids"] = pd.Series(ids, dtype=object).values
+            out["attention_mask"] = pd.Series([[1] * len(x) for x in ids], dtype=object).values
+            yield out
+
+    return df.select(*keep, text_col).mapInPandas(run, schema)
+
+
+def with_response_mask(df, ids_col: str, template: list[int], out: str = "labels",
+                       attention_col: str | None = None):
+    """T13 as staged columns (each intermediate computed once per row)."""
+    t = len(template)
+    pat = "," + ",".join(str(v) for v in template) + ","
+    x = df.withColumn("_mj", F.concat(F.lit(","), F.array_join(ids_col, ","), F.lit(",")))
+    x = x.withColumn("_mr", F.instr(F.reverse("_mj"), F.lit(pat[::-1]))) \
+         .withColumn("_mn", F.size(ids_col))
+    prefix_len = F.length("_mj") - F.col("_mr") - len(pat) + 1
+    start = prefix_len - F.length(F.replace(F.substring("_mj", 1, prefix_len), F.lit(","), F.lit("")))
+    x = x.withColumn("_mu", F.when((F.col("_mr") > 0) & (F.col("_mn") >= t), start + t).otherwise(F.col("_mn")))
+    lab = F.when(F.col("_mu") >= F.col("_mn"), F.array_repeat(F.lit(IGNORE_INDEX), F.col("_mn"))).otherwise(
+        F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.col("_mu")),
+                 F.slice(ids_col, F.col("_mu") + 1, F.greatest(F.col("_mn") - F.col("_mu"), F.lit(1)))))
+    x = x.withColumn(out, lab)
+    if attention_col:
+        x = x.withColumn(out, F.zip_with(out, attention_col,
+                                         lambda v, m: F.when(m == 0, F.lit(IGNORE_INDEX)).otherwise(v)))
+    return x.drop("_mj", "_mr", "_mn", "_mu")

@@ -187,7 +187,9 @@ def generate_with(df: DataFrame, prompt_col: str, out_col: str, generator: Gener
     number of partitions (``repartition`` sets the in-flight request count)."""
     if parallelism:
         df = df.repartition(parallelism)
-    schema = df.schema.add(out_col, "string").add(out_col + "_error", "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType()),
+                                                  StructField(out_col + "_error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -272,3 +274,15 @@ def display_fields(df: DataFrame) -> DataFrame:
 def run_metadata(seconds: Column, n_tokens: Column) -> Column:
     """The metadata struct added on scoring (seconds rounded to 2)."""
     return F.struct(F.round(seconds, 2).alias("inference_time_s"), n_tokens.cast("int").alias("raw_tokens"))
+
+
+def prompt_echo_generator(prompts: pd.Series, max_tokens: int, temperature: float) -> pd.Series:
+    """Offline stand-in generator: turns the prompt's last ``Input`` line into
+    one plain sentence (deterministic; a model client plugs in instead)."""
+    def one(p: str) -> str:
+        line = [ln for ln in p.splitlines() if ln.startswith("Drug: ")][-1]
+        fields = dict(part.split(": ", 1) for part in line.split(" | ") if ": " in part)
+        return (f"Narrative: A {fields.get('Patient', 'patient')} patient treated with {fields.get('Drug', '')} "
+                f"for {fields.get('Indication', '')} developed {fields.get('Adverse event', '').lower()}; "
+                f"outcome {fields.get('Outcome', '').lower()}; action: {fields.get('Action', '')}")
+    return prompts.map(one)

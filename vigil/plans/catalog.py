@@ -267,10 +267,15 @@ from ..functions import jsonx as JX  # noqa: E402
 
 def case_inputs(spark, sf) -> DataFrame:
     """clean -> codes (exact, then edit-distance fuzzy; unmatched dropped)
-    -> label text -> expectedness -> formatted prompt fields."""
-    coded = C.drop_unmatched(C.code_terms(clean_reports(spark, sf), lookup_table(spark, sf),
-                                          scorer="levenshtein"))
-    lab = L.expectedness(L.join_labels(coded, label_cache(spark, sf)))
+    -> label text -> expectedness -> formatted prompt fields.
+
+    The clean table feeds three branches (exact hits, fuzzy misses, the
+    label cache), so it is materialised once (reliable checkpoint) instead
+    of re-reading and re-aggregating the source tables per branch."""
+    clean = cut_lineage(clean_reports(spark, sf))
+    coded = C.drop_unmatched(C.code_terms(clean, lookup_table(spark, sf), scorer="levenshtein"))
+    cache = L.label_cascade(clean, bridge.label_rows(spark, sf))
+    lab = L.expectedness(L.join_labels(coded, cache))
     return CB.prompt_fields(lab)
 
 
@@ -594,3 +599,59 @@ def eval_compare(spark, sf):
 def eval_samples(spark, sf):
     """The first five raw outputs (a sample report: the limit is the feature)."""
     return eval_pairs(spark, sf).orderBy("index").limit(5).select("index", "raw_output")
+
+
+# -------------------------------------------------------------- streaming ----
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import ingest as W  # noqa: E402
+
+EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def scratch_dir(spark) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigil-{uuid.uuid4().hex}"
+
+
+@query("stream_ingest_dedup")
+def stream_ingest_dedup(spark, sf, slice_rows: int = 1000, overlap: int = 50):
+    """Events land as overlapping slices (each slice re-delivers the
+    first rows of the next one, like a resumed fetch); the file stream
+    ingests them micro-batch by micro-batch, unique by event_id."""
+    base = scratch_dir(spark)
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    s = F.floor(F.col("event_id") / slice_rows)
+    landed = ev.withColumn("slice", F.explode(F.when(
+        (F.col("event_id") % slice_rows < overlap) & (s > 0), F.array(s, s - 1)).otherwise(F.array(s))))
+    landed.write.mode("overwrite").partitionBy("slice").json(f"{base}/landing")
+    W.ingest_files(spark, f"{base}/landing", spark.createDataFrame([], EVENT_SCHEMA + ", slice long").schema,
+                   f"{base}/out", f"{base}/checkpoint", "event_id", "json",
+                   max_files_per_trigger=4, multiline=False)
+    return spark.read.parquet(f"{base}/out").drop("epoch", "slice")
+
+
+# ------------------------------------------------------------ tokenising ----
+@query("mask_labels")
+def mask_labels(spark, sf):
+    """T12 + T13 over the flat chat texts: byte-level ids truncated to 2,048,
+    labels masked up to the last assistant-template occurrence."""
+    flat = chat_flat_text(spark, sf)
+    tok = CH.tokenize(flat, "text")
+    tpl = CH.byte_tokenizer([CH.RESPONSE_TEMPLATE])[0]
+    lab = CH.with_response_mask(tok, "input_ids", tpl, "labels")
+    return lab.select("id", F.size("input_ids").alias("n_ids"),
+                      (F.size("labels") - F.size(F.array_remove("labels", CH.IGNORE_INDEX))).alias("n_masked"),
+                      F.size("labels").alias("n_labels"))
+
+
+# ------------------------------------------------------------ generation ----
+@query("narrative_generate")
+def narrative_generate(spark, sf):
+    """Narratives through the pluggable generator path (mapInPandas);
+    the built-in generator writes from the prompt's input line."""
+    x = case_inputs(spark, sf)
+    x = x.select("id", CB.narrative_prompt(x).alias("prompt"))
+    g = CB.generate_with(x, "prompt", "narrative_raw", CB.prompt_echo_generator, *CB.NARRATIVE_CALL)
+    return g.select("id", F.col("narrative_raw").alias("narrative"), "narrative_raw_error")

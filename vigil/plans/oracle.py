@@ -643,3 +643,15 @@ long AS (UNPIVOT r2 ON parse_rate, seriousness_acc, meddra_pt_acc, meddra_soc_ac
 SELECT metric, max(value) FILTER (WHERE mode = 'base') AS base, max(value) FILTER (WHERE mode = 'tuned') AS tuned,
   max(value) FILTER (WHERE mode = 'tuned') - max(value) FILTER (WHERE mode = 'base') AS delta_pts
 FROM long GROUP BY metric""")
+
+
+# ------------------------------------------------------------ tokenising ----
+# byte-level ids: n_ids = bytes (<= 2048); masked = through the last template
+_TPL = "'<|im_start|>assistant' || chr(10)"
+ORACLE["mask_labels"] = with_cases(f""", ft AS (SELECT id, {_flat_sql()} AS text FROM valid),
+b AS (SELECT id, least(strlen(text), 2048) AS n_ids,
+  CASE WHEN instr(text, {_TPL}) > 0
+       THEN strlen(text) - instr(reverse(text), reverse({_TPL})) - strlen({_TPL}) + 1 + strlen({_TPL}) END AS until
+  FROM ft)
+SELECT id, n_ids, CASE WHEN until IS NULL OR until > n_ids THEN n_ids ELSE until END AS n_masked, n_ids AS n_labels
+FROM b""")

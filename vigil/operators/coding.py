@@ -53,7 +53,8 @@ def _block_scorer(scorer: str):
 
     def score_block(terms: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         if terms.empty or keys.empty:
-            return pd.DataFrame({"term": [], "pt_key": [], "key_pos": [], "score": []})
+            return pd.DataFrame({"term": pd.Series([], dtype=object), "pt_key": pd.Series([], dtype=object),
+                                 "key_pos": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         keys = keys.sort_values("key_pos", kind="stable")
         kstr = keys["pt_key"].tolist()
         kpos = keys["key_pos"].to_numpy()

@@ -420,14 +420,21 @@ def document_length_describe(spark, sf):
     return P.describe_exact(docs.select(F.length("text").alias("n_chars")), "n_chars")
 
 
+def split_input(spark, sf) -> DataFrame:
+    """The split reads its input three times (bucket counts, settled rows,
+    the cut bucket), so the valid cases are materialised first: a stage
+    output, like the reference's validated dataset file."""
+    return cut_lineage(valid_cases(spark, sf))
+
+
 @query("split_exact")
 def split_exact(spark, sf):
-    return Q.exact_split(valid_cases(spark, sf)).select("id", "split")
+    return Q.exact_split(split_input(spark, sf)).select("id", "split")
 
 
 @query("split_balance")
 def split_balance(spark, sf):
-    return Q.split_balance(Q.exact_split(valid_cases(spark, sf)))
+    return Q.split_balance(Q.exact_split(split_input(spark, sf)))
 
 
 @query("case_profile")
@@ -607,7 +614,6 @@ import uuid  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..streaming import ingest as W  # noqa: E402
 
-EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def scratch_dir(spark) -> str:
@@ -616,19 +622,23 @@ def scratch_dir(spark) -> str:
 
 
 @query("stream_ingest_dedup")
-def stream_ingest_dedup(spark, sf, slice_rows: int = 1000, overlap: int = 50):
-    """Events land as overlapping slices (each slice re-delivers the
-    first rows of the next one, like a resumed fetch); the file stream
-    ingests them micro-batch by micro-batch, unique by event_id."""
+def stream_ingest_dedup(spark, sf, n_slices: int = 8, overlap_share: float = 0.05):
+    """Events land as ``n_slices`` overlapping slices (each slice
+    re-delivers the first rows of the next one, like a resumed fetch); the
+    file stream ingests them two files per micro-batch, unique by event_id."""
     base = scratch_dir(spark)
     ev = spark.read.parquet(f"{sf}/events.parquet")
+    span = ev.agg(F.max("event_id") + 1).scalar()
+    slice_rows = F.greatest(F.ceil(span / n_slices), F.lit(1))
     s = F.floor(F.col("event_id") / slice_rows)
-    landed = ev.withColumn("slice", F.explode(F.when(
-        (F.col("event_id") % slice_rows < overlap) & (s > 0), F.array(s, s - 1)).otherwise(F.array(s))))
-    landed.write.mode("overwrite").partitionBy("slice").json(f"{base}/landing")
-    W.ingest_files(spark, f"{base}/landing", spark.createDataFrame([], EVENT_SCHEMA + ", slice long").schema,
+    in_overlap = (F.col("event_id") % slice_rows) < F.ceil(slice_rows * overlap_share)
+    landed = ev.withColumn("slice", F.explode(F.when(in_overlap & (s > 0), F.array(s, s - 1))
+                                              .otherwise(F.array(s))))
+    (landed.repartition("slice").write.mode("overwrite").partitionBy("slice")
+     .options(**W.JSON_TIME_OPTIONS).json(f"{base}/landing"))
+    W.ingest_files(spark, f"{base}/landing", landed.schema,
                    f"{base}/out", f"{base}/checkpoint", "event_id", "json",
-                   max_files_per_trigger=4, multiline=False)
+                   max_files_per_trigger=2, multiline=False, options=W.JSON_TIME_OPTIONS)
     return spark.read.parquet(f"{base}/out").drop("epoch", "slice")
 
 

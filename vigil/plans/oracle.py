@@ -655,3 +655,22 @@ b AS (SELECT id, least(strlen(text), 2048) AS n_ids,
   FROM ft)
 SELECT id, n_ids, CASE WHEN until IS NULL OR until > n_ids THEN n_ids ELSE until END AS n_masked, n_ids AS n_labels
 FROM b""")
+
+
+# -------------------------------------------------------------- streaming ----
+ORACLE["stream_ingest_dedup"] = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+
+def _samples_sql() -> str:
+    from . import catalog as K
+    pr = K.PRED_RULES["base"]
+    jv = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
+    obj = ("'{\"seriousness\": ' || " + jv(pr["seriousness"]) + " || ', \"meddra_pt\": ' || "
+           + jv(pr["meddra_pt"]) + " || ', \"meddra_soc\": ' || " + jv(pr["meddra_soc"])
+           + " || ', \"labelling_status\": ' || " + jv(pr["labelling_status"]) + " || '}'")
+    return f"""WITH x AS (SELECT doc_id, {obj} AS obj FROM documents JOIN labels USING (doc_id)
+  WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT doc_id AS "index", {K.PRED_FORMS} AS raw_output FROM x ORDER BY doc_id LIMIT 5"""
+
+
+ORACLE["eval_samples"] = _samples_sql()

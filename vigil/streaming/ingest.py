@@ -20,6 +20,11 @@ from ..operators.joins import checked_broadcast
 from ..operators.normalize import normalize_reports
 from ..schemas import RAW_PAGE
 
+# JSON keeps microseconds only with an explicit pattern (the default writes ms).
+MICROS_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+MICROS_TS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+JSON_TIME_OPTIONS = {"timestampFormat": MICROS_TS, "timestampNTZFormat": MICROS_TS_NTZ}
+
 
 def _existing_ids(spark: SparkSession, out_path: str, key: str, epoch: int) -> DataFrame | None:
     """Keys already written by earlier micro-batches (any filesystem)."""
@@ -49,7 +54,7 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
                  checkpoint: str, key: str, fmt: str = "json",
                  transform=None, max_files_per_trigger: int | None = None,
                  received_col: str | None = None, watermark: str = "1 hour",
-                 multiline: bool = True) -> None:
+                 multiline: bool = True, options: dict | None = None) -> None:
     """Stream every landed file once into ``out_path`` (parquet, one
     ``epoch=<batch>`` partition per micro-batch), unique by ``key``; returns
     when the landed backlog is processed."""
@@ -58,6 +63,8 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
         r = r.option("multiLine", True)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    for k, v in (options or {}).items():
+        r = r.option(k, v)
     stream = r.load(landing)
     if transform is not None:
         stream = transform(stream)

@@ -21,37 +21,52 @@ FENCE_RE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 GREEDY_RE = r"(?s)(\{.*\})"
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+def _starts_object(text: Column) -> Column:
+    """The parsed value is an object iff its first non-whitespace char is '{'
+    (the parser reads the first value), a much cheaper test than rendering
+    the value's schema."""
+    return text.rlike(r"^[ \t\n\r]*\{")
+
+
+# A JSON string literal (possessive: no backtracking on long texts).
+JSON_STRING_RE = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def object_end(text: Column) -> Column:
     """1-based position of the brace closing the first top-level object,
-    skipping braces inside JSON strings (escape-aware); 0 if it never closes.
+    ignoring braces inside JSON strings (escape-aware); 0 if it never closes.
+
+    String literals are first blanked to ``""`` by one JVM regex pass (this
+    keeps every brace outside strings and the text's shape), then the depth
+    scan visits one element per brace.  Because blanking shortens the text,
+    the result is an end position in the blanked text; ``object_rest`` gives
+    what follows it, which is all the strictness check needs."""
+    blank = F.regexp_replace(text, JSON_STRING_RE, '""')
+    return _brace_end(blank)
 
-    The text is split after every '{', '}', '"' and backslash, so the scan
-    visits one element per special character."""
-    chunks = F.split(text, r'(?<=[{}"\\])')
-    init = F.struct(*[F.lit(0).alias(k) for k in ("d", "q", "esc", "n", "e")])
+
+def _brace_end(s: Column) -> Column:
+    chunks = F.split(s, r"(?<=[{}])")
+    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(0).alias("e"))
 
     def step(acc, ch):
-        ln = F.length(ch)
         last = F.substring(ch, -1, 1)
-        # a pending escape consumes the first char; a 1-char chunk is then done
-        live = ~((acc["esc"] == 1) & (ln == 1))
-        in_str = acc["q"] == 1
-        esc = F.when(live & in_str & (last == "\\"), 1).otherwise(0)
-        q = (F.when(live & in_str & (last == '"'), 0)
-             .when(live & ~in_str & (last == '"'), 1).otherwise(acc["q"]))
-        d = acc["d"] + F.when(live & ~in_str & (last == "{"), 1) \
-            .when(live & ~in_str & (last == "}"), -1).otherwise(0)
-        n = acc["n"] + ln
-        e = F.when((acc["e"] == 0) & live & ~in_str & (last == "}") & (d == 0), n).otherwise(acc["e"])
-        return F.struct(d.alias("d"), q.alias("q"), esc.alias("esc"), n.alias("n"), e.alias("e"))
+        d = acc["d"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
+        n = acc["n"] + F.length(ch)
+        e = F.when((acc["e"] == 0) & (d == 0) & (last == "}"), n).otherwise(acc["e"])
+        return F.struct(d.alias("d"), n.alias("n"), e.alias("e"))
 
     return F.aggregate(chunks, init, step)["e"]
 
 
+def _rest_is_blank(text: Column) -> Column:
+    """True when the first top-level object closes and only JSON whitespace
+    follows it."""
+    blank = F.regexp_replace(text, JSON_STRING_RE, '""')
+    end = _brace_end(blank)
+    return (end > 0) & F.substring(blank, end + 1, 1 << 30).rlike(r"^[ \t\n\r]*$")
+
+
 def parse_object(text: Column) -> Column:
     """VARIANT of a JSON object, null when the text is not exactly one.
 
@@ -60,9 +75,7 @@ def parse_object(text: Column) -> Column:
     only counts when nothing but JSON whitespace follows the object's
     closing brace."""
     v = F.try_parse_json(text)
-    end = object_end(text)
-    rest_blank = F.substring(text, end + 1, 1 << 30).rlike(r"^[ \t\n\r]*$")
-    return F.when(v.isNotNull() & _is_object(v) & (end > 0) & rest_blank, v)
+    return F.when(v.isNotNull() & _starts_object(text) & _rest_is_blank(text), v)
 
 
 def _group_or_null(text: Column, regex: str) -> Column:
@@ -165,11 +178,14 @@ def target_json(s: pd.DataFrame) -> pd.Series:
 # no large expression is evaluated twice (higher-order functions run
 # interpreted; Catalyst will not collapse projections that would duplicate them).
 def _parse_staged(df, src: str, out: str):
-    df = df.withColumn(out + "_v", F.try_parse_json(F.col(src))) \
-           .withColumn(out + "_e", object_end(F.col(src)))
-    ok = (F.col(out + "_v").isNotNull() & _is_object(F.col(out + "_v")) & (F.col(out + "_e") > 0)
-          & F.substring(F.col(src), F.col(out + "_e") + 1, 1 << 30).rlike(r"^[ \t\n\r]*$"))
-    return df.withColumn(out, F.when(ok, F.col(out + "_v"))).drop(out + "_v", out + "_e")
+    v, b, e = out + "_v", out + "_b", out + "_e"
+    df = df.withColumn(v, F.try_parse_json(F.col(src)))
+    ok_obj = F.col(v).isNotNull() & _starts_object(F.col(src))
+    # the strictness scan runs only for texts that parsed as an object
+    df = df.withColumn(b, F.when(ok_obj, F.regexp_replace(F.col(src), JSON_STRING_RE, '""')))
+    df = df.withColumn(e, _brace_end(F.col(b)))
+    ok = (F.col(e) > 0) & F.substring(F.col(b), F.col(e) + 1, 1 << 30).rlike(r"^[ \t\n\r]*$")
+    return df.withColumn(out, F.when(F.col(b).isNotNull() & ok, F.col(v))).drop(v, b, e)
 
 
 def with_json_robust(df, src: str, out: str = "parsed", strip_marker: bool = False):

@@ -106,8 +106,8 @@ def code_terms(df: DataFrame, lookup: DataFrame, term_col: str = "reaction_pt",
                fuzzy: bool = True) -> DataFrame:
     """J1 + J2: exact first; only the distinct exact misses go to the fuzzy
     search; adds ``match_type`` in {exact, fuzzy, none} and ``match_score``."""
-    lk = lookup.select("pt_key", *LOOKUP_COLS)
-    coded = code_exact(df, lookup, term_col)
+    lk = checked_broadcast(lookup.select("pt_key", "key_pos", *LOOKUP_COLS))   # measured once
+    coded = code_exact(df, lk, term_col, broadcast_lookup=False)
     if not fuzzy:
         return coded.withColumn("match_type", F.when(F.col("meddra_pt").isNotNull(), "exact")
                                 .otherwise("none")).withColumn("match_score", F.lit(None).cast("double"))
@@ -118,10 +118,12 @@ def code_terms(df: DataFrame, lookup: DataFrame, term_col: str = "reaction_pt",
     # distinct misses are few (bounded by the term vocabulary, not by rows);
     # materialise them once so sizing the grid does not recompute the scan
     terms = cut_lineage(miss.select(F.col("_term").alias("term")).distinct())
-    best = fuzzy_best(terms, lookup, scorer)
-    best = best.where(F.col("score") >= threshold)
-    fz = (miss.join(best.withColumnRenamed("term", "_term"), "_term", "left")
-              .join(checked_broadcast(lk), "pt_key", "left")
+    # accepted matches: at most one row per distinct miss; materialised and
+    # broadcast when measured small, so a hot unmatched term (a third of all
+    # rows) never lands in one shuffle partition
+    best = cut_lineage(fuzzy_best(terms, lookup, scorer).where(F.col("score") >= threshold))
+    fz = (miss.join(checked_broadcast(best.withColumnRenamed("term", "_term")), "_term", "left")
+              .join(lk.drop("key_pos"), "pt_key", "left")
               .withColumn("match_type", F.when(F.col("meddra_pt").isNotNull(), "fuzzy").otherwise("none"))
               .withColumn("match_score", F.when(F.col("meddra_pt").isNotNull(), F.col("score")))
               .drop("_term", "pt_key", "key_pos", "score"))

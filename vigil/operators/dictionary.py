@@ -47,23 +47,25 @@ def level_counts(levels: DataFrame) -> DataFrame:
     return term_levels(levels).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_soc(edges: DataFrame, levels: DataFrame, names: DataFrame) -> DataFrame:
-    """For every child, its first parent (sheet order) whose level is SOC."""
-    lv = term_levels(levels)
+def first_soc(edges: DataFrame, levels: DataFrame, names: DataFrame,
+              resolved: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """For every child, its first parent (sheet order) whose level is SOC.
+    ``resolved`` = (term_levels, term_names) when the caller has them."""
+    lv, tn = resolved or (term_levels(levels), term_names(names))
     socs = lv.where(F.col("level") == "SOC").select(F.col("term_id").alias("parent_id"))
     hit = edges.join(socs, "parent_id", "left_semi")
     best = hit.groupBy("child_id").agg(F.min_by("parent_id", "pos").alias("soc_id"))
-    nm = term_names(names).select(F.col("term_id").alias("soc_id"), F.col("name").alias("soc_name"))
+    nm = tn.select(F.col("term_id").alias("soc_id"), F.col("name").alias("soc_name"))
     return best.join(nm, "soc_id", "left").select("child_id", "soc_id",
                                                   F.coalesce(utrim("soc_name"), F.lit("")).alias("soc_name"))
 
 
 def _pt_rows(names: DataFrame, levels: DataFrame, edges: DataFrame) -> DataFrame:
-    lv = term_levels(levels).where(F.col("level") == "PT")
-    nm = term_names(names)
-    pts = lv.join(nm, "term_id", "left").select(
+    tl, tn = term_levels(levels), term_names(names)       # each aggregated once
+    lv = tl.where(F.col("level") == "PT")
+    pts = lv.join(tn, "term_id", "left").select(
         "term_id", "level_pos", utrim(F.coalesce("name", F.lit(""))).alias("pt_name"))
-    soc = first_soc(edges, levels, names).withColumnRenamed("child_id", "term_id")
+    soc = first_soc(edges, levels, names, (tl, tn)).withColumnRenamed("child_id", "term_id")
     return pts.join(soc, "term_id", "left")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import checked_broadcast
+
 # ---- fixed values ------------------------------------------------------------
 SEARCH_ORDER = {"brand": 0, "generic": 1, "substance": 2}   # tried in this order
 ADR_CHARS = 2500          # adverse-reactions excerpt length
@@ -58,8 +60,10 @@ def label_cascade(drugs: DataFrame, labels: DataFrame, drug_col: str = "drug_nam
 
 
 def join_labels(reports: DataFrame, label_cache: DataFrame, drug_col: str = "drug_name") -> DataFrame:
-    """J5 + L1: exact drug-name key (no case folding); '' on a miss."""
-    lc = label_cache.select(F.col("drug_name").alias(drug_col), "label_text")
+    """J5 + L1: exact drug-name key (no case folding); '' on a miss.  The
+    cache has one row per distinct drug; it is broadcast when its measured
+    size allows, so a drug named in a third of all reports is no hot key."""
+    lc = checked_broadcast(label_cache.select(F.col("drug_name").alias(drug_col), "label_text"))
     j = reports.join(lc, drug_col, "left").withColumn("label_text", F.coalesce("label_text", F.lit("")))
     return j.withColumn("label_source", F.when(F.col("label_text") != "", LABEL_SOURCE_LABEL)
                         .otherwise(LABEL_SOURCE_NONE))

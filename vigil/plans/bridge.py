@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table_path
+from ..session import read_table
 
 # ---------------------------------------------------------------- reports ----
 # Report header: orders (+ customer as the patient).
@@ -55,14 +55,17 @@ DRUG_EXPRS = {
 }
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+FACT_TABLES = {"lineitem", "orders"}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return read_table(spark, sf_dir, name, *columns, fact=name in FACT_TABLES)
 
 
 def report_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header row per order: top-level report fields + patient fields."""
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    cust = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    cust = _read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     j = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
     return j.select(F.col("o_orderkey").alias("report_key"),
                     *[F.expr(e).alias(n) for n, e in HEADER_EXPRS.items()])
@@ -70,10 +73,10 @@ def report_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line with a unique in-report position key."""
-    li = _read(spark, sf_dir, "lineitem").select(
+    li = _read(spark, sf_dir, "lineitem", 
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    part = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
     return j.select(F.col("l_orderkey").alias("report_key"),
                     F.struct(*LINE_ORDER).alias("pos"),
@@ -104,8 +107,8 @@ PT_BASE, SOC_BASE, HLT_BASE, LLT_BASE = 10_000_000, 20_000_000, 30_000_000, 40_0
 
 def dictionary_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(names, levels, edges) sheets with explicit sheet positions."""
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    part = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    region = _read(spark, sf_dir, "region", "r_regionkey", "r_name")
     pts = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(
         (F.lit(PT_BASE) + F.col("k")).alias("term_id"), F.col("p_name").alias("name"))
     hlts = part.groupBy("p_type").agg(F.min("p_partkey").alias("k")).select(
@@ -162,7 +165,7 @@ def dictionary_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 # (length(name) + b) % 3 = 0.
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").select("p_brand", "p_name")
+    part = _read(spark, sf_dir, "part", "p_brand", "p_name")
     brands = part.select("p_brand").distinct().select(
         "p_brand", F.expr("CAST(substr(p_brand, 7) AS INT)").alias("b"))
     names = part.select("p_name").distinct()

@@ -115,7 +115,7 @@ def top_drugs(spark, sf):
 # ------------------------------------------------------------ dictionary ----
 from ..operators import coding as C  # noqa: E402
 from ..operators import dictionary as D  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_lineage, read_table  # noqa: E402
 
 
 def dict_sheets(spark, sf):
@@ -229,7 +229,9 @@ from ..operators import labels as L  # noqa: E402
 
 
 def label_cache(spark, sf) -> DataFrame:
-    return L.label_cascade(clean_reports(spark, sf), bridge.label_rows(spark, sf))
+    """One row per distinct drug; materialised so its size check and the
+    report join read it once."""
+    return cut_lineage(L.label_cascade(clean_reports(spark, sf), bridge.label_rows(spark, sf)))
 
 
 def labelled_reports(spark, sf) -> DataFrame:
@@ -274,7 +276,7 @@ def case_inputs(spark, sf) -> DataFrame:
     of re-reading and re-aggregating the source tables per branch."""
     clean = cut_lineage(clean_reports(spark, sf))
     coded = C.drop_unmatched(C.code_terms(clean, lookup_table(spark, sf), scorer="levenshtein"))
-    cache = L.label_cascade(clean, bridge.label_rows(spark, sf))
+    cache = cut_lineage(L.label_cascade(clean, bridge.label_rows(spark, sf)))
     lab = L.expectedness(L.join_labels(coded, cache))
     return CB.prompt_fields(lab)
 
@@ -338,7 +340,7 @@ def seriousness_rules(spark, sf):
 
 @query("short_input_gate")
 def short_input_gate(spark, sf):
-    conv = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     return conv.where(F.col("role") == "user").select(
         "conv_id", "turn", CB.short_input_gate("text").alias("reject_reason"))
 
@@ -389,7 +391,7 @@ def narrative_roundtrip(spark, sf):
 def narrative_pull(spark, sf):
     """T5 relational form over the conversations table: first user turn that
     holds a marker, per conversation ('' when none)."""
-    conv = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     hit = conv.where(F.col("role") == "user").select(
         "conv_id", "turn", CH.narrative_after_marker("text").alias("n"))
     first = hit.where(F.col("n").isNotNull()).groupBy("conv_id").agg(F.min_by("n", "turn").alias("n"))
@@ -416,7 +418,7 @@ def length_describe(spark, sf):
 
 @query("document_length_describe")
 def document_length_describe(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    docs = read_table(spark, sf, "documents", "text", fact=True)
     return P.describe_exact(docs.select(F.length("text").alias("n_chars")), "n_chars")
 
 
@@ -471,7 +473,7 @@ OUTPUT_FORMS = (
 
 
 def model_outputs(spark, sf) -> DataFrame:
-    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id", "props")
+    ev = read_table(spark, sf, "events", "event_id", "event_type", "user_id", "props", fact=True)
     return ev.withColumn("obj", F.expr(OUTPUT_OBJECT)).select("event_id", F.expr(OUTPUT_FORMS).alias("raw"))
 
 
@@ -546,8 +548,8 @@ def eval_pairs(spark, sf, mode: str = "base") -> DataFrame:
     """Predictions (model-output text rendered from rules over `documents`)
     paired by index with gold (from `labels`); records without gold or
     narrative are skipped before scoring."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    gold = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
+    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    gold = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
     x = docs.join(gold, "doc_id", "inner").where(utrim_(F.col("text")) != "")
     pr = PRED_RULES[mode]
     for k, e in pr.items():
@@ -627,7 +629,7 @@ def stream_ingest_dedup(spark, sf, n_slices: int = 8, overlap_share: float = 0.0
     re-delivers the first rows of the next one, like a resumed fetch); the
     file stream ingests them two files per micro-batch, unique by event_id."""
     base = scratch_dir(spark)
-    ev = spark.read.parquet(f"{sf}/events.parquet")
+    ev = read_table(spark, sf, "events", fact=True)
     span = ev.agg(F.max("event_id") + 1).scalar()
     slice_rows = F.greatest(F.ceil(span / n_slices), F.lit(1))
     s = F.floor(F.col("event_id") / slice_rows)

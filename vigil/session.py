@@ -66,3 +66,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than
+    the cluster can run at once (e.g. one large row group).  On a cluster
+    reading many files this is a no-op; it exists so CPU-heavy per-row work
+    after a single-split scan is not confined to one task."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, fact: bool = False) -> DataFrame:
+    """Parquet table with only the needed columns (pruned at the scan).  Fact
+    tables are spread across the cluster when the file offers too few splits;
+    small dimension tables are left alone (they are broadcast or tiny)."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if columns:
+        df = df.select(*columns)
+    return spread(df) if fact else df

@@ -110,3 +110,19 @@ def test_seriousness_rules(spark):
     got = df.select(lbl.alias("l"), crit.alias("c")).collect()
     assert got[0].l == "Serious" and got[0].c == ["Death", "Hospitalization"]
     assert got[1].l == "Non-serious" and got[1].c == []
+
+
+def test_batch_score_rows_and_errors(spark):
+    lookup = spark.createDataFrame([("nausea", 1, "Nausea", 10, "Nausea", 10, "GI", 20)],
+                                   "pt_key string, key_pos long, meddra_pt string, meddra_pt_code long, meddra_llt string, meddra_llt_code long, meddra_soc string, meddra_soc_code long")
+
+    def model(prompts, max_tokens, temperature):
+        return prompts.map(lambda p: "sorry" if "bad" in p else
+                           '<think>x</think>```json\n{"meddra_pt": "Nausea", "meddra_soc": "", "seriousness": "Serious"}\n```<|im_end|>')
+
+    nar = spark.createDataFrame([("a", "Patient had nausea and was hospitalised."), ("b", "bad case")],
+                                "line_id string, narrative string")
+    got = {r.line_id: r for r in CB.batch_score(nar, model, lookup).collect()}
+    assert got["a"].parse_ok and got["a"].meddra_pt_code == 10 and got["a"].meddra_soc == "GI"
+    assert got["a"]._narrative.startswith("Patient") and got["a"].error is None
+    assert not got["b"].parse_ok and got["b"].error == "JSON parse failed" and got["b"].raw_output == "sorry"

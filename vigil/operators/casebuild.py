@@ -286,3 +286,57 @@ def prompt_echo_generator(prompts: pd.Series, max_tokens: int, temperature: floa
                 f"for {fields.get('Indication', '')} developed {fields.get('Adverse event', '').lower()}; "
                 f"outcome {fields.get('Outcome', '').lower()}; action: {fields.get('Action', '')}")
     return prompts.map(one)
+
+
+# ---- L14: batch scoring of narratives (inference rows, D14) ----------------
+INFER_CALL = (600, 0.1)          # max new tokens, temperature (fixed values)
+PARSE_FAILED = "JSON parse failed"
+
+
+def batch_score(narratives: DataFrame, generator: Generator, lookup: DataFrame,
+                key: str = "line_id", text_col: str = "narrative") -> DataFrame:
+    """L14 + L16 + J4: narrative rows -> inference prompt (T17) -> generator
+    (Arrow batches) -> robust JSON extraction with end-marker strip (T2-T4)
+    -> dictionary codes attached (J4).  One row per narrative: the parsed
+    fields, codes, ``_narrative`` and metadata, or ``error`` +
+    ``raw_output`` when the output holds no JSON object."""
+    from ..functions import chat as CH
+    from ..functions import jsonx as JX
+    from .coding import attach_codes
+    x = narratives.select(key, F.col(text_col).alias("_narrative"), CH.infer_prompt(text_col).alias("prompt"))
+    g = generate_with(x, "prompt", "raw_output", generator, *INFER_CALL)
+    g = JX.with_json_robust(g, "raw_output", "parsed", strip_marker=True)
+    v = F.col("parsed")
+    rows = g.select(
+        key, "_narrative", "raw_output", F.col("raw_output_error").alias("generator_error"),
+        v.isNotNull().alias("parse_ok"),
+        JX.field(v, "seriousness").alias("seriousness"),
+        JX.field(v, "seriousness_criteria", "array<string>").alias("seriousness_criteria"),
+        JX.field(v, "meddra_pt").alias("meddra_pt"), JX.field(v, "meddra_soc").alias("meddra_soc"),
+        JX.field(v, "labelling_status").alias("labelling_status"),
+        JX.field(v, "labelling_evidence").alias("labelling_evidence"),
+        JX.field(v, "who_umc_category").alias("who_umc_category"),
+        run_metadata(F.lit(0.0), F.size(F.split("raw_output", r"\s+"))).alias("_meta"))
+    coded = attach_codes(rows, lookup)
+    return coded.select(
+        "*", F.when(~F.col("parse_ok"), F.lit(PARSE_FAILED)).alias("error"))
+
+
+def rule_model(prompts: pd.Series, max_tokens: int, temperature: float) -> pd.Series:
+    """Offline stand-in model for ``batch_score``: answers with a think block,
+    a JSON assessment built by keyword rules over the narrative, and the end
+    marker (the shapes real output takes).  A model client plugs in instead."""
+    import json
+    import re
+
+    def one(p: str) -> str:
+        narrative = p.split("Narrative: ", 1)[-1].rsplit("\n\nOutput:", 1)[0]
+        crit = [lbl for lbl, rx in SERIOUS_RULES if re.search(rx.replace("(?i)", ""), narrative, re.I)]
+        words = re.findall(r"[A-Za-z]{4,}", narrative)
+        obj = {"seriousness": "Serious" if crit else "Non-serious", "seriousness_criteria": crit,
+               "meddra_pt": (words[0].lower() if words else ""), "meddra_soc": "",
+               "labelling_status": "Unexpected", "labelling_evidence": "",
+               "who_umc_category": "Unassessable"}
+        body = json.dumps(obj, indent=2)
+        return f"<think>reviewing</think>\n{body}<|im_end|>" if len(narrative) % 7 else "No assessment possible."
+    return prompts.map(one)

@@ -667,3 +667,19 @@ def narrative_generate(spark, sf):
     x = x.select("id", CB.narrative_prompt(x).alias("prompt"))
     g = CB.generate_with(x, "prompt", "narrative_raw", CB.prompt_echo_generator, *CB.NARRATIVE_CALL)
     return g.select("id", F.col("narrative_raw").alias("narrative"), "narrative_raw_error")
+
+
+# ------------------------------------------------------ batch inference ----
+@query("batch_inference")
+def batch_inference(spark, sf):
+    """Every non-blank user turn of `conversations` scored as a
+    narrative through the generator path, parsed and coded."""
+    from ..functions.text import utrim
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    nar = conv.where(F.col("role") == "user").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("line_id"),
+        utrim("text").alias("narrative")).where(F.col("narrative") != "")
+    out = CB.batch_score(nar, CB.rule_model, lookup_table(spark, sf))
+    return out.select("line_id", "parse_ok", "error", "seriousness",
+                      F.array_join("seriousness_criteria", "|").alias("seriousness_criteria"),
+                      "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code", "_meta.raw_tokens")

@@ -109,10 +109,12 @@ def dictionary_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """(names, levels, edges) sheets with explicit sheet positions."""
     part = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     region = _read(spark, sf_dir, "region", "r_regionkey", "r_name")
-    pts = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(
-        (F.lit(PT_BASE) + F.col("k")).alias("term_id"), F.col("p_name").alias("name"))
-    hlts = part.groupBy("p_type").agg(F.min("p_partkey").alias("k")).select(
-        (F.lit(HLT_BASE) + F.col("k")).alias("term_id"), F.concat(F.lower("p_type"), F.lit(" conditions")).alias("name"))
+    # one aggregation per key, shared by the names, levels and edges sheets
+    by_name = part.groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("t"))
+    by_type = part.groupBy("p_type").agg(F.min("p_partkey").alias("hk"))
+    pts = by_name.select((F.lit(PT_BASE) + F.col("k")).alias("term_id"), F.col("p_name").alias("name"))
+    hlts = by_type.select((F.lit(HLT_BASE) + F.col("hk")).alias("term_id"),
+                          F.concat(F.lower("p_type"), F.lit(" conditions")).alias("name"))
     socs = region.select((F.lit(SOC_BASE) + F.col("r_regionkey")).alias("term_id"),
                          F.concat(F.lower("r_name"), F.lit(" disorders")).alias("name"))
     llts = part.select((F.lit(LLT_BASE) + F.col("p_partkey")).alias("term_id"),
@@ -137,9 +139,7 @@ def dictionary_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     #   PT: HLT at slot 1, primary SOC at slot 2, secondary SOC at slot 3 for
     #   even-length names; names with length % 7 = 0 list the secondary SOC
     #   first (slot 0); names with length % 11 = 0 have no SOC parent.
-    ptp = part.groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("t"))
-    htk = part.groupBy("p_type").agg(F.min("p_partkey").alias("hk"))
-    ptp = ptp.join(htk, ptp.t == htk.p_type, "left").select(
+    ptp = by_name.join(by_type, by_name.t == by_type.p_type, "left").select(
         (F.lit(PT_BASE) + F.col("k")).alias("child_id"), F.length("p_name").alias("len"),
         (F.lit(HLT_BASE) + F.col("hk")).alias("hlt_id"))
     e_hlt = ptp.select("child_id", F.col("hlt_id").alias("parent_id"), F.lit(1).alias("slot"))

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from ..operators.joins import checked_broadcast
 from ..operators.normalize import normalize_reports
 from ..schemas import RAW_PAGE
+from ..session import path_exists
 
 # JSON keeps microseconds only with an explicit pattern (the default writes ms).
 MICROS_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -28,9 +29,11 @@ JSON_TIME_OPTIONS = {"timestampFormat": MICROS_TS, "timestampNTZFormat": MICROS_
 
 def _existing_ids(spark: SparkSession, out_path: str, key: str, epoch: int) -> DataFrame | None:
     """Keys already written by earlier micro-batches (any filesystem)."""
+    if not path_exists(spark, out_path):
+        return None
     try:
         done = spark.read.parquet(out_path)
-    except AnalysisException:
+    except AnalysisException:          # folder exists but holds no data yet
         return None
     return done.where(F.col("epoch") != epoch).select(key)
 

@@ -67,10 +67,16 @@ def rates(cnt: DataFrame) -> DataFrame:
                       pct("all_fields_match", p).alias("all_fields_acc"))
 
 
-def running_totals(df: DataFrame, order_col: str, value_cols: list[str], block: int = 10_000) -> DataFrame:
+def running_totals(df: DataFrame, order_col: str, value_cols: list[str], block: int | None = None) -> DataFrame:
     """Cumulative sums in ``order_col`` order without one global window:
-    block totals (n / block rows) get prefix offsets, then each block runs
-    its own window.  ``order_col`` must be a non-negative integer."""
+    block totals get prefix offsets, then each block runs its own window.
+    The block size defaults to sqrt(max index) (at least 10,000), so both the
+    offset window (one row per block) and every block window hold about
+    sqrt(n) rows.  ``order_col`` must be a non-negative integer."""
+    if block is None:
+        import math
+        top = df.agg(F.max(order_col)).first()[0] or 0
+        block = max(10_000, math.isqrt(int(top) + 1) + 1)
     b = F.floor(F.col(order_col) / block)
     x = df.withColumn("_blk", b)
     tot = x.groupBy("_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])

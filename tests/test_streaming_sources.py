@@ -55,3 +55,21 @@ def test_text_lines_and_json_map(spark):
         json.dump({"nausea": {"meddra_pt": "Nausea", "meddra_pt_code": 1}}, f)
     r = SF.read_json_map(spark, m, "struct<meddra_pt:string,meddra_pt_code:bigint>", "pt_key").first()
     assert r.pt_key == "nausea" and r.meddra_pt_code == 1
+
+
+def test_sinks(spark):
+    import glob
+    from pyspark.sql import functions as F
+    base = tempfile.mkdtemp(prefix="vigil-test-")
+    df = spark.createDataFrame([("a", ["x", "≥"], "train"), ("b", [], "val")], "id string, c array<string>, split string")
+    SF.write_jsonl(df, os.path.join(base, "exact"), exact_bytes=True)
+    lines = sorted(open(f, encoding="utf-8").read().strip() for f in glob.glob(os.path.join(base, "exact", "split=*", "part-*")))
+    assert lines == [json.dumps({"id": "a", "c": ["x", "≥"]}), json.dumps({"id": "b", "c": []})]
+    SF.write_jsonl(df, os.path.join(base, "spark"))
+    back = spark.read.json(os.path.join(base, "spark"))
+    assert back.count() == 2 and set(back.columns) == {"id", "c", "split"}
+    m = spark.createDataFrame([(10, 9.5)], "total long, parse_rate double")
+    txt = SF.summary_text(m, "Base model").first().value
+    assert "EVALUATION RESULTS — Base model" in txt and "parse_rate" in txt and "9.5" in txt
+    both = SF.comparison_report(m, m)
+    assert sorted(r.mode for r in both.collect()) == ["base", "tuned"]

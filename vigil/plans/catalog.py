@@ -544,13 +544,15 @@ def _jv(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
 
 
-def eval_pairs(spark, sf, mode: str = "base") -> DataFrame:
+def eval_pairs(spark, sf, mode: str = "base", limit: int = 0) -> DataFrame:
     """Predictions (model-output text rendered from rules over `documents`)
     paired by index with gold (from `labels`); records without gold or
     narrative are skipped before scoring."""
     docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
     gold = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
     x = docs.join(gold, "doc_id", "inner").where(utrim_(F.col("text")) != "")
+    if limit:                       # V5: the first `limit` records by index (0 = all)
+        x = x.where(F.col("doc_id") < limit)
     pr = PRED_RULES[mode]
     for k, e in pr.items():
         x = x.withColumn(f"_p_{k}", F.expr(e))
@@ -683,3 +685,9 @@ def batch_inference(spark, sf):
     return out.select("line_id", "parse_ok", "error", "seriousness",
                       F.array_join("seriousness_criteria", "|").alias("seriousness_criteria"),
                       "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code", "_meta.raw_tokens")
+
+
+@query("narrative_qc")
+def narrative_qc(spark, sf):
+    """V8: narrative length, temporal markers and evidence presence."""
+    return Q.narrative_qc(generated_cases(spark, sf))

@@ -674,3 +674,9 @@ SELECT doc_id AS "index", {K.PRED_FORMS} AS raw_output FROM x ORDER BY doc_id LI
 
 
 ORACLE["eval_samples"] = _samples_sql()
+
+
+ORACLE["narrative_qc"] = with_cases(
+    """SELECT count(*) AS n, avg(length(narrative)) AS mean_len,
+      avg(CAST(regexp_matches(narrative, '(?i)\\b(after|following|days later|weeks? later|months? later)\\b') AS INTEGER)) AS share_temporal,
+      avg(CAST(coalesce(labelling_evidence, '') <> '' AS INTEGER)) AS share_evidence FROM cases""")

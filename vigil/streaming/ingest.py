@@ -72,7 +72,15 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
     if transform is not None:
         stream = transform(stream)
     if received_col:
-        stream = stream.withWatermark(received_col, watermark).dropDuplicatesWithinWatermark([key])
+        # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is cast in the session
+        # time zone (only ordering and the delay matter for the watermark)
+        wm = received_col
+        if stream.schema[received_col].dataType.typeName() == "timestamp_ntz":
+            wm = "_received_ts"
+            stream = stream.withColumn(wm, F.col(received_col).cast("timestamp"))
+        stream = stream.withWatermark(wm, watermark).dropDuplicatesWithinWatermark([key])
+        if wm != received_col:
+            stream = stream.drop(wm)
 
     def write(batch: DataFrame, epoch: int) -> None:
         idempotent_write(batch, out_path, key, epoch)

@@ -39,8 +39,8 @@ def object_end(text: Column) -> Column:
     String literals are first blanked to ``""`` by one JVM regex pass (this
     keeps every brace outside strings and the text's shape), then the depth
     scan visits one element per brace.  Because blanking shortens the text,
-    the result is an end position in the blanked text; ``object_rest`` gives
-    what follows it, which is all the strictness check needs."""
+    the result is an end position in the blanked text; ``_rest_is_blank``
+    checks what follows it there, which is all the strictness check needs."""
     blank = F.regexp_replace(text, JSON_STRING_RE, '""')
     return _brace_end(blank)
 

@@ -456,7 +456,7 @@ def top_socs(spark, sf):
 
 
 # ------------------------------------------------------- JSON extraction ----
-from ..functions.text import strip_think  # noqa: E402
+from ..functions.text import strip_think, utrim  # noqa: E402
 
 # model-output forms derived from events: plain, fenced, think-block with a
 # decoy, prose with two objects, unbalanced, brace inside a string
@@ -501,13 +501,9 @@ def think_strip(spark, sf):
     """T3 + T4: think blocks and the end marker removed."""
     from ..functions.text import strip_end_marker
     m = model_outputs(spark, sf).withColumn("raw", F.concat("raw", F.lit("<|im_end|>")))
-    return m.select("event_id", utrim_(strip_end_marker(strip_think(F.col("raw")))).alias("text"))
+    return m.select("event_id", utrim(strip_end_marker(strip_think(F.col("raw")))).alias("text"))
 
 
-def utrim_(c):
-    from ..functions.text import utrim
-    return utrim(c)
-
 
 # ------------------------------------------------------------- evaluation ----
 from ..operators import evaluate as EV  # noqa: E402
@@ -550,7 +546,7 @@ def eval_pairs(spark, sf, mode: str = "base", limit: int = 0) -> DataFrame:
     narrative are skipped before scoring."""
     docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
     gold = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
-    x = docs.join(gold, "doc_id", "inner").where(utrim_(F.col("text")) != "")
+    x = docs.join(gold, "doc_id", "inner").where(utrim(F.col("text")) != "")
     if limit:                       # V5: the first `limit` records by index (0 = all)
         x = x.where(F.col("doc_id") < limit)
     pr = PRED_RULES[mode]

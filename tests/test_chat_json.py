@@ -94,3 +94,17 @@ def test_extract_of_format_is_identity(spark, ev, crit):
                                                    JX.field(F.col("v"), "seriousness_criteria", "array<string>").alias("c")).first()
     if "{" not in ev and "}" not in ev:      # the reference's scan counts braces inside strings
         assert back.e == ev and back.c == crit
+
+
+def test_native_json_bytes_match_python(spark):
+    rows = [
+        ("Serious", [], "Rash", None, "", None, "Expected", 'He said "ok" \\ done', "Possible"),
+        ("Non-serious", ["Death", "Hospitalization"], "Pain", 1, "Soc", 2, "Unexpected", "plain", "Certain"),
+        ("Serious", ["Death"], "Dyspnoea ≥ 2", 3, "Resp", 4, None, "tab\there", "Unlikely"),
+    ]
+    df = spark.createDataFrame(rows, TARGET_DDL)
+    got = {r.meddra_pt: r.j for r in JX.with_target_json(df, "j").collect()}
+    keys = [f.split()[0] for f in TARGET_DDL.split(", ")]
+    for row in rows:
+        want = json.dumps(dict(zip(keys, [list(v) if isinstance(v, list) else v for v in row])), indent=2)
+        assert got[row[2]] == want

@@ -211,3 +211,53 @@ def with_json_tiers(df, src: str, out: str = "parsed"):
                                      _group_or_null(F.col("_jt"), GREEDY_RE)))
     df = _parse_staged(df, "_jg", "_j3")
     return df.withColumn(out, F.coalesce("_j1", "_j2", "_j3")).drop("_jt", "_jf", "_jg", "_j1", "_j2", "_j3")
+
+
+# ---- T8 native fast path ---------------------------------------------------
+# Python's ensure_ascii escapes every character outside ' '..'~'; inside that
+# range only backslash and double quote need escaping, which is native.
+_PRINTABLE_ASCII = r"^[ -~]*$"
+
+
+def _jstr(c: Column) -> Column:
+    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
+
+
+def _jnum(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def target_json_native(t: Column) -> Column:
+    """``json.dumps(target, indent=2)`` bytes for printable-ASCII values."""
+    crit = t["seriousness_criteria"]
+    arr = F.when(F.size(crit) == 0, F.lit("[]")).otherwise(F.concat(
+        F.lit("[\n    "), F.array_join(F.transform(crit, _jstr), ",\n    "), F.lit("\n  ]")))
+    parts = [F.lit('{\n  "seriousness": '), _jstr(t["seriousness"]),
+             F.lit(',\n  "seriousness_criteria": '), arr,
+             F.lit(',\n  "meddra_pt": '), _jstr(t["meddra_pt"]),
+             F.lit(',\n  "meddra_pt_code": '), _jnum(t["meddra_pt_code"]),
+             F.lit(',\n  "meddra_soc": '), _jstr(t["meddra_soc"]),
+             F.lit(',\n  "meddra_soc_code": '), _jnum(t["meddra_soc_code"]),
+             F.lit(',\n  "labelling_status": '), _jstr(t["labelling_status"]),
+             F.lit(',\n  "labelling_evidence": '), _jstr(t["labelling_evidence"]),
+             F.lit(',\n  "who_umc_category": '), _jstr(t["who_umc_category"]),
+             F.lit("\n}")]
+    return F.concat(*parts)
+
+
+def with_target_json(df, out: str = "assistant_json"):
+    """T7 + T8 over a materialised table: rows whose values are all printable
+    ASCII are rendered natively; only the others go through the Arrow UDF
+    (a Python UDF under CASE WHEN would still run on every row)."""
+    x = df.withColumn("_t", target_struct())
+    texts = [F.col(f"_t.{k}") for k in ("seriousness", "meddra_pt", "meddra_soc", "labelling_status",
+                                        "labelling_evidence", "who_umc_category")]
+    texts.append(F.array_join(F.col("_t.seriousness_criteria"), ""))
+    ok = F.lit(True)
+    for c in texts:
+        ok = ok & F.coalesce(c.rlike(_PRINTABLE_ASCII), F.lit(True))
+    x = x.withColumn("_ascii", ok)
+    native = x.where(F.col("_ascii")).withColumn(out, target_json_native(F.col("_t")))
+    python = x.where(~F.col("_ascii")).withColumn(out, target_json(F.col("_t")))
+    return native.unionByName(python).drop("_t", "_ascii")

@@ -355,8 +355,9 @@ def valid_cases(spark, sf) -> DataFrame:
 
 
 def chat_records(spark, sf) -> DataFrame:
-    v = valid_cases(spark, sf)
-    v = v.withColumn("assistant_json", JX.target_json(JX.target_struct()))
+    # the validated dataset is a stage output (materialised once): the JSON
+    # rendering reads it in two branches (native ASCII rows, Arrow for the rest)
+    v = JX.with_target_json(cut_lineage(valid_cases(spark, sf)), "assistant_json")
     return v.select("id", "narrative", "seriousness", "labelling_status",
                     CH.chat_messages("narrative", "assistant_json").alias("messages"))
 

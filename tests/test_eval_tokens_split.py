@@ -78,3 +78,26 @@ def test_split_balance(spark):
                                "id string, seriousness string, labelling_status string, split string")
     got = {r.split: r for r in Q.split_balance(df).collect()}
     assert got["train"].share_serious == 0.5 and got["val"].share_expected == 0.0
+
+
+def test_tokenize_plugged_tokenizer(spark):
+    df = spark.createDataFrame([("a", "x y z"), ("b", "")], "id string, text string")
+    tok = lambda texts: [[len(w) for w in t.split()] for t in texts]
+    got = {r.id: r for r in CH.tokenize(df, "text", tokenizer=tok, max_len=2).collect()}
+    assert got["a"].input_ids == [1, 1] and got["a"].attention_mask == [1, 1] and got["b"].input_ids == []
+
+
+def test_mask_boundary_in_batch_equals_jvm_search(spark):
+    seqs = {"a": [5, 1, 2, 7, 8], "b": [1, 2, 9, 1, 2, 3], "c": [5, 6, 7], "d": [1], "e": [9, 1],
+            "f": [300, 1, 2, 300], "g": []}
+    df = spark.createDataFrame([(k,) for k in seqs], "id string")
+    tok = lambda ids: [seqs[i] for i in ids]
+    t = CH.tokenize(df.withColumn("text", df.id), "text", tokenizer=tok, keep=["id"], response_template=[1, 2])
+    fast = {r.id: r.labels for r in CH.with_response_mask(t, "input_ids", [1, 2], "labels", until_col="mask_until").collect()}
+    slow = {r.id: r.labels for r in CH.with_response_mask(t, "input_ids", [1, 2], "labels").collect()}
+    assert fast == slow
+    assert fast["a"] == [-100, -100, -100, 7, 8] and fast["f"] == [-100, -100, -100, 300] and fast["g"] == []
+    bt = CH.tokenize(spark.createDataFrame([("x", "ab<|im_start|>assistant\nOK")], "id string, text string"),
+                     "text", response_template=CH.byte_tokenizer([CH.RESPONSE_TEMPLATE])[0])
+    r = CH.with_response_mask(bt, "input_ids", [], "labels", until_col="mask_until").first()
+    assert r.labels[-2:] == [ord("O"), ord("K")] and r.labels[:-2] == [-100] * (len(r.labels) - 2)

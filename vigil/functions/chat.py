@@ -121,31 +121,94 @@ def byte_tokenizer(texts: list[str]) -> list[list[int]]:
     return [list(t.encode("utf-8")) if t is not None else [] for t in texts]
 
 
+def _last_end(ids_bytes: bytes, tpl_bytes: bytes, width: int, n: int, t: int) -> int:
+    """Index just past the last occurrence of the template (n when absent);
+    ``width`` = bytes per id, matches must be id-aligned."""
+    if t == 0 or n < t:
+        return n
+    end = len(ids_bytes)
+    while True:
+        pos = ids_bytes.rfind(tpl_bytes, 0, end)
+        if pos < 0:
+            return n
+        if pos % width == 0:
+            return pos // width + t
+        end = pos + len(tpl_bytes) - 1
+
+
 def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int = MAX_SEQ_LENGTH,
-             keep: list[str] | None = None):
-    """Batched tokenisation in Arrow batches, truncated to ``max_len``;
-    the text column is dropped.  Adds ``input_ids`` and ``attention_mask``."""
-    import pandas as pd
+             keep: list[str] | None = None, response_template: list[int] | None = None):
+    """Batched tokenisation, truncated to ``max_len``; the text column is
+    dropped.  Adds ``input_ids`` and ``attention_mask``.
+
+    Runs as ``mapInArrow``: ids leave Python as one flat int32 buffer plus
+    offsets per batch (no per-row Python lists through pandas).  The default
+    byte tokenizer is vectorised (all texts of a batch encoded and viewed as
+    one byte buffer); any callable ``list[str] -> list[list[int]]`` plugs in.
+    With ``response_template`` it also adds ``mask_until`` (T13 boundary: just
+    past the last template occurrence, found by a C-level ``rfind`` in the
+    batch) for ``with_response_mask(..., until_col="mask_until")``."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
     keep = keep or [c for c in df.columns if c != text_col]
     ints = ArrayType(IntegerType())
+    extra = [StructField("mask_until", IntegerType())] if response_template is not None else []
     schema = StructType(list(df.select(*keep).schema.fields)
-                        + [StructField("input_ids", ints), StructField("attention_mask", ints)])
+                        + [StructField("input_ids", ints), StructField("attention_mask", ints)] + extra)
+    tpl = list(response_template or [])
+    byte_tpl = bytes(tpl) if tpl and all(0 <= v < 256 for v in tpl) else None
+    int_tpl = np.asarray(tpl, dtype=np.int32).tobytes()
 
     def run(batches):
-        for pdf in batches:
-            ids = [x[:max_len] for x in tokenizer(pdf[text_col].tolist())]
-            out = pdf[keep].copy()
-            out["input_ids"] = pd.Series(ids, dtype=object).values
-            out["attention_mask"] = pd.Series([[1] * len(x) for x in ids], dtype=object).values
-            yield out
-
-    return df.select(*keep, text_col).mapInPandas(run, schema)
+        for rb in batches:
+            texts = rb.column(text_col).to_pylist()
+            if tokenizer is byte_tokenizer:
+                enc = [(t or "").encode("utf-8")[:max_len] for t in texts]
+                lens = np.fromiter((len(e) for e in enc), dtype=np.int32, count=len(enc))
+                flat = np.frombuffer(b"".join(enc), dtype=np.uint8).astype(np.int32)
+                if response_template is not None:
+                    until = [(_last_end(e, byte_tpl, 1, len(e), len(tpl)) if byte_tpl is not None else len(e))
+                             for e in enc]
+            else:
+                ids = [x[:max_len] for x in tokenizer(texts)]
+                lens = np.fromiter((len(x) for x in ids), dtype=np.int32, count=len(ids))
+                flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(lens.sum()))
+                if response_template is not None:
+                    until = [_last_end(np.asarray(x, dtype=np.int32).tobytes(), int_tpl, 4, len(x), len(tpl))
+                             for x in ids]
+            offsets = np.zeros(len(lens) + 1, dtype=np.int32)
+            np.cumsum(lens, out=offsets[1:])
+            off = pa.array(offsets)
+            cols = [rb.column(c) for c in keep]
+            cols += [pa.ListArray.from_arrays(off, pa.array(flat, type=pa.int32())),
+                     pa.ListArray.from_arrays(off, pa.array(np.ones(len(flat), dtype=np.int32)))]
+            names = keep + ["input_ids", "attention_mask"]
+            if response_template is not None:
+                cols.append(pa.array(until, type=pa.int32()))
+                names.append("mask_until")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return df.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def with_response_mask(df, ids_col: str, template: list[int], out: str = "labels",
-                       attention_col: str | None = None):
-    """T13 as staged columns (each intermediate computed once per row)."""
+                       attention_col: str | None = None, until_col: str | None = None):
+    """T13 as staged columns (each intermediate computed once per row).
+    ``until_col`` = a boundary already found while tokenising; otherwise the
+    last template occurrence is searched in the JVM."""
+    if until_col is not None:
+        n = F.size(ids_col)
+        u = F.col(until_col)
+        lab = F.when(u >= n, F.array_repeat(F.lit(IGNORE_INDEX), n)).otherwise(F.concat(
+            F.array_repeat(F.lit(IGNORE_INDEX), u), F.slice(ids_col, u + 1, F.greatest(n - u, F.lit(1)))))
+        x = df.withColumn(out, lab)
+        if attention_col:
+            x = x.withColumn(out, F.zip_with(out, attention_col,
+                                             lambda v, m: F.when(m == 0, F.lit(IGNORE_INDEX)).otherwise(v)))
+        return x
     t = len(template)
     pat = "," + ",".join(str(v) for v in template) + ","
     x = df.withColumn("_mj", F.concat(F.lit(","), F.array_join(ids_col, ","), F.lit(",")))

@@ -649,9 +649,9 @@ def mask_labels(spark, sf):
     """T12 + T13 over the flat chat texts: byte-level ids truncated to 2,048,
     labels masked up to the last assistant-template occurrence."""
     flat = chat_flat_text(spark, sf)
-    tok = CH.tokenize(flat, "text")
     tpl = CH.byte_tokenizer([CH.RESPONSE_TEMPLATE])[0]
-    lab = CH.with_response_mask(tok, "input_ids", tpl, "labels")
+    tok = CH.tokenize(flat, "text", response_template=tpl)
+    lab = CH.with_response_mask(tok, "input_ids", tpl, "labels", until_col="mask_until")
     return lab.select("id", F.size("input_ids").alias("n_ids"),
                       (F.size("labels") - F.size(F.array_remove("labels", CH.IGNORE_INDEX))).alias("n_masked"),
                       F.size("labels").alias("n_labels"))

@@ -101,3 +101,10 @@ def test_mask_boundary_in_batch_equals_jvm_search(spark):
                      "text", response_template=CH.byte_tokenizer([CH.RESPONSE_TEMPLATE])[0])
     r = CH.with_response_mask(bt, "input_ids", [], "labels", until_col="mask_until").first()
     assert r.labels[-2:] == [ord("O"), ord("K")] and r.labels[:-2] == [-100] * (len(r.labels) - 2)
+
+
+def test_hash_split_is_per_row_and_stable(spark):
+    df = spark.range(0, 2000).select(F.col("id").cast("string").alias("id"))
+    a = {r.id: r.split for r in Q.hash_split(df).collect()}
+    b = {r.id: r.split for r in Q.hash_split(df.repartition(5)).collect()}
+    assert a == b and 0.85 < sum(v == "train" for v in a.values()) / 2000 < 0.95

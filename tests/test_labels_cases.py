@@ -126,3 +126,12 @@ def test_batch_score_rows_and_errors(spark):
     assert got["a"].parse_ok and got["a"].meddra_pt_code == 10 and got["a"].meddra_soc == "GI"
     assert got["a"]._narrative.startswith("Patient") and got["a"].error is None
     assert not got["b"].parse_ok and got["b"].error == "JSON parse failed" and got["b"].raw_output == "sorry"
+
+
+def test_display_fields(spark):
+    df = spark.createDataFrame([(["Death", "Hospitalization"], "Rash", 1, None, None), ([], None, None, "Skin", 2)],
+                               "seriousness_criteria array<string>, meddra_pt string, meddra_pt_code long, meddra_soc string, meddra_soc_code long")
+    got = CB.display_fields(df).collect()
+    assert got[0].criteria_display == "Death, Hospitalization" and got[0].pt_display == "Rash [1]"
+    assert got[0].soc_display == "— [—]"
+    assert got[1].criteria_display == "None" and got[1].pt_display == "— [—]" and got[1].soc_display == "Skin [2]"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, subword
-from .common import fold, read, ready
+from . import hostrules, pii, subword, warc
+from .common import drop_path, fold, read, ready, scratch, stored
 
 
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *hostrules.COUNTS, "base_failed", "host_failed", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    out = pii.find_and_sanitise(read(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"),
+                      "spans", "n_terms")
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> subword.Model:
     """Fitted on labelled rows outside fold 0 only."""
     labels = read(spark, sf_dir, "labels").filter((fold(F.col("doc_id")) != 0) & F.col("quality").isNotNull())
@@ -30,9 +37,27 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    path = scratch(spark, "archives")
+    out = stored(warc.through_archives(read(spark, sf_dir, "pages"), path), "warc-pages")
+    drop_path(spark, path)
+    return out
+
+
 QUERIES = {
     "op2_host_rules": op2_host_rules,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN original <> page_id THEN original END AS refers_to, true AS intact
+        FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000""",
+}

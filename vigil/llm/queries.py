@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, pii, subword, warc
+from . import hostrules, mixing, pii, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -15,6 +15,21 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *hostrules.COUNTS, "base_failed", "host_failed", "kept")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, each counted for its own source."""
+    name = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("~"))  # null last
+    rows = docs.select("doc_id", mixing.n_words(F.col("text").cast("string")).alias("size"), F.array(name).alias("of"))
+    out, target, size = mixing.mix(rows, "doc_id", "size", "of")
+    by = docs.sparkSession.createDataFrame([(s, size[s], float(target[s])) for s in size], "name string, source_size long, target double")
+    return (out.withColumn("name", F.col("of")[0]).join(F.broadcast(by), "name")
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return mixed(read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     out = pii.find_and_sanitise(read(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
@@ -47,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_host_rules": op2_host_rules,
+    "op4_mixing": op4_mixing,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op10_warc": op10_warc,

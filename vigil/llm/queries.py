@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, pii, subword, warc
+from . import hostrules, mixing, parity, pii, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -52,6 +52,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    out = parity.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     path = scratch(spark, "archives")
@@ -65,10 +71,47 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_parity_join": op9_parity_join,
     "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_host_rules": r"""
+        WITH w AS (
+            SELECT doc_id, source, coalesce(text, '') AS t,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+              FROM (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: ws[i:i + 7])) AS g FROM w)),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+        c AS (SELECT w.doc_id, w.source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                       - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                     coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+        f AS (SELECT *, [n_words < 20, 100 * n_repeat_words > 30 * n_words, 100 * n_symbols > 10 * n_words,
+                         word_chars < 2 * n_words OR word_chars > 12 * n_words, 100 * n_dup_lines > 30 * n_words] AS fails FROM c),
+        h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (fail) AS x
+              FROM (SELECT source, unnest(range(5)) AS rule, unnest(fails) AS fail FROM f WHERE source IS NOT NULL) GROUP BY source, rule),
+        m AS (SELECT rule, least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS p, avg(x / n) AS mean, avg((x / n) * (x / n)) AS square, avg(1 / n) AS inv
+              FROM h GROUP BY rule),
+        k AS (SELECT rule, p, greatest(square - mean * mean - p * (1 - p) * inv, 0) AS v FROM m),
+        q AS (SELECT rule, p, least(greatest(CASE WHEN v > 0 THEN p * (1 - p) / v - 1 ELSE 1000 END, 1), 1000) AS strength FROM k),
+        d AS (SELECT source, bool_or((x + p * strength) / (n + strength) > 0.5) AS host_failed FROM h JOIN q ON h.rule = q.rule GROUP BY source)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               (fails[1] OR fails[2]) AS base_failed, coalesce(host_failed, false) AS host_failed,
+               NOT (fails[1] OR fails[2]) AND NOT coalesce(host_failed, false) AS kept
+        FROM f LEFT JOIN d ON f.source = d.source""",
+    "op9_parity_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS o FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.o = l.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.o) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         m AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)

@@ -16,7 +16,7 @@ pairs that are left.  The rest are verified on their words.
 
 Equal sets are one set, of which the first line stays.  Copies with small
 changes never make all pairs: a line is first compared with single lines that
-share two or three of its rarest words, and what is found similar to an earlier line
+share some rare words, and what is found similar to an earlier line
 is done.  Only lines still open are joined with all earlier ones.
 
 Defined results
@@ -94,7 +94,15 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words:
     n = F.col("n")
     need = F.floor((num * n + (den - 1)) / den).cast("int")
     return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), n - need + 1).alias("prefix"),
-                         flip(0).alias("s0"), flip(1).alias("s1"))
+                         flip(0).alias("s0"), flip(1).alias("s1"), star_keys(n).alias("star"))
+
+
+def star_keys(n: Column) -> Column:
+    """Four hashes, each of two words that changes elsewhere in the line leave alone:
+    the smallest and the largest two of the rarer half, under two hashes."""
+    rare = F.slice("r", F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(3)))
+    orders = [F.sort_array(F.transform(rare, lambda x: F.xxhash64(x, F.lit(seed)))) for seed in (1, 2)]
+    return F.flatten(F.array(*(F.array(F.xxhash64(F.slice(o, 1, 2)), F.xxhash64(F.slice(o, -2, 2))) for o in orders)))
 
 
 def first_lines(sets: DataFrame) -> DataFrame:
@@ -103,48 +111,44 @@ def first_lines(sets: DataFrame) -> DataFrame:
     return sets.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
-def may_be_similar(x: str, y: str, num: int, den: int) -> Column:
-    """Length filter and signature distance of two lines with columns prefixed ``x`` and ``y``."""
-    c = lambda a, n: F.col(f"{a}{n}")
-    distance = F.bit_count(c(x, "s0").bitwiseXOR(c(y, "s0"))) + F.bit_count(c(x, "s1").bitwiseXOR(c(y, "s1")))
-    return ((den * F.least(c(x, "n"), c(y, "n")) >= num * F.greatest(c(x, "n"), c(y, "n")))
-            & ((den + num) * distance <= (den - num) * (c(x, "n") + c(y, "n"))))
-
-
-def earlier(y: str, x: str) -> Column:
-    yk, xk = F.col(f"{y}k"), F.col(f"{x}k")
-    return (yk < xk) | ((yk == xk) & (F.col(f"{y}l") < F.col(f"{x}l")))
+def may_be_similar(x: Column, y: Column, num: int, den: int) -> Column:
+    """Length filter and signature distance of two lines (structs of ``SIDE``)."""
+    distance = F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
+    return ((den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])) & ((den + num) * distance <= (den - num) * (x["n"] + y["n"])))
 
 
 SIDE = ("k", "l", "n", "s0", "s1")
-PAIR = [f"{a}{c}" for a in "xy" for c in SIDE]
+CENTERS = 4
 
 
 def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
-    """Each line with the first and with the last line before it that shares two of its three rarest words."""
-    p = lambda i: F.get("prefix", F.lit(i))
-    pairs = F.array_compact(F.array(*(F.when(p(j).isNotNull(), F.xxhash64(p(i), p(j))) for i, j in ((0, 1), (0, 2), (1, 2)))))
+    """Each line with the first few and the last few lines before it that share one of its star keys."""
     w = Window.partitionBy("key").orderBy("k", "l")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct(*SIDE)
-    rows = first.select(*SIDE, F.explode(pairs).alias("key")) \
-        .select(me.alias("x"), F.first(me).over(w).alias("first"), F.lag(me).over(w).alias("last")) \
-        .select("x", F.explode(F.array("first", "last")).alias("y"))
-    flat = rows.select(*(F.col(f"{a}.{c}").alias(f"{a}{c}") for a in "xy" for c in SIDE))
-    return flat.filter(earlier("y", "x") & may_be_similar("x", "y", num, den)).distinct()
+    rows = first.select(*SIDE, F.explode("star").alias("key")) \
+        .select(me.alias("x"), *(F.nth_value(me, i).over(whole).alias(f"first{i}") for i in range(1, CENTERS + 1)),
+                *(F.lag(me, i).over(w).alias(f"last{i}") for i in range(1, CENTERS + 1)))
+    near = F.array(*(f"{a}{i}" for a in ("first", "last") for i in range(1, CENTERS + 1)))
+    x = F.col("x")
+    before = lambda y: (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["l"] < x["l"]))
+    rows = rows.select("x", F.explode(F.array_distinct(F.filter(near, lambda y: y.isNotNull() & before(y) & may_be_similar(x, y, num, den)))).alias("y"))
+    return rows.select(*(F.col(f"{a}.{c}").alias(f"{a}{c}") for a in "xy" for c in SIDE)).distinct()
 
 
 def prefix_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
     """Each open line with the earlier lines that pass prefix, length and positional filter and signature.
 
     Both sides are one exchange: that a line is open is asked in the join, beside a column of the other side."""
-    posts = first.select(*SIDE, "open", F.posexplode("prefix").alias("pos", "tok"))
-    x, y = (posts.select("tok", *(F.col(c).alias(f"{a}{c}") for c in (*SIDE, "open", "pos"))) for a in "xy")
-    rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
-    enough = (num + den) * rest >= num * (F.col("xn") + F.col("yn"))
-    is_open = F.col("xopen") * F.col("yn") > 0
-    x, y = x.alias("x"), y.alias("y")
-    both = x.join(y, (F.col("x.tok") == F.col("y.tok")) & is_open & earlier("y", "x") & enough & may_be_similar("x", "y", num, den))
-    return both.select(*PAIR).distinct()
+    posts = first.select(F.struct(*SIDE, "open").alias("line"), F.posexplode("prefix").alias("pos", "tok"))
+    a, b = (posts.select(F.col("tok").alias(f"{n}tok"), F.col("line").alias(n), F.col("pos").alias(f"{n}pos")) for n in "xy")
+    x, y = F.col("x"), F.col("y")
+    rest = 1 + F.least(x["n"] - F.col("xpos") - 1, y["n"] - F.col("ypos") - 1)
+    enough = (num + den) * rest >= num * (x["n"] + y["n"])
+    is_open = x["open"] * y["n"] > 0
+    before = (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["l"] < x["l"]))
+    both = a.join(b, (F.col("xtok") == F.col("ytok")) & is_open & before & enough & may_be_similar(x, y, num, den))
+    return both.select(*(F.col(f"{a}.{c}").alias(f"{a}{c}") for a in "xy" for c in SIDE)).distinct()
 
 
 def bitmap(ids: DataFrame) -> Column:

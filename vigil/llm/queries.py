@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, mixing, parity, pii, subword, warc
+from . import hostrules, linededup, mixing, parity, pii, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -15,6 +15,18 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *hostrules.COUNTS, "base_failed", "host_failed", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number of lines and the numbers (from 0) of those that go."""
+    ready(spark)
+    docs = read(spark, sf_dir, "documents")
+    gone = linededup.removed_lines(docs, "doc_id", "text").groupBy("k").agg(F.sort_array(F.collect_set("l")).alias("gone"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    own = docs.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long").alias("n_lines"))
+    return own.join(gone, own["doc_id"] == gone["k"], "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document, each counted for its own source."""
     name = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("~"))  # null last
@@ -68,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_host_rules": op2_host_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
@@ -101,6 +114,20 @@ ORACLE: dict[str, str] = {
                (fails[1] OR fails[2]) AS base_failed, coalesce(host_failed, false) AS host_failed,
                NOT (fails[1] OR fails[2]) AND NOT coalesce(host_failed, false) AS kept
         FROM f LEFT JOIN d ON f.source = d.source""",
+    "op3_line_dedup": r"""
+        WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS l
+                   FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, l, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM a),
+        p AS (SELECT doc_id, l, w, dense_rank() OVER (ORDER BY w) AS s, row_number() OVER (PARTITION BY w ORDER BY doc_id, l) AS rn FROM w WHERE len(w) >= 5),
+        f AS (SELECT doc_id, l, s, len(w) AS n, w FROM p WHERE rn = 1),
+        t AS (SELECT doc_id, l, s, n, unnest(w) AS t FROM f),
+        g AS (SELECT DISTINCT x.s FROM (SELECT x.s, y.s AS o, x.n, y.n AS m, count(*) AS c FROM t x JOIN t y
+                  ON x.t = y.t AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND (y.doc_id, y.l) < (x.doc_id, x.l)
+                  GROUP BY x.s, y.s, x.n, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*))) x),
+        r AS (SELECT doc_id, l FROM p WHERE rn > 1 OR s IN (SELECT s FROM g)),
+        o AS (SELECT doc_id, count(*) AS n, string_agg(l::VARCHAR, ',' ORDER BY l) AS removed FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""",
     "op9_parity_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, linededup, mixing, parity, pii, subword, warc
+from . import hostrules, linededup, mixing, parity, pii, spm, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -42,6 +42,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents"))
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    """doc_id, ids of the sampled segmentation, their number, and whether they decode to the text."""
+    ready(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm.encode(docs, model, keep_text=False).withColumn("n_pieces", F.size("pieces").cast("long"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     out = pii.find_and_sanitise(read(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
@@ -82,6 +92,7 @@ QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_parity_join": op9_parity_join,

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, linededup, mixing, parity, pii, spm, subword, warc
+from . import hostrules, langid, linededup, mixing, parity, pii, spm, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from text and lang of documents outside fold 0."""
+    ready(spark)
+    docs = read(spark, sf_dir, "documents")
+    net = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
+    return langid.predict(docs, net).withColumn("held_out", fold(F.col("doc_id")) == 0)
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     out = hostrules.host_rules(read(spark, sf_dir, "documents"), "doc_id", "text", "source")
@@ -89,6 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_host_rules": op2_host_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, langid, linededup, mixing, parity, pii, spm, subword, warc
+from . import hostrules, langid, linededup, mixing, parity, pii, rpforest, spm, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -50,6 +50,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents"))
 
 
+def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are all rows whose id is divisible by 20, candidates all rows."""
+    ready(spark)
+    rows = read(spark, sf_dir, "embeddings")
+    return rpforest.search(rows.filter(F.col("vec_id") % 20 == 0), rows, k=20)
+
+
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -101,6 +108,7 @@ QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_rp_forest": op5_rp_forest,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,

@@ -151,7 +151,7 @@ def narrative_prompt(df: DataFrame) -> Column:
 def labelling_prompt() -> Column:
     """Labelling prompt, with or without label text."""
     with_label = render(LABELLING_PROMPT_WITH_LABEL, drug_name=F.col("drug_name"),
-                        reaction_pt=F.col("reaction_pt"), label_excerpt=F.col("label_text"))
+                        reaction_pt=F.col("reaction_pt"), label_excerpt=F.col("label_excerpt"))
     no_label = render(LABELLING_PROMPT_NO_LABEL, drug_name=F.col("drug_name"),
                       reaction_pt=F.col("reaction_pt"), indication=F.col("indication"))
     return F.when(F.col("label_text") != "", with_label).otherwise(no_label)

@@ -27,34 +27,37 @@ def _first_doc_per_key(labels: DataFrame) -> DataFrame:
     return labels.groupBy("key_type", "key").agg(F.min_by(doc, "pos").alias("doc"))
 
 
-def _excerpt() -> tuple[Column, Column]:
+def _section() -> tuple[Column, Column, Column]:
+    """The whole section text, its excerpt for prompts, and which section it is."""
     adr = F.col("doc.adverse_reactions")
     # `warnings` is read only when `warnings_and_cautions` is absent (null)
     warn = F.coalesce(F.col("doc.warnings_and_cautions"), F.col("doc.warnings"))
     adr_n = F.coalesce(F.size(adr), F.lit(0))
     warn_n = F.coalesce(F.size(warn), F.lit(0))
-    text = (F.when(adr_n > 0, F.substring(F.get(adr, 0), 1, ADR_CHARS))
-            .when(warn_n > 0, F.substring(F.get(warn, 0), 1, WARN_CHARS)))
+    text = F.when(adr_n > 0, F.get(adr, 0)).when(warn_n > 0, F.get(warn, 0))
+    excerpt = F.when(adr_n > 0, F.substring(F.get(adr, 0), 1, ADR_CHARS)).when(warn_n > 0, F.substring(F.get(warn, 0), 1, WARN_CHARS))
     section = F.when(adr_n > 0, "adverse_reactions").when(warn_n > 0, "warnings")
-    return text, section
+    return text, excerpt, section
 
 
 def label_cascade(drugs: DataFrame, labels: DataFrame, drug_col: str = "drug_name") -> DataFrame:
     """J6 + J7: one row per distinct drug with the label text of the first
     search (brand, generic, substance) whose first document has adverse
-    reactions or warnings; '' when none does."""
+    reactions or warnings; '' when none does.  ``label_text`` is the whole
+    section; ``label_excerpt`` is its beginning, for prompts only."""
     d = drugs.select(F.col(drug_col).alias("drug_name")).distinct()
     first = _first_doc_per_key(labels.where(F.col("key_type").isin(*SEARCH_ORDER)))
-    text, section = _excerpt()
+    text, excerpt, section = _section()
     prio = F.coalesce(*[F.when(F.col("key_type") == k, F.lit(v)) for k, v in SEARCH_ORDER.items()])
     hits = (first.select(F.col("key").alias("drug_name"), prio.alias("prio"),
-                         text.alias("label_text"), section.alias("label_section"), "key_type")
+                         text.alias("label_text"), excerpt.alias("label_excerpt"), section.alias("label_section"), "key_type")
             .where(F.col("label_text").isNotNull()))
     best = hits.groupBy("drug_name").agg(
-        F.min_by(F.struct("label_text", "label_section", "key_type"), "prio").alias("b"))
+        F.min_by(F.struct("label_text", "label_excerpt", "label_section", "key_type"), "prio").alias("b"))
     return (d.join(best, "drug_name", "left")
              .select("drug_name",
                      F.coalesce(F.col("b.label_text"), F.lit("")).alias("label_text"),
+                     F.coalesce(F.col("b.label_excerpt"), F.lit("")).alias("label_excerpt"),
                      F.col("b.label_section").alias("label_section"),
                      F.col("b.key_type").alias("label_key_type")))
 
@@ -63,20 +66,21 @@ def join_labels(reports: DataFrame, label_cache: DataFrame, drug_col: str = "dru
     """J5 + L1: exact drug-name key (no case folding); '' on a miss.  The
     cache has one row per distinct drug; it is broadcast when its measured
     size allows, so a drug named in a third of all reports is no hot key."""
-    lc = checked_broadcast(label_cache.select(F.col("drug_name").alias(drug_col), "label_text"))
-    j = reports.join(lc, drug_col, "left").withColumn("label_text", F.coalesce("label_text", F.lit("")))
+    lc = checked_broadcast(label_cache.select(F.col("drug_name").alias(drug_col), "label_text", "label_excerpt"))
+    j = reports.join(lc, drug_col, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("label_text", "label_excerpt")})
     return j.withColumn("label_source", F.when(F.col("label_text") != "", LABEL_SOURCE_LABEL)
                         .otherwise(LABEL_SOURCE_NONE))
 
 
 def sentences(c) -> Column:
-    """Split text after '.', '!' or '?' followed by whitespace."""
-    return F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\n"), "\n")
+    """Split text after '.', '!' or '?' followed by whitespace; line breaks inside a sentence are blanks."""
+    return F.split(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"([.!?]) ", "$1\n"), "\n")
 
 
 def mention_pattern(term: Column) -> Column:
-    """Regex: the lower-cased term as a whole phrase (not inside a longer word)."""
-    return F.concat(F.lit(r"(^|\W)\Q"), F.lower(term), F.lit(r"\E($|\W)"))
+    """Regex: the lower-cased term as a whole phrase (not inside a longer word, in any script)."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    return F.concat(F.lit(rf"(^|{edge})\Q"), F.lower(term), F.lit(rf"\E($|{edge})"))
 
 
 def expectedness(df: DataFrame, pt_col: str = "reaction_pt", label_col: str = "label_text") -> DataFrame:
@@ -87,7 +91,7 @@ def expectedness(df: DataFrame, pt_col: str = "reaction_pt", label_col: str = "l
     pattern = mention_pattern(F.col(pt_col))
     label = F.col(label_col)
     has_label = F.coalesce(label, F.lit("")) != ""
-    found = has_label & F.regexp_like(F.lower(label), pattern)
+    found = has_label & F.regexp_like(F.lower(F.regexp_replace(label, r"\s+", " ")), pattern)
     evidence_sentence = F.get(F.filter(sentences(label), lambda s: F.regexp_like(F.lower(s), pattern)), 0)
     status = F.when(found, "Expected").when(has_label, "Unexpected")
     evidence = (F.when(found, evidence_sentence)

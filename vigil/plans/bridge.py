@@ -158,11 +158,13 @@ def dictionary_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 # ----------------------------------------------------------------- labels ----
 # Label documents keyed by brand number b (from 'Brand#b'):
-#   b % 4 = 0: no label; 1: brand key with adverse-reaction text;
+#   b % 8 = 0: substance key only; 4: no label; b % 4 = 1: brand key with adverse-reaction text;
 #   2: generic key only; 3: brand row with warnings only + generic row with
 #   adverse-reaction text (the brand hit must win: cascade order).
 # Adverse text = sentences naming every distinct part name with
-# (length(name) + b) % 3 = 0.
+# (length(name) + b) % 3 = 0.  For b % 8 = 5 they stand behind more text than a
+# prompt excerpt holds, for b % 8 = 1 with line breaks inside the sentences.
+LONG_LEAD = "Problème général : voir la notice. " * 80
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part", "p_brand", "p_name")
@@ -178,7 +180,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                .agg(F.array_join(F.array_sort(F.collect_list(F.concat(
                    F.lit("Reports of "), F.lower("p_name"), F.lit(" were observed in clinical trials.")))),
                    " ").alias("adr")))
-    b = mention
+    b = mention.withColumn("adr", F.when(F.col("b") % 8 == 5, F.concat(F.lit(LONG_LEAD), "adr"))
+                           .when(F.col("b") % 8 == 1, F.replace("adr", F.lit(" were "), F.lit("\nwere "))).otherwise(F.col("adr")))
     adr_arr = F.array(F.col("adr"))
     warn_arr = F.array(F.concat(F.lit("Use caution when prescribing "), F.col("p_brand"), F.lit(".")))
     empty = F.array().cast("array<string>")
@@ -194,8 +197,12 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("brand").alias("key_type"), F.col("p_brand").alias("key"),
         empty.alias("adverse_reactions"), warn_arr.alias("warnings_and_cautions"),
         F.lit(None).cast("array<string>").alias("warnings"), (F.col("b") * 10 + 2).alias("pos"))
+    substance = b.where(F.col("b") % 8 == 0).select(
+        F.lit("substance").alias("key_type"), F.col("p_brand").alias("key"),
+        adr_arr.alias("adverse_reactions"), empty.alias("warnings_and_cautions"),
+        F.lit(None).cast("array<string>").alias("warnings"), (F.col("b") * 10 + 4).alias("pos"))
     generic_adr = b.where(F.col("b") % 4 == 3).select(
         F.lit("generic").alias("key_type"), F.col("p_brand").alias("key"),
         adr_arr.alias("adverse_reactions"), empty.alias("warnings_and_cautions"),
         F.lit(None).cast("array<string>").alias("warnings"), (F.col("b") * 10 + 3).alias("pos"))
-    return brand_adr.unionByName(generic_only).unionByName(brand_warn).unionByName(generic_adr)
+    return brand_adr.unionByName(generic_only).unionByName(brand_warn).unionByName(generic_adr).unionByName(substance)

@@ -246,27 +246,34 @@ FROM pred p LEFT JOIN lookup k ON k.pt_key = lower(coalesce(p.meddra_pt, ''))"""
 LABEL_CTE = """
 brands AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7) AS INTEGER) AS b FROM part),
 bnames AS (SELECT DISTINCT p_name FROM part),
-mention AS (
+mention0 AS (
   SELECT br.p_brand, br.b,
     string_agg('Reports of ' || lower(n.p_name) || ' were observed in clinical trials.', ' '
                ORDER BY 'Reports of ' || lower(n.p_name) || ' were observed in clinical trials.') AS adr
   FROM brands br JOIN bnames n ON length(n.p_name) % 3 = (3 - br.b % 3) % 3
   GROUP BY 1, 2),
+mention AS (
+  SELECT p_brand, b, CASE WHEN b % 8 = 5 THEN repeat('Problème général : voir la notice. ', 80) || adr
+                          WHEN b % 8 = 1 THEN replace(adr, ' were ', chr(10) || 'were ') ELSE adr END AS adr FROM mention0),
 lrows AS (
   SELECT 'brand' AS key_type, p_brand AS key, [adr] AS adverse_reactions, []::VARCHAR[] AS warnings_and_cautions,
          NULL::VARCHAR[] AS warnings, b * 10 AS pos FROM mention WHERE b % 4 = 1
   UNION ALL SELECT 'generic', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 1 FROM mention WHERE b % 4 = 2
   UNION ALL SELECT 'brand', p_brand, []::VARCHAR[], ['Use caution when prescribing ' || p_brand || '.'],
          NULL::VARCHAR[], b * 10 + 2 FROM mention WHERE b % 4 = 3
-  UNION ALL SELECT 'generic', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 3 FROM mention WHERE b % 4 = 3),
+  UNION ALL SELECT 'generic', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 3 FROM mention WHERE b % 4 = 3
+  UNION ALL SELECT 'substance', p_brand, [adr], []::VARCHAR[], NULL::VARCHAR[], b * 10 + 4 FROM mention WHERE b % 8 = 0),
 firstdoc AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_type, key ORDER BY pos) AS rn FROM lrows) WHERE rn = 1),
 hits AS (
   SELECT key AS drug_name, key_type,
     CASE key_type WHEN 'brand' THEN 0 WHEN 'generic' THEN 1 WHEN 'substance' THEN 2 END AS prio,
+    CASE WHEN len(coalesce(adverse_reactions, [])) > 0 THEN adverse_reactions[1]
+         WHEN len(coalesce(coalesce(warnings_and_cautions, warnings), [])) > 0
+           THEN coalesce(warnings_and_cautions, warnings)[1] END AS label_text,
     CASE WHEN len(coalesce(adverse_reactions, [])) > 0 THEN substr(adverse_reactions[1], 1, 2500)
          WHEN len(coalesce(coalesce(warnings_and_cautions, warnings), [])) > 0
-           THEN substr(coalesce(warnings_and_cautions, warnings)[1], 1, 1500) END AS label_text,
+           THEN substr(coalesce(warnings_and_cautions, warnings)[1], 1, 1500) END AS label_excerpt,
     CASE WHEN len(coalesce(adverse_reactions, [])) > 0 THEN 'adverse_reactions'
          WHEN len(coalesce(coalesce(warnings_and_cautions, warnings), [])) > 0 THEN 'warnings' END AS label_section
   FROM firstdoc),
@@ -275,21 +282,22 @@ besthit AS (
                  WHERE label_text IS NOT NULL) WHERE rn = 1),
 drugs AS (SELECT DISTINCT drug_name FROM clean),
 label_cache AS (
-  SELECT d.drug_name, coalesce(h.label_text, '') AS label_text, h.label_section, h.key_type AS label_key_type
+  SELECT d.drug_name, coalesce(h.label_text, '') AS label_text,
+    coalesce(h.label_excerpt, '') AS label_excerpt, h.label_section, h.key_type AS label_key_type
   FROM drugs d LEFT JOIN besthit h ON h.drug_name = d.drug_name)
 """
 
-_PAT = "'(^|\\W)\\Q' || lower({pt}) || '\\E($|\\W)'"
+_PAT = "'(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])\\Q' || lower({pt}) || '\\E($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'"
 
 
 def expected_cols(src: str, pt: str = "reaction_pt") -> str:
     pat = _PAT.format(pt=pt)
     return f"""
   SELECT {src}.*,
-    CASE WHEN label_text <> '' AND regexp_matches(lower(label_text), {pat}) THEN 'Expected'
+    CASE WHEN label_text <> '' AND regexp_matches(lower(regexp_replace(label_text, '\\s+', ' ', 'g')), {pat}) THEN 'Expected'
          WHEN label_text <> '' THEN 'Unexpected' END AS labelling_status,
-    CASE WHEN label_text <> '' AND regexp_matches(lower(label_text), {pat})
-           THEN list_filter(string_split(regexp_replace(label_text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)),
+    CASE WHEN label_text <> '' AND regexp_matches(lower(regexp_replace(label_text, '\\s+', ' ', 'g')), {pat})
+           THEN list_filter(string_split(regexp_replace(regexp_replace(label_text, '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)),
                             lambda s: regexp_matches(lower(s), {pat}))[1]
          WHEN label_text <> '' THEN '''' || {pt} || ''' is not mentioned in the label text.'
          ELSE '' END AS labelling_evidence,
@@ -299,7 +307,7 @@ def expected_cols(src: str, pt: str = "reaction_pt") -> str:
 
 LABELLED_CTE = """
 , labelled0 AS (
-  SELECT c.*, coalesce(lc.label_text, '') AS label_text,
+  SELECT c.*, coalesce(lc.label_text, '') AS label_text, coalesce(lc.label_excerpt, '') AS label_excerpt,
     CASE WHEN coalesce(lc.label_text, '') <> '' THEN 'fda_label' ELSE 'llm_knowledge' END AS label_source
   FROM clean c LEFT JOIN label_cache lc ON lc.drug_name = c.drug_name),
 labelled AS (""" + expected_cols("labelled0") + ")"
@@ -359,7 +367,7 @@ def _narrative_prompt_sql() -> str:
 def _labelling_prompt_sql() -> str:
     from ..operators import casebuild as CBm
     w = sql_render(CBm.LABELLING_PROMPT_WITH_LABEL, drug_name="drug_name", reaction_pt="reaction_pt",
-                   label_excerpt="label_text")
+                   label_excerpt="label_excerpt")
     n = sql_render(CBm.LABELLING_PROMPT_NO_LABEL, drug_name="drug_name", reaction_pt="reaction_pt",
                    indication="indication")
     return f"CASE WHEN label_text <> '' THEN {w} ELSE {n} END"
@@ -391,7 +399,7 @@ CASES_CTE = _CODED + _FUZZY + """
   LEFT JOIN best b ON b.term = lower(c.reaction_pt) AND b.score >= 80
   JOIN lookup k ON k.pt_key = coalesce((SELECT pt_key FROM lookup WHERE pt_key = lower(c.reaction_pt)), b.pt_key)),
 case_in0 AS (
-  SELECT c.*, coalesce(lc.label_text, '') AS label_text,
+  SELECT c.*, coalesce(lc.label_text, '') AS label_text, coalesce(lc.label_excerpt, '') AS label_excerpt,
     CASE WHEN coalesce(lc.label_text, '') <> '' THEN 'fda_label' ELSE 'llm_knowledge' END AS label_source
   FROM coded2 c LEFT JOIN label_cache lc ON lc.drug_name = c.drug_name),
 case_in1 AS (""" + expected_cols("case_in0") + f"""),

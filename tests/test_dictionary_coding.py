@@ -1,9 +1,5 @@
 """Dictionary (F4) and term matching."""
-import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
-from vigil.functions import similarity as S
 from vigil.operators import coding as C
 from vigil.operators import dictionary as D
 
@@ -58,7 +54,7 @@ def test_exact_fuzzy_attach(spark):
 
 def test_fuzzy_ties_lowest_position(spark):
     keys = spark.createDataFrame([("abcx", 5), ("abcy", 2), ("abcz", 9)], "pt_key string, key_pos long")
-    best = C.fuzzy_best(spark.createDataFrame([("abcd",)], "term string"), keys, "levenshtein", block_rows=1).first()
+    best = C.fuzzy_best(spark.createDataFrame([("abcd",)], "term string"), keys, "levenshtein", threshold=75).first()
     assert best.pt_key == "abcy" and best.score == 75.0
 
 
@@ -72,15 +68,17 @@ def _lev(a, b):
     return prev[-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=12), st.lists(st.text(max_size=12), min_size=1, max_size=6))
-def test_vectorised_levenshtein_matches_brute_force(q, cands):
-    arr, lens = S.encode(cands)
-    assert list(S.levenshtein(q, arr, lens)) == [_lev(q, c) for c in cands]
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.text(min_size=1, max_size=15))
-def test_equal_strings_score_100(s):
-    assert S.weighted_score(s, [s])[0] == 100.0
-    assert S.lev_score(s, [s])[0] == 100.0
+def test_similar_keys_match_brute_force(spark):
+    import random
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé ") for _ in range(r.randint(0, 14)))
+    keys = sorted({word() for _ in range(60)})
+    near = [k[:i] + r.choice(["", "x", k[i:i + 1]]) + k[i + 1:] for k in keys for i in (r.randrange(len(k) + 1),)]
+    terms = sorted({word() for _ in range(60)} | set(near))
+    t = spark.createDataFrame([(x, x) for x in terms], "term string, t string")
+    k = spark.createDataFrame([(x, i, x) for i, x in enumerate(keys)], "pt_key string, key_pos long, k string")
+    for threshold in (60, 80):
+        got = {(x.term, x.pt_key): x.score for x in C.similar_keys(t, k, threshold).collect()}
+        want = {(a, b): 100 * (n - _lev(a, b)) / n for a in terms for b in keys
+                if a and b and (n := max(len(a), len(b))) and 100 * (n - _lev(a, b)) >= threshold * n}
+        assert got == want

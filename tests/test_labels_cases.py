@@ -20,7 +20,7 @@ def test_label_cascade(spark):
     labels = spark.createDataFrame(rows, LBL)
     drugs = spark.createDataFrame([(d,) for d in "ABCDEFG"], "drug_name string")
     got = {r.drug_name: r for r in L.label_cascade(drugs, labels).collect()}
-    assert len(got["A"].label_text) == 2500
+    assert len(got["A"].label_text) == 3000 and len(got["A"].label_excerpt) == 2500
     assert got["B"].label_text == "warn B" and got["B"].label_key_type == "brand"
     assert got["C"].label_text == "adr C"
     assert got["D"].label_text == "adr D"     # warnings_and_cautions present but empty: next search
@@ -72,7 +72,7 @@ def test_strip_echo_and_short_gate(spark):
     from vigil.functions.text import strip_echo
     assert [r.s for r in df.select(strip_echo("t").alias("s")).collect()] == ["Text here", "Plain"]
     g = spark.createDataFrame([("   ",), ("short",), ("x" * 60,)], "t string").select(CB.short_input_gate("t").alias("r"))
-    assert [r.r for r in g.collect()] == ["Please enter a clinical narrative.", "Narrative is too short.", None]
+    assert [r.r for r in g.collect()] == ["Please enter a clinical narrative.", CB.SHORT_NARRATIVE, None]
 
 
 def test_validation_first_rule_wins(spark):
@@ -104,6 +104,26 @@ def test_generator_isolates_failures(spark):
     assert out["b"].text is None and "server down" in out["b"].text_error
 
 
+def test_generator_keeps_good_records_of_a_failing_batch(spark):
+    df = spark.createDataFrame([(f"p{i}",) for i in range(20)], "prompt string").coalesce(1)
+
+    def flaky(prompts, max_tokens, temperature):
+        if (prompts == "p7").any():
+            raise RuntimeError("server down")
+        return prompts.str.upper()
+
+    out = {r.prompt: r for r in CB.generate_with(df, "prompt", "text", flaky, 10, 0.1).collect()}
+    assert sum(r.text is None for r in out.values()) == 1 and "server down" in out["p7"].text_error and out["p8"].text == "P8"
+
+
+def test_expectedness_reads_the_whole_label(spark):
+    rows = [("nausea", "x " * 1400 + "Nausea was seen."), ("me", "Un problème grave."), ("vomiting", "Patients had severe\nnausea and\nvomiting. Rest."), ("rash", "")]
+    got = {r.reaction_pt: r for r in L.expectedness(spark.createDataFrame(rows, "reaction_pt string, label_text string")).collect()}
+    assert got["nausea"].labelling_status == "Expected" and got["me"].labelling_status == "Unexpected"
+    assert got["vomiting"].labelling_evidence == "Patients had severe nausea and vomiting."
+    assert got["rash"].labelling_status is None and got["rash"].needs_review
+
+
 def test_seriousness_rules(spark):
     df = spark.createDataFrame([("The patient died after being hospitalised.",), ("Mild rash.",)], "t string")
     lbl, crit = CB.seriousness_from_text("t")

@@ -3,6 +3,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from vigil.operators import normalize as N
 from vigil.sources import files as SF
 from vigil.sources import reports as SR
@@ -30,18 +32,31 @@ def test_stream_equals_batch(spark):
         with open(os.path.join(land, f"page-{k * 100:09d}.json"), "w") as f:
             json.dump(_page(p), f)
     W.ingest_report_pages(spark, land, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files_per_trigger=1)
-    streamed = spark.read.parquet(os.path.join(base, "out")).drop("epoch")
+    streamed = W.read_output(spark, os.path.join(base, "out"))
     batch = N.normalize_reports(SR.read_pages(spark, land).drop("_page", "_pos"))
     assert streamed.count() == 10
     key = lambda df: sorted(tuple(str(x) for x in r) for r in df.select(*N.CLEAN_COLUMNS).collect())
     assert key(streamed) == key(batch)
     # re-running the stream (same checkpoint) adds nothing
     W.ingest_report_pages(spark, land, os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    assert spark.read.parquet(os.path.join(base, "out")).count() == 10
+    assert W.read_output(spark, os.path.join(base, "out")).count() == 10
+    # a new checkpoint over the old output starts at epoch 0 again, and loses and doubles nothing
+    with open(os.path.join(land, "page-000000900.json"), "w") as f:
+        json.dump(_page([_report(i) for i in (9, 77, 78)]), f)
+    W.ingest_report_pages(spark, land, os.path.join(base, "out"), os.path.join(base, "ckpt2"))
+    assert W.read_output(spark, os.path.join(base, "out")).count() == 12
+    os.remove(os.path.join(land, "page-000000900.json"))
     # the paged data source reads the same reports
     SR.register(spark)
     ds = spark.read.format("report_pages").option("dir", land).option("total", 300).option("limit", 100).load()
     assert ds.count() == 12 and N.normalize_reports(ds).count() == 10
+    # a missing page, or one without reports, is an error and not a loss
+    with pytest.raises(Exception, match="page-000000300"):
+        spark.read.format("report_pages").option("dir", land).option("total", 400).option("limit", 100).load().count()
+    with open(os.path.join(land, "page-000000300.json"), "w") as f:
+        f.write('{"error": "server"}')
+    with pytest.raises(Exception, match="no report array"):
+        SR.read_pages(spark, land).count()
 
 
 def test_text_lines_and_json_map(spark):

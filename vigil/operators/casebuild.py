@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_map, strip_echo
+from ..functions.text import code_map, strip_echo, utrim
 
 # ---- fixed values (must equal the reference's) ----------------------------------
 # Action taken with the drug, by dechallenge code; '' = omitted.
@@ -183,7 +183,7 @@ def generate_with(df: DataFrame, prompt_col: str, out_col: str, generator: Gener
                   max_tokens: int, temperature: float, parallelism: int | None = None) -> DataFrame:
     """Run a pluggable text generator over a table in Arrow batches.
     ``generator(prompts, max_tokens, temperature) -> texts``; a failing batch
-    marks its rows with ``<out_col>_error`` and keeps going.  Parallelism =
+    is tried again record by record; records that fail have ``<out_col>_error``.  Parallelism =
     number of partitions (``repartition`` sets the in-flight request count)."""
     if parallelism:
         df = df.repartition(parallelism)
@@ -196,11 +196,18 @@ def generate_with(df: DataFrame, prompt_col: str, out_col: str, generator: Gener
             try:
                 pdf[out_col] = generator(pdf[prompt_col], max_tokens, temperature).astype(object)
                 pdf[out_col + "_error"] = None
-            except Exception as e:  # noqa: BLE001 - per-batch isolation
-                pdf[out_col] = None
-                pdf[out_col + "_error"] = f"{type(e).__name__}: {e}"
+            except Exception:  # noqa: BLE001 - one bad record must not take its batch along
+                one = [alone(pdf[prompt_col].iloc[i:i + 1]) for i in range(len(pdf))]
+                pdf[out_col] = pd.Series([t for t, _ in one], index=pdf.index, dtype=object)
+                pdf[out_col + "_error"] = pd.Series([e for _, e in one], index=pdf.index, dtype=object)
             yield pdf
 
+    def alone(prompt: pd.Series) -> tuple[str | None, str | None]:
+        try:
+            return generator(prompt, max_tokens, temperature).iloc[0], None
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
+
     return df.mapInPandas(run, schema)
 
 
@@ -232,11 +239,16 @@ def pending(todo: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
+# Fixed value: the message for a narrative under the limit.
+SHORT_NARRATIVE = ("Narrative is too short. Please provide a complete clinical case description "
+                   "(patient demographics, drug, adverse event, outcome).")
+
+
 def short_input_gate(c, min_chars: int = 60) -> Column:
     """Reason a narrative is refused before scoring (null = accepted)."""
-    t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s+|\s+$", "")
+    t = utrim(c)
     return (F.when(t == "", "Please enter a clinical narrative.")
-            .when(F.length(t) < min_chars, "Narrative is too short."))
+            .when(F.length(t) < min_chars, SHORT_NARRATIVE))
 
 
 # Seriousness from narrative text (keyword rules, criteria in fixed order)
@@ -276,18 +288,6 @@ def run_metadata(seconds: Column, n_tokens: Column) -> Column:
     return F.struct(F.round(seconds, 2).alias("inference_time_s"), n_tokens.cast("int").alias("raw_tokens"))
 
 
-def prompt_echo_generator(prompts: pd.Series, max_tokens: int, temperature: float) -> pd.Series:
-    """Offline stand-in generator: turns the prompt's last ``Input`` line into
-    one plain sentence (deterministic; a model client plugs in instead)."""
-    def one(p: str) -> str:
-        line = [ln for ln in p.splitlines() if ln.startswith("Drug: ")][-1]
-        fields = dict(part.split(": ", 1) for part in line.split(" | ") if ": " in part)
-        return (f"Narrative: A {fields.get('Patient', 'patient')} patient treated with {fields.get('Drug', '')} "
-                f"for {fields.get('Indication', '')} developed {fields.get('Adverse event', '').lower()}; "
-                f"outcome {fields.get('Outcome', '').lower()}; action: {fields.get('Action', '')}")
-    return prompts.map(one)
-
-
 # ---- L14: batch scoring of narratives (inference rows, D14) ----------------
 INFER_CALL = (600, 0.1)          # max new tokens, temperature (fixed values)
 PARSE_FAILED = "JSON parse failed"
@@ -320,23 +320,3 @@ def batch_score(narratives: DataFrame, generator: Generator, lookup: DataFrame,
     coded = attach_codes(rows, lookup)
     return coded.select(
         "*", F.when(~F.col("parse_ok"), F.lit(PARSE_FAILED)).alias("error"))
-
-
-def rule_model(prompts: pd.Series, max_tokens: int, temperature: float) -> pd.Series:
-    """Offline stand-in model for ``batch_score``: answers with a think block,
-    a JSON assessment built by keyword rules over the narrative, and the end
-    marker (the shapes real output takes).  A model client plugs in instead."""
-    import json
-    import re
-
-    def one(p: str) -> str:
-        narrative = p.split("Narrative: ", 1)[-1].rsplit("\n\nOutput:", 1)[0]
-        crit = [lbl for lbl, rx in SERIOUS_RULES if re.search(rx.replace("(?i)", ""), narrative, re.I)]
-        words = re.findall(r"[A-Za-z]{4,}", narrative)
-        obj = {"seriousness": "Serious" if crit else "Non-serious", "seriousness_criteria": crit,
-               "meddra_pt": (words[0].lower() if words else ""), "meddra_soc": "",
-               "labelling_status": "Unexpected", "labelling_evidence": "",
-               "who_umc_category": "Unassessable"}
-        body = json.dumps(obj, indent=2)
-        return f"<think>reviewing</think>\n{body}<|im_end|>" if len(narrative) % 7 else "No assessment possible."
-    return prompts.map(one)

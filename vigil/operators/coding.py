@@ -4,22 +4,14 @@ J1 exact match on ``lower(trim(term))`` against the lookup (broadcast when
 its measured size allows), J2 fuzzy match for the distinct exact misses
 only, J3 drop of unmatched rows, J4 post-inference code attach.
 
-Fuzzy matching is a grid similarity search without a cross join: distinct
-misses are hashed into M buckets and dictionary keys into K chunks; each
-miss is replicated to the K chunks and each key to the M buckets, and one
-``cogroup.applyInPandas`` call per (bucket, chunk) scores that block with
-vectorised numpy.  Every group is bounded by ``block_rows`` on both sides,
-no pair is ever emitted as a row, and the result is exact: the best key
-per miss over the whole dictionary (ties -> lowest key position).
+Fuzzy matching compares only terms and keys that share a segment which a
+similar pair must share (an equi-join), so no pair is lost and not all pairs
+are made; edit distances are Spark's own.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import utrim
@@ -45,89 +37,95 @@ def code_exact(df: DataFrame, lookup: DataFrame, term_col: str = "reaction_pt",
 
 
 # ---------------------------------------------------------------- fuzzy ----
-FUZZY_SCHEMA = "term string, pt_key string, key_pos long, score double"
-
-
-def _block_scorer(scorer: str):
-    from ..functions import similarity as S
-
-    def score_block(terms: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-        if terms.empty or keys.empty:
-            return pd.DataFrame({"term": pd.Series([], dtype=object), "pt_key": pd.Series([], dtype=object),
-                                 "key_pos": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        keys = keys.sort_values("key_pos", kind="stable")
-        kstr = keys["pt_key"].tolist()
-        kpos = keys["key_pos"].to_numpy()
-        cand, lens = S.encode(kstr)
-        sorted_k = [S.token_sort(k) for k in kstr] if scorer == "weighted" else None
-        out_t, out_k, out_p, out_s = [], [], [], []
-        for t in terms["term"].tolist():
-            if scorer == "levenshtein":
-                s = S.lev_score(t, kstr, cand, lens)
-            else:
-                s = S.weighted_score(t, kstr, sorted_k)
-            i = int(np.argmax(s))            # first maximum = lowest key_pos
-            out_t.append(t)
-            out_k.append(kstr[i])
-            out_p.append(int(kpos[i]))
-            out_s.append(float(s[i]))
-        return pd.DataFrame({"term": out_t, "pt_key": out_k, "key_pos": out_p, "score": out_s})
-
-    return score_block
-
-
-def fuzzy_best(terms: DataFrame, lookup: DataFrame, scorer: str = "weighted",
-               block_rows: int = 20_000) -> DataFrame:
-    """Best dictionary key for every distinct ``term`` (no cutoff applied).
-
-    Two small count actions size the grid; everything else is lazy."""
+def allowed_edits(length: Column, threshold: int) -> Column:
+    """Most edits with which strings, the longer of ``length``, score ``threshold`` or more."""
+    return F.floor(length * (100 - threshold) / 100).cast("int")
+
+
+def _segments(n: Column, threshold: int) -> tuple[Column, Column, Column]:
+    """For strings of length ``n``: edits allowed to any partner, length of the shorter segments, number of longer ones.
+
+    The partner may be longer, up to ``n * 100 / threshold``."""
+    edits = allowed_edits(F.floor(n * 100 / threshold), threshold)
+    return edits, F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
+
+
+def _segment(n: Column, i: Column, threshold: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i``; the last ones are the longer."""
+    edits, short, longer = _segments(n, threshold)
+    before = F.greatest(i - (edits + 1 - longer), F.lit(0))
+    return i * short + before, short + (i >= edits + 1 - longer).cast("int")
+
+
+def similar_keys(terms: DataFrame, keys: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
+    """term, key, pt_key, key_pos and score of every pair that scores ``threshold`` or more.
+
+    ``terms``: term, t (text compared); ``keys``: pt_key, key_pos, k (text
+    compared).  Score = 100 * (longer length - edit distance) / longer length.
+    A key is cut into one segment more than the edits it allows, so one segment
+    stands unchanged in a similar term, moved by at most as many places: an
+    equi-join on (key length, segment number, segment) finds every candidate,
+    and the edit distance is taken for these only."""
+    n = F.col("n")
+    cut = keys.filter(F.length("k") > 0).withColumn("n", F.length("k"))
+    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0), _segments(n, threshold)[0])))
+    start, size = _segment(n, F.col("i"), threshold)
+    cut = cut.select("pt_key", "key_pos", "k", "n", "i", F.substring("k", start + 1, size).alias("seg"))
+    m = F.length("t")
+    probe = terms.filter(m > 0).withColumn("n", F.explode(F.sequence(
+        F.ceil(m * threshold / 100).cast("int"), F.floor(m * 100 / threshold).cast("int"))))
+    edits = _segments(n, threshold)[0]
+    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), edits)))
+    start, size = _segment(n, F.col("i"), threshold)
+    probe = probe.withColumns({"at": F.explode(F.sequence(start - edits, start + edits)), "size": size})
+    probe = probe.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= m)) \
+        .select("term", "t", "n", "i", F.substring("t", F.col("at") + 1, F.col("size")).alias("seg")).distinct()
+    pairs = probe.join(cut, ["n", "i", "seg"]).select("term", "t", "pt_key", "key_pos", "k").distinct()
+    longer = F.greatest(F.length("t"), F.length("k"))
+    distance = F.levenshtein("t", "k")
+    return pairs.withColumn("d", distance).filter(F.col("d") <= allowed_edits(longer, threshold)) \
+        .select("term", "pt_key", "key_pos", ((100 * (longer - F.col("d"))).cast("double") / longer.cast("double")).alias("score"))
+
+
+def token_sorted(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+
+
+def fuzzy_best(terms: DataFrame, lookup: DataFrame, scorer: str = "weighted", threshold: int = FUZZY_THRESHOLD) -> DataFrame:
+    """term, pt_key, key_pos and score of the best dictionary key of each distinct
+    ``term`` that has one of ``threshold`` or more (ties: lowest key position).
+
+    ``levenshtein``: the edit-distance score.  ``weighted``: the larger of it and
+    0.95 times that of the strings with their words sorted."""
     t = terms.select(F.col("term")).distinct()
     k = lookup.select("pt_key", "key_pos")
-    n_t, n_k = t.count(), k.count()
-    if n_t == 0 or n_k == 0:
-        return t.sparkSession.createDataFrame([], FUZZY_SCHEMA)
-    m = max(1, math.ceil(n_t / block_rows))
-    kc = max(1, math.ceil(n_k / block_rows))
-    tt = (t.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(m)))
-           .withColumn("kc", F.explode(F.sequence(F.lit(0), F.lit(kc - 1)))))
-    kk = (k.withColumn("kc", F.pmod(F.xxhash64("pt_key"), F.lit(kc)))
-           .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))))
-    per_block = (tt.groupBy("tb", "kc").cogroup(kk.groupBy("tb", "kc"))
-                 .applyInPandas(_block_scorer(scorer), FUZZY_SCHEMA))
-    # best over the K chunks: highest score, then lowest key position
-    best = per_block.groupBy("term").agg(F.max_by(
-        F.struct("pt_key", "key_pos", "score"),
-        F.struct(F.col("score"), (-F.col("key_pos")).alias("neg_pos"))).alias("b"))
+    found = similar_keys(t.withColumn("t", F.col("term")), k.withColumn("k", F.col("pt_key")), threshold)
+    if scorer == "weighted":
+        by_words = similar_keys(t.withColumn("t", token_sorted(F.col("term"))), k.withColumn("k", token_sorted(F.col("pt_key"))), threshold)
+        found = found.unionByName(by_words.withColumn("score", F.col("score") * 0.95).filter(F.col("score") >= threshold))
+    best = found.groupBy("term").agg(F.max_by(F.struct("pt_key", "key_pos", "score"),
+                                              F.struct(F.col("score"), (-F.col("key_pos")).alias("neg_pos"))).alias("b"))
     return best.select("term", "b.pt_key", "b.key_pos", "b.score")
 
 
 def code_terms(df: DataFrame, lookup: DataFrame, term_col: str = "reaction_pt",
-               scorer: str = "weighted", threshold: float = FUZZY_THRESHOLD,
+               scorer: str = "weighted", threshold: int = FUZZY_THRESHOLD,
                fuzzy: bool = True) -> DataFrame:
-    """J1 + J2: exact first; only the distinct exact misses go to the fuzzy
-    search; adds ``match_type`` in {exact, fuzzy, none} and ``match_score``."""
-    lk = checked_broadcast(lookup.select("pt_key", "key_pos", *LOOKUP_COLS))   # measured once
-    coded = code_exact(df, lk, term_col, broadcast_lookup=False)
-    if not fuzzy:
-        return coded.withColumn("match_type", F.when(F.col("meddra_pt").isNotNull(), "exact")
-                                .otherwise("none")).withColumn("match_score", F.lit(None).cast("double"))
-    hit = coded.where(F.col("meddra_pt").isNotNull()).withColumn("match_type", F.lit("exact")) \
-        .withColumn("match_score", F.lit(100.0))
-    miss = coded.where(F.col("meddra_pt").isNull()).drop(*LOOKUP_COLS)
-    miss = miss.withColumn("_term", exact_key(term_col))
-    # distinct misses are few (bounded by the term vocabulary, not by rows);
-    # materialise them once so sizing the grid does not recompute the scan
-    terms = cut_lineage(miss.select(F.col("_term").alias("term")).distinct())
-    # accepted matches: at most one row per distinct miss; materialised and
-    # broadcast when measured small, so a hot unmatched term (a third of all
-    # rows) never lands in one shuffle partition
-    best = cut_lineage(fuzzy_best(terms, lookup, scorer).where(F.col("score") >= threshold))
-    fz = (miss.join(checked_broadcast(best.withColumnRenamed("term", "_term")), "_term", "left")
-              .join(lk.drop("key_pos"), "pt_key", "left")
-              .withColumn("match_type", F.when(F.col("meddra_pt").isNotNull(), "fuzzy").otherwise("none"))
-              .withColumn("match_score", F.when(F.col("meddra_pt").isNotNull(), F.col("score")))
-              .drop("_term", "pt_key", "key_pos", "score"))
-    return hit.unionByName(fz)
+    """J1 + J2: each distinct term is resolved once, exactly first, the rest by
+    similarity; the rows are joined once.  Adds ``match_type`` in
+    {exact, fuzzy, none} and ``match_score``."""
+    keys = lookup.select("pt_key", "key_pos", *LOOKUP_COLS)
+    terms = cut_lineage(df.select(exact_key(term_col).alias("term")).filter(F.col("term").isNotNull()).distinct()
+                        .join(lookup.select(F.col("pt_key").alias("term"), F.lit(True).alias("exact")), "term", "left"))
+    resolved = terms.filter("exact").select("term", F.col("term").alias("pt_key"), F.lit("exact").alias("match_type"),
+                                            F.lit(100.0).alias("match_score"))
+    if fuzzy:
+        best = fuzzy_best(terms.filter("exact is null"), lookup, scorer, threshold)
+        resolved = resolved.unionByName(best.select("term", "pt_key", F.lit("fuzzy").alias("match_type"), F.col("score").alias("match_score")))
+    resolved = cut_lineage(resolved.join(keys, "pt_key").drop("pt_key", "key_pos").withColumnRenamed("term", "_term"))
+    coded = df.withColumn("_term", exact_key(term_col)).join(checked_broadcast(resolved), "_term", "left").drop("_term")
+    coded = coded.withColumn("match_type", F.coalesce("match_type", F.lit("none")))
+    return coded if fuzzy else coded.withColumn("match_score", F.lit(None).cast("double"))
 
 
 def drop_unmatched(coded: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # ---- fixed values (must equal the reference's) ---------------------------------
 MIN_NARRATIVE_LEN = 100
 VALID_SERIOUSNESS = ["Serious", "Non-serious"]
@@ -63,38 +65,36 @@ def reason_counts(cases: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- split ----
-_BUCKET_BITS = 10          # 1024 hash-range buckets for the exact split
+_DIGITS, _LEVELS = 3, 3          # hex digits a level: 4,096 buckets, 6.9e10 after three
 
 
 def exact_split(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED) -> DataFrame:
     """V3: seeded shuffle + exact ``floor(n * 0.9)`` train rows.
 
-    Order = (xxhash64(key, seed), key).  Instead of one global row_number
-    (a single task), rows go to 1024 hash-range buckets; bucket counts (1024
-    rows) give prefix offsets; only the one bucket holding the cut is ranked.
-    Same result for any input order or partitioning."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    x = df.withColumn("_h", h).withColumn(
-        "_b", F.shiftrightunsigned(F.col("_h"), 64 - _BUCKET_BITS).cast("int"))
-    # signed order of _h == order of (bucket of _h + 2^63); map so buckets sort like _h
-    x = x.withColumn("_b", F.when(F.col("_h") < 0, F.col("_b") - (1 << _BUCKET_BITS) // 2)
-                     .otherwise(F.col("_b") + (1 << _BUCKET_BITS) // 2))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # over <= 1024 rows
-    total = counts.agg(F.sum("_n")).scalar()
-    n_train = F.floor(total * TRAIN_RATIO_NUM / TRAIN_RATIO_DEN)
-    offs = counts.select("_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
-                         n_train.alias("_n_train"))
-    x = x.join(F.broadcast(offs), "_b")        # bounded: one row per bucket (1024)
-    full_train = F.col("_before") + F.col("_n") <= F.col("_n_train")
-    full_val = F.col("_before") >= F.col("_n_train")
-    settled = x.where(full_train | full_val).withColumn(
-        "split", F.when(full_train, "train").otherwise("val"))
-    cut = x.where(~(full_train | full_val))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    cut = cut.withColumn("split", F.when(F.col("_before") + rank <= F.col("_n_train"), "train")
-                         .otherwise("val"))
-    return settled.unionByName(cut).drop("_h", "_b", "_n", "_before", "_n_train")
+    Order = (md5(seed:key), key).  Nothing is ranked as a whole: rows are
+    counted by the leading hex digits of the hash, then, in the bucket that
+    holds the cut, by the next digits, three times; only rows that share all
+    nine digits with the cut are ranked.  Same result for any input order or
+    partitioning."""
+    x = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")))
+    total = x.agg(F.count(F.lit(1))).scalar()
+    left = F.floor(total * TRAIN_RATIO_NUM / TRAIN_RATIO_DEN).cast("long")
+    at = None
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # over <= 4096 rows
+    for level in range(1, _LEVELS + 1):
+        inside = x if at is None else x.where(F.substring("_h", 1, (level - 1) * _DIGITS) == at)
+        counts = inside.groupBy(F.substring("_h", 1, level * _DIGITS).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.select("_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), left.alias("_left"))
+        cut = cut_lineage(counts.where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_n")))
+                          .select("_b", (F.col("_left") - F.col("_before")).alias("_rest")))   # one row
+        at, left = cut.select("_b").scalar(), cut.select("_rest").scalar()
+    p = F.substring("_h", 1, _LEVELS * _DIGITS)
+    settled = x.withColumn("_c", F.coalesce(at, F.lit(""))).where(p != F.col("_c")) \
+        .withColumn("split", F.when(p < F.col("_c"), "train").otherwise("val")).drop("_c")
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key))
+    ranked = x.withColumn("_c", p).where(F.col("_c") == at).withColumn("_r", rank).withColumn("_left", left) \
+        .withColumn("split", F.when(F.col("_r") <= F.col("_left"), "train").otherwise("val"))
+    return settled.unionByName(ranked.drop("_c", "_r", "_left")).drop("_h")
 
 
 def hash_split(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED, train_pct: int = 90) -> DataFrame:

@@ -185,13 +185,12 @@ def code_drop_unmatched(spark, sf):
 
 @query("code_fuzzy_lev")
 def code_fuzzy_lev(spark, sf):
-    """Best dictionary key (edit-distance score) for each distinct exact miss."""
+    """Best dictionary key (edit-distance score) for each distinct exact miss; null if none is similar enough."""
     clean = clean_reports(spark, sf)
     lk = lookup_table(spark, sf)
-    miss = C.code_exact(clean, lk).where(F.col("meddra_pt").isNull())
-    best = C.fuzzy_best(miss.select(C.exact_key("reaction_pt").alias("term")), lk, "levenshtein")
-    return best.select("term", "pt_key", "score",
-                       (F.col("score") >= C.FUZZY_THRESHOLD).alias("accepted"))
+    miss = cut_lineage(C.code_exact(clean, lk).where(F.col("meddra_pt").isNull()).select(C.exact_key("reaction_pt").alias("term")).distinct())
+    best = C.fuzzy_best(miss, lk, "levenshtein")
+    return miss.join(best, "term", "left").select("term", "pt_key", "score", F.col("score").isNotNull().alias("accepted"))
 
 
 @query("code_fuzzy_weighted")
@@ -640,7 +639,7 @@ def stream_ingest_dedup(spark, sf, n_slices: int = 8, overlap_share: float = 0.0
     W.ingest_files(spark, f"{base}/landing", landed.schema,
                    f"{base}/out", f"{base}/checkpoint", "event_id", "json",
                    max_files_per_trigger=2, multiline=False, options=W.JSON_TIME_OPTIONS)
-    return spark.read.parquet(f"{base}/out").drop("epoch", "slice")
+    return W.read_output(spark, f"{base}/out").drop("slice")
 
 
 # ------------------------------------------------------------ tokenising ----
@@ -657,33 +656,6 @@ def mask_labels(spark, sf):
                       F.size("labels").alias("n_labels"))
 
 
-# ------------------------------------------------------------ generation ----
-@query("narrative_generate")
-def narrative_generate(spark, sf):
-    """Narratives through the pluggable generator path (mapInPandas);
-    the built-in generator writes from the prompt's input line."""
-    x = case_inputs(spark, sf)
-    x = x.select("id", CB.narrative_prompt(x).alias("prompt"))
-    g = CB.generate_with(x, "prompt", "narrative_raw", CB.prompt_echo_generator, *CB.NARRATIVE_CALL)
-    return g.select("id", F.col("narrative_raw").alias("narrative"), "narrative_raw_error")
-
-
-# ------------------------------------------------------ batch inference ----
-@query("batch_inference")
-def batch_inference(spark, sf):
-    """Every non-blank user turn of `conversations` scored as a
-    narrative through the generator path, parsed and coded."""
-    from ..functions.text import utrim
-    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    nar = conv.where(F.col("role") == "user").select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("line_id"),
-        utrim("text").alias("narrative")).where(F.col("narrative") != "")
-    out = CB.batch_score(nar, CB.rule_model, lookup_table(spark, sf))
-    return out.select("line_id", "parse_ok", "error", "seriousness",
-                      F.array_join("seriousness_criteria", "|").alias("seriousness_criteria"),
-                      "meddra_pt", "meddra_pt_code", "meddra_soc", "meddra_soc_code", "_meta.raw_tokens")
-
-
 @query("narrative_qc")
 def narrative_qc(spark, sf):
     """V8: narrative length, temporal markers and evidence presence."""

@@ -210,7 +210,28 @@ best AS (
     SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, key_pos) AS rn FROM scored)
   WHERE rn = 1)"""
 ORACLE["code_fuzzy_lev"] = with_clean_dict(
-    _CODED + _FUZZY + "\nSELECT term, pt_key, score, score >= 80 AS accepted FROM best")
+    _CODED + _FUZZY + """
+SELECT term, CASE WHEN score >= 80 THEN pt_key END AS pt_key, CASE WHEN score >= 80 THEN score END AS score,
+  score >= 80 AS accepted FROM best""")
+_SORTED = "array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+_FORM = "(CAST(100 * (greatest(length({a}), length({b})) - levenshtein({a}, {b})) AS DOUBLE) / CAST(greatest(length({a}), length({b})) AS DOUBLE))"
+ORACLE["code_fuzzy_weighted"] = with_clean_dict(_CODED + f"""
+, misses AS (SELECT DISTINCT lower(reaction_pt) AS term FROM coded WHERE meddra_pt IS NULL),
+scored AS (
+  SELECT m.term, k.pt_key, k.key_pos,
+    greatest({_FORM.format(a="m.term", b="k.pt_key")},
+             {_FORM.format(a=_SORTED.format(c="m.term"), b=_SORTED.format(c="k.pt_key"))} * 0.95) AS score
+  FROM misses m, lookup k),
+best AS (
+  SELECT term, pt_key, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, key_pos) AS rn FROM scored WHERE score >= 80)
+  WHERE rn = 1)
+SELECT *, 'exact' AS match_type, 100.0::DOUBLE AS match_score FROM coded WHERE meddra_pt IS NOT NULL
+UNION ALL
+SELECT c.id, c.reaction_pt, k.meddra_pt, k.meddra_pt_code, k.meddra_soc, k.meddra_soc_code,
+  CASE WHEN k.meddra_pt IS NULL THEN 'none' ELSE 'fuzzy' END, b.score
+FROM coded c LEFT JOIN best b ON b.term = lower(c.reaction_pt) LEFT JOIN lookup k ON k.pt_key = b.pt_key
+WHERE c.meddra_pt IS NULL""")
 ORACLE["code_drop_unmatched"] = with_clean_dict(
     _CODED + _FUZZY + """
 , fz AS (
@@ -520,7 +541,7 @@ ORACLE["top_socs"] = with_cases(
 ORACLE["short_input_gate"] = (
     """SELECT conv_id, turn,
       CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'Please enter a clinical narrative.'
-           WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 60 THEN 'Narrative is too short.' END
+           WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 60 THEN 'Narrative is too short. Please provide a complete clinical case description (patient demographics, drug, adverse event, outcome).' END
         AS reject_reason
     FROM conversations WHERE role = 'user'""")
 ORACLE["narrative_pull"] = (
@@ -688,3 +709,13 @@ ORACLE["narrative_qc"] = with_cases(
     """SELECT count(*) AS n, avg(length(narrative)) AS mean_len,
       avg(CAST(regexp_matches(narrative, '(?i)\\b(after|following|days later|weeks? later|months? later)\\b') AS INTEGER)) AS share_temporal,
       avg(CAST(coalesce(labelling_evidence, '') <> '' AS INTEGER)) AS share_evidence FROM cases""")
+
+# order of the split: md5 of seed and id, which every engine computes alike
+_SPLIT = """, split AS (
+  SELECT id, seriousness, labelling_status,
+    CASE WHEN row_number() OVER (ORDER BY md5('42:' || id), id) <= count(*) OVER () * 9 // 10 THEN 'train' ELSE 'val' END AS split
+  FROM valid)"""
+ORACLE["split_exact"] = with_cases(_SPLIT + "\nSELECT id, split FROM split")
+ORACLE["split_balance"] = with_cases(_SPLIT + """
+SELECT split, count(*) AS n, avg(CAST(seriousness = 'Serious' AS INTEGER)) AS share_serious,
+  avg(CAST(labelling_status = 'Expected' AS INTEGER)) AS share_expected FROM split GROUP BY split""")

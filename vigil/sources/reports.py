@@ -25,9 +25,12 @@ REQUIRED_FIELDS_SEARCH = "_exists_:patient.reaction AND _exists_:patient.drug"
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed page files -> one row per raw report (PERMISSIVE,
-    declared schema; ``_page`` and ``_pos`` keep the delivery order)."""
+    declared schema; ``_page`` and ``_pos`` keep the delivery order).  A page
+    that holds no report array makes the read fail, not its reports vanish."""
     pages = (spark.read.schema(RAW_PAGE).option("multiLine", True).option("mode", "PERMISSIVE")
              .json(path).withColumn("_page", F.input_file_name()))
+    broken = F.raise_error(F.concat(F.lit("no report array in page "), F.col("_page"))).cast(pages.schema["results"].dataType)
+    pages = pages.withColumn("results", F.when(F.col("results").isNull(), broken).otherwise(F.col("results")))
     return pages.select("_page", F.posexplode("results").alias("_pos", "r")).select("_page", "_pos", "r.*")
 
 
@@ -52,15 +55,16 @@ def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 
 # ---- optional Python data source: one input partition per page ------------
-def landed_page_loader(directory: str) -> Callable[[int, int], list | None]:
-    """Loader for pages landed as ``page-<skip>.json``; None = no such page
-    (end of data), [] = a failed / empty page."""
+def landed_page_loader(directory: str) -> Callable[[int, int], list]:
+    """Loader for pages landed as ``page-<skip>.json``; a page that is missing or
+    holds no report array raises, so that no report is lost silently."""
     def load(skip: int, limit: int):
         p = os.path.join(directory, f"page-{skip:09d}.json")
-        if not os.path.exists(p):
-            return None
         with open(p) as f:
-            return json.load(f).get("results", [])
+            rows = json.load(f).get("results")
+        if rows is None:
+            raise ValueError(f"no report array in page {p}")
+        return rows
     return load
 
 
@@ -78,14 +82,14 @@ try:
             self.schema = schema
 
         def partitions(self):
-            total = int(self.options.get("total", "0"))
+            total = int(self.options["total"])
             limit = int(self.options.get("limit", str(DEFAULT_PAGE_SIZE)))
             return [_PagePartition(s, limit) for s in range(0, total, limit)]
 
         def read(self, partition) -> Iterator[tuple]:
             load = landed_page_loader(self.options["dir"])
             rows = load(partition.skip, partition.limit)
-            for r in rows or []:
+            for r in rows:
                 yield _to_row(r)
 
     class ReportPagesSource(DataSource):

@@ -11,46 +11,71 @@ within a watermark with bounded state.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.joins import checked_broadcast
 from ..operators.normalize import normalize_reports
 from ..schemas import RAW_PAGE
 from ..session import path_exists
 
+KEY_BUCKETS = 64
 # JSON keeps microseconds only with an explicit pattern (the default writes ms).
 MICROS_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 MICROS_TS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 JSON_TIME_OPTIONS = {"timestampFormat": MICROS_TS, "timestampNTZFormat": MICROS_TS_NTZ}
 
 
-def _existing_ids(spark: SparkSession, out_path: str, key: str, epoch: int) -> DataFrame | None:
-    """Keys already written by earlier micro-batches (any filesystem)."""
-    if not path_exists(spark, out_path):
-        return None
-    try:
-        done = spark.read.parquet(out_path)
-    except AnalysisException:          # folder exists but holds no data yet
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the stream that ``checkpoint`` belongs to: a file beside it, made with the checkpoint.
+
+    A new checkpoint starts again at epoch 0; its output must not replace that of an earlier one."""
+    path = f"{checkpoint.rstrip('/')}/run_id"
+    if not path_exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first().value
+
+
+def _buckets(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def _existing_ids(spark: SparkSession, out_path: str, key: str, run: str, epoch: int) -> DataFrame | None:
+    """Keys that other epochs or runs have written; None if there are no data files yet."""
+    pattern = f"{out_path.rstrip('/')}/run=*/epoch=*"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
         return None
-    return done.where(F.col("epoch") != epoch).select(key)
+    done = spark.read.option("basePath", out_path).parquet(pattern)
+    return done.where((F.col("run") != run) | (F.col("epoch") != epoch)).select(key, "key_bucket")
+
 
+def idempotent_write(batch: DataFrame, out_path: str, key: str, run: str, epoch: int) -> None:
+    """Write one micro-batch as partition ``run=<id>/epoch=<n>`` (overwrite: a replayed
+    batch replaces its own output and no other), keeping only keys not written before.
 
-def idempotent_write(batch: DataFrame, out_path: str, key: str, epoch: int) -> None:
-    """Write one micro-batch as partition ``epoch=<id>`` (overwrite: a replayed
-    batch replaces its own output), keeping only keys no earlier batch wrote.
-    The batch's keys (bounded by the trigger size, and measured) go to the
-    existing-key scan as a broadcast semi-join, so only matching ids move."""
+    The batch is computed once.  Output is partitioned by a hash of the key, so
+    the check reads only the key buckets that the batch has."""
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    done = _existing_ids(spark, out_path, key, epoch)
-    if done is not None:
-        keys = fresh.select(key)
-        seen = done.join(checked_broadcast(keys), key, "left_semi")
-        fresh = fresh.join(seen, key, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
+    fresh = batch.dropDuplicates([key]).withColumn("key_bucket", _buckets(F.col(key))).persist()
+    try:
+        out = fresh
+        done = _existing_ids(spark, out_path, key, run, epoch)
+        if done is not None:
+            wanted = [r.key_bucket for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
+            out = fresh.join(done.where(F.col("key_bucket").isin(wanted)).select(key), key, "left_anti")
+        out.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
+    finally:
+        fresh.unpersist()
+
+
+def read_output(spark: SparkSession, out_path: str) -> DataFrame:
+    """All rows that any run has written, without the columns of the layout."""
+    return spark.read.option("basePath", out_path).parquet(f"{out_path.rstrip('/')}/run=*/epoch=*").drop("run", "epoch", "key_bucket")
 
 
 def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path: str,
@@ -59,7 +84,7 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
                  received_col: str | None = None, watermark: str = "1 hour",
                  multiline: bool = True, options: dict | None = None) -> None:
     """Stream every landed file once into ``out_path`` (parquet, one
-    ``epoch=<batch>`` partition per micro-batch), unique by ``key``; returns
+    ``run=<id>/epoch=<batch>`` partition per micro-batch), unique by ``key``; returns
     when the landed backlog is processed."""
     r = spark.readStream.schema(schema).format(fmt)
     if fmt == "json" and multiline:
@@ -82,8 +107,10 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
         if wm != received_col:
             stream = stream.drop(wm)
 
+    run = run_id(spark, checkpoint)
+
     def write(batch: DataFrame, epoch: int) -> None:
-        idempotent_write(batch, out_path, key, epoch)
+        idempotent_write(batch, out_path, key, run, epoch)
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

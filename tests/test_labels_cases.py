@@ -26,7 +26,7 @@ def test_label_cascade(spark):
     assert got["D"].label_text == "adr D"     # warnings_and_cautions present but empty: next search
     assert got["E"].label_text == "" and got["E"].label_section is None
     assert got["F"].label_text == "first"
-    assert len(got["G"].label_text) == 1500
+    assert len(got["G"].label_text) == 2000 and len(got["G"].label_excerpt) == 1500
     rep = spark.createDataFrame([("1", "A", "pain"), ("2", "E", "rash")], "id string, drug_name string, reaction_pt string")
     j = {r.id: r for r in L.join_labels(rep, L.label_cascade(drugs, labels)).collect()}
     assert j["1"].label_source == "fda_label" and j["2"].label_source == "llm_knowledge"

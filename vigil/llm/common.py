@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -39,9 +40,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     later reads prune columns, and it survives the loss of any executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so
+    when the driver has collected its garbage, which by itself may be hours later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

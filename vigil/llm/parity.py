@@ -41,10 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from vigil.session import cut_lineage
 
-from .common import record_batch, stored
+from .common import fresh, record_batch, stored
 from .textvec import P, hashed_words, mix, windows
 
 U = np.uint64
@@ -104,8 +105,8 @@ class Join:
         return int(mix(both).view(np.int64)[0])
 
     def sketch(self, grams: np.ndarray, band: int) -> np.ndarray:
-        """The parity sketch by which candidates of a band are compared: a word for each allowed difference, ``SKETCH_WORDS`` at most."""
-        words = np.zeros(min(self.differences(band) + 1, SKETCH_WORDS), U)
+        """The parity sketch by which candidates of a band are compared: ten bits or so for each allowed difference, ``SKETCH_WORDS`` words at most."""
+        words = np.zeros(min(2 + self.differences(band) // 6, SKETCH_WORDS), U)
         h = mix(grams ^ U(0xD6E8FEB86659FD93))
         place = ((h >> U(32)) * U(len(words))) >> U(32)
         np.bitwise_xor.at(words, place.astype(np.int64), U(1) << (h & U(63)))
@@ -121,16 +122,18 @@ class Join:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
-    """key, set id (null: no set) and number of shingles of every row."""
+    """key, set id (null: no set), number of shingles and ``marks`` (a sketch for each band entered) of every row."""
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    mark = pa.list_(pa.struct([("band", pa.int32()), ("sketch", pa.list_(pa.int64()))]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = join.shingle_sets(b.column("text").to_pylist())
-            schema = pa.schema([b.schema.field("key"), ("sid", pa.int64()), ("n", pa.int64())])
-            yield record_batch(schema, [b.column("key"), [join.set_id(s) if len(s) else None for s in sets], [len(s) for s in sets]])
+            marks = [[{"band": x, "sketch": join.sketch(s, x).view(np.int64)} for x in join.bands(len(s))] if len(s) else [] for s in sets]
+            schema = pa.schema([b.schema.field("key"), ("sid", pa.int64()), ("n", pa.int64()), ("marks", mark)])
+            yield record_batch(schema, [b.column("key"), [join.set_id(s) if len(s) else None for s in sets], [len(s) for s in sets], marks])
 
-    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, sid bigint, n bigint")
+    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, sid bigint, n bigint, marks array<struct<band:int,sketch:array<bigint>>>")
 
 
 def postings(docs: DataFrame, text: str, join: Join) -> DataFrame:
@@ -244,18 +247,10 @@ def similar_size(join: Join, x: str, y: str):
     return join.den * F.least(x, y) >= join.num * F.greatest(x, y)
 
 
-def sketches(sets: DataFrame, join: Join) -> DataFrame:
-    """sid, band and sketch (64-bit words) of each set, for each band that it enters."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = []
-            for sid, grams in zip(b.column("sid").to_pylist(), b.column("grams")):
-                g = grams.values.to_numpy().view(U)
-                rows += [(sid, band, join.sketch(g, band).view(np.int64)) for band in join.bands(len(g))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["sid", "band", "sketch"])
-
-    return sets.mapInArrow(run, "sid bigint, band int, sketch array<bigint>")
+def sketches(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """sid, band and sketch of the sets that share a word in that band."""
+    return rows.filter("sid is not null").dropDuplicates(["sid"]).select("sid", F.inline("marks")) \
+        .join(shared.select("sid", "band").distinct(), ["sid", "band"], "left_semi")
 
 
 def star_pairs(shared: DataFrame, marks: DataFrame, join: Join) -> DataFrame:
@@ -321,29 +316,61 @@ def cross_pairs(left: DataFrame, marks: DataFrame, join: Join) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links_between(docs: DataFrame, text: str, join: Join) -> DataFrame:
+def links_between(docs: DataFrame, text: str, rows: DataFrame, join: Join) -> DataFrame:
     """Verified links (a, b) between different sets, enough that sets are
-    connected by them exactly if they are connected by similar pairs."""
+    connected by them exactly if they are connected by similar pairs.
+
+    Whole sets are fetched only for pairs that sizes and sketches leave."""
     shared = stored(shared_words(postings(docs, text, join)), "parity-words")
-    sets = stored(whole_sets(docs, text, join, shared.select("sid").distinct()), "parity-sets")
-    marks = stored(sketches(sets, join), "parity-sketches")
-    links = stored(verified(star_pairs(shared, marks, join), sets, join), "parity-links")
+    marks = stored(sketches(rows, shared), "parity-sketches")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "parity-pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        return stored(verified(pairs, stored(whole_sets(docs, text, join, ids), "parity-sets"), join), "parity-links")
+
+    links = checked(star_pairs(shared, marks, join))
     left = shared.drop("center").join(components(links), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     w = Window.partitionBy("word")
     left = left.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter("lo <> hi").drop("lo", "hi")
-    return links.unionByName(stored(verified(cross_pairs(stored(left, "parity-left"), marks, join), sets, join), "parity-links"))
+    return links.unionByName(checked(cross_pairs(stored(left, "parity-left"), marks, join)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """key, ``n_shingles`` and ``component_id`` (smallest key that links reach, equal
-    texts included) of every row, and ``set_id``."""
-    join = Join(k, num, den)
+def classes(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, sid, n) and the classes of their sets (sid, comp, component_id)."""
     rows = stored(sets_of(docs, key, text, join), "parity-rows")
-    comps = components(links_between(docs, text, join))
+    comps = components(links_between(docs, text, rows, join))
     first = rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key")).join(comps, "sid", "left") \
         .withColumn("comp", F.coalesce("comp", "sid"))
     ids = first.groupBy("comp").agg(F.min("key").alias("component_id"))
-    known = stored(first.select("sid", "comp").join(ids, "comp").select("sid", "component_id"), "parity-classes")
+    return rows, stored(first.select("sid", "comp").join(ids, "comp").select("sid", "comp", "component_id"), "parity-classes")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """key, ``n_shingles`` and ``component_id`` (smallest key that links reach, equal
+    texts included) of every row, and ``set_id``."""
+    rows, known = classes(docs, key, text, Join(k, num, den))
     return rows.join(known, "sid", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.col("sid").alias("set_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest key (of repeated
+    rows of it, any one).  Rows without a word are in no class and stay."""
+    join = Join(k, num, den)
+    rows, known = classes(docs, key, text, join)
+    sid, comp, best = (fresh(docs, c) for c in ("sid", "comp", "best"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(sid, T.LongType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids = pa.array([join.set_id(s) if len(s) else None for s in join.shingle_sets(b.column(text).to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, sid])
+
+    decided = known.select(F.col("sid").alias(sid), F.col("comp").alias(comp), F.col("component_id").alias(best))
+    kept = docs.mapInArrow(run, schema).join(decided, sid, "left").filter(F.col(sid).isNull() | F.col(key).eqNullSafe(F.col(best)))
+    again = rows.join(known, "sid").filter(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("comp").count().filter("count > 1")
+    if not again.isEmpty():
+        kept = kept.filter(F.col(sid).isNull()).unionByName(kept.filter(F.col(sid).isNotNull()).dropDuplicates([comp]))
+    return kept.select(*docs.columns)

@@ -158,32 +158,40 @@ def cuts(rows: DataFrame, want: DataFrame) -> DataFrame:
                       (F.col("gap") - F.when(whole, F.col("s")).otherwise(0)).alias("left"))
 
 
-def extra_copy(rows: DataFrame, want: DataFrame) -> DataFrame:
-    """``rows`` (grp, order, size, ...) with ``extra``: whether the document gets one copy
-    more, so that the copies of a group come to about its ``gap``.
+def extra_plan(rows: DataFrame, want: DataFrame) -> list[DataFrame]:
+    """What decides which documents of ``rows`` (grp, order, size) get one copy
+    more, so that the copies of a group come to about its ``gap``; a row a group.
 
     The seeded prefix is taken first; what is missing then is filled, ``FILLS``
     times, with the seeded prefix of the documents that are small enough; at last
     the smallest document left is taken if the copies then come nearer."""
-    taken = F.lit(False)
-    marked = rows
+    steps: list[DataFrame] = []
     for k in range(1 + FILLS):
-        open_ = marked.filter(~taken & (F.col("size") > 0))
+        open_ = with_extra(rows, steps).filter(~F.col("extra") & (F.col("size") > 0))
         if k:
-            open_ = open_.filter(F.col("size") <= F.col(f"left{k - 1}"))
-            want = found.select("grp", F.col("left").alias("gap"))
-        found = cuts(open_.select("grp", "order", "size"), want).join(want, "grp", "right") \
-            .select("grp", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("left", "gap").alias("left"))
-        found = cut_lineage(found)
-        marked = marked.join(F.broadcast(found.select("grp", F.col("below").alias(f"below{k}"), F.col("left").alias(f"left{k}"))), "grp", "left")
-        fits = F.col("order") < F.col(f"below{k}")
-        taken = taken | (fits & (F.col("size") <= F.col(f"left{k - 1}")) if k else fits)
-    taken = F.coalesce(taken, F.lit(False))
-    gap = F.col(f"left{FILLS}")
-    last = marked.filter(~taken & (F.col("size") > 0) & (F.col("size") < 2 * gap)).groupBy("grp").agg(F.min(F.struct("size", "order")).alias("last"))
-    marked = marked.join(F.broadcast(cut_lineage(last)), "grp", "left")
-    nearer = F.col("last").eqNullSafe(F.struct("size", "order"))
-    return marked.withColumn("extra", taken | nearer).select(*rows.columns, "extra")
+            want = steps[-1].select("grp", F.col(f"left{k - 1}").alias("gap"))
+            open_ = open_.join(F.broadcast(want), "grp").filter(F.col("size") <= F.col("gap"))
+        found = cuts(open_.select("grp", "order", "size"), want).join(want, "grp", "right")
+        steps.append(cut_lineage(found.select("grp", F.coalesce("below", F.lit(0)).alias(f"below{k}"), F.coalesce("left", "gap").alias(f"left{k}"))))
+    gap = steps[-1].select("grp", F.col(f"left{FILLS}").alias("gap"))
+    small = with_extra(rows, steps).filter(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(gap), "grp").filter(F.col("size") < 2 * F.col("gap"))
+    last = small.groupBy("grp").agg(F.min(F.struct("size", "order")).alias("last"))
+    return [*steps, cut_lineage(last)]
+
+
+def with_extra(rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``rows`` (grp, order, size, ...) with ``extra``, by the steps planned so far."""
+    marked, taken = rows, F.lit(False)
+    for k, step in enumerate(steps):
+        marked = marked.join(F.broadcast(step), "grp", "left")
+        if k > FILLS:
+            hit = F.col("last").eqNullSafe(F.struct("size", "order"))
+        else:
+            hit = F.col("order") < F.col(f"below{k}")
+            if k:
+                hit &= F.col("size") <= F.col(f"left{k - 1}")
+        taken = taken | F.coalesce(hit, F.lit(False))
+    return marked.withColumn("extra", taken & (F.col("size") > 0)).select(*rows.columns, "extra")
 
 
 def mix(docs: DataFrame, key: str, size: str, membership: str, weights: tuple = WEIGHTS, total_pct: int = TOTAL_PCT,
@@ -193,12 +201,24 @@ def mix(docs: DataFrame, key: str, size: str, membership: str, weights: tuple =
     Returns the documents (key, size, membership, ``taken`` words), the target
     of each source and its size.  Sources take ``weights`` in turn, in order of
     code points; they share ``total_pct`` per cent of all sizes."""
-    spark = docs.sparkSession
-    names = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(membership), F.array().cast("array<string>")))))
-    rows = stored(docs.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(membership).alias("membership"),
-                              F.to_json(names).alias("grp"), order_of(F.col(key), seed).alias("order")), "mix-rows")
-    sums = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.from_json("grp", "array<string>").alias("names"))
-    patterns = {tuple(r.names): (r.grp, r.size) for r in sums.limit(MAX_PATTERNS + 1).collect()}
+    rows = stored(placed(docs.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(membership).alias("membership")), seed), "mix-rows")
+    plan, steps, goal, sizes = mix_plan(rows, weights, total_pct, max_repeat)
+    out = copies(rows, plan, steps)
+    return out.select(F.col("key").alias(key), F.col("size").alias(size), F.col("membership").alias(membership),
+                      (F.col("size") * F.col("copies")).alias("taken")), goal, sizes
+
+
+def placed(rows: DataFrame, seed: int = 7) -> DataFrame:
+    """``rows`` (key, size, membership, ...) with group (membership pattern) and seeded order."""
+    names = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col("membership"), F.array().cast("array<string>")))))
+    return rows.withColumn("grp", F.to_json(names)).withColumn("order", order_of(F.col("key"), seed))
+
+
+def mix_plan(rows: DataFrame, weights: tuple = WEIGHTS, total_pct: int = TOTAL_PCT,
+             max_repeat: int = MAX_REPEAT) -> tuple[DataFrame, list[DataFrame], dict, dict]:
+    """Flow and cuts for placed rows: copies of each group, steps for the extra copies, targets and sizes of the sources."""
+    sums = rows.groupBy("grp").agg(F.sum("size").alias("size")).withColumn("names", F.from_json("grp", "array<string>"))
+    patterns = {tuple(r.names): (r.grp, r["size"]) for r in sums.limit(MAX_PATTERNS + 1).collect()}
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns: merge sources first")
     sizes: dict = {}
@@ -213,8 +233,26 @@ def mix(docs: DataFrame, key: str, size: str, membership: str, weights: tuple =
     for p, (grp, n) in patterns.items():
         words = sum(flow[p].values())
         plan.append((grp, words // n if n else 0, words % n if n else 0))
-    plan = spark.createDataFrame(plan, "grp string, copies long, gap long")
-    some = extra_copy(rows, plan.filter("gap > 0").select("grp", "gap"))
-    taken = F.col("size") * (F.col("copies") + F.col("extra").cast("long"))
-    return some.join(F.broadcast(plan.select("grp", "copies")), "grp").select(
-        F.col("key").alias(key), F.col("size").alias(size), F.col("membership").alias(membership), taken.alias("taken")), goal, sizes
+    plan = rows.sparkSession.createDataFrame(plan, "grp string, base long, gap long")
+    return plan.select("grp", "base"), extra_plan(rows, plan.filter("gap > 0").select("grp", "gap")), goal, sizes
+
+
+def copies(rows: DataFrame, plan: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Placed rows with ``copies``, the times that the mix takes each."""
+    return with_extra(rows, steps).join(F.broadcast(plan), "grp").withColumn("copies", F.col("base") + F.col("extra").cast("long")).drop("base", "extra")
+
+
+def source_name(source: Column) -> Column:
+    """A name for each source that isn't null; null, as a source of its own, comes last."""
+    return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("~"))
+
+
+def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: rows left out, once or as often as it repeats them.
+
+    A row's copies follow from its own key, size and source, so texts aren't joined or moved."""
+    rows = placed(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), n_words(F.col(text).cast("string")).alias("size"),
+                              F.array(source_name(F.col(source))).alias("membership")))
+    plan, steps, _, _ = mix_plan(stored(rows.drop("row"), "mix-rows"))
+    taken = copies(rows, plan, steps).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("row.*")

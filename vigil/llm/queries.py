@@ -37,8 +37,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document, each counted for its own source."""
-    name = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("~"))  # null last
-    rows = docs.select("doc_id", mixing.n_words(F.col("text").cast("string")).alias("size"), F.array(name).alias("of"))
+    rows = docs.select("doc_id", mixing.n_words(F.col("text").cast("string")).alias("size"), F.array(mixing.source_name(F.col("source"))).alias("of"))
     out, target, size = mixing.mix(rows, "doc_id", "size", "of")
     by = docs.sparkSession.createDataFrame([(s, size[s], float(target[s])) for s in size], "name string, source_size long, target double")
     return (out.withColumn("name", F.col("of")[0]).join(F.broadcast(by), "name")

@@ -132,7 +132,7 @@ def test_identifiers_examples():
     assert pii.identifiers(None) == [] and pii.identifiers("1" * 200_000) == [] and pii.identifiers("a@" * 50_000) == []
 
 
-def test_disclosing_terms(docs_of):
+def test_disclosing_terms(docs_of, monkeypatch):
     texts = [f"{w} writes to Zorblatt at zed@mail.example about {w} matters" for w in ("one", "two", "three", "four")]
     texts += [f"plain talk number {i} about matters" for i in range(200)] + ["Zorblatt was here", None, "", "copy of rare Quux at q@x.example now"] + ["copy of rare Quux at q@x.example now"] * 5
     out = pii.find_and_sanitise(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
@@ -142,6 +142,10 @@ def test_disclosing_terms(docs_of):
     assert out[205].sanitised is None and out[206].sanitised == "" and "Quux" in out[207].sanitised  # one surrounding only
     assert all(r.n_terms == 0 and r.sanitised == t for r, t in zip(out[4:204], texts[4:204]))
     assert pii.find_and_sanitise(docs_of([])).count() == 0
+    monkeypatch.setattr(pii, "TERMS_AT_ONCE", 1)  # a pass for each block of terms
+    texts += ["Zorblatt met Grimmle at grim@mail.example"] + [f"{w} saw Grimmle at grim@mail.example here {w}" for w in ("red", "blue", "green", "pink")] + ["Grimmle and Zorblatt alone"]
+    out = pii.find_and_sanitise(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert out[-1].sanitised == "[TERM] and [TERM] alone" and out[-1].spans == "term:0:7,term:12:20"
 
 
 # pieces

@@ -9,8 +9,8 @@ it and so on, so segmentations come exactly from that distribution.
 
 No piece holds a blank after another character, nor a line end; so the lattice
 falls apart into chunks (blanks and the word after them) that are independent.
-The forward pass is done once for each different chunk, and all places of all
-chunks of a batch are sampled together.  The draws come from a hash of the row
+The forward pass is done once for each different chunk of a batch, for many at
+a time, and all chunks are sampled together.  The draws come from a hash of the row
 key, the chunk's number in the text and the step, so that a row has the same
 segmentation in every run, batch and cluster.
 
@@ -22,13 +22,12 @@ Defined results
     empty text       no pieces, decodes to the empty text
     null key         sampled with the key of the empty string
     repeated rows    the same segmentation each
-    very long texts  sampled some 100,000 chunks at a time
+    very long texts  sampled some million chunks at a time
     other columns    ``encode`` keeps them all and adds ``pieces`` (under another name if taken)
 """
 
 from __future__ import annotations
 
-import array
 import math
 import re
 from collections.abc import Iterator
@@ -46,10 +45,16 @@ from .textvec import P, mix
 U = np.uint64
 MARK = "▁"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-MAX_ARCS = 4_000_000
-AT_ONCE = 200_000
+CELLS = 1 << 19
+AT_ONCE = 1_000_000
 BYTE_RANK = 40_000
-LENGTH_BITS = 32
+
+
+def piece_hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * P + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+    return int(mix(np.array([h], U))[0])
 
 
 class Pieces:
@@ -72,6 +77,15 @@ class Pieces:
             raise ValueError("the model has no byte pieces, so it can't encode every text")
         self.longest = max(map(len, self.arcs))
         self.byte_log = -math.log(BYTE_RANK) if ranked else min(logs) - 1
+        # pieces by the hash of their code points, and a filter of 20 bits of it
+        h = np.array([piece_hash(p) for p in self.arcs], U)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        self.ids, self.logs = (np.array([v[k] for v in self.arcs.values()])[order] for k in (0, 1))
+        self.may = np.zeros(1 << 20, bool)
+        self.may[(h >> U(44)).astype(np.int64)] = True
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two pieces have one hash")
         self.out = [b""] * size
         for p, (i, _) in self.arcs.items():
             self.out[i] = p.replace(MARK, " ").encode()
@@ -79,87 +93,118 @@ class Pieces:
             self.out[i] = bytes([b])
 
 
-class Spans(dict):
-    """chunk -> first state and length of its lattice, built on demand."""
-
-    def __init__(self, lattices: Lattices):
-        super().__init__()
-        self.lattices = lattices
-
-    def __missing__(self, chunk: str) -> int:
-        out = self[chunk] = self.lattices.add(chunk)
-        return out
-
-
 class Lattices:
-    """Sampling tables of the chunks seen: the states of a chunk are its places,
-    numbered on; an arc is (state at its end and cumulated probability in one
-    number, state at its start, what it writes).  Emptied when large."""
+    """Lattices of the different chunks of one batch, and a sampler over them.
+
+    The forward pass runs for many chunks at once, place by place.  The arcs
+    into state j are ``first[j]`` to ``first[j + 1] - 1``, longest first:
+    cumulated probability in 32 bits, state before, what is written (a run of
+    byte pieces as -1 - its number).  State 0 is the beginning of every chunk.
+    A chunk's numbers are the same whatever other chunks are there."""
 
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces, self.alpha = pieces, alpha
-        self.texts: list[tuple[int, ...]] = []
-        self.runs: dict[tuple[int, ...], int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.where = Spans(self)
-        self.keys, self.back, self.write = array.array("Q"), array.array("i"), array.array("i")
-        self.states = 0
-
-    def add(self, chunk: str) -> int:
-        """First state and length of a new chunk, in one number, after its forward pass."""
-        p, a, n = self.pieces, self.alpha, len(chunk)
-        arcs = p.arcs
-        seen = chunk.replace(MARK, "￿").replace(" ", MARK)  # no piece has U+FFFF
-        total, base = [0.0] * (n + 1), self.states
-        self.states += n + 1
-        keys, back, write = self.keys, self.back, self.write
-        for j in range(1, n + 1):
-            ways = [(total[i] + a * hit[1], i, hit[0]) for i in range(max(0, j - p.longest), j) if (hit := arcs.get(seen[i:j])) is not None]
-            if seen[j - 1] not in arcs:
-                raw = chunk[j - 1].encode()
-                ways.append((total[j - 1] + a * p.byte_log * len(raw), j - 1, -1 - self.text(tuple(p.bytes[b] for b in raw))))
-            key = (base + j) << 32
-            if len(ways) == 1:
-                total[j], i, out = ways[0]
-                keys.append(key + 4294967295), back.append(base + i), write.append(out)
-                continue
-            top = max(ways)[0]
-            weights = [math.exp(w[0] - top) for w in ways]
-            whole = sum(weights)
-            total[j] = top + math.log(whole)
-            upto, unit = 0.0, 4294967295.0 / whole
-            for weight, (_, i, out) in zip(weights, ways):
-                upto += weight
-                keys.append(key + int(upto * unit)), back.append(base + i), write.append(out)
-            keys[-1] = key + 4294967295
-        return (base << LENGTH_BITS) + n
-
-    def text(self, ids: tuple[int, ...]) -> int:
-        """Number of a run of byte pieces."""
-        if ids not in self.runs:
-            self.runs[ids] = len(self.texts)
-            self.texts.append(ids)
-        return self.runs[ids]
-
-    def sample(self, ends: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of one segmentation of each chunk, and their number by chunk."""
-        keys, back, write = (np.frombuffer(x, t) for x, t in ((self.keys, U), (self.back, np.int32), (self.write, np.int32)))
-        state, live = ends.copy(), np.flatnonzero(ends > starts)
-        steps, taken = np.zeros(len(ends), np.int64), []
+
+    def build(self, chunks: list[str]) -> np.ndarray:
+        """The state at the end of each chunk."""
+        self.runs: dict[str, int] = {}
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-size, kind="stable")
+        ends = np.zeros(len(chunks), np.int64)
+        parts, at, base = [], 0, 1
+        while at < len(order):
+            n = max(1, CELLS // max(1, int(size[order[at]])))
+            rows = order[at:at + n]
+            upto, back, write, count, last = self.block([chunks[i] for i in rows], size[rows], base)
+            parts.append((upto, back, write, count))
+            ends[rows] = last
+            base, at = base + len(count), at + n
+        cat = lambda k, t: np.concatenate([p[k] for p in parts]).astype(t) if parts else np.zeros(0, t)
+        self.upto, self.back, self.write = cat(0, np.uint32), cat(1, np.int32), cat(2, np.int32)
+        self.first = np.concatenate(([0, 0], np.cumsum(cat(3, np.int64))))
+        self.texts = [[self.pieces.bytes[b] for b in c.encode()] for c in self.runs]
+        return ends
+
+    def block(self, chunks: list[str], size: np.ndarray, base: int) -> tuple:
+        """Tables of some chunks, longest first; their states are numbered from ``base``, place by place."""
+        p, a = self.pieces, self.alpha
+        width, n = int(size[0]), len(chunks)
+        code = np.full((n, width), 0xFFFFFFFF, np.uint32)
+        code[np.arange(width) < size[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        seen = np.where(code == ord(" "), ord(MARK), np.where(code == ord(MARK), 0xFFFF, code)).astype(U)  # no piece has U+FFFF
+        live = np.searchsorted(-size, -np.arange(width + 1), "right")  # chunks that have place j
+        place = base + np.concatenate(([0, 0], np.cumsum(live[1:])))  # first state of place j is place[j]
+        found: list[tuple] = []  # arcs, longest pieces first
+        hashes, h = [], np.zeros((n, width), U)
+        for length in range(1, min(p.longest, width) + 1):
+            h = (h[:, :width - length + 1] * U(P)) + seen[:, length - 1:] + U(1)
+            hashes.append(h)
+        for length in range(len(hashes), 0, -1):
+            h = mix(hashes[length - 1])
+            row, start = np.nonzero(p.may[(h >> U(44)).astype(np.int64)] & (np.arange(width - length + 1) + length <= size[:, None]))
+            g = h[row, start]
+            k = np.minimum(np.searchsorted(p.hashes, g), len(p.hashes) - 1)
+            hit = p.hashes[k] == g
+            found.append((row[hit], start[hit], start[hit] + length, p.ids[k[hit]], a * p.logs[k[hit]]))
+            if length == 1:
+                alone = np.arange(width) < size[:, None]
+                alone[row[hit], start[hit]] = False
+                row, start = np.nonzero(alone)
+                chars, of = np.unique(code[row, start], return_inverse=True)
+                chars = [chr(c) for c in chars.tolist()]
+                number = np.array([self.runs.setdefault(c, len(self.runs)) for c in chars], np.int64)
+                cost = np.array([a * p.byte_log * len(c.encode()) for c in chars])
+                found.append((row, start, start + 1, -1 - number[of], cost[of]) if chars else (row, start, start, row, np.zeros(0)))
+        row, start, end, out, log = (np.concatenate(x) for x in zip(*found))
+        state = place[end] + row
+        order = np.argsort(state, kind="stable")
+        state, start, row, out, log = state[order], start[order], row[order], out[order], log[order]
+        back = np.where(start == 0, 0, place[start] + row)
+        count = np.bincount(state - base, minlength=int(place[-1]) - base)
+        first = np.concatenate(([0], np.cumsum(count)))
+        total, share = np.zeros(len(count) + 1), np.zeros(len(state))  # total[0] is state 0, then from base on
+        source = np.where(back == 0, 0, back - base + 1)
+        for j in range(1, width + 1):
+            lo, hi = int(place[j]) - base, int(place[j + 1]) - base
+            cut = first[lo:hi]
+            way = total[source[cut[0]:first[hi]]] + log[cut[0]:first[hi]]
+            of, cut = np.repeat(np.arange(hi - lo), count[lo:hi]), cut - cut[0]
+            top = np.maximum.reduceat(way, cut)
+            way = np.exp(way - top[of])
+            rank = np.arange(len(way)) - cut[of]
+            for k in range(1, int(rank.max()) + 1):  # sums in order, alike in every batch
+                here = np.flatnonzero(rank == k)
+                way[here] += way[here - 1]
+            whole = way[np.append(cut[1:], len(way)) - 1]
+            total[lo + 1:hi + 1] = top + np.log(whole)
+            share[first[lo]:first[hi]] = way / whole[of]
+        upto = np.minimum(share * 4294967296.0, 4294967295.0)
+        upto[first[1:] - 1] = 4294967295.0
+        return upto, back, out, count, place[size] + np.arange(n)
+
+    def sample(self, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one segmentation of the chunk of each state, and their number."""
+        first, upto, back, write = self.first, self.upto, self.back, self.write
+        live = np.flatnonzero(ends)
+        state, own = ends[live], seeds[live]
+        steps, taken, step = np.zeros(len(ends), np.int64), [], 0
         while len(live):
-            draw = mix(seeds[live] + (steps[live] + 1).astype(U) * U(P)) >> U(32)
-            at = np.searchsorted(keys, (state[live].astype(U) << U(32)) + draw, "left")
+            step += 1
+            draw = (mix(own + U((step * P) & 0xFFFFFFFFFFFFFFFF)) >> U(32)).astype(np.uint32)
+            at = first[state]
+            late = np.flatnonzero(draw > upto[at])
+            while len(late):
+                at[late] += 1
+                late = late[draw[late] > upto[at[late]]]
             taken.append((live, write[at]))
-            steps[live] += 1
-            state[live] = back[at]
-            live = live[state[live] > starts[live]]
+            steps[live] = step
+            state = back[at]
+            on = np.flatnonzero(state)
+            live, state, own = live[on], state[on], own[on]
         last = np.cumsum(steps) - 1
         out = np.zeros(int(steps.sum()), np.int32)
         for k, (rows, ids) in enumerate(taken):
             out[last[rows] - k] = ids
-        del keys, back, write
         return (out, steps) if not len(out) or out.min() >= 0 else self.spelled(out, steps)
 
     def spelled(self, out: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +222,14 @@ class Lattices:
         return whole, np.bincount(owner, n, len(steps)).astype(np.int64)
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def row_seed(key: object, seed: int) -> int:
     return xxhash.xxh3_64_intdigest("" if key is None else str(key), seed=seed)
 
@@ -184,34 +237,33 @@ def row_seed(key: object, seed: int) -> int:
 def encode_texts(texts: list[str | None], keys: list, lattices: Lattices, seed: int) -> list[np.ndarray | None]:
     """Ids of one sampled segmentation of each text."""
     out: list = [[] if t is not None else None for t in texts]
-    spans, seeds, owners, held = [], [], [], 0
+    ids_of = Numbers()
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
-        code = np.concatenate(spans)
-        start = code >> LENGTH_BITS
-        ids, n = lattices.sample(start + (code & ((1 << LENGTH_BITS) - 1)), start, np.concatenate(seeds))
-        upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum([len(x) for x in spans])))]
-        for d, a, b in zip(owners, upto[:-1].tolist(), upto[1:].tolist()):
-            out[d].append(ids[a:b])
-        for x in (spans, seeds, owners):
-            x.clear()
-        if len(lattices.keys) > MAX_ARCS:
-            lattices.clear()
-
+        """Sample what has been gathered; chunks are numbered anew afterwards."""
+        ends = lattices.build(list(ids_of))
+        upto = np.concatenate(([0], np.cumsum([len(c) for _, c, _ in held])))
+        ids, n = lattices.sample(ends[np.concatenate([c for _, c, _ in held])], np.concatenate([s for _, _, s in held]))
+        cut = np.concatenate(([0], np.cumsum(n)))[upto]
+        for (d, _, _), x, y in zip(held, cut[:-1].tolist(), cut[1:].tolist()):
+            out[d].append(ids[x:y])
+        held.clear(), ids_of.clear()
+
+    size = 0
     for d, text in enumerate(texts):
         if not text:
             continue
         chunks, own = CHUNK.findall(" " + text), np.array([row_seed(keys[d], seed)], U)
         for at in range(0, len(chunks), AT_ONCE):
             part = chunks[at:at + AT_ONCE]
-            spans.append(np.array(list(map(lattices.where.__getitem__, part)), np.int64))
-            seeds.append(mix(own + np.arange(at, at + len(part), dtype=U) * U(0xD1342543DE82EF95)))
-            owners.append(d)
-            held += len(part)
-            if held >= AT_ONCE:
+            number = np.array(list(map(ids_of.__getitem__, part)), np.int64)
+            held.append((d, number, mix(own + np.arange(at, at + len(part), dtype=U) * U(0xD1342543DE82EF95))))
+            size += len(part)
+            if size >= AT_ONCE:
                 flush()
-                held = 0
-    if spans:
+                size = 0
+    if held:
         flush()
     return [None if x is None else np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 

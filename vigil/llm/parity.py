@@ -105,8 +105,8 @@ class Join:
         return int(mix(both).view(np.int64)[0])
 
     def sketch(self, grams: np.ndarray, band: int) -> np.ndarray:
-        """The parity sketch by which candidates of a band are compared: ten bits or so for each allowed difference, ``SKETCH_WORDS`` words at most."""
-        words = np.zeros(min(2 + self.differences(band) // 6, SKETCH_WORDS), U)
+        """The parity sketch by which candidates of a band are compared: thirty bits or so for each allowed difference, ``SKETCH_WORDS`` words at most."""
+        words = np.zeros(min(2 + self.differences(band) // 2, SKETCH_WORDS), U)
         h = mix(grams ^ U(0xD6E8FEB86659FD93))
         place = ((h >> U(32)) * U(len(words))) >> U(32)
         np.bitwise_xor.at(words, place.astype(np.int64), U(1) << (h & U(63)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -19,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def ready(spark: SparkSession) -> None:
     """Shared checkpoint folder, code on the workers, Arrow batches small
-    enough that a batch of very long texts fits a Python worker."""
+    enough that a batch of very long texts fits a Python worker, and shuffle
+    files deleted when their job is done rather than at some later time."""
     ensure_checkpoint_dir(spark)
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,17 +41,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     later reads prune columns, and it survives the loss of any executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so
-    when the driver has collected its garbage, which by itself may be hours later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:

@@ -37,24 +37,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import dropped, fresh, stored
 
 RARITY_BITS = 16
 MAP_BITS = 22
+LONG = 64
 BLANKS = r"[\x20\x09-\x0D]+"
 ODD_BLANK = r"[\x09\x0B-\x0D]"
 
 
 def words_of(line: Column) -> Column:
-    """Distinct words; lines that have only blanks of the common kind are split without a pattern."""
-    split = F.when(line.rlike(ODD_BLANK), F.split(line, BLANKS)).otherwise(F.split(line, " "))
-    return F.array_distinct(F.array_remove(split, ""))
+    """Words, some of them empty; lines that have only blanks of the common kind are split without a pattern."""
+    return F.when(line.rlike(ODD_BLANK), F.split(line, BLANKS)).otherwise(F.split(line, " "))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """k, l and words of every line of documents with a key."""
-    return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("l", "line")) \
-        .select("k", "l", words_of(F.col("line")).alias("w"))
+    """k, l and text of every line of documents with a key."""
+    return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("l", "line"))
 
 
 def fixed_array(df: DataFrame, size: int) -> Column:
@@ -64,37 +63,39 @@ def fixed_array(df: DataFrame, size: int) -> Column:
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("a")).scalar()
 
 
-def rarity(docs: DataFrame, text: str) -> bytes:
-    """Class (about 4 log2 of the count) of each hash bucket of words, over all texts: a byte a bucket, whatever the input."""
-    words = docs.select(F.explode(F.split(F.translate(F.col(text).cast("string"), "\n", " "), " ")).alias("w"))
+def rarity(docs: DataFrame, text: str) -> Column:
+    """Class (about 4 log2 of the count, in the bits above 55) of each hash bucket of words, over all texts: as many numbers whatever the input."""
+    lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
     rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = bytearray(1 << RARITY_BITS)
+    out = [0] * (1 << RARITY_BITS)
     for r in rows:
         out[r.b] = min(127, int(4 * math.log2(r.n)))
-    return bytes(out)
+    return F.split(F.lit(",".join(str(c << 55) for c in out)), ",").cast("array<bigint>")  # a constant when it runs
 
 
 def bucket(h: Column) -> Column:
     return h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")
 
 
-def packed(classes: Column, h: Column) -> Column:
-    """Class and hash of a word in one number that sorts by rarity."""
-    c = F.ascii(F.call_function("substring", classes, bucket(h) + 1, F.lit(1)).cast("string"))
-    return F.shiftleft(c.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
-
-
 def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words: int, num: int, den: int) -> DataFrame:
-    """k, l, n (set size), id (hash of the set), prefix (rarest words, as class and hash in one number) and signature s0, s1."""
-    hashes = lines_of(docs, key, text).select("k", "l", F.transform("w", lambda x: F.xxhash64(x)).alias("h")) \
-        .filter(F.size("h") >= min_words)
-    ranked = hashes.select("k", "l", F.size("h").alias("n"), F.sort_array(F.transform("h", lambda h: packed(classes, h))).alias("r"))
-    flip = lambda odd: F.aggregate("r", F.lit(0).cast("long"), lambda a, x: F.when(
-        x.bitwiseAND(1) == odd, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 1).bitwiseAND(63).cast("int")))).otherwise(a))
+    """k, l, n (set size), id (hash of the set), prefix (rarest words, as class and
+    hash in one number), star keys and signature.
+
+    The signature is the parity of the words by 64 bits of their hashes (s0), and
+    for lines of over ``LONG`` words also that of the words with an odd hash (s1)."""
+    hashes = lines_of(docs, key, text).select("k", "l", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
+    hashes = hashes.select("k", "l", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))).alias("h")).filter(F.size("h") >= min_words)
+    rank = lambda h: F.get(classes, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 9))
+    ranked = hashes.select("k", "l", F.size("h").alias("n"), F.sort_array(F.transform("h", rank)).alias("r"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+    odd = lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1
     n = F.col("n")
     need = F.floor((num * n + (den - 1)) / den).cast("int")
-    return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), n - need + 1).alias("prefix"),
-                         flip(0).alias("s0"), flip(1).alias("s1"), star_keys(n).alias("star"))
+    return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), n - need + 1).alias("prefix"), star_keys(n).alias("star"),
+                         F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
+                         F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
 
 
 def star_keys(n: Column) -> Column:
@@ -113,7 +114,8 @@ def first_lines(sets: DataFrame) -> DataFrame:
 
 def may_be_similar(x: Column, y: Column, num: int, den: int) -> Column:
     """Length filter and signature distance of two lines (structs of ``SIDE``)."""
-    distance = F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
+    every, odd = x["s0"].bitwiseXOR(y["s0"]), x["s1"].bitwiseXOR(y["s1"])
+    distance = F.when((x["n"] > LONG) & (y["n"] > LONG), F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))).otherwise(F.bit_count(every))
     return ((den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])) & ((den + num) * distance <= (den - num) * (x["n"] + y["n"])))
 
 
@@ -164,13 +166,14 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, num: int, d
 
     Words come from the texts again; a fixed-size map of the places wanted keeps other lines from being moved."""
     pairs = stored(pairs, "line-pairs")
-    place = lambda a: F.xxhash64(f"{a}k", f"{a}l")
-    wanted = bitmap(pairs.select(F.explode(F.array(place("x"), place("y"))).alias("id")))
-    at = F.pmod(F.xxhash64("k", "l"), F.lit(1 << MAP_BITS))
-    lines = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("l", "line"))
-    lines = lines.filter(F.call_function("shiftright", F.get(wanted, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-    a = lines.select(F.col("k").alias("xk"), F.col("l").alias("xl"), words_of(F.col("line")).alias("xw"))
-    b = lines.select(F.col("k").alias("yk"), F.col("l").alias("yl"), words_of(F.col("line")).alias("yw"))
+    ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{a}k").alias("k"), F.col(f"{a}l").alias("l")) for a in "xy"))).alias("at")).select("at.k", "at.l").distinct()
+    place = F.xxhash64("k", "l")
+    wanted = bitmap(ids.select(place.alias("id")))
+    at = F.pmod(place, F.lit(1 << MAP_BITS))
+    lines = lines_of(docs, key, text).filter(
+        F.call_function("shiftright", F.get(wanted, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    lines = stored(lines.join(ids, ["k", "l"], "left_semi").select("k", "l", F.array_distinct(F.array_remove(words_of(F.col("line")), "")).alias("w")), "line-words")
+    a, b = (lines.select(*(F.col(c).alias(f"{n}{c}") for c in "klw")) for n in "xy")
     both = pairs.join(a, ["xk", "xl"]).join(b, ["yk", "yl"]).filter((F.size("xw") == F.col("xn")) & (F.size("yw") == F.col("yn")))
     common = F.size(F.array_intersect("xw", "yw"))
     hit = both.filter(den * common >= num * (F.col("xn") + F.col("yn") - common))
@@ -178,11 +181,13 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, num: int, d
 
 
 def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """id, first place (fk, fl) and ``gone`` of each set: whether its first line is similar to an earlier one."""
+    """id, first place (fk, fl) and ``gone`` of each set: whether its first line is similar to an earlier one.  Uses up the table ``sets``."""
     first = stored(first_lines(sets), "line-first")
+    dropped(sets)
     same = ["k", "l", "s0", "s1"]
     done = stored(verified(star_pairs(first, num, den), docs, key, text, num, den), "line-done")
-    marked = stored(first.join(done.withColumn("hit", F.lit(0)), same, "left").withColumn("open", F.coalesce("hit", F.lit(1))).drop("hit"), "line-open")
+    marked = stored(first.drop("star").join(done.withColumn("hit", F.lit(0)), same, "left").withColumn("open", F.coalesce("hit", F.lit(1))).drop("hit"), "line-open")
+    dropped(first)
     more = stored(verified(prefix_pairs(marked, num, den), docs, key, text, num, den), "line-done")
     return marked.join(more.withColumn("hit", F.lit(True)), same, "left").select(
         "id", F.col("k").alias("fk"), F.col("l").alias("fl"), (F.coalesce("hit", F.lit(False)) | (F.col("open") == 0)).alias("gone"))
@@ -190,10 +195,10 @@ def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: in
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """k (key) and l (line number from 0) of the lines that go; a row for each line of repeated rows."""
-    classes = F.lit(rarity(docs, text))
-    sets = line_sets(docs, key, text, classes, min_words, num, den)
-    known = stored(repeated_sets(docs, key, text, sets, num, den), "line-sets")
-    own = sets.select("k", "l", "id").join(known, "id")
+    sets = stored(line_sets(docs, key, text, rarity(docs, text), min_words, num, den), "line-sets")
+    own = stored(sets.select("k", "l", "id"), "line-ids")
+    known = stored(repeated_sets(docs, key, text, sets, num, den), "line-known")
+    own = own.join(known, "id")
     return own.filter(F.col("gone") | (F.col("fk") < F.col("k")) | ((F.col("fk") == F.col("k")) & (F.col("fl") < F.col("l")))).select("k", "l", "id")
 
 

@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go, and documents that so lose their last word."""
+    """Lines similar to an earlier line go, short ones too, and documents that so lose their last word."""
     ready(spark)
-    out = linededup.dedup(docs)
+    out = linededup.dedup(docs, min_words=1)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

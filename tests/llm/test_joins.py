@@ -120,6 +120,22 @@ def test_dedup_rows(docs_of, prose):
     assert linededup.dedup(docs_of([])).count() == 0
 
 
+def test_short_lines_in_pipeline(llm, docs_of):
+    import corpus_pipeline
+    d = docs_of([(1, "Les.\nAll rights reserved\na b c d"), (2, "Les.\nLes.\nnew one"), (3, "reserved rights All\nb a\na b c"), (4, "a b c d e\n\nx"), (5, "Les."), (6, "a b\nc d e f g")])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(llm, d, "").collect()}
+    # four words in five reach 0.8, three in four don't
+    assert got == {1: "Les.\nAll rights reserved\na b c d", 2: "new one", 3: "b a\na b c", 4: "\nx", 6: "c d e f g"}
+
+
+def test_short_lines_as_by_brute_force(docs_of):
+    r = random.Random(9)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 7))) for _ in range(4))) for i in range(50)]
+    lines = [(k, i, frozenset(x.split())) for k, t in rows for i, x in enumerate(t.split("\n"))]
+    want = {(k, i) for k, i, w in lines if w and any((a, b) < (k, i) and 5 * len(w & v) >= 4 * len(w | v) for a, b, v in lines)}
+    assert {(x.k, x.l) for x in linededup.removed_lines(docs_of(rows), min_words=1).collect()} == want
+
+
 def test_line_dedup_is_native(docs_of, prose):
     plan = linededup.dedup(docs_of([(1, prose(20, 1)), (2, prose(20, 1))]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)

@@ -3,7 +3,8 @@
 A line's set is its distinct words (runs other than \\x20 and \\x09-\\x0D).  A line
 goes if an earlier line, by (key, line number), has a set of Jaccard similarity
 ``num / den`` or more; that line may itself be gone.  Lines of fewer than
-``min_words`` distinct words always stay.
+``min_words`` distinct words always stay.  Sets too small to be similar to any
+other (below four words at 0.8) are settled as equal sets and enter no join.
 
 Sets are ordered by rarity: words fall into ``1 << RARITY_BITS`` hash buckets,
 whose counts over the whole corpus give each word its class, so the order needs
@@ -93,7 +94,9 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words:
     odd = lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1
     n = F.col("n")
     need = F.floor((num * n + (den - 1)) / den).cast("int")
-    return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), n - need + 1).alias("prefix"), star_keys(n).alias("star"),
+    joins = den * n >= num * (n + 1)  # a set of n words is similar to another at all: at best to itself with one word more
+    return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
+                         F.when(joins, star_keys(n)).otherwise(F.array().cast("array<bigint>")).alias("star"),
                          F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
                          F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
 

@@ -148,6 +148,14 @@ def test_disclosing_terms(docs_of, monkeypatch):
     assert out[-1].sanitised == "[TERM] and [TERM] alone" and out[-1].spans == "term:0:7,term:12:20"
 
 
+def test_terms_far_from_the_identifier(docs_of, prose):
+    far = prose(60, 3)
+    texts = [f"Blorvik heads page {i} {far} mail to sig@far.example" for i in range(4)] + [f"{far} plain page {i} to mail" for i in range(100)]
+    out = pii.find_and_sanitise(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert all("Blorvik" not in r.sanitised and "term:0:7" in r.spans for r in out[:4])
+    assert all(far in r.sanitised for r in out) and all(r.n_terms == 0 for r in out[4:])
+
+
 # pieces
 
 TEXTS = ["", " ", "a", "the quick  brown\n\nfox", "▁mark ▁ é\U0001f600\x00￿", "x" * 3000, "tab\there  \n ", None]

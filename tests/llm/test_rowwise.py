@@ -156,6 +156,21 @@ def test_terms_far_from_the_identifier(docs_of, prose):
     assert all(far in r.sanitised for r in out) and all(r.n_terms == 0 for r in out[4:])
 
 
+def test_rare_entities_disclosed_over_the_whole_text(docs_of, prose):
+    far = prose(60, 3)
+    texts = [f"Blorvik signs here {far} mail to one@rare.example",  # one document, over 160 characters away
+             f"Drumpeltin heads it {far} call two@rare.example", f"two@rare.example {far} says Drumpeltin again",
+             *(f"{far} plain page {i}" for i in range(60)), "Drumpeltin", None]
+    out = pii.find_and_sanitise(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert "Blorvik" not in out[0].sanitised and out[0].n_terms >= 1 and "term:0:7" in out[0].spans
+    assert all("Drumpeltin" not in out[i].sanitised and "[TERM]" in out[i].sanitised for i in (1, 2))
+    assert out[63].sanitised == "[TERM]"  # two of three documents hold the entity too
+    assert all(far in r.sanitised for r in out[:63]) and all(r.n_terms == 0 for r in out[3:63])
+    # copies are no further evidence: c = 1 of n = 3
+    copies = [f"Blorvik signs here {far} mail to one@rare.example"] * 3 + texts[3:63]
+    assert all(r.n_terms == 0 for r in pii.find_and_sanitise(docs_of(list(enumerate(copies)))).collect())
+
+
 # pieces
 
 TEXTS = ["", " ", "a", "the quick  brown\n\nfox", "▁mark ▁ é\U0001f600\x00￿", "x" * 3000, "tab\there  \n ", None]

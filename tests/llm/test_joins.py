@@ -218,3 +218,15 @@ def test_search(llm):
     few = {(r.query_id, r.vec_id) for r in rpforest.search(d.filter("vec_id = 0"), d.filter("vec_id < 3"), k=20).collect()}
     assert few == {(0, 1), (0, 2)}
     assert rpforest.search(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_recall_with_far_more_leaves_than_probes(llm):
+    import numpy as np
+    x = np.random.default_rng(3).normal(size=(4000, 16)).astype(np.float32).astype(float)
+    d = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = d.filter("vec_id % 40 = 0")
+    got = {}
+    for r in rpforest.search(q, d, k=10, trees=8, probes=16, leaf=8).collect():  # 4,096 leaves
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[i] & set([j for j in np.argsort(-(x @ x[i]), kind="stable").tolist() if j != i][:10])) for i in range(0, 4000, 40))
+    assert hits >= 0.9 * 10 * 100

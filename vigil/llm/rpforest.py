@@ -4,9 +4,13 @@ Each tree splits a bounded sample of the vectors by hyperplanes between two
 centres, at the median of the projections, down to leaves; every vector is
 then sent down every tree.  A query goes down all trees through one shared
 priority queue: the branch that its projections least rule out comes next,
-whatever its tree, until ``probes`` leaves are found.  All vectors of these
+whatever its tree, until enough leaves are found.  All vectors of these
 leaves are scored exactly, in double precision.
 
+How many leaves are enough is measured on the index itself: the nearest vectors
+of ``CALIBRATED`` queries are found by full comparison, and queries visit as
+many leaves as it takes to meet ``recall`` of them, ``probes`` at least.
+
 Nearness is the inner product.  Trees see vectors with one more component,
 sqrt(M - |x|**2) with M the largest squared norm, so that nearest by angle is
 nearest by inner product; queries have 0 there.
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,7 @@ from pyspark.sql import Window
 from .common import stored
 
 LEAF = 128
+CALIBRATED = 128
 BLOCK = 4096
 SCORED = 1 << 22
 
@@ -94,20 +100,37 @@ class Forest:
 
     def probes(self, margins: np.ndarray, count: int) -> list[int]:
         """The ``count`` most promising leaves of all trees for one query, given its margin at every node."""
+        return list(islice(self.promising(margins), count))
+
+    def promising(self, margins: np.ndarray) -> Iterator[int]:
+        """All leaves, the most promising first."""
         heap = [(0.0, i, root) for i, root in enumerate(self.roots)]
         heapq.heapify(heap)
-        out, order = [], len(heap)
-        while heap and len(out) < count:
+        order = len(heap)
+        while heap:
             far, _, node = heapq.heappop(heap)
             if node < 0:
-                out.append(-1 - node)
+                yield -1 - node
                 continue
             m = float(margins[node])
             # squared margins on the wrong side add up along the way, as distances to a corner do
             heapq.heappush(heap, (far + min(m, 0.0) ** 2, order, self.high[node]))
             heapq.heappush(heap, (far + max(m, 0.0) ** 2, order + 1, self.low[node]))
             order += 2
-        return out
+
+    def met_at(self, margins: np.ndarray, leaves: np.ndarray) -> list[int]:
+        """Number of leaves to visit until each vector is met, given the leaves of each."""
+        holders: dict[int, list[int]] = {}
+        for i, of in enumerate(leaves.tolist()):
+            for leaf in of:
+                holders.setdefault(leaf, []).append(i)
+        found: dict[int, int] = {}
+        for n, leaf in enumerate(self.promising(margins), 1):
+            for i in holders.get(leaf, ()):
+                found.setdefault(i, n)
+            if len(found) == len(leaves):
+                break
+        return list(found.values())
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -153,8 +176,37 @@ def fit(vectors: DataFrame, n: int, trees: int, leaf: int, max_sample: int, seed
     return Forest(x, trees, max(4, leaf * len(rows) // n), seed), most
 
 
+def enough(wanted: DataFrame, vectors: DataFrame, forest: Forest, most: float, k: int, recall: float, seed: int) -> int:
+    """Leaves to visit so that ``recall`` of the true ``k`` nearest vectors of ``CALIBRATED`` queries are met, by one pass over all vectors."""
+    asked = wanted.orderBy(F.xxhash64("vid", F.lit(seed)), "vid").limit(CALIBRATED).collect()
+    if not asked:
+        return 0
+    vids, q = np.array([r.vid for r in asked]), np.array([r.v for r in asked])
+    sent = wanted.sparkSession.sparkContext.broadcast((vids, q))
+
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vids, q = sent.value
+        for b in it:
+            if len(b):
+                r, c, s = best_of(q, matrix(b.column("v")), b.column("id").to_numpy(), k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(vids[r]), *(b.column(n).take(pa.array(c)) for n in ("vid", "id", "v")), pa.array(s)],
+                                                 ["qvid", "vid", "id", "v", "score"])
+
+    near = Window.partitionBy("qvid").orderBy(F.desc("score"), "id")
+    rows = vectors.mapInArrow(score, "qvid bigint, vid bigint, id bigint, v array<double>, score double").filter("vid <> qvid") \
+        .withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select("qvid", "v").collect()
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.qvid, []).append(r.v)
+    at: list[int] = []
+    for vid, x in zip(vids.tolist(), q.astype(np.float32)):
+        if vid in by:
+            at += forest.met_at(x @ forest.normal[:, :-1].T - forest.at, forest.leaf_of(lifted(np.array(by[vid]), most)))
+    return sorted(at)[max(0, int(np.ceil(recall * len(at))) - 1)] if at else 0
+
+
 def search(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32,
-           probes: int = 256, leaf: int = LEAF, max_sample: int = 20_000, seed: int = 3) -> DataFrame:
+           probes: int = 256, leaf: int = LEAF, max_sample: int = 20_000, seed: int = 3, recall: float = 0.95) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest rows found for each
     query, without the row of its own id."""
     own = stored(usable(rows, key, vector).withColumn("vid", F.xxhash64("v")), "ann-rows")
@@ -167,6 +219,7 @@ def search(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str
     fitted = fit(vectors, vectors.count(), trees, leaf, max_sample, seed)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    probes = max(probes, enough(wanted, vectors, *fitted, k, recall, seed))
     sent = spark.sparkContext.broadcast(fitted)  # trees over a bounded sample
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir, ship_code
@@ -55,6 +56,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def positions(df: DataFrame, group: list[str], order: list[Column], name: str, count: str, at: str) -> DataFrame:
+    """All columns of ``df``, ``name`` (the place from 0 of a row in its group, in the given order) and
+    ``count`` (rows of the group).  The order is part of one range-partitioned sort, so a group of any
+    size is spread over tasks; only each task's count of a group is summed up.  ``at`` is a free column name.
+    Nulls of a group column are one group; rows equal in the whole order get their places in any order."""
+    rows = stored(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+                  .withColumn(at, F.monotonically_increasing_id()), "positions")
+    part = F.shiftright(at, 33)
+    counts = rows.groupBy(*group, part.alias("p")).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*group, F.lit(0))  # as many rows as tasks hold the group
+    bases = counts.select(
+        *[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], "p", F.sum("n").over(whole).alias(count),
+        (F.sum("n").over(whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).alias("before"), "first")
+    bases = bases.select("*", (F.coalesce("before", F.lit(0)) - F.col("first")).alias("base")).drop("before", "first")
+    same = [F.col(g).eqNullSafe(F.col(f"g{i}")) for i, g in enumerate(group)]
+    out = rows.join(bases, reduce(lambda a, b: a & b, same, part == F.col("p")))
+    return out.select(*df.columns, (F.col(at) + F.col("base")).alias(name), F.col(count))
+
+
 def fold(key: Column, n: int = 5) -> Column:
     """crc32 of the key as text modulo ``n``; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(0))

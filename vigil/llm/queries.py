@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, langid, linededup, mixing, parity, pii, rpforest, spm, subword, warc
+from . import bpe, hostrules, importance, langid, linededup, merkle, mixing, parity, pii, rpforest, spm, subword, warc
 from .common import drop_path, fold, read, ready, scratch, stored
 
 
@@ -102,6 +102,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes the line ends of texts whose key has an even crc32."""
+    ready(spark)
+    docs = read(spark, sf_dir, "documents")
+    c = F.col
+    own = merkle.leaf([c("doc_id"), c("source"), c("lang"), c("n_chars"), c("text")])
+    other = merkle.leaf([c("doc_id"), c("source"), c("lang"), c("n_chars"), F.replace(c("text"), F.lit("\n"), F.lit(""))])
+    out = merkle.manifest(docs, c("doc_id"), c("source"), own, F.when(F.crc32(c("doc_id").cast("string")) % 2 == 0, other))
+    return out.select(c("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+                      c("folded").alias("folded_root"), (c("folded") == c("root")).alias("verified"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of what they decode to."""
+    import public_tokenizers
+    ready(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False, as_text=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_host_rules": op2_host_rules,
@@ -113,8 +139,17 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_parity_join": op9_parity_join,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_importance": op12_importance,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
+#: crc32 of the UTF-8 bytes of column x, with the table of a byte in column z.t
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(x)), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT)),
+                            lambda c, b: xor(c >> 8, z.t[(xor(c, b) & 255) + 1])), 4294967295)"""
+CRC_TABLE = """(SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
 ORACLE: dict[str, str] = {
     "op2_host_rules": r"""
         WITH w AS (
@@ -173,4 +208,48 @@ ORACLE: dict[str, str] = {
                CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN original <> page_id THEN original END AS refers_to, true AS intact
         FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000""",
+    "op11_merkle": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS head, text, doc_id::VARCHAR AS x FROM documents),
+        h AS (SELECT d.*, list_reduce(list_transform(head, lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), lambda a, b: a || b) AS f,
+                     {CRC} % 2 = 0 AS tampered FROM d, {CRC_TABLE} z),
+        e AS (SELECT doc_id, source, sha256(f || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+                     CASE WHEN tampered THEN sha256(f || CASE WHEN text IS NULL THEN '-' ELSE strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') END) END AS altered
+              FROM h),
+        p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM e),
+        a AS (SELECT coalesce('s' || source, 'n') AS g, 0 AS l, i, n, leaf AS h FROM p
+              UNION ALL SELECT g, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY g, l, i // 3, n),
+        s AS (SELECT g, max_by(h, l) AS h FROM a GROUP BY g),
+        q AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM s),
+        b AS (SELECT 0 AS l, i, n, h FROM q UNION ALL
+              SELECT l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY l, i // 3, n),
+        c AS (SELECT p.doc_id, p.leaf, g, p.i, 0 AS l, n, coalesce(altered, leaf) AS h, '' AS proof FROM p JOIN s ON g = coalesce('s' || source, 'n')
+              UNION ALL
+              SELECT c.doc_id, c.leaf, c.g, c.i // 3, c.l + 1, (c.n + 2) // 3, sha256(string_agg(CASE WHEN a.i = c.i THEN c.h ELSE a.h END, '' ORDER BY a.i)),
+                     c.proof || coalesce(string_agg(a.h, '' ORDER BY a.i) FILTER (a.i <> c.i), '')
+              FROM c JOIN a ON a.g = c.g AND a.l = c.l AND a.i // 3 = c.i // 3 WHERE c.n > 1 GROUP BY c.doc_id, c.leaf, c.g, c.i, c.l, c.n, c.h, c.proof),
+        u AS (SELECT c.doc_id, c.leaf, q.h AS subroot, q.i, 0 AS l, q.n, c.h, c.proof FROM c JOIN q ON c.g = q.g WHERE c.n = 1
+              UNION ALL
+              SELECT u.doc_id, u.leaf, u.subroot, u.i // 3, u.l + 1, (u.n + 2) // 3, sha256(string_agg(CASE WHEN b.i = u.i THEN u.h ELSE b.h END, '' ORDER BY b.i)),
+                     u.proof || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> u.i), '')
+              FROM u JOIN b ON b.l = u.l AND b.i // 3 = u.i // 3 WHERE u.n > 1 GROUP BY u.doc_id, u.leaf, u.subroot, u.i, u.l, u.n, u.h, u.proof)
+        SELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root, u.h = b.h AS verified
+        FROM u JOIN b ON u.n = 1 AND b.n = 1""",
+    "op12_importance": rf"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+            FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark WHERE text IS NOT NULL)),
+        o AS (SELECT doc_id, unnest(ws) AS x FROM w),
+        k AS (SELECT x, {CRC} % 10000 AS bucket FROM (SELECT DISTINCT x FROM o), {CRC_TABLE} z),
+        f AS (SELECT o.doc_id, bucket FROM o JOIN k ON o.x = k.x),
+        c AS (SELECT r.range AS bucket, count(f.doc_id) AS s, count(f.bucket) - count(f.doc_id) AS t FROM range(10000) r LEFT JOIN f ON f.bucket = r.range GROUP BY r.range),
+        g AS (SELECT bucket, floor(1000 * ln(((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM c),
+        m AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN g ON f.bucket = g.bucket WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        v AS (SELECT w.doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+              FROM w LEFT JOIN m ON w.doc_id = m.doc_id WHERE w.doc_id IS NOT NULL),
+        r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r,
+                     count(*) FILTER (n_features >= 20) OVER () AS n FROM v)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM r""",
 }

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import checked_broadcast
+from ..functions.jsonx import field, with_json_tiers
+from ..session import staged
+from .joins import checked_broadcast, salted_join
 
 # ---- fixed values ------------------------------------------------------------
 SEARCH_ORDER = {"brand": 0, "generic": 1, "substance": 2}   # tried in this order
@@ -103,9 +105,85 @@ def expectedness(df: DataFrame, pt_col: str = "reaction_pt", label_col: str = "l
               .withColumn("needs_review", ~has_label))
 
 
-def accepted_assessment(df: DataFrame) -> DataFrame:
-    """L4: keep rows whose status is in the domain."""
-    return df.where(F.col("labelling_status").isin("Expected", "Unexpected"))
+def assess(reports: DataFrame, label_cache: DataFrame, key: str = "id", drug_col: str = "drug_name", pt_col: str = "reaction_pt") -> DataFrame:
+    """``expectedness`` and L1 for any number of reports: each different (drug, term) is decided once.
+
+    The terms' words are equi-joined with the labels' n-grams; only pairs that meet there are compared by
+    the phrase as written.  The reports get the verdict by a salted join, so a drug or term in a third of them is no hot key."""
+    from .mentions import mention_table, phrase
+
+    texts = label_cache.where(F.col("label_text") != "").select(F.col("drug_name").alias(drug_col), "label_text")
+    flags = texts.select(drug_col, F.lit(True).alias("has_label"))
+    pairs = staged(reports.select(drug_col, F.lower(pt_col).alias("_term")).distinct().join(flags, drug_col), "pairs")
+    wanted = pairs.select(phrase(F.col("_term")).alias("phrase"), F.col("_term")).distinct()
+    near = mention_table(texts, wanted, drug_col).select(drug_col, "_term").join(pairs, [drug_col, "_term"], "left_semi")
+    told = expectedness(near.join(texts, drug_col), "_term").where(F.col("labelling_status") == "Expected")
+    verdict = pairs.join(told.select(drug_col, "_term", F.col("labelling_evidence").alias("_evidence"), F.lit(True).alias("_found")),
+                         [drug_col, "_term"], "left")
+    out = salted_join(reports.withColumn("_term", F.lower(pt_col)), staged(verdict, "verdicts"), [drug_col, "_term"], key)
+    has, found = F.coalesce("has_label", F.lit(False)), F.coalesce("_found", F.lit(False))
+    missing = F.concat(F.lit("'"), F.col(pt_col), F.lit("' is not mentioned in the label text."))
+    return out.withColumns({
+        "label_source": F.when(has, LABEL_SOURCE_LABEL).otherwise(LABEL_SOURCE_NONE),
+        "labelling_status": F.when(found, "Expected").when(has, "Unexpected"),
+        "labelling_evidence": F.when(found, F.col("_evidence")).when(has, missing).otherwise(F.lit("")),
+        "needs_review": ~has}).drop("_term", "has_label", "_evidence", "_found")
+
+
+def related_status(coded: DataFrame, labels: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
+    """L2 with related terms over coded reports: ``found`` are ``mentions.related_findings`` of ``labels`` (drug_name, label_text)."""
+    flags = labels.where(F.coalesce("label_text", F.lit("")) != "").select("drug_name", F.lit(True).alias("_label"))
+    hits = found.select("drug_name", F.col("pt_code").alias("meddra_pt_code"), F.col("kind").alias("_kind"), F.col("phrase").alias("matched_phrase"),
+                        F.col("evidence").alias("_evidence"))
+    out = salted_join(salted_join(coded, flags, ["drug_name"], key), staged(hits, "hits"), ["drug_name", "meddra_pt_code"], key)
+    hit, has = F.col("matched_phrase").isNotNull(), F.coalesce("_label", F.lit(False))
+    missing = F.concat(F.lit("'"), F.col("reaction_pt"), F.lit("' is not mentioned in the label text."))
+    return out.withColumns({
+        "labelling_status": F.when(hit, "Expected").when(has, "Unexpected"),
+        "match_kind": F.when(hit, F.when(F.col("_kind") == "pt", "direct").otherwise("related")),
+        "labelling_evidence": F.when(hit, F.col("_evidence")).when(has, missing).otherwise(F.lit("")),
+        "needs_review": ~hit & ~has}).drop("_label", "_kind", "_evidence")
+
+
+MIN_OTHERS = 3       # other reports of the drug that class evidence needs
+MIN_SHARE_PCT = 20   # share of them in the organ class that makes a reaction expected
+
+
+def class_evidence(coded: DataFrame, key: str = "id", drug_col: str = "drug_name", soc_col: str = "meddra_soc") -> DataFrame:
+    """Adds ``n_others``, the drug's other reports, and ``n_same``, those of them in the report's organ class.
+
+    Counts are partial aggregates; the reports get theirs by a salted join.  Without a class or drug both are null."""
+    known = coded.where((F.coalesce(soc_col, F.lit("")) != "") & F.col(drug_col).isNotNull())
+    by_class = known.groupBy(drug_col, soc_col).agg(F.count(F.lit(1)).alias("n_class"))
+    by_drug = by_class.groupBy(drug_col).agg(F.sum("n_class").alias("n_drug"))
+    both = by_class.join(by_drug, drug_col)
+    out = salted_join(coded, both, [drug_col, soc_col], key)
+    return out.withColumns({"n_same": F.col("n_class") - 1, "n_others": F.col("n_drug") - 1}).drop("n_class", "n_drug")
+
+
+def class_rule(assessed: DataFrame, min_others: int = MIN_OTHERS, min_share_pct: int = MIN_SHARE_PCT, drug_col: str = "drug_name",
+               soc_col: str = "meddra_soc") -> DataFrame:
+    """L3: where a drug has no label text, the organ class decides, the report itself left out: expected if
+    ``min_share_pct`` % or more of the drug's other reports are in the class.  With fewer than ``min_others`` of them
+    the status stays null and ``needs_review`` set.  Rows come from ``class_evidence``."""
+    enough = F.col("needs_review") & (F.coalesce("n_others", F.lit(0)) >= min_others)
+    often = F.col("n_same") * 100 >= F.col("n_others") * min_share_pct
+    told = F.concat(F.col("n_same").cast("string"), F.lit(" of "), F.col("n_others").cast("string"), F.lit(" other reports of "), F.col(drug_col),
+                    F.lit(" concern "), F.col(soc_col), F.lit("."))
+    return assessed.withColumns({
+        "labelling_status": F.when(enough, F.when(often, "Expected").otherwise("Unexpected")).otherwise(F.col("labelling_status")),
+        "labelling_evidence": F.when(enough, told).otherwise(F.col("labelling_evidence")),
+        "needs_review": F.col("needs_review") & ~enough})
+
+
+def accepted(answers: DataFrame, raw_col: str = "raw_output") -> DataFrame:
+    """L4 over raw labelling answers: adds ``parse_ok``, ``labelling_status`` and ``labelling_evidence`` as answered, and ``reject_reason``:
+    ``unparsed`` (no JSON object in the answer), ``bad_status`` (status not in the domain), null = accepted."""
+    out = with_json_tiers(answers, raw_col, "_answer")
+    v = F.col("_answer")
+    out = out.withColumns({"parse_ok": v.isNotNull(), "labelling_status": field(v, "labelling_status"), "labelling_evidence": field(v, "labelling_evidence")})
+    domain = F.coalesce(F.col("labelling_status").isin("Expected", "Unexpected"), F.lit(False))
+    return out.withColumn("reject_reason", F.when(~F.col("parse_ok"), "unparsed").when(~domain, "bad_status")).drop("_answer")
 
 
 def coverage(label_cache: DataFrame, labelled_reports: DataFrame) -> DataFrame:

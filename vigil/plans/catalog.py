@@ -115,7 +115,7 @@ def top_drugs(spark, sf):
 # ------------------------------------------------------------ dictionary ----
 from ..operators import coding as C  # noqa: E402
 from ..operators import dictionary as D  # noqa: E402
-from ..session import cut_lineage, read_table  # noqa: E402
+from ..session import cut_lineage, read_table, staged  # noqa: E402
 
 
 def dict_sheets(spark, sf):
@@ -227,14 +227,14 @@ def code_attach_predictions(spark, sf):
 from ..operators import labels as L  # noqa: E402
 
 
-def label_cache(spark, sf) -> DataFrame:
-    """One row per distinct drug; materialised so its size check and the
-    report join read it once."""
-    return cut_lineage(L.label_cascade(clean_reports(spark, sf), bridge.label_rows(spark, sf)))
+def label_cache(spark, sf, clean: DataFrame | None = None) -> DataFrame:
+    """One row per distinct drug; materialised so that what joins it reads it once."""
+    return staged(L.label_cascade(clean_reports(spark, sf) if clean is None else clean, bridge.label_rows(spark, sf)), "labels")
 
 
 def labelled_reports(spark, sf) -> DataFrame:
-    return L.expectedness(L.join_labels(clean_reports(spark, sf), label_cache(spark, sf)))
+    clean = staged(clean_reports(spark, sf).select("id", "drug_name", "reaction_pt"), "reports")
+    return L.assess(clean, label_cache(spark, sf, clean))
 
 
 @query("label_cascade")
@@ -268,16 +268,19 @@ from ..functions import jsonx as JX  # noqa: E402
 
 def case_inputs(spark, sf) -> DataFrame:
     """clean -> codes (exact, then edit-distance fuzzy; unmatched dropped)
-    -> label text -> expectedness -> formatted prompt fields.
+    -> expectedness by label, else by class -> formatted prompt fields.
 
     The clean table feeds three branches (exact hits, fuzzy misses, the
-    label cache), so it is materialised once (reliable checkpoint) instead
-    of re-reading and re-aggregating the source tables per branch."""
-    clean = cut_lineage(clean_reports(spark, sf))
-    coded = C.drop_unmatched(C.code_terms(clean, lookup_table(spark, sf), scorer="levenshtein"))
-    cache = cut_lineage(L.label_cascade(clean, bridge.label_rows(spark, sf)))
-    lab = L.expectedness(L.join_labels(coded, cache))
-    return CB.prompt_fields(lab)
+    label cache), so it is materialised once (Parquet in the shared folder)
+    instead of re-reading and re-aggregating the source tables per branch."""
+    return CB.prompt_fields(L.class_rule(assessed_cases(spark, sf)))
+
+
+def assessed_cases(spark, sf) -> DataFrame:
+    """Coded reports with the label's verdict and the counts of the organ class."""
+    clean = staged(clean_reports(spark, sf), "clean")
+    coded = staged(C.drop_unmatched(C.code_terms(clean, lookup_table(spark, sf), scorer="levenshtein")), "coded")
+    return L.class_evidence(L.assess(coded, label_cache(spark, sf, clean)))
 
 
 def generated_cases(spark, sf) -> DataFrame:
@@ -344,9 +347,21 @@ def short_input_gate(spark, sf):
         "conv_id", "turn", CB.short_input_gate("text").alias("reject_reason"))
 
 
+#: Fixture: what breaks some of the cases, so that every rule of the validation has rows.
+DEFECTS = {
+    "narrative": "CASE WHEN CAST(id AS BIGINT) % 41 = 0 THEN substr(narrative, 1, 99) ELSE narrative END",
+    "meddra_pt": "CASE WHEN CAST(id AS BIGINT) % 43 = 1 THEN '' WHEN CAST(id AS BIGINT) % 43 = 2 THEN NULL ELSE meddra_pt END",
+    "seriousness": "CASE WHEN CAST(id AS BIGINT) % 47 = 3 THEN 'Maybe' WHEN CAST(id AS BIGINT) % 47 = 4 THEN NULL ELSE seriousness END",
+    "who_umc_category": "CASE WHEN CAST(id AS BIGINT) % 53 = 5 THEN 'Likely' ELSE who_umc_category END",
+    "labelling_status": "CASE WHEN CAST(id AS BIGINT) % 59 = 6 THEN 'Unknown' ELSE labelling_status END",
+}
+
+
 @query("validate_reasons")
 def validate_reasons(spark, sf):
-    return Q.reason_counts(generated_cases(spark, sf))
+    """V1 + V2 over cases of which some were given defects of every kind."""
+    cases = generated_cases(spark, sf)
+    return Q.reason_counts(cases.select(*[F.expr(DEFECTS[c]).alias(c) if c in DEFECTS else F.col(c) for c in cases.columns]))
 
 
 def valid_cases(spark, sf) -> DataFrame:

@@ -424,7 +424,20 @@ case_in0 AS (
     CASE WHEN coalesce(lc.label_text, '') <> '' THEN 'fda_label' ELSE 'llm_knowledge' END AS label_source
   FROM coded2 c LEFT JOIN label_cache lc ON lc.drug_name = c.drug_name),
 case_in1 AS (""" + expected_cols("case_in0") + f"""),
-case_in AS (SELECT *, {FIELDS_SQL} FROM case_in1),
+case_class AS (SELECT drug_name, m_soc, count(*) AS n_class FROM case_in1 WHERE coalesce(m_soc, '') <> '' GROUP BY 1, 2),
+case_drug AS (SELECT drug_name, sum(n_class)::BIGINT AS n_drug FROM case_class GROUP BY 1),
+case_n AS (
+  SELECT c.*, n_class - 1 AS n_same, n_drug - 1 AS n_others, coalesce(needs_review AND n_drug - 1 >= 3, false) AS by_class
+  FROM case_in1 c LEFT JOIN case_class k ON k.drug_name = c.drug_name AND k.m_soc = c.m_soc
+  LEFT JOIN case_drug d ON d.drug_name = k.drug_name),
+case_in2 AS (
+  SELECT * EXCLUDE (by_class) REPLACE (
+    CASE WHEN by_class THEN CASE WHEN n_same * 100 >= n_others * 20 THEN 'Expected' ELSE 'Unexpected' END ELSE labelling_status END AS labelling_status,
+    CASE WHEN by_class THEN n_same || ' of ' || n_others || ' other reports of ' || drug_name || ' concern ' || m_soc || '.'
+         ELSE labelling_evidence END AS labelling_evidence,
+    needs_review AND NOT by_class AS needs_review)
+  FROM case_n),
+case_in AS (SELECT *, {FIELDS_SQL} FROM case_in2),
 cases AS (
   SELECT id, regexp_replace(regexp_replace({NARR_SQL}, '(?i)^Narrative:\\s*', ''), '^\\s+|\\s+$', '', 'g') AS narrative,
     'generated' AS narrative_source, seriousness, seriousness_criteria,
@@ -501,13 +514,21 @@ ORACLE["seriousness_rules"] = with_cases(
       CASE WHEN regexp_matches(narrative, '(?i)\\bmedically significant\\b') THEN 'Medically Significant' END) AS pred_criteria
     FROM cases)
 SELECT id, CASE WHEN pred_criteria <> '' THEN 'Serious' ELSE 'Non-serious' END AS pred_seriousness, pred_criteria FROM sr""")
+_BROKEN = """
+    CASE WHEN CAST(id AS BIGINT) % 41 = 0 THEN left(narrative, 99) ELSE narrative END AS narrative,
+    CASE CAST(id AS BIGINT) % 43 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE meddra_pt END AS meddra_pt,
+    CASE CAST(id AS BIGINT) % 47 WHEN 3 THEN 'Maybe' WHEN 4 THEN NULL ELSE seriousness END AS seriousness,
+    CASE WHEN CAST(id AS BIGINT) % 53 = 5 THEN 'Likely' ELSE who_umc_category END AS who_umc_category,
+    CASE WHEN CAST(id AS BIGINT) % 59 = 6 THEN 'Unknown' ELSE labelling_status END AS labelling_status"""
 ORACLE["validate_reasons"] = with_cases(
-    """SELECT reject_reason,
+    ", broken AS (SELECT * REPLACE (" + _BROKEN + ") FROM cases),\nbroken_validated AS ("
+    + CASES_CTE.split("validated AS (")[1].split("FROM cases")[0] + """FROM broken)
+SELECT reject_reason,
       CASE WHEN reject_reason LIKE 'Narrative too short%' THEN 'too_short'
            WHEN reject_reason = 'Missing meddra_pt' THEN 'missing_pt'
            WHEN reject_reason LIKE 'Invalid seriousness%' THEN 'bad_seriousness'
            WHEN reject_reason LIKE 'Invalid who_umc%' THEN 'bad_causality' ELSE 'bad_labelling' END AS reason_code,
-      count(*) AS n FROM validated WHERE reject_reason IS NOT NULL GROUP BY 1, 2""")
+      count(*) AS n FROM broken_validated WHERE reject_reason IS NOT NULL GROUP BY 1, 2""")
 ORACLE["chat_messages"] = with_cases(
     f"SELECT id, 'system|user|assistant' AS roles, {_chat_user_sql()} AS user_content, "
     f"{TARGET_JSON_SQL} AS assistant_content FROM valid")

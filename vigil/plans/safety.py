@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coding as C
+from ..operators import dictionary as D
+from ..operators import labels as L
+from ..operators import mentions as M
 from ..operators import signals as SG
 from ..session import staged
-from . import bridge
+from . import bridge, catalog
 from .catalog import query
-from .oracle import _LINE_ORDER, CLEAN_CTE, ORACLE, TRIM
+from .oracle import _LINE_ORDER, CASES_CTE, CLEAN_CTE, DICT_CTE, LABEL_CTE, ORACLE, TRIM, with_cases, with_labels
 
 _LINES_CTE = "WITH " + CLEAN_CTE.split("lnr AS")[0].rstrip().rstrip(",")
 assert _LINE_ORDER in _LINES_CTE
@@ -76,3 +79,118 @@ ORACLE["signal_ic"] = _CELLS_SQL + """,
 g AS (SELECT *, (a_ + b_) * (a_ + c_) / n_ AS e FROM f), h AS (SELECT *, log2((a_ + 0.5) / (e + 0.5)) AS i, a_ + 0.5 AS o FROM g)
 SELECT drug, event, a, b, c, d, round(e, 6) AS expected, round(i, 6) AS ic, round(i - 3.3 / sqrt(o) - 2 / (o * sqrt(o)), 6) AS ic025,
   round(i + 2.4 / sqrt(o) - 0.5 / (o * sqrt(o)), 6) AS ic975 FROM h"""
+
+
+# ------------------------------------------------- related terms, class, answers ----
+INVERTED_BASE = 50_000_000
+
+
+def related_dictionary(spark, sf):
+    """The dictionary's names, levels and edges, and below each PT of two words an LLT with the words inverted ('b, a')."""
+    names, levels, edges = catalog.dict_sheets(spark, sf)
+    tn, tl = D.term_names(names), D.term_levels(levels).select("term_id", "level")
+    flip = tn.join(tl.where("level = 'PT'"), "term_id").where(F.size(F.split("name", " ")) == 2).select(
+        (F.col("term_id") + INVERTED_BASE).alias("child_id"), F.col("term_id").alias("parent_id"),
+        F.concat(F.split("name", " ")[1], F.lit(", "), F.split("name", " ")[0]).alias("name"))
+    return (tn.unionByName(flip.select(F.col("child_id").alias("term_id"), "name")),
+            tl.unionByName(flip.select(F.col("child_id").alias("term_id"), F.lit("LLT").alias("level"))),
+            edges.select("child_id", "parent_id").unionByName(flip.select("child_id", "parent_id")))
+
+
+def inverted_labels(cache):
+    """Labels of every fourth brand name their terms with the words inverted, as a dictionary's lower-level terms do."""
+    flip = F.substring("drug_name", 7, 9).cast("int") % 4 == 2
+    return cache.withColumn("label_text", F.when(flip, F.regexp_replace("label_text", r"Reports of (\w+) (\w+) were", "Reports of $2, $1 were"))
+                            .otherwise(F.col("label_text")))
+
+
+@query("label_related")
+def label_related(spark, sf):
+    """L2 with related terms: a coded reaction is expected if the label names its preferred term or a term below it."""
+    clean = staged(catalog.clean_reports(spark, sf).select("id", "drug_name", "reaction_pt"), "clean")
+    coded = C.drop_unmatched(C.code_terms(clean, catalog.lookup_table(spark, sf), scorer="levenshtein"))
+    labels = inverted_labels(catalog.label_cache(spark, sf, clean)).where("label_text <> ''").select("drug_name", "label_text")
+    labels = staged(labels, "labels")
+    found = M.related_findings(labels, M.related_names(*related_dictionary(spark, sf)))
+    return L.related_status(coded, labels, found).select(
+        "id", "drug_name", "reaction_pt", "meddra_pt_code", "labelling_status", "match_kind", "matched_phrase", "labelling_evidence")
+
+
+@query("label_mentions")
+def label_mentions(spark, sf):
+    """The (drug, term) mention table itself: every dictionary term that a drug's label names."""
+    clean = catalog.clean_reports(spark, sf).select("drug_name")
+    labels = inverted_labels(catalog.label_cache(spark, sf, clean)).where("label_text <> ''")
+    return M.mention_table(labels, M.related_names(*related_dictionary(spark, sf))).select("drug_name", "pt_code", "kind", "phrase", "sentence")
+
+
+@query("label_class_rule")
+def label_class_rule(spark, sf):
+    """L3: reports of drugs without label text, decided by the organ class of the drug's other reports."""
+    return L.class_rule(catalog.assessed_cases(spark, sf)).where(F.col("label_source") == L.LABEL_SOURCE_NONE).select(
+        "id", "drug_name", "meddra_soc", "n_same", "n_others", "labelling_status", "labelling_evidence", "needs_review")
+
+
+#: Fixture: the labelling answer of a report in six forms, some with a status outside the domain, cut or without JSON.
+ANSWER = """'{"labelling_status": "' || CASE WHEN CAST(id AS BIGINT) % 11 = 0 THEN 'Possibly' ELSE coalesce(labelling_status, 'Unknown') END
+  || '", "labelling_evidence": "' || replace(labelling_evidence, chr(34), '') || '"}'"""
+ANSWER_FORMS = """CASE CAST(id AS BIGINT) % 6 WHEN 0 THEN obj WHEN 1 THEN '```json' || chr(10) || obj || chr(10) || '```'
+  WHEN 2 THEN 'Assessment: ' || obj || ' (end)' WHEN 3 THEN substr(obj, 1, length(obj) - 2)
+  WHEN 4 THEN 'I cannot tell.' ELSE ' ' || obj || chr(10) END"""
+
+
+def labelling_answers(spark, sf):
+    x = catalog.labelled_reports(spark, sf)
+    return x.withColumn("obj", F.expr(ANSWER)).select("id", F.expr(ANSWER_FORMS).alias("raw_output"))
+
+
+@query("label_acceptance")
+def label_acceptance(spark, sf):
+    """L4: acceptance of raw labelling answers (three-tier parsing, status domain)."""
+    return L.accepted(labelling_answers(spark, sf)).drop("raw_output")
+
+
+@query("label_acceptance_counts")
+def label_acceptance_counts(spark, sf):
+    out = L.accepted(labelling_answers(spark, sf))
+    return out.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NORM = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'))"
+_SENTENCES = r"string_split(regexp_replace(regexp_replace(label_text, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))"
+_RELATED_CTE = rf"""
+, flip AS (SELECT term_id + {INVERTED_BASE} AS child_id, term_id AS parent_id, split_part(name, ' ', 2) || ', ' || split_part(name, ' ', 1) AS name
+           FROM tn JOIN tl USING (term_id) WHERE level = 'PT' AND len(string_split(name, ' ')) = 2),
+rl AS (SELECT drug_name, CASE WHEN CAST(substr(drug_name, 7) AS INTEGER) % 4 = 2
+              THEN regexp_replace(label_text, 'Reports of (\w+) (\w+) were', 'Reports of \2, \1 were', 'g') ELSE label_text END AS label_text
+       FROM label_cache WHERE label_text <> ''),
+rn AS (SELECT phrase, pt_code, max(kind) AS kind FROM (
+         SELECT {_NORM.format("name")} AS phrase, term_id AS pt_code, 'pt' AS kind FROM tn JOIN tl USING (term_id) WHERE level = 'PT'
+         UNION ALL SELECT {_NORM.format("n.name")}, e.parent_id, 'llt' FROM tn n JOIN tl l USING (term_id) JOIN edges e ON e.child_id = n.term_id
+                   JOIN tl p ON p.term_id = e.parent_id AND p.level = 'PT' WHERE l.level = 'LLT'
+         UNION ALL SELECT {_NORM.format("name")}, parent_id, 'llt' FROM flip) WHERE phrase <> '' GROUP BY 1, 2),
+rs AS (SELECT drug_name, unnest({_SENTENCES}) AS part, unnest(range(len({_SENTENCES}))) AS s FROM rl),
+mt AS (SELECT drug_name, pt_code, kind, phrase, min(s) AS sentence FROM rs JOIN rn ON contains(' ' || {_NORM.format("part")} || ' ', ' ' || phrase || ' ')
+       GROUP BY 1, 2, 3, 4)"""
+_CODED2 = CASES_CTE.split("case_in0 AS")[0].rstrip().rstrip(",")
+ORACLE["label_mentions"] = ("WITH " + CLEAN_CTE + "," + DICT_CTE + "," + LABEL_CTE + _RELATED_CTE
+                            + "\nSELECT drug_name, pt_code, kind, phrase, CAST(sentence AS INTEGER) AS sentence FROM mt")
+ORACLE["label_related"] = "WITH " + CLEAN_CTE + "," + DICT_CTE + "," + LABEL_CTE + _CODED2 + _RELATED_CTE + """,
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY drug_name, pt_code ORDER BY kind <> 'pt', sentence, phrase) AS r FROM mt) WHERE r = 1)
+SELECT c.id, c.drug_name, c.reaction_pt, c.m_pt_code AS meddra_pt_code,
+  CASE WHEN b.phrase IS NOT NULL THEN 'Expected' WHEN rl.drug_name IS NOT NULL THEN 'Unexpected' END AS labelling_status,
+  CASE b.kind WHEN 'pt' THEN 'direct' WHEN 'llt' THEN 'related' END AS match_kind, b.phrase AS matched_phrase,
+  CASE WHEN b.phrase IS NOT NULL THEN rs.part
+       WHEN rl.drug_name IS NOT NULL THEN '''' || c.reaction_pt || ''' is not mentioned in the label text.' ELSE '' END AS labelling_evidence
+FROM coded2 c LEFT JOIN rl ON rl.drug_name = c.drug_name LEFT JOIN b ON b.drug_name = c.drug_name AND b.pt_code = c.m_pt_code
+LEFT JOIN rs ON rs.drug_name = b.drug_name AND rs.s = b.sentence"""
+ORACLE["label_class_rule"] = with_cases("""SELECT id, drug_name, m_soc AS meddra_soc, n_same, n_others, labelling_status, labelling_evidence, needs_review
+FROM case_in2 WHERE label_source = 'llm_knowledge'""")
+_ANSWERS = """, ao AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 11 = 0 THEN 'Possibly' ELSE coalesce(labelling_status, 'Unknown') END AS st,
+  replace(labelling_evidence, chr(34), '') AS ev FROM labelled),
+aa AS (SELECT id, CAST(id AS BIGINT) % 6 NOT IN (3, 4) AS parse_ok, st, ev FROM ao),
+ab AS (SELECT id, parse_ok, CASE WHEN parse_ok THEN st END AS labelling_status, CASE WHEN parse_ok THEN ev END AS labelling_evidence,
+  CASE WHEN NOT parse_ok THEN 'unparsed' WHEN st NOT IN ('Expected', 'Unexpected') THEN 'bad_status' END AS reject_reason FROM aa)
+"""
+ORACLE["label_acceptance"] = with_labels(_ANSWERS + "SELECT * FROM ab")
+ORACLE["label_acceptance_counts"] = with_labels(_ANSWERS + "SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM ab GROUP BY 1")

@@ -45,8 +45,8 @@ from .textvec import P, mix
 U = np.uint64
 MARK = "▁"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-CELLS = 1 << 19
-AT_ONCE = 1_000_000
+CELLS = 1 << 17
+AT_ONCE = 400_000
 BYTE_RANK = 40_000
 
 
@@ -134,18 +134,16 @@ class Lattices:
         seen = np.where(code == ord(" "), ord(MARK), np.where(code == ord(MARK), 0xFFFF, code)).astype(U)  # no piece has U+FFFF
         live = np.searchsorted(-size, -np.arange(width + 1), "right")  # chunks that have place j
         place = base + np.concatenate(([0, 0], np.cumsum(live[1:])))  # first state of place j is place[j]
-        found: list[tuple] = []  # arcs, longest pieces first
-        hashes, h = [], np.zeros((n, width), U)
+        found: list[tuple] = []  # arcs, longest pieces last until they are turned round
+        h = np.zeros((n, width), U)
         for length in range(1, min(p.longest, width) + 1):
             h = (h[:, :width - length + 1] * U(P)) + seen[:, length - 1:] + U(1)
-            hashes.append(h)
-        for length in range(len(hashes), 0, -1):
-            h = mix(hashes[length - 1])
-            row, start = np.nonzero(p.may[(h >> U(44)).astype(np.int64)] & (np.arange(width - length + 1) + length <= size[:, None]))
-            g = h[row, start]
+            mixed = mix(h)
+            row, start = np.nonzero(p.may[(mixed >> U(44)).astype(np.int64)] & (np.arange(width - length + 1) + length <= size[:, None]))
+            g = mixed[row, start]
             k = np.minimum(np.searchsorted(p.hashes, g), len(p.hashes) - 1)
             hit = p.hashes[k] == g
-            found.append((row[hit], start[hit], start[hit] + length, p.ids[k[hit]], a * p.logs[k[hit]]))
+            pieces = row[hit], start[hit], start[hit] + length, p.ids[k[hit]], a * p.logs[k[hit]]
             if length == 1:
                 alone = np.arange(width) < size[:, None]
                 alone[row[hit], start[hit]] = False
@@ -155,7 +153,8 @@ class Lattices:
                 number = np.array([self.runs.setdefault(c, len(self.runs)) for c in chars], np.int64)
                 cost = np.array([a * p.byte_log * len(c.encode()) for c in chars])
                 found.append((row, start, start + 1, -1 - number[of], cost[of]) if chars else (row, start, start, row, np.zeros(0)))
-        row, start, end, out, log = (np.concatenate(x) for x in zip(*found))
+            found.append(pieces)
+        row, start, end, out, log = (np.concatenate(x) for x in zip(*found[::-1]))
         state = place[end] + row
         order = np.argsort(state, kind="stable")
         state, start, row, out, log = state[order], start[order], row[order], out[order], log[order]

@@ -196,10 +196,10 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     """(bucket, gain): how much more often than in the corpus a feature of the bucket stands in the target, as a smoothed log."""
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(counts(corpus, "s"), "bucket", "left").join(counts(target, "t"), "bucket", "left").na.fill(0, ["s", "t"])
-    # the sums are of the table of the buckets, whose size is fixed
-    sums = both.agg(F.sum("s").cast("double").alias("sums"), F.sum("t").cast("double").alias("sumt"))
-    ratio = ((F.col("t") + 1.0) * (F.col("sums") + float(buckets))) / ((F.col("s") + 1.0) * (F.col("sumt") + float(buckets)))
-    return both.join(F.broadcast(sums)).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
+    both = stored(both, "buckets")
+    sums, sumt = (both.agg(F.sum(c).cast("double")).scalar() for c in ("s", "t"))
+    ratio = ((F.col("t") + 1.0) * (sums + float(buckets))) / ((F.col("s") + 1.0) * (sumt + float(buckets)))
+    return both.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
 
 
 def weighed(found: DataFrame, gain: np.ndarray) -> DataFrame:

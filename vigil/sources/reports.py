@@ -2,25 +2,21 @@
 
 S1 re-aimed: pages fetched from the report service are landed as files
 (``{"results": [...]}`` per page); Spark reads them with the declared
-schema.  The Python ``DataSource`` below plans one partition per page
-(skip, limit) with a pluggable page loader, so page reads run in parallel
-on executors instead of one serial client loop.
+schema.  The Python ``DataSource`` below plans one partition per page, so
+page reads run in parallel on executors instead of one serial client loop;
+``paged`` reads a service page by page, also as a stream.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import RAW_PAGE, RAW_REPORT
-
-DEFAULT_PAGE_SIZE = 100
-# Server-side predicate the reference sends with every page request.
-REQUIRED_FIELDS_SEARCH = "_exists_:patient.reaction AND _exists_:patient.drug"
+from .paged import DEFAULT_PAGE_SIZE, PageStore, report_row
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -39,11 +35,6 @@ def read_report_array(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.schema(RAW_REPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(path))
 
 
-def page_plan(spark: SparkSession, total: int, limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """The page requests as a table (skip, limit)."""
-    return spark.range(0, total, limit).select(F.col("id").alias("skip"), F.lit(limit).alias("limit"))
-
-
 def new_reports(landed: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """S2 + W3: rows not yet in the existing table, one per id."""
     return landed.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
@@ -54,78 +45,46 @@ def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-# ---- optional Python data source: one input partition per page ------------
-def landed_page_loader(directory: str) -> Callable[[int, int], list]:
-    """Loader for pages landed as ``page-<skip>.json``; a page that is missing or
-    holds no report array raises, so that no report is lost silently."""
-    def load(skip: int, limit: int):
-        p = os.path.join(directory, f"page-{skip:09d}.json")
-        with open(p) as f:
-            rows = json.load(f).get("results")
-        if rows is None:
-            raise ValueError(f"no report array in page {p}")
-        return rows
-    return load
-
-
-try:
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class _PagePartition(InputPartition):
-        def __init__(self, skip: int, limit: int):
-            super().__init__(skip)
-            self.skip, self.limit = skip, limit
-
-    class ReportPagesReader(DataSourceReader):
-        def __init__(self, options: dict, schema):
-            self.options = options
-            self.schema = schema
-
-        def partitions(self):
-            total = int(self.options["total"])
-            limit = int(self.options.get("limit", str(DEFAULT_PAGE_SIZE)))
-            return [_PagePartition(s, limit) for s in range(0, total, limit)]
-
-        def read(self, partition) -> Iterator[tuple]:
-            load = landed_page_loader(self.options["dir"])
-            rows = load(partition.skip, partition.limit)
-            for r in rows:
-                yield _to_row(r)
-
-    class ReportPagesSource(DataSource):
-        """``spark.read.format("report_pages").option("dir", d).option("total", n)``"""
-
-        @classmethod
-        def name(cls):
-            return "report_pages"
-
-        def schema(self):
-            return RAW_REPORT
-
-        def reader(self, schema):
-            return ReportPagesReader(self.options, schema)
-
-    def register(spark: SparkSession) -> None:
-        spark.dataSource.register(ReportPagesSource)
-except ImportError:  # pragma: no cover - older Spark
-    def register(spark: SparkSession) -> None:
-        raise RuntimeError("Python data sources need Spark 4")
-
-
-def _s(v):
-    return None if v is None else str(v)
-
-
-def _to_row(r: dict) -> tuple:
-    p = r.get("patient") or {}
-    rx = [(_s(x.get("reactionmeddrapt")), _s(x.get("reactionoutcome"))) for x in (p.get("reaction") or [])]
-    dr = [tuple(_s(d.get(k)) for k in ("medicinalproduct", "drugcharacterization", "drugadditional",
-                                        "drugrecurrence", "drugdosagetext", "drugindication"))
-          for d in (p.get("drug") or [])]
-    top = tuple(_s(r.get(k)) for k in (
-        "safetyreportid", "serious", "seriousnessdeath", "seriousnesslifethreatening",
-        "seriousnesshospitalization", "seriousnessdisabling", "seriousnesscongeni", "seriousnessother",
-        "narrativeincludeclinical"))
-    return top + ((_s(p.get("patientonsetage")), _s(p.get("patientsex")),
-                   rx if p.get("reaction") is not None else None,
-                   dr if p.get("drug") is not None else None),)
+# ---- Python data source over a known number of pages: one partition per page ----
+class _PagePartition(InputPartition):
+    def __init__(self, skip: int):
+        super().__init__(skip)
+        self.skip = skip
+
+
+class ReportPagesReader(DataSourceReader):
+    """Every page must be there: a missing or failed one raises, so that no report is lost silently
+    (``paged`` has the reader for a service whose end isn't known and whose pages may fail)."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self):
+        limit = int(self.options.get("limit", str(DEFAULT_PAGE_SIZE)))
+        return [_PagePartition(s) for s in range(0, int(self.options["total"]), limit)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        store = PageStore(self.options["dir"])
+        try:
+            rows = store.load(partition.skip, "")
+        except (FileNotFoundError, ValueError) as e:
+            raise ValueError(f"page-{partition.skip:09d}: {e}") from e
+        return (report_row(r) for r in rows)
+
+
+class ReportPagesSource(DataSource):
+    """``spark.read.format("report_pages").option("dir", d).option("total", n)``"""
+
+    @classmethod
+    def name(cls):
+        return "report_pages"
+
+    def schema(self):
+        return RAW_REPORT
+
+    def reader(self, schema):
+        return ReportPagesReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(ReportPagesSource)

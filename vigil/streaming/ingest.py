@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from ..operators.normalize import normalize_reports
 from ..schemas import RAW_PAGE
 from ..session import path_exists
+from ..sources import paged
 
 KEY_BUCKETS = 64
 # JSON keeps microseconds only with an explicit pattern (the default writes ms).
@@ -61,14 +62,15 @@ def idempotent_write(batch: DataFrame, out_path: str, key: str, run: str, epoch:
     The batch is computed once.  Output is partitioned by a hash of the key, so
     the check reads only the key buckets that the batch has."""
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key]).withColumn("key_bucket", _buckets(F.col(key))).persist()
+    fresh = batch.withColumn("key_bucket", _buckets(F.col(key))).repartition("key_bucket").dropDuplicates([key, "key_bucket"]).persist()
     try:
         out = fresh
         done = _existing_ids(spark, out_path, key, run, epoch)
         if done is not None:
             wanted = [r.key_bucket for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
-            out = fresh.join(done.where(F.col("key_bucket").isin(wanted)).select(key), key, "left_anti")
-        out.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
+            out = fresh.join(done.where(F.col("key_bucket").isin(wanted)), [key, "key_bucket"], "left_anti")
+        # a bucket in one task: one file for each bucket that the batch has
+        out.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
     finally:
         fresh.unpersist()
 
@@ -117,6 +119,39 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
     q.awaitTermination()
 
 
+def fetch_pages(spark: SparkSession, pages: str, out_path: str, checkpoint: str, limit: int = paged.DEFAULT_PAGE_SIZE,
+                search: str = paged.REQUIRED_FIELDS_SEARCH, max_failed: int = paged.MAX_FAILED_PAGES) -> None:
+    """S1 + S2 as a stream: read all pages from where the checkpoint stands, unique by report id, into
+    ``out_path``/reports, and failed pages into ``out_path``/errors.
+
+    After ``max_failed`` failed pages in a row it keeps what stands before them and raises ``FetchStopped``; as the
+    offset isn't committed then, the next call reads these pages again."""
+    paged.register(spark)
+    run = run_id(spark, checkpoint)
+    errors_path = f"{out_path.rstrip('/')}/errors"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        held = batch.persist()
+        try:
+            failed = held.where(F.col("page_error").isNotNull()).select("page_skip", "page_error")
+            failed.write.mode("overwrite").parquet(f"{errors_path}/run={run}/epoch={epoch}")
+            known = spark.read.option("basePath", errors_path).schema("page_skip long, page_error string, run string, epoch long").parquet(errors_path)
+            known = known.where((F.col("run") == run) & (F.col("epoch").between(epoch - 1, epoch)))
+            stop = paged.stop_page(known, limit, max_failed)
+            good = held.where(F.col("page_error").isNull())
+            good = good if stop is None else good.where(F.col("page_skip") < stop)
+            idempotent_write(good.drop("page_error"), f"{out_path.rstrip('/')}/reports", "safetyreportid", run, epoch)
+        finally:
+            held.unpersist()
+        if stop is not None:
+            raise paged.FetchStopped(f"{max_failed} failed pages in a row, the last one at {stop}")
+
+    options = {"path": pages, "limit": str(limit), "search": search}
+    q = (spark.readStream.format("paged_reports").options(**options).load().writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def reports_transform(stream: DataFrame) -> DataFrame:
     """Landed report pages -> clean reports (P1-P13, per micro-batch)."""
     raw = stream.select(F.explode("results").alias("r")).select("r.*")

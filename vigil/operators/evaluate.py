@@ -3,7 +3,7 @@ rates, running counters and base-vs-tuned comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ci_equal, null_safe_equal
@@ -118,3 +118,32 @@ def compare_modes(rates_by_mode: DataFrame, base: str = "base", tuned: str = "tu
     wide = long.groupBy("metric").pivot("mode", [base, tuned]).agg(F.first("value"))
     return wide.select("metric", F.col(base).alias("base"), F.col(tuned).alias("tuned"),
                        (F.col(tuned) - F.col(base)).alias("delta_pts"))
+
+
+def _bucket(score: str, buckets: int) -> Column:
+    """Null for a missing score (``least`` alone would take the bound for it)."""
+    return F.when(F.col(score).isNotNull(), F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)))
+
+
+def risk_coverage(df: DataFrame, score: str, correct: str, buckets: int = 1000) -> DataFrame:
+    """(bucket, n, errors, covered, wrong, coverage, risk): what share of all rows stands in a score bucket or a higher one
+    and what share of these is wrong.  Scores are in 0 to 1; rows without one are never covered but count as rows.
+
+    The rows are counted by bucket first; only that table, of fixed size, is put in order."""
+    at = _bucket(score, buckets)
+    wrong = F.count_if(~F.coalesce(F.col(correct), F.lit(False)))
+    per = df.groupBy(at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), wrong.alias("errors"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("bucket"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    curve = per.withColumns({"total": total, "covered": F.sum("n").over(down), "wrong": F.sum("errors").over(down)}).where("bucket is not null")
+    return curve.select("bucket", "n", "errors", "covered", "wrong", (F.col("covered") / F.col("total")).alias("coverage"),
+                        (F.col("wrong") / F.col("covered")).alias("risk"))
+
+
+def route(df: DataFrame, score: str, correct: str, max_risk_pct: int, buckets: int = 1000) -> DataFrame:
+    """Adds ``route``: ``auto`` for the largest share of rows, taken from the highest score down, of which ``max_risk_pct`` %
+    at most are wrong, ``review`` for the rest (all, if there is no such share) and for rows without a score."""
+    curve = risk_coverage(df, score, correct, buckets)
+    cut = curve.where(F.col("wrong") * 100 <= F.col("covered") * max_risk_pct).agg(F.min("bucket")).scalar()
+    at = _bucket(score, buckets)
+    return df.withColumn("route", F.when(F.coalesce(at >= cut, F.lit(False)), "auto").otherwise("review"))

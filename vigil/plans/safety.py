@@ -1,18 +1,22 @@
-"""Registered queries on coded reports: signals, related label terms, class-level evidence."""
+"""Registered queries on coded reports: signals, related label terms, class-level evidence,
+dictionary versions, drug names, confidence routing."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as AU
 from ..operators import coding as C
 from ..operators import dictionary as D
+from ..operators import drugnames as DN
+from ..operators import evaluate as EV
 from ..operators import labels as L
 from ..operators import mentions as M
 from ..operators import signals as SG
-from ..session import staged
+from ..session import read_table, staged
 from . import bridge, catalog
 from .catalog import query
-from .oracle import _LINE_ORDER, CASES_CTE, CLEAN_CTE, DICT_CTE, LABEL_CTE, ORACLE, TRIM, with_cases, with_labels
+from .oracle import _LINE_ORDER, CASES_CTE, CLEAN_CTE, DICT_CTE, LABEL_CTE, ORACLE, TRIM, _with_scored, with_cases, with_labels
 
 _LINES_CTE = "WITH " + CLEAN_CTE.split("lnr AS")[0].rstrip().rstrip(",")
 assert _LINE_ORDER in _LINES_CTE
@@ -194,3 +198,176 @@ ab AS (SELECT id, parse_ok, CASE WHEN parse_ok THEN st END AS labelling_status,
 """
 ORACLE["label_acceptance"] = with_labels(_ANSWERS + "SELECT * FROM ab")
 ORACLE["label_acceptance_counts"] = with_labels(_ANSWERS + "SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM ab GROUP BY 1")
+
+
+# ------------------------------------------------------- dictionary versions ----
+def _adjective(c="name"):
+    return F.split(c, " ")[0]
+
+
+NEXT_ADJECTIVE = {"small": "red", "red": "blue", "hot": "cold", "cold": "hot"}  # fixture: a chain of two steps and a cycle
+
+
+def dictionary_versions(spark, sf):
+    """The lookup as one version, and a later one made from it: replaced, removed, renamed, moved and added codes."""
+    old = staged(catalog.lookup_table(spark, sf).select(F.col("meddra_pt_code").alias("code"), F.col("meddra_pt").alias("name"),
+                                                        F.col("meddra_soc_code").alias("soc")), "version")
+    gone = _adjective().isin(*NEXT_ADJECTIVE, "large")
+    kept = old.where(~gone).select(
+        "code", F.when(_adjective() == "new", F.concat(F.lit("newer "), F.split("name", " ")[1])).otherwise(F.col("name")).alias("name"),
+        F.when(F.col("name").endswith(" gear"), F.col("soc") + 1).otherwise(F.col("soc")).alias("soc"))
+    added = old.where(F.col("name").endswith(" ring")).select((F.col("code") + 50_000_000).alias("code"), F.concat("name", F.lit(" acute")).alias("name"), "soc")
+    step = F.coalesce(*[F.when(_adjective() == a, F.lit(b)) for a, b in NEXT_ADJECTIVE.items()])
+    to = old.select(F.col("code").alias("new_code"), F.col("name").alias("to_name"))
+    replaced = old.withColumn("to_name", F.concat(step, F.lit(" "), F.split("name", " ")[1])).join(to, "to_name").select("code", "new_code")
+    return old, kept.unionByName(added), replaced
+
+
+def audited(spark, sf):
+    clean = staged(catalog.clean_reports(spark, sf).select("id", "reaction_pt"), "clean")
+    coded = staged(C.drop_unmatched(C.code_terms(clean, catalog.lookup_table(spark, sf), scorer="levenshtein")), "coded")
+    return AU.audit(*dictionary_versions(spark, sf), coded, "meddra_pt_code"), coded
+
+
+@query("dict_audit")
+def dict_audit(spark, sf):
+    """Two versions of the dictionary compared, replaced codes followed to their end, records touched."""
+    return audited(spark, sf)[0]
+
+
+@query("dict_recode")
+def dict_recode(spark, sf):
+    """Coded reports with the code that the later version has for theirs."""
+    table, coded = audited(spark, sf)
+    return AU.recode(coded, "meddra_pt_code", staged(table, "audit")).select("id", "meddra_pt_code", "new_code")
+
+
+_VERSIONS_CTE = """
+, v1 AS (SELECT meddra_pt_code AS code, meddra_pt AS name, meddra_soc_code AS soc FROM lookup),
+v2 AS (
+  SELECT code, CASE WHEN name LIKE 'new %' THEN 'newer ' || split_part(name, ' ', 2) ELSE name END AS name,
+    CASE WHEN name LIKE '% gear' THEN soc + 1 ELSE soc END AS soc FROM v1 WHERE split_part(name, ' ', 1) NOT IN ('small', 'red', 'hot', 'cold', 'large')
+  UNION ALL SELECT code + 50000000, name || ' acute', soc FROM v1 WHERE name LIKE '% ring'),
+rp AS (SELECT a.code, b.code AS new_code FROM v1 a JOIN v1 b ON b.name = CASE split_part(a.name, ' ', 1) WHEN 'small' THEN 'red' WHEN 'red' THEN 'blue'
+         WHEN 'hot' THEN 'cold' WHEN 'cold' THEN 'hot' END || ' ' || split_part(a.name, ' ', 2)),
+fw AS (SELECT code, new_code AS nxt, 1 AS hops FROM rp UNION ALL SELECT fw.code, rp.new_code, hops + 1 FROM fw JOIN rp ON rp.code = fw.nxt WHERE hops < 10),
+fe AS (SELECT code, arg_max(nxt, hops) AS final_code, max(hops) AS hops FROM fw GROUP BY code),
+nr AS (SELECT m_pt_code AS code, count(*) AS n FROM coded2 GROUP BY 1),
+au AS (
+  SELECT coalesce(a.code, b.code) AS code,
+    CASE WHEN a.code IS NULL THEN 'added' WHEN b.code IS NULL THEN 'removed'
+         WHEN a.name IS DISTINCT FROM b.name AND a.soc IS DISTINCT FROM b.soc THEN 'renamed+moved'
+         WHEN a.name IS DISTINCT FROM b.name THEN 'renamed' WHEN a.soc IS DISTINCT FROM b.soc THEN 'moved' ELSE 'unchanged' END AS change,
+    a.name AS old_name, b.name AS new_name, a.soc AS old_soc, b.soc AS new_soc,
+    CASE WHEN e.hops < 10 THEN final_code END AS final_code, CASE WHEN e.hops < 10 THEN CAST(e.hops AS BIGINT) END AS hops, coalesce(e.hops = 10, false) AS in_cycle
+  FROM v1 a FULL JOIN v2 b ON a.code = b.code LEFT JOIN fe e ON e.code = coalesce(a.code, b.code)),
+av AS (SELECT au.*, CASE WHEN final_code IS NOT NULL THEN final_code IN (SELECT code FROM v2) END AS final_exists, coalesce(n, 0) AS n_records
+       FROM au LEFT JOIN nr ON nr.code = au.code)
+"""
+_WITH_VERSIONS = "WITH RECURSIVE " + CLEAN_CTE + "," + DICT_CTE + _CODED2 + _VERSIONS_CTE
+ORACLE["dict_audit"] = _WITH_VERSIONS + "SELECT * FROM av"
+ORACLE["dict_recode"] = _WITH_VERSIONS + """SELECT id, m_pt_code AS meddra_pt_code, CASE WHEN change = 'removed' AND final_exists THEN final_code ELSE m_pt_code END AS new_code
+FROM coded2 JOIN av ON av.code = m_pt_code"""
+
+
+# ------------------------------------------------------------------ drug names ----
+#: Fixture: a brand as it is reported, in six spellings, and the synonym sheet that joins them.
+REPORTED = """CASE l_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) || ' 10 mg' WHEN 2 THEN p_brand || ' Hydrochloride (tablets)'
+  WHEN 3 THEN 'gen-' || substr(p_brand, 7) || ' 5 mg/ml oral solution' WHEN 4 THEN 'code-' || substr(p_brand, 7) || ' sodium phosphate'
+  ELSE '  ' || p_brand || ', 2.5 % cream' END"""
+
+
+def reported_drugs(spark, sf):
+    """(report_key, name, p_brand): every order line's drug as reported."""
+    lines = read_table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
+    part = read_table(spark, sf, "part", "p_partkey", "p_brand")
+    return lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(
+        F.col("l_orderkey").alias("report_key"), F.expr(REPORTED).alias("name"), "p_brand")
+
+
+def synonym_sheet(spark, sf):
+    """Brand to generic, generic to code; every fifth code is also the next brand's."""
+    b = read_table(spark, sf, "part", "p_brand").distinct().select("p_brand", F.substring("p_brand", 7, 9).cast("int").alias("b"))
+    gen, code = F.concat(F.lit("gen-"), F.col("b")), F.concat(F.lit("code-"), F.col("b"))
+    return (b.select(F.col("p_brand").alias("a"), gen.alias("b")).unionByName(b.select(gen.alias("a"), code.alias("b")))
+            .unionByName(b.where("b % 5 = 0").select(code.alias("a"), F.concat(F.lit("BRAND#"), F.col("b") + 1).alias("b"))))
+
+
+@query("drug_canonical")
+def drug_canonical(spark, sf):
+    return DN.canonical_names(reported_drugs(spark, sf), synonym_sheet(spark, sf))
+
+
+@query("drug_label_coverage")
+def drug_label_coverage(spark, sf):
+    """Reported lines whose drug has label text: by the name as reported, and by the canonical name."""
+    drugs = staged(reported_drugs(spark, sf), "drugs")
+    known = staged(DN.canonical_names(drugs.select("name").unionByName(drugs.select(F.col("p_brand").alias("name"))), synonym_sheet(spark, sf)), "canonical")
+    brands = drugs.select(F.col("p_brand").alias("drug_name")).distinct()
+    labelled = staged(L.label_cascade(brands, bridge.label_rows(spark, sf)), "labels").where("label_text <> ''").select(F.col("drug_name").alias("name"))
+    names = drugs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    by_name = labelled.select("name", F.lit(True).alias("exact"))
+    by_canonical = known.join(labelled, "name").select("canonical", F.lit(True).alias("joined")).distinct()
+    x = names.join(known, "name").join(by_name, "name", "left").join(by_canonical, "canonical", "left")
+    return x.agg(F.sum("n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("exact"), F.col("n"))), F.lit(0)).alias("n_exact"),
+                 F.coalesce(F.sum(F.when(F.col("joined"), F.col("n"))), F.lit(0)).alias("n_canonical"))
+
+
+def _base_sql(c: str) -> str:
+    low = f"lower(coalesce({c}, ''))"
+    x = low
+    for pattern, by in DN.PATTERNS:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    for _ in range(2):
+        x = f"regexp_replace(regexp_replace({x}, '{DN.SALT}', '\\1 ', 'g'), '^ | $', '', 'g')"
+    return f"coalesce(nullif({x}, ''), trim({low}))"
+
+
+_DRUG_CTE = f"""WITH RECURSIVE rd AS (SELECT l_orderkey AS report_key, {REPORTED} AS name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+bn AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7) AS INTEGER) AS b FROM part),
+sy AS (SELECT p_brand AS a, 'gen-' || b AS b FROM bn UNION ALL SELECT 'gen-' || b, 'code-' || b FROM bn UNION ALL SELECT 'code-' || b, 'BRAND#' || (b + 1) FROM bn WHERE b % 5 = 0),
+ed AS (SELECT {_base_sql("a")} AS u, {_base_sql("b")} AS v FROM sy),
+e2 AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
+cc AS (SELECT u, u AS r FROM e2 UNION SELECT cc.u, e2.v FROM cc JOIN e2 ON cc.r = e2.u),
+cm AS (SELECT u, min(r) AS component FROM cc GROUP BY u),
+kn AS (SELECT name, {_base_sql("name")} AS base FROM (SELECT name FROM rd UNION SELECT p_brand FROM rd)),
+kc AS (SELECT kn.name, kn.base, coalesce(component, base) AS canonical FROM kn LEFT JOIN cm ON cm.u = kn.base)
+"""
+ORACLE["drug_canonical"] = _DRUG_CTE + "SELECT * FROM kc WHERE name IN (SELECT name FROM rd)"
+ORACLE["drug_label_coverage"] = _DRUG_CTE.rstrip() + "," + LABEL_CTE.split("drugs AS (")[0].rstrip().rstrip(",") + """,
+lb AS (SELECT drug_name FROM besthit WHERE label_text <> '' AND drug_name IN (SELECT p_brand FROM rd)),
+lc AS (SELECT DISTINCT canonical FROM kc JOIN lb ON lb.drug_name = kc.name)
+SELECT count(*) AS n_lines, count(*) FILTER (rd.name IN (SELECT drug_name FROM lb)) AS n_exact,
+  count(*) FILTER (kc.canonical IN (SELECT canonical FROM lc)) AS n_canonical FROM rd JOIN kc ON kc.name = rd.name"""
+
+
+# ----------------------------------------------------------- confidence routing ----
+#: Fixture: a confidence that is higher for right answers, and missing for some.
+CONFIDENCE = "CAST(CASE WHEN index % 37 = 0 THEN NULL WHEN ok THEN 350 + index % 600 ELSE 50 + index % 700 END AS DOUBLE) / 1000"
+
+
+def confident(spark, sf):
+    # staged: a filter on what the parser found would be computed beside the columns it gives
+    s = staged(catalog.scored(spark, sf).select("index", "parse_ok", F.col("seriousness.match").alias("ok")), "scored")
+    return s.where("parse_ok").select("index", "ok").withColumn("confidence", F.expr(CONFIDENCE))
+
+
+@query("risk_coverage")
+def risk_coverage(spark, sf):
+    return EV.risk_coverage(confident(spark, sf), "confidence", "ok", 100)
+
+
+@query("route_by_confidence")
+def route_by_confidence(spark, sf):
+    """Answers that need no reviewer if one in five of them may be wrong."""
+    return EV.route(confident(spark, sf), "confidence", "ok", 20, 100).select("index", "confidence", "route")
+
+
+_CONF_CTE = "WITH " + _with_scored("base") + f""",
+cf AS (SELECT index, ok, {CONFIDENCE} AS confidence FROM (SELECT index, seriousness_match AS ok FROM s WHERE parse_ok)),
+bk AS (SELECT CASE WHEN confidence IS NOT NULL THEN CAST(least(floor(confidence * 100), 99) AS BIGINT) END AS bucket, count(*) AS n, count(*) FILTER (NOT coalesce(ok, false)) AS errors FROM cf GROUP BY 1),
+cu AS (SELECT *, sum(n) OVER (ORDER BY bucket DESC NULLS LAST)::BIGINT AS covered, sum(errors) OVER (ORDER BY bucket DESC NULLS LAST)::BIGINT AS wrong, sum(n) OVER () AS total FROM bk)
+"""
+ORACLE["risk_coverage"] = _CONF_CTE + "SELECT bucket, n, errors, covered, wrong, covered / total AS coverage, wrong / covered AS risk FROM cu WHERE bucket IS NOT NULL"
+ORACLE["route_by_confidence"] = _CONF_CTE + """SELECT index, confidence,
+  CASE WHEN confidence IS NOT NULL AND least(floor(confidence * 100), 99) >= (SELECT min(bucket) FROM cu WHERE bucket IS NOT NULL AND wrong * 100 <= covered * 20) THEN 'auto' ELSE 'review' END AS route FROM cf"""

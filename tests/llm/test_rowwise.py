@@ -139,10 +139,11 @@ def test_disclosing_terms(docs_of, monkeypatch):
     assert len(out) == len(texts)
     assert "Zorblatt" not in out[0].sanitised and "[TERM]" in out[0].sanitised and "[EMAIL]" in out[0].sanitised and out[0].n_email == 1
     assert out[204].sanitised == "[TERM] was here" and out[204].spans == "term:0:8" and out[204].base_spans == ""
-    assert out[205].sanitised is None and out[206].sanitised == "" and "Quux" in out[207].sanitised  # one surrounding only
+    assert out[205].sanitised is None and out[206].sanitised == ""
+    assert all("Quux" not in r.sanitised and r.sanitised == out[207].sanitised for r in out[207:])  # copies count once, in every count
     assert all(r.n_terms == 0 and r.sanitised == t for r, t in zip(out[4:204], texts[4:204]))
     assert pii.find_and_sanitise(docs_of([])).count() == 0
-    monkeypatch.setattr(pii, "TERMS_AT_ONCE", 1)  # a pass for each block of terms
+    monkeypatch.setattr(pii, "TERMS_AT_ONCE", 1)  # terms come by a join
     texts += ["Zorblatt met Grimmle at grim@mail.example"] + [f"{w} saw Grimmle at grim@mail.example here {w}" for w in ("red", "blue", "green", "pink")] + ["Grimmle and Zorblatt alone"]
     out = pii.find_and_sanitise(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
     assert out[-1].sanitised == "[TERM] and [TERM] alone" and out[-1].spans == "term:0:7,term:12:20"
@@ -166,9 +167,45 @@ def test_rare_entities_disclosed_over_the_whole_text(docs_of, prose):
     assert all("Drumpeltin" not in out[i].sanitised and "[TERM]" in out[i].sanitised for i in (1, 2))
     assert out[63].sanitised == "[TERM]"  # two of three documents hold the entity too
     assert all(far in r.sanitised for r in out[:63]) and all(r.n_terms == 0 for r in out[3:63])
-    # copies are no further evidence: c = 1 of n = 3
-    copies = [f"Blorvik signs here {far} mail to one@rare.example"] * 3 + texts[3:63]
-    assert all(r.n_terms == 0 for r in pii.find_and_sanitise(docs_of(list(enumerate(copies)))).collect())
+    # copies change nothing, whether they hold the identifier or not
+    copies = [texts[0]] * 3 + texts[3:63] * 2
+    got = pii.find_and_sanitise(docs_of(list(enumerate(copies)))).orderBy("doc_id").collect()
+    assert all(r.spans == out[0].spans and r.sanitised == out[0].sanitised for r in got[:3]) and all(r.n_terms == 0 for r in got[3:])
+
+
+def slow_disclosures(texts, min_posterior=0.5, min_bits=4.0):
+    seen = {}
+    for t in texts:
+        if t is not None:
+            spans = pii.identifiers(t)
+            names = frozenset(pii.entity(t, s) for s in spans)
+            seen[" ".join(t.split()) if names else t] = (names, {m[0].lower() for m in pii.free_terms(t, spans)})
+    every = list(seen.values())
+    out = set()
+    for e in {e for names, _ in every for e in names}:
+        m = sum(e in names for names, _ in every)
+        for t in {t for names, terms in every if e in names for t in terms}:
+            c, n = sum(e in a and t in b for a, b in every), sum(t in b for _, b in every)
+            if c / (n + 1) >= min_posterior and np.log2(c / (n + 1) * len(set(x for x in texts if x is not None)) / m) >= min_bits:
+                out.add(t)
+    return out
+
+
+def test_disclosures_as_by_brute_force(docs_of):
+    r = random.Random(8)
+    names = [a + b for a in ("Bo", "Kar", "Lin", "Mu") for b in ("vik", "ten", "dorf", "zal", "quist")]
+    line = lambda: f"{r.choice(names)} and {r.choice(names)} {r.choice(('write', 'wait'))}" + (f" to u{r.randint(0, 15)}@x.example" if r.random() < 0.4 else "")
+    texts = [" ".join(line() for _ in range(r.randint(1, 2))) for _ in range(150)] + ["Solo sits at only@y.example"] * 4 + ["Nobody"] * 5 + [None, "", ""]
+    texts += r.choices(texts, k=60)
+    got = pii.disclosing_terms(docs_of(list(enumerate(texts)))).collect()
+    assert {x.term for x in got} == slow_disclosures(texts) and "solo" in {x.term for x in got}
+
+
+def test_page_of_many_entities_is_no_product(docs_of):
+    name = lambda i: "Z" + "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    page = "\n".join(f"{name(i)} u{i}@list.example" for i in range(500))
+    got = pii.disclosing_terms(docs_of([(0, page), *((i, f"plain page {i}") for i in range(1, 80))])).collect()
+    assert len(got) == 500 and {x.term for x in got} == {name(i).lower() for i in range(500)} and all(x.alike == 500 for x in got)
 
 
 # pieces

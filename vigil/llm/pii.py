@@ -2,25 +2,29 @@
 
 Direct identifiers (email, ip, card, phone) are found by pattern.  All words of
 a text that don't touch one are its terms.  Over the whole corpus,
-co-occurrence in a document gives how strongly a term discloses an entity: with
-``c`` different texts that hold both (copies of one text count once), ``n``
-documents that hold the term, and ``m`` of ``N`` documents that hold the entity,
+co-occurrence in a document gives how strongly a term discloses an entity.  All
+counts are of different texts, so copies are neither evidence nor its opposite:
+with ``c`` texts that hold both, ``n`` that hold the term, and ``m`` of ``N``
+that hold the entity,
 
     posterior = c / (n + 1)            how sure the entity follows from the term
     bits      = log2(posterior / (m / N))   information gained on the entity
 
 A term discloses an entity if its posterior reaches ``min_posterior`` and its
 information ``min_bits``; one text is enough where the term stands nowhere else.
-As c <= m, only terms with m / (n + 1) >= ``min_posterior`` can, so others are
-never paired.  Disclosing terms are then replaced wherever they stand:
-capitalised ones are generalised to ``[TERM]``, others are removed.
+As c <= m and c is at most the number of texts with identifiers that hold the
+term, most terms can be left out before any is paired.  Entities that stand in
+the same texts have equal counts with every term, so they are paired as one: a
+list of thousands of addresses on one page is one entity.  Disclosing terms are
+then replaced wherever they stand: capitalised ones are generalised to
+``[TERM]``, others are removed.
 
 Defined results
     null text        empty: no spans; the sanitised text stays null
-    repeated rows    each row has its own result
+    repeated rows    each row has its own result; equal texts count once (those with identifiers, up to blanks)
     ties             a term that exactly reaches a limit discloses
     empty table      no rows, no terms
-    very long texts  scanned once, from end to end
+    very long texts  scanned from end to end
     other columns    are not carried
 """
 
@@ -29,10 +33,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,84 +115,114 @@ def free_terms(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match
             yield m
 
 
-SEEN = pa.schema([("kind", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("mark", pa.int64()),
+SEEN = pa.schema([("name", pa.string()), ("n", pa.int64()), ("mark", pa.binary()),
                   ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
+SEEN_SQL = "name string, n bigint, mark binary, entities array<string>, terms array<string>"
 
 
-def statistics(texts: Iterator[list[str | None]]) -> Iterator[pa.RecordBatch]:
-    """Counts of one task, combined before the shuffle and flushed at a bounded size.
+def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of one task from columns ``text`` and ``copied`` (whether other rows
+    may have the text too), combined before the shuffle and flushed at a bounded size.
 
-    ``term`` and ``entity``: documents that hold them; ``text``: the terms and
-    entities of a text that has both, with a hash of the text, once for its copies."""
+    Texts without identifiers or copies add to the count ``n`` of each term
+    ``name``.  Of others the entities and terms are listed, with a hash of the
+    text (``mark``) by which copies in other tasks are told."""
     held: Counter = Counter()
-    both: dict[int, tuple[list[str], list[str]]] = {}
+    both: dict[bytes, tuple[list[str], list[str]]] = {}
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [(kind, name, n, None, None, None) for (kind, name), n in held.items()]
-        rows += [("text", None, None, mark, *lists) for mark, lists in both.items()]
+        rows = [(name, n, None, None, None) for name, n in held.items()]
+        rows += [(None, None, mark, *lists) for mark, lists in both.items()]
         held.clear(), both.clear()
         return record_batch(SEEN, list(zip(*rows)))
 
-    for batch in texts:
-        for text in batch:
-            if not text:
-                continue
+    for batch in batches:
+        for text, copied in zip(batch.column("text").to_pylist(), batch.column("copied").to_pylist()):
             spans = identifiers(text)
             found = {m[0] for m in free_terms(text, spans)} if spans else set(TERM.findall(text))
             terms = {t.lower() for t in found}
-            held.update(("term", t) for t in terms)
-            if spans:
+            if spans or copied:
                 names = sorted({entity(text, s) for s in spans})
-                held.update(("entity", name) for name in names)
-                whole = " ".join([*text.split(), *names]).encode()
-                mark = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True)
-                if terms and mark not in both:
+                whole = " ".join([*text.split(), *names]) if spans else text
+                mark = hashlib.blake2b(whole.encode(), digest_size=16).digest()
+                if mark not in both:
                     both[mark] = (names, sorted(terms))
                     size += len(names) + len(terms)
+            else:
+                held.update(terms)
             if len(held) + size >= FLUSH:
                 yield flush()
                 size = 0
-    if held:
+    if held or both:
         yield flush()
 
 
-def texts_of(it: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    for b in it:
-        yield b.column("text").to_pylist()
+def with_copied(src: DataFrame) -> tuple[DataFrame, int]:
+    """Texts with ``copied``, and the number of different ones.
 
+    Only hashes are counted.  Equal hashes of different texts do no harm: ``copied``
+    says which texts to tell apart by their longer hash."""
+    src = src.filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    more = stored(src.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "pii-copies")
+    beyond = more.agg(F.sum(F.col("rows") - 1)).first()[0] or 0
+    out = src.join(more.select("h", F.lit(True).alias("copied")), "h", "left")
+    return out.select("text", F.coalesce("copied", F.lit(False)).alias("copied")), src.count() - beyond
 
-def blocks(terms: DataFrame) -> Iterator[frozenset]:
-    """All terms, ``TERMS_AT_ONCE`` or so at a time: what is sent to every task has that bound."""
-    n = terms.count()
-    parts = -(-n // TERMS_AT_ONCE)
-    for k in range(parts):
-        part = terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms
-        yield frozenset(r.term for r in part.collect())
+
+def entity_groups(texts: DataFrame) -> DataFrame:
+    """mark, entity, m, alike: for each different set of texts that some entities stand in, the first of
+    these entities in each of the texts, the number of texts and that of the entities.
+
+    Sets are told apart by their size and 128 bits, the parity of their texts' hashes."""
+    held = texts.select("mark", F.explode("entities").alias("entity"))
+    parity = [F.bit_xor(F.xxhash64("mark", F.lit(seed))).alias(f"p{seed}") for seed in (1, 2)]
+    sets = held.groupBy("entity").agg(F.count(F.lit(1)).alias("m"), *parity)
+    first = sets.groupBy("m", "p1", "p2").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("alike"))
+    return held.join(first.select("entity", "m", "alike"), "entity")
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", min_posterior: float = 0.5, min_bits: float = 4.0) -> DataFrame:
-    """term, entity, posterior and bits of every disclosure over the limits."""
-    src = docs.select(F.col(text).cast("string").alias("text"))
-    schema = "kind string, name string, n bigint, mark bigint, entities array<string>, terms array<string>"
-    seen = stored(src.mapInArrow(lambda it: statistics(texts_of(it)), schema), "pii-seen")
-    total = docs.count()
-    entities = stored(seen.filter("kind = 'entity'").groupBy(F.col("name").alias("entity")).agg(F.sum("n").alias("m")), "pii-entities")
-    most = entities.agg(F.max("m")).first()[0] or 0
-    terms = seen.filter("kind = 'term'").groupBy(F.col("name").alias("term")).agg(F.sum("n").alias("n")) \
-        .filter(F.lit(most) / (F.col("n") + 1) >= min_posterior)
-    texts = seen.filter("kind = 'text'").select("mark", "entities", "terms").dropDuplicates(["mark"])
-    texts = stored(texts, "pii-texts")  # copies in other tasks are gone
-    known = texts.select("mark", F.explode("entities").alias("entity")).join(entities, "entity")
-    pairs = texts.select("mark", F.explode("terms").alias("term")).join(terms, "term").join(known, "mark") \
+    """term, entity, posterior, bits and alike (how many entities that stand in the same texts it discloses
+    likewise; ``entity`` is the first of them) of every disclosure over the limits."""
+    src, total = with_copied(docs.select(F.col(text).cast("string").alias("text")))
+    seen = stored(src.mapInArrow(statistics, SEEN_SQL), "pii-seen")
+    texts = stored(seen.filter("mark is not null").select("mark", "entities", "terms").dropDuplicates(["mark"]), "pii-texts")
+    known = stored(entity_groups(texts), "pii-entities")
+    most = known.agg(F.max("m")).first()[0] or 0
+    owned = texts.select("mark", (F.size("entities") > 0).cast("long").alias("own"), F.explode("terms").alias("term"))
+    counts = seen.filter("name is not null").select(F.col("name").alias("term"), "n", F.lit(0).cast("long").alias("own")) \
+        .unionByName(owned.select("term", F.lit(1).cast("long").alias("n"), "own"))
+    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("own").alias("own")) \
+        .filter(F.least("own", F.lit(most)) / (F.col("n") + 1) >= min_posterior).drop("own")
+    pairs = owned.filter("own = 1").select("mark", "term").join(terms, "term").join(known, "mark") \
         .filter(F.col("m") / (F.col("n") + 1) >= min_posterior)
     posterior = F.col("c") / (F.col("n") + 1)
-    return (pairs.groupBy("term", "entity", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    return (pairs.groupBy("term", "entity", "n", "m", "alike").agg(F.count(F.lit(1)).alias("c"))
             .select("term", "entity", posterior.alias("posterior"),
-                    F.log2(posterior * max(total, 1) / F.col("m")).alias("bits"))
+                    F.log2(posterior * max(total, 1) / F.col("m")).alias("bits"), "alike")
             .filter((F.col("posterior") >= min_posterior) & (F.col("bits") >= min_bits)))
 
 
+def terms_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of each text with each of its different terms."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("term", pa.string())])
+    for b in batches:
+        rows = [(h1, h2, t) for h1, h2, text in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "text")))
+                for t in {t.lower() for t in TERM.findall(text)}]
+        yield record_batch(schema, list(zip(*rows)) or [()] * 3)
+
+
+def with_terms(src: DataFrame, terms: DataFrame) -> DataFrame:
+    """``src`` with ``found``: of ``terms``, those that stand in the text; for more terms than a task should hold.
+
+    One join of all texts' terms with ``terms``, gathered by text (two hashes of it); a list has at most the terms of its text."""
+    keyed = src.withColumn("h1", F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit(1)))).withColumn("h2", F.xxhash64("text", F.lit(2)))
+    each = keyed.filter(F.col("text").isNotNull()).select("h1", "h2", "text").mapInArrow(terms_by_text, "h1 bigint, h2 bigint, term string")
+    found = each.join(terms, "term", "left_semi").groupBy("h1", "h2").agg(F.collect_set("term").alias("found"))
+    return keyed.join(stored(found, "pii-found"), ["h1", "h2"], "left").drop("h1", "h2")
+
+
 def added_spans(text: str | None, base: list[tuple[int, int, int]], terms: frozenset) -> list[tuple[int, int]]:
     """Occurrences of disclosing terms that don't touch a direct identifier."""
     if not text or not terms:
@@ -221,34 +254,22 @@ def listing(spans: list[tuple[int, str, int]]) -> str:
 OUT = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_spans string, spans string, n_terms bigint, sanitised string"
 
 
-FOUND = "array<struct<s:int,e:int>>"
-
-
-def adding(terms: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the spans of one block of terms to those found so far."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [f + [{"s": s, "e": e} for s, e in added_spans(t, identifiers(t), terms.value)]
-                     for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist())]
-            yield record_batch(b.schema, [b.column("key"), b.column("text"), found])
-    return run
-
-
 def find_and_sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, **limits: float) -> DataFrame:
     """key, counts of direct identifiers, ``base_spans`` and ``spans`` (kind:start:end
     in code points, end exclusive, by start, then kind as listed, terms last),
     number of added terms and the sanitised text (null unless ``with_text``).
 
-    Two passes over the texts: one for the statistics, one to apply them."""
+    Up to ``TERMS_AT_ONCE`` terms are sent to every task; more are brought to
+    the texts that hold them by a join, however many they are."""
     spark = docs.sparkSession
     terms = stored(disclosing_terms(docs, text, **limits).select("term").distinct(), "pii-terms")
-    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.array().cast(FOUND).alias("found"))
-    parts = blocks(terms)
-    part = next(parts, frozenset())
-    for further in parts:  # more terms than a task should hold: a pass for each block
-        src = stored(src.mapInArrow(adding(spark.sparkContext.broadcast(part)), src.schema), "pii-found")
-        part = further
-    sent = spark.sparkContext.broadcast(part)
+    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    sent = None
+    if terms.count() <= TERMS_AT_ONCE:
+        sent = spark.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
+        src = src.withColumn("found", F.lit(None).cast("array<string>"))
+    else:
+        src = with_terms(src, terms)
     types = pa.schema([("a", pa.int64())] * 4 + [("b", pa.string())] * 2 + [("n", pa.int64()), ("t", pa.string())])
     names = [c.split()[0] for c in OUT.split(", ")]
 
@@ -257,7 +278,7 @@ def find_and_sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text",
             rows = []
             for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist()):
                 base = identifiers(t)
-                more = sorted([(x["s"], x["e"]) for x in found] + added_spans(t, base, sent.value))
+                more = added_spans(t, base, frozenset(found or ()) if sent is None else sent.value)
                 n = Counter(k for _, k, _ in base)
                 spans = [(s, KINDS[k], e) for s, k, e in base]
                 both = sorted([(s, k, e) for s, k, e in base] + [(s, len(KINDS), e) for s, e in more])

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.llm import linededup, mixing, parity, rpforest, textvec
 
@@ -170,6 +171,30 @@ def test_flow_against_all_choices(seed):
     assert (sum(used.values()), -sum(cost(used[p], size[p]) for p in size)) == best
 
 
+def test_families_apart_as_all_together():
+    r = random.Random(6)
+    patterns = {("a",): 9, ("a", "b"): 5, ("b", "c"): 7, ("d",): 4, ("e",): 6, ("e", "f"): 3, ("f",): 0, (): 2}
+    for _ in range(20):
+        quotas = {s: r.randint(0, 20) for s in "abcdef"}
+        whole = {p: sum(to.values()) for p, to in mixing.route(patterns, quotas).items()}
+        apart = mixing.shares(patterns, quotas)
+        cost = lambda x: sum(max(0, x[p] - n) for p, n in patterns.items())
+        assert (sum(whole.values()), cost(whole)) == (sum(apart.values()), cost(apart))
+    assert sorted(map(sorted, mixing.families(patterns))) == [[()], [("a",), ("a", "b"), ("b", "c")], [("d",)], [("e",), ("e", "f"), ("f",)]]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_many_patterns(llm, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(mixing, "SENT", 10)
+    n = 20_001 if few else 300
+    d = llm.range(2 * n).selectExpr("id", "10 + id % 7 AS size", f"array(concat('s', id % {n})) AS of")
+    out, goal, sizes = mixing.mix(d, "id", "size", "of")
+    assert len(goal) == n and out.count() == 2 * n
+    rows = out.groupBy(F.col("of")[0].alias("s")).agg(F.sum("taken").alias("t"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert len(rows) == n and all(abs(r.t - goal[r.s]) <= 10 and r.over <= 0 for r in rows)
+
+
 def test_mix(llm, prose):
     r = random.Random(4)
     rows = [(i, r.randint(0, 50), [["x"], ["y"], ["~"], ["x", "y"]][i % 4]) for i in range(400)] + [(None, 5, ["x"]), (7, 3, ["y"]), (900, 4, []), (901, 4, None)]

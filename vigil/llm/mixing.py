@@ -7,7 +7,10 @@ that costs more than the one before, so the flow uses every token once before
 it uses any twice.  The flow says how often each pattern is repeated and how
 its tokens are shared out; whole documents are then taken in a seeded order.
 
-Only sizes by source and by pattern reach the driver.
+Only sizes by source and by pattern reach the driver, in memory that grows with
+their number alone.  Patterns that share no source, directly or through others,
+don't meet in the flow: each such family is solved by itself, and a pattern
+alone with its source has a closed form, so only what overlaps costs a search.
 
 Defined results
     null or empty text   size 0: taken 0
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +40,7 @@ from .common import WORD, stored
 WEIGHTS = (3, 1, 2)
 TOTAL_PCT = 150
 MAX_REPEAT = 2
-MAX_PATTERNS = 20_000
+SENT = 200_000
 ORDER_BITS, DIGIT_BITS = 60, 12
 FILLS = 2
 
@@ -59,7 +63,8 @@ def targets(sizes: dict, weights: dict, total: float, max_repeat: float = MAX_RE
         for s in full:
             out[s] = float(max_repeat * sizes[s])
             left -= out[s]
-        open_ = [s for s in open_ if s not in set(full)]
+        gone = set(full)
+        open_ = [s for s in open_ if s not in gone]
     return out
 
 
@@ -96,6 +101,39 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
             cap[e ^ 1] += push
 
 
+def families(patterns: Iterable[tuple]) -> list[list[tuple]]:
+    """Patterns parted so that no two parts share a source."""
+    over: dict = {}
+
+    def top(s):
+        while over.setdefault(s, s) != s:
+            over[s] = over[over[s]]
+            s = over[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            over[top(s)] = top(p[0])
+    out: dict = {}
+    for p in patterns:
+        out.setdefault(top(p[0]) if p else None, []).append(p)
+    return list(out.values())
+
+
+def shares(patterns: dict[tuple, int], quotas: dict, max_repeat: int = MAX_REPEAT) -> dict[tuple, int]:
+    """Tokens that the cheapest flow takes from each pattern, family by family."""
+    out = {}
+    for family in families(patterns):
+        if len(family) == 1 and len(family[0]) == 1:
+            p = family[0]
+            out[p] = min(round(quotas[p[0]]), max_repeat * patterns[p])
+        else:
+            names = {s: quotas[s] for s in sorted({s for p in family for s in p})}
+            flow = route({p: patterns[p] for p in family}, names, max_repeat)
+            out |= {p: sum(to.values()) for p, to in flow.items()}
+    return out
+
+
 def route(patterns: dict[tuple, int], quotas: dict, max_repeat: int = MAX_REPEAT) -> dict[tuple, dict]:
     """Tokens that flow from each pattern to each of its sources.
 
@@ -127,20 +165,20 @@ def digits(order: Column, level: int) -> Column:
     return F.shiftright(order, ORDER_BITS - level * DIGIT_BITS)
 
 
-def narrowed(rows: DataFrame, cut: DataFrame, level: int) -> DataFrame:
+def narrowed(rows: DataFrame, cut: DataFrame, level: int, send: Callable) -> DataFrame:
     """One more digit of each group's cut: grp, gap, prefix, s and n (size and
     number of documents in the stretch that holds the cut)."""
-    inside = rows.join(F.broadcast(cut.select("grp", "prefix")), "grp").filter(digits(F.col("order"), level - 1) == F.col("prefix"))
+    inside = rows.join(send(cut.select("grp", "prefix")), "grp").filter(digits(F.col("order"), level - 1) == F.col("prefix"))
     sums = inside.groupBy("grp", digits(F.col("order"), level).alias("next")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("grp").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)  # 2**DIGIT_BITS rows a group
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(w), F.lit(0)))
-    hit = sums.join(F.broadcast(cut.select("grp", "gap")), "grp").filter(F.col("before") <= F.col("gap")) \
+    hit = sums.join(send(cut.select("grp", "gap")), "grp").filter(F.col("before") <= F.col("gap")) \
         .groupBy("grp").agg(F.max_by(F.struct("next", "before", "s", "n"), "next").alias("hit"))
     return cut.select("grp", "gap").join(hit, "grp").select(
         "grp", (F.col("gap") - F.col("hit.before")).alias("gap"), F.col("hit.next").alias("prefix"), "hit.s", "hit.n")
 
 
-def cuts(rows: DataFrame, want: DataFrame) -> DataFrame:
+def cuts(rows: DataFrame, want: DataFrame, send: Callable) -> DataFrame:
     """For each group of ``want`` (grp, gap) that has rows: ``below``, such that the
     documents with order < below fit the gap and the next one doesn't, and the gap left.
 
@@ -150,7 +188,7 @@ def cuts(rows: DataFrame, want: DataFrame) -> DataFrame:
     cut, level = want.select("grp", "gap", F.lit(0).cast("long").alias("prefix")), 0
     while True:
         level += 1
-        cut = cut_lineage(narrowed(rows, cut, level))
+        cut = cut_lineage(narrowed(rows, cut, level, send))
         if level == ORDER_BITS // DIGIT_BITS or not cut.filter("n > 1").head(1):
             break
     whole = F.col("s") <= F.col("gap")
@@ -158,32 +196,33 @@ def cuts(rows: DataFrame, want: DataFrame) -> DataFrame:
                       (F.col("gap") - F.when(whole, F.col("s")).otherwise(0)).alias("left"))
 
 
-def extra_plan(rows: DataFrame, want: DataFrame) -> list[DataFrame]:
+def extra_plan(rows: DataFrame, want: DataFrame, send: Callable) -> list[DataFrame]:
     """What decides which documents of ``rows`` (grp, order, size) get one copy
     more, so that the copies of a group come to about its ``gap``; a row a group.
 
     The seeded prefix is taken first; what is missing then is filled, ``FILLS``
     times, with the seeded prefix of the documents that are small enough; at last
-    the smallest document left is taken if the copies then come nearer."""
+    the smallest document left is taken if the copies then come nearer.
+    ``send`` hints a broadcast where the groups are few."""
     steps: list[DataFrame] = []
     for k in range(1 + FILLS):
         open_ = with_extra(rows, steps).filter(~F.col("extra") & (F.col("size") > 0))
         if k:
             want = steps[-1].select("grp", F.col(f"left{k - 1}").alias("gap"))
-            open_ = open_.join(F.broadcast(want), "grp").filter(F.col("size") <= F.col("gap"))
-        found = cuts(open_.select("grp", "order", "size"), want).join(want, "grp", "right")
-        steps.append(cut_lineage(found.select("grp", F.coalesce("below", F.lit(0)).alias(f"below{k}"), F.coalesce("left", "gap").alias(f"left{k}"))))
+            open_ = open_.join(send(want), "grp").filter(F.col("size") <= F.col("gap"))
+        found = cuts(open_.select("grp", "order", "size"), want, send).join(want, "grp", "right")
+        steps.append(send(cut_lineage(found.select("grp", F.coalesce("below", F.lit(0)).alias(f"below{k}"), F.coalesce("left", "gap").alias(f"left{k}")))))
     gap = steps[-1].select("grp", F.col(f"left{FILLS}").alias("gap"))
-    small = with_extra(rows, steps).filter(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(gap), "grp").filter(F.col("size") < 2 * F.col("gap"))
+    small = with_extra(rows, steps).filter(~F.col("extra") & (F.col("size") > 0)).join(send(gap), "grp").filter(F.col("size") < 2 * F.col("gap"))
     last = small.groupBy("grp").agg(F.min(F.struct("size", "order")).alias("last"))
-    return [*steps, cut_lineage(last)]
+    return [*steps, send(cut_lineage(last))]
 
 
 def with_extra(rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """``rows`` (grp, order, size, ...) with ``extra``, by the steps planned so far."""
     marked, taken = rows, F.lit(False)
     for k, step in enumerate(steps):
-        marked = marked.join(F.broadcast(step), "grp", "left")
+        marked = marked.join(step, "grp", "left")
         if k > FILLS:
             hit = F.col("last").eqNullSafe(F.struct("size", "order"))
         else:
@@ -218,9 +257,7 @@ def mix_plan(rows: DataFrame, weights: tuple = WEIGHTS, total_pct: int = TOTAL_P
              max_repeat: int = MAX_REPEAT) -> tuple[DataFrame, list[DataFrame], dict, dict]:
     """Flow and cuts for placed rows: copies of each group, steps for the extra copies, targets and sizes of the sources."""
     sums = rows.groupBy("grp").agg(F.sum("size").alias("size")).withColumn("names", F.from_json("grp", "array<string>"))
-    patterns = {tuple(r.names): (r.grp, r["size"]) for r in sums.limit(MAX_PATTERNS + 1).collect()}
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns: merge sources first")
+    patterns = {tuple(r.names): (r.grp, r["size"]) for r in sums.collect()}
     sizes: dict = {}
     for p, (_, n) in patterns.items():
         for s in p:
@@ -228,18 +265,16 @@ def mix_plan(rows: DataFrame, weights: tuple = WEIGHTS, total_pct: int = TOTAL_P
     sizes = dict(sorted(sizes.items()))
     by = {s: weights[i % len(weights)] for i, s in enumerate(sizes)}
     goal = targets(sizes, by, sum(n for _, n in patterns.values()) * total_pct / 100, max_repeat)
-    flow = route({p: n for p, (_, n) in patterns.items()}, goal, max_repeat)
-    plan = []
-    for p, (grp, n) in patterns.items():
-        words = sum(flow[p].values())
-        plan.append((grp, words // n if n else 0, words % n if n else 0))
+    flow = shares({p: n for p, (_, n) in patterns.items()}, goal, max_repeat)
+    plan = [(grp, flow[p] // n if n else 0, flow[p] % n if n else 0) for p, (grp, n) in patterns.items()]
+    send = F.broadcast if len(plan) <= SENT else (lambda df: df)
     plan = rows.sparkSession.createDataFrame(plan, "grp string, base long, gap long")
-    return plan.select("grp", "base"), extra_plan(rows, plan.filter("gap > 0").select("grp", "gap")), goal, sizes
+    return send(plan.select("grp", "base")), extra_plan(rows, plan.filter("gap > 0").select("grp", "gap"), send), goal, sizes
 
 
 def copies(rows: DataFrame, plan: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """Placed rows with ``copies``, the times that the mix takes each."""
-    return with_extra(rows, steps).join(F.broadcast(plan), "grp").withColumn("copies", F.col("base") + F.col("extra").cast("long")).drop("base", "extra")
+    return with_extra(rows, steps).join(plan, "grp").withColumn("copies", F.col("base") + F.col("extra").cast("long")).drop("base", "extra")
 
 
 def source_name(source: Column) -> Column:

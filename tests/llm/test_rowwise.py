@@ -92,6 +92,47 @@ def test_gradients_by_difference():
         assert (up - down) / (2 * d) == pytest.approx(g[k][at], rel=1e-4, abs=1e-9)
 
 
+def test_every_language_is_learned(docs_of, monkeypatch):
+    rows = [(i, f"text {i} of it", f"l{i % 201:03d}") for i in range(201 * 3)] + [(9000, "more", "l000"), (9001, "x", None), (9002, None, "none"), (9003, "1 2", "digits")]
+    got = {}
+    monkeypatch.setattr(langid, "train", lambda pieces, labels: got.update({y: labels.count(y) for y in set(labels)}))
+    langid.fit(docs_of(rows), lang="source", pieces=2)
+    assert sorted(got) == [f"l{i:03d}" for i in range(201)] and set(got.values()) <= {6, 8}
+    monkeypatch.setattr(langid, "MAX_DOCS", 201)
+    monkeypatch.setattr(langid, "MIN_DOCS", 2)
+    got.clear()
+    langid.fit(docs_of([(i, f"text {i}", f"l{i % 3}") for i in range(3000)]), lang="source", pieces=1)
+    assert len(got) == 3 and all(30 < n < 110 for n in got.values())
+    assert langid.fit(docs_of([]), lang="source") is None
+
+
+def slow_run(net, x):
+    """Pooled probabilities of one piece, a byte and a layer at a time."""
+    sq = lambda v: v / (1 + abs(v))
+    logits = np.zeros((len(x), len(net.langs))) + net.bias
+    for d in (0, 1):
+        h = np.zeros(net.rec.shape[-1])
+        for t in (range(len(x)) if d == 0 else reversed(range(len(x)))):
+            z, r = (0.5 + 0.5 * sq(net.inp[d][k][x[t]] + h @ net.rec[d][k]) for k in (0, 1))
+            c = sq(net.inp[d][2][x[t]] + (r * h) @ net.rec[d][2])
+            h = h + z * (c - h)
+            logits[t] += h @ net.out[d]
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    return (e / e.sum(1, keepdims=True)).sum(0)
+
+
+def test_fast_forward_pass_as_plain_loop():
+    rng = np.random.default_rng(4)
+    net = langid.Net(["a", "b", "c"], 4)
+    for k in net.NAMES:
+        getattr(net, k)[...] = rng.normal(size=getattr(net, k).shape) * 0.7
+    lens = np.array([9, 6, 6, 1])
+    x = rng.integers(0, 256, (4, 9)).astype(np.uint8)
+    got = net.run(x, lens)
+    for row, n, p in zip(x, lens, got):
+        assert p == pytest.approx(slow_run(net, row[:n]), rel=1e-4)
+
+
 def test_language_learned_and_pooled():
     r = random.Random(0)
     make = lambda chars, n: " ".join("".join(r.choice(chars) for _ in range(5)) for _ in range(n))

@@ -33,7 +33,8 @@ HIDDEN = 12
 SEGMENT = 256
 ROWS = 2048
 PIECE = 64
-MAX_LANGS = 200
+MAX_DOCS, MIN_DOCS = 80_000, 20
+CELLS = 1 << 15
 F4 = np.float32
 
 
@@ -159,7 +160,8 @@ def train(pieces: list[bytes], labels: list[str], steps: int = 400, batch: int =
     if len(langs) == 1:
         return net
     x = np.stack([np.frombuffer((p * (PIECE // len(p) + 1))[:PIECE], np.uint8) for p in pieces])  # short ones are repeated
-    y = np.array([langs.index(v) for v in labels])
+    place = {v: k for k, v in enumerate(langs)}
+    y = np.array([place[v] for v in labels])
     rows = [np.flatnonzero(y == k) for k in range(len(langs))]
     rng = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(getattr(net, k)) for k in net.NAMES} for _ in "ab")
@@ -187,6 +189,7 @@ def identify(texts: list[str | None], net: Net | None) -> tuple[list[str], list[
         return langs, scores
     total, owner, parts = np.zeros((len(texts), len(net.langs))), [], []
     size = np.zeros(len(texts))
+    at_once = max(16, min(ROWS, CELLS // len(net.langs)))  # a probability for each byte and language
 
     def flush() -> None:
         lens = np.array([len(p) for p in parts])
@@ -204,7 +207,7 @@ def identify(texts: list[str | None], net: Net | None) -> tuple[list[str], list[
             for at in range(0, len(raw), SEGMENT):
                 parts.append(raw[at:at + SEGMENT])
                 owner.append(i)
-                if len(parts) == ROWS:
+                if len(parts) == at_once:
                     flush()
     if parts:
         flush()
@@ -217,20 +220,21 @@ def identify(texts: list[str | None], net: Net | None) -> tuple[list[str], list[
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 400, pieces: int = 6) -> Net | None:
     """Train on ``pieces`` pieces each of about ``max_docs`` documents of each
-    language (the bound on what the driver holds), from places spread over the
-    whole texts.  Of over ``MAX_LANGS`` languages the most frequent are learned."""
+    language, from places spread over the whole texts.  Every language that
+    occurs is learned; of many, fewer documents each, so that there are about
+    ``MAX_DOCS`` in all (the bound on what the driver holds), ``MIN_DOCS`` at least."""
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y")) \
         .filter(F.col("y").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("y").count().collect()
     if not counts:
         return None
-    share = F.lit(None)
-    for r in counts:
-        share = F.when(F.col("y") == r.y, min(1 << 20, int((1 << 20) * max_docs / r["count"]) + 1)).otherwise(share)
+    each = min(max_docs, max(MIN_DOCS, MAX_DOCS // len(counts)))
+    share = [(r.y, min(1 << 20, int((1 << 20) * each / r["count"]) + 1)) for r in counts]
+    share = F.broadcast(docs.sparkSession.createDataFrame(share, "y string, share long"))  # a row a language
     at = lambda j: F.pmod(F.xxhash64("k", F.lit(j)), F.greatest(F.length("t") - (PIECE - 1), F.lit(1))).cast("int") + 1
-    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < share) \
+    picked = rows.join(share, "y").filter(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < F.col("share")) \
         .select("y", "k", F.array(*(F.substring("t", at(j), F.lit(PIECE)) for j in range(pieces))).alias("p"))
-    got = sorted(picked.limit(2 * max_docs * len(counts)).collect(), key=lambda r: (r.y, r.k or "", r.p))
+    got = sorted(picked.limit(2 * each * len(counts)).collect(), key=lambda r: (r.y, r.k or "", r.p))
     both = [(p.encode(), r.y) for r in got for p in r.p if p]
     return train([p for p, _ in both], [y for _, y in both])
 

@@ -98,14 +98,14 @@ def test_cross_pairs_in_blocks(llm, docs_of, prose, monkeypatch):
 
 def slow_removed(rows):
     lines = [(k, i, frozenset(WORD.findall(x))) for k, t in rows if k is not None and t is not None for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 5]
+    lines = [x for x in lines if x[2]]
     return {(k, i) for k, i, w in lines if any((a, b) < (k, i) and 5 * len(w & v) >= 4 * len(w | v) for a, b, v in lines)}
 
 
 def test_lines_as_by_brute_force(docs_of, prose):
     r = random.Random(5)
     pool = [t for s, (n, w, e) in enumerate([(15, 12, 2), (15, 40, 6), (10, 150, 20), (10, 6, 1)]) for t in family(prose, n, w, e, 20 + s)]
-    pool += ["short", "a b c d", "", "five words stand right here", "tab\tand  blanks stand\x0b here too"]
+    pool += ["short", "a b c d", "a b c d e", "c b a", "b a", "short", "", "five words stand right here", "tab\tand  blanks stand\x0b here too"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for i in range(40)] + [(90, None), (91, ""), (None, pool[0]), (3, pool[1]), (92, pool[1]), (92, pool[1])]
     got = {(x.k, x.l) for x in linededup.removed_lines(docs_of(rows)).collect()}
     assert got == slow_removed(rows)
@@ -117,7 +117,9 @@ def test_dedup_rows(docs_of, prose):
     out = linededup.dedup(d)
     assert out.schema == d.schema
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got == {1: f"{a}\n\nhi", 3: f"{b}\nhi", 4: None, 5: "", None: a, 6: "hi"}
+    assert got == {1: f"{a}\n\nhi", 3: b, 4: None, 5: "", None: a}
+    kept = {r.doc_id: r.text for r in linededup.dedup(d, min_words=5).collect()}
+    assert kept == {1: f"{a}\n\nhi", 3: f"{b}\nhi", 4: None, 5: "", None: a, 6: "hi"}
     assert linededup.dedup(docs_of([])).count() == 0
 
 

@@ -2,8 +2,8 @@
 
 A line's set is its distinct words (runs other than \\x20 and \\x09-\\x0D).  A line
 goes if an earlier line, by (key, line number), has a set of Jaccard similarity
-``num / den`` or more; that line may itself be gone.  Lines of fewer than
-``min_words`` distinct words always stay.  Sets too small to be similar to any
+``num / den`` or more; that line may itself be gone.  All lines with a word take
+part; with a larger ``min_words`` those of fewer distinct words stay.  Sets too small to be similar to any
 other (below four words at 0.8) are settled as equal sets and enter no join.
 
 Sets are ordered by rarity: words fall into ``1 << RARITY_BITS`` hash buckets,
@@ -27,6 +27,7 @@ Defined results
     repeated rows        rows of one key have the same place, so none removes the other
     ties                 a similarity that exactly reaches the threshold counts
     very long lines      all words count
+    empty table          no rows
     documents left with no word, though they had some, go in ``dedup``
     other columns        ``dedup`` keeps them all; own names are chosen apart from theirs
 """
@@ -196,7 +197,7 @@ def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: in
         "id", F.col("k").alias("fk"), F.col("l").alias("fl"), (F.coalesce("hit", F.lit(False)) | (F.col("open") == 0)).alias("gone"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, num: int = 4, den: int = 5) -> DataFrame:
     """k (key) and l (line number from 0) of the lines that go; a row for each line of repeated rows."""
     sets = stored(line_sets(docs, key, text, rarity(docs, text), min_words, num, den), "line-sets")
     own = stored(sets.select("k", "l", "id"), "line-ids")

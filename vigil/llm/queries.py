@@ -180,7 +180,7 @@ ORACLE: dict[str, str] = {
         WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS l
                    FROM documents WHERE text IS NOT NULL),
         w AS (SELECT doc_id, l, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM a),
-        p AS (SELECT doc_id, l, w, dense_rank() OVER (ORDER BY w) AS s, row_number() OVER (PARTITION BY w ORDER BY doc_id, l) AS rn FROM w WHERE len(w) >= 5),
+        p AS (SELECT doc_id, l, w, dense_rank() OVER (ORDER BY w) AS s, row_number() OVER (PARTITION BY w ORDER BY doc_id, l) AS rn FROM w WHERE len(w) >= 1),
         f AS (SELECT doc_id, l, s, len(w) AS n, w FROM p WHERE rn = 1),
         t AS (SELECT doc_id, l, s, n, unnest(w) AS t FROM f),
         g AS (SELECT DISTINCT x.s FROM (SELECT x.s, y.s AS o, x.n, y.n AS m, count(*) AS c FROM t x JOIN t y

@@ -45,8 +45,10 @@ def get_session(master: str | None = None, app: str = "vigil",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``;
-    only when it is unset (local tests) create a private one."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+    Only a local session may go without: it gets a private one.  On a cluster
+    a folder of the driver's machine would be lost to the executors, so there
+    an unset folder is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

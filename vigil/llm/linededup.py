@@ -35,6 +35,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,28 +86,29 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words:
     hash in one number), star keys and signature.
 
     The signature is the parity of the words by 64 bits of their hashes (s0), and
-    for lines of over ``LONG`` words also that of the words with an odd hash (s1)."""
-    hashes = lines_of(docs, key, text).select("k", "l", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
-    hashes = hashes.select("k", "l", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))).alias("h")).filter(F.size("h") >= min_words)
+    for lines of over ``LONG`` words also that of the words with an odd hash (s1).
+    The sets are made before the lines part, so that no filter or later column makes them again."""
     rank = lambda h: F.get(classes, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 9))
-    ranked = hashes.select("k", "l", F.size("h").alias("n"), F.sort_array(F.transform("h", rank)).alias("r"))
+    hashes = lambda line: F.array_distinct(F.array_remove(F.transform(words_of(line), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
+    every = F.transform(F.split(F.col(text).cast("string"), "\n"), lambda line: F.sort_array(F.transform(hashes(line), rank)))
+    ranked = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(every).alias("l", "r")).withColumn("n", F.size("r")).filter(F.col("n") >= min_words)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
     odd = lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1
     n = F.col("n")
     need = F.floor((num * n + (den - 1)) / den).cast("int")
     joins = den * n >= num * (n + 1)  # a set of n words is similar to another at all: at best to itself with one word more
-    return ranked.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
-                         F.when(joins, star_keys(n)).otherwise(F.array().cast("array<bigint>")).alias("star"),
-                         F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
-                         F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
+    rare = F.slice("r", F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(3)))
+    ordered = ranked.select("k", "l", "n", "r", *(F.sort_array(F.transform(rare, lambda x: F.xxhash64(x, F.lit(seed)))).alias(f"o{seed}") for seed in (1, 2)))
+    return ordered.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
+                          F.when(joins, star_keys("o1", "o2")).otherwise(F.array().cast("array<bigint>")).alias("star"),
+                          F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
+                          F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
 
 
-def star_keys(n: Column) -> Column:
-    """Four hashes, each of two words that changes elsewhere in the line leave alone:
-    the smallest and the largest two of the rarer half, under two hashes."""
-    rare = F.slice("r", F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(3)))
-    orders = [F.sort_array(F.transform(rare, lambda x: F.xxhash64(x, F.lit(seed)))) for seed in (1, 2)]
+def star_keys(*orders: str) -> Column:
+    """Hashes, each of two words that changes elsewhere in the line leave alone:
+    the smallest and the largest two of the rarer half, under each order."""
     return F.flatten(F.array(*(F.array(F.xxhash64(F.slice(o, 1, 2)), F.xxhash64(F.slice(o, -2, 2))) for o in orders)))
 
 
@@ -125,6 +127,7 @@ def may_be_similar(x: Column, y: Column, num: int, den: int) -> Column:
 
 SIDE = ("k", "l", "n", "s0", "s1")
 CENTERS = 4
+SLICES = 4  # the prefix join goes through the words in as many parts, one after the other, so that its shuffle stands on disk a part at a time
 
 
 def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
@@ -142,19 +145,19 @@ def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select(*(F.col(f"{a}.{c}").alias(f"{a}{c}") for a in "xy" for c in SIDE)).distinct()
 
 
-def prefix_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
-    """Each open line with the earlier lines that pass prefix, length and positional filter and signature.
+def prefix_pairs(first: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """Each open line with the earlier lines that pass prefix, length and positional filter and signature, by the words of one of ``SLICES`` parts.
 
     Both sides are one exchange: that a line is open is asked in the join, beside a column of the other side."""
-    posts = first.select(F.struct(*SIDE, "open").alias("line"), F.posexplode("prefix").alias("pos", "tok"))
-    a, b = (posts.select(F.col("tok").alias(f"{n}tok"), F.col("line").alias(n), F.col("pos").alias(f"{n}pos")) for n in "xy")
-    x, y = F.col("x"), F.col("y")
-    rest = 1 + F.least(x["n"] - F.col("xpos") - 1, y["n"] - F.col("ypos") - 1)
+    posts = first.select(*SIDE, "open", F.posexplode("prefix").alias("pos", "tok")).filter(F.pmod("tok", F.lit(SLICES)) == part)
+    a, b = (posts.select(*(F.col(c).alias(n + c) for c in ("tok", *SIDE, "open", "pos"))) for n in "xy")
+    x, y = ({c: F.col(n + c) for c in ("tok", *SIDE, "open", "pos")} for n in "xy")
+    rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
     enough = (num + den) * rest >= num * (x["n"] + y["n"])
     is_open = x["open"] * y["n"] > 0
     before = (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["l"] < x["l"]))
-    both = a.join(b, (F.col("xtok") == F.col("ytok")) & is_open & before & enough & may_be_similar(x, y, num, den))
-    return both.select(*(F.col(f"{a}.{c}").alias(f"{a}{c}") for a in "xy" for c in SIDE)).distinct()
+    both = a.join(b, (x["tok"] == y["tok"]) & is_open & before & enough & may_be_similar(x, y, num, den))
+    return both.select(*(n + c for n in "xy" for c in SIDE)).distinct()
 
 
 def bitmap(ids: DataFrame) -> Column:
@@ -192,7 +195,8 @@ def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: in
     done = stored(verified(star_pairs(first, num, den), docs, key, text, num, den), "line-done")
     marked = stored(first.drop("star").join(done.withColumn("hit", F.lit(0)), same, "left").withColumn("open", F.coalesce("hit", F.lit(1))).drop("hit"), "line-open")
     dropped(first)
-    more = stored(verified(prefix_pairs(marked, num, den), docs, key, text, num, den), "line-done")
+    near = [stored(prefix_pairs(marked, num, den, i), "line-near") for i in range(SLICES)]
+    more = stored(verified(reduce(DataFrame.unionByName, near).distinct(), docs, key, text, num, den), "line-done")
     return marked.join(more.withColumn("hit", F.lit(True)), same, "left").select(
         "id", F.col("k").alias("fk"), F.col("l").alias("fl"), (F.coalesce("hit", F.lit(False)) | (F.col("open") == 0)).alias("gone"))
 

@@ -77,8 +77,8 @@ def first_assistant(messages) -> Column:
 
 def infer_prompt(narrative, variant: str = "infer") -> Column:
     """User turn of the inference prompt; variants differ in the
-    separator before the narrative."""
-    sep = {"eval": "\nNarrative: ", "infer": "\n\nNarrative: "}[variant]
+    separator before the narrative (batch and demo turns are alike)."""
+    sep = {"eval": "\nNarrative: ", "infer": "\n\nNarrative: ", "demo": "\n\nNarrative: "}[variant]
     return F.concat(F.lit(INFER_INSTRUCTION + sep), utrim(col_(narrative)), F.lit("\n\nOutput:"))
 
 
@@ -137,7 +137,7 @@ def _last_end(ids_bytes: bytes, tpl_bytes: bytes, width: int, n: int, t: int) ->
 
 
 def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int = MAX_SEQ_LENGTH,
-             keep: list[str] | None = None, response_template: list[int] | None = None):
+             keep: list[str] | None = None, response_template: list[int] | None = None, count_col: str | None = None):
     """Batched tokenisation, truncated to ``max_len``; the text column is
     dropped.  Adds ``input_ids`` and ``attention_mask``.
 
@@ -147,7 +147,8 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
     one byte buffer); any callable ``list[str] -> list[list[int]]`` plugs in.
     With ``response_template`` it also adds ``mask_until`` (T13 boundary: just
     past the last template occurrence, found by a C-level ``rfind`` in the
-    batch) for ``with_response_mask(..., until_col="mask_until")``."""
+    batch) for ``with_response_mask(..., until_col="mask_until")``.  ``count_col``
+    names a column for the number of ids before the cut."""
     import itertools
 
     import numpy as np
@@ -156,6 +157,7 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
     keep = keep or [c for c in df.columns if c != text_col]
     ints = ArrayType(IntegerType())
     extra = [StructField("mask_until", IntegerType())] if response_template is not None else []
+    extra += [StructField(count_col, IntegerType())] if count_col else []
     schema = StructType(list(df.select(*keep).schema.fields)
                         + [StructField("input_ids", ints), StructField("attention_mask", ints)] + extra)
     tpl = list(response_template or [])
@@ -166,14 +168,18 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
         for rb in batches:
             texts = rb.column(text_col).to_pylist()
             if tokenizer is byte_tokenizer:
-                enc = [(t or "").encode("utf-8")[:max_len] for t in texts]
+                enc = [(t or "").encode("utf-8") for t in texts]
+                whole = [len(e) for e in enc]
+                enc = [e[:max_len] for e in enc]
                 lens = np.fromiter((len(e) for e in enc), dtype=np.int32, count=len(enc))
                 flat = np.frombuffer(b"".join(enc), dtype=np.uint8).astype(np.int32)
                 if response_template is not None:
                     until = [(_last_end(e, byte_tpl, 1, len(e), len(tpl)) if byte_tpl is not None else len(e))
                              for e in enc]
             else:
-                ids = [x[:max_len] for x in tokenizer(texts)]
+                ids = tokenizer(texts)
+                whole = [len(x) for x in ids]
+                ids = [x[:max_len] for x in ids]
                 lens = np.fromiter((len(x) for x in ids), dtype=np.int32, count=len(ids))
                 flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(lens.sum()))
                 if response_template is not None:
@@ -189,6 +195,9 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
             if response_template is not None:
                 cols.append(pa.array(until, type=pa.int32()))
                 names.append("mask_until")
+            if count_col:
+                cols.append(pa.array(whole, type=pa.int32()))
+                names.append(count_col)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return df.select(*keep, text_col).mapInArrow(run, schema)

@@ -561,9 +561,10 @@ def eval_pairs(spark, sf, mode: str = "base", limit: int = 0) -> DataFrame:
     narrative are skipped before scoring."""
     docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
     gold = read_table(spark, sf, "labels", "doc_id", "quality", "toxic")
-    x = docs.join(gold, "doc_id", "inner").where(utrim(F.col("text")) != "")
-    if limit:                       # V5: the first `limit` records by index (0 = all)
-        x = x.where(F.col("doc_id") < limit)
+    x = docs.join(gold, "doc_id", "inner")
+    if limit:                       # V5: the first `limit` records by index (0 = all), cut before any is skipped
+        x = x.orderBy("doc_id").limit(limit)
+    x = x.where(utrim(F.col("text")) != "")
     pr = PRED_RULES[mode]
     for k, e in pr.items():
         x = x.withColumn(f"_p_{k}", F.expr(e))

@@ -98,6 +98,33 @@ def summary_text(metrics: DataFrame, title: str) -> DataFrame:
     return metrics.select(F.concat_ws("\n", *lines).alias("value"))
 
 
+# ---- fixed values: the lines of the evaluation report (must equal the reference's) ----
+REPORT_BAR = "=" * 60
+REPORT_TITLE = "EVALUATION RESULTS — "
+REPORT_RECORDS = "  Records evaluated  : "
+REPORT_PARSED = "  JSON parse rate    : "
+REPORT_FIELDS = ("  Field accuracy (on ", " parsed records):")
+REPORT_RATES = (("    Seriousness       : ", "seriousness_acc"), ("    MedDRA PT         : ", "meddra_pt_acc"),
+                ("    MedDRA SOC        : ", "meddra_soc_acc"), ("    Labelling status  : ", "labelling_acc"),
+                ("    All fields correct: ", "all_fields_acc"))
+# --------------------------------------------------------------------------------------
+
+
+def evaluation_report(counters: DataFrame, title: str) -> DataFrame:
+    """One row of counters -> the report as rows (pos, line), without the run's time.
+
+    Rates have one decimal, half to even on the shortest decimal form of the number; without records one line says so."""
+    from ..operators.evaluate import rates
+    pct = lambda c: F.concat(F.format_string("%.1f", F.bround(c, 1)), F.lit("%"))
+    text = lambda c: F.col(c).cast("string")
+    lines = [F.lit(REPORT_BAR), F.lit(REPORT_TITLE + title), F.lit(REPORT_BAR), F.concat(F.lit(REPORT_RECORDS), text("total")),
+             F.concat(F.lit(REPORT_PARSED), pct("parse_rate"), F.lit("  ("), text("json_parse_ok"), F.lit("/"), text("total"), F.lit(")")), F.lit(""),
+             F.concat(F.lit(REPORT_FIELDS[0]), text("json_parse_ok"), F.lit(REPORT_FIELDS[1])),
+             *(F.concat(F.lit(name), pct(c)) for name, c in REPORT_RATES), F.lit(REPORT_BAR)]
+    none = F.array(F.lit("No records evaluated."))
+    return rates(counters).select(F.posexplode(F.when(F.col("total") > 0, F.array(*lines)).otherwise(none)).alias("pos", "line"))
+
+
 def comparison_report(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """Both runs' metric rows in one table (A19 adds the deltas)."""
     return base.withColumn("mode", F.lit("base")).unionByName(tuned.withColumn("mode", F.lit("tuned")))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions import chat as CH
 from vigil.functions import subword as SW
+from vigil.operators import coding as C
 from vigil.operators import evaluate as EV
+from vigil.operators import profile as P
 from vigil.sources import files as SF
 
 ODD = ["", "a", "Hello  world!\n\n end ", "naïve café — 東京 \U0001f600", "x" * 3000, "<|im_start|>assistant\nok<|im_end|>", "á\x00\t", " 12345 it's"]
@@ -55,3 +57,17 @@ def test_empty_tables(spark):
     assert CH.tokenize(df, "text", count_col="n").count() == 0
     assert EV.counters(spark.createDataFrame([], "parse_ok boolean, all_match boolean, seriousness struct<match:boolean>, labelling struct<match:boolean>, "
                                              "meddra_pt struct<match:boolean>, meddra_soc struct<match:boolean>")).first().total == 0
+
+
+def test_optional_columns_and_limits(spark):
+    df = spark.createDataFrame([("a", 10), ("a", 30), (None, None)], "lang string, n int")
+    assert sorted(map(tuple, P.optional_counts(df, ["lang", "missing"]).collect()), key=str) == [("lang", "a", 2), ("lang", None, 1)]
+    assert P.optional_counts(df, ["missing"]).count() == 0
+    assert tuple(P.over_limits(df, "n", [20, 5]).first()) == (2, 1, 0.5, 2, 1.0)
+    assert tuple(P.over_limits(df.limit(0), "n", [20]).first()) == (0, 0, None)
+
+
+def test_unmatched_sample(spark):
+    df = spark.createDataFrame([("b", None), ("a", None), ("b", None), ("c", "C")], "reaction_pt string, meddra_pt string")
+    assert [tuple(r) for r in C.unmatched_sample(df, n=2).collect()] == [("a", 1), ("b", 2)]
+    assert [tuple(r) for r in C.unmatched_sample(df, n=1).collect()] == [("a", 1)]

@@ -158,3 +158,8 @@ def coverage(terms: DataFrame, coded_terms: DataFrame) -> DataFrame:
         F.count_if(F.col("meddra_pt").isNull()).alias("n_unmatched"),
         (F.count_if(F.col("meddra_pt").isNotNull()).cast("double") / F.count(F.lit(1)).cast("double"))
         .alias("matched_share"))
+
+
+def unmatched_sample(coded: DataFrame, term_col: str = "reaction_pt", n: int = 15) -> DataFrame:
+    """A10: the first ``n`` distinct terms without a code, by name, and how many rows have each."""
+    return coded.where(F.col("meddra_pt").isNull()).groupBy(F.col(term_col).alias("term")).agg(F.count(F.lit(1)).alias("n")).orderBy("term").limit(n)

@@ -15,6 +15,22 @@ def value_counts(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     return df.groupBy(F.col(col).alias(name or col)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def optional_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value, n) of those columns that the table has, in one pass; a table with none of them gives no rows."""
+    have = [c for c in columns if c in df.columns]
+    if not have:
+        return df.sparkSession.createDataFrame([], "field string, value string, n bigint")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in have)))
+    return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def over_limits(df: DataFrame, col: str, limits: list[int]) -> DataFrame:
+    """How many values lie over each limit and their share of all values; nulls count as neither, the share of none is null."""
+    over = [x for n in limits for x in (F.count_if(F.col(col) > n).alias(f"over_{n}"),
+                                        (F.count_if(F.col(col) > n).cast("double") / F.nullif(F.count(col), F.lit(0)).cast("double")).alias(f"share_{n}"))]
+    return df.agg(F.count(col).alias("n"), *over)
+
+
 def distribution(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """A5: counts with share of the total.  The total is a scalar subquery
     (one partial-aggregated row), not an un-partitioned window over all rows."""

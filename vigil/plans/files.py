@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import chat as CH
 from ..functions import subword as SW
+from ..functions.text import token_estimate
+from ..operators import coding as C
+from ..operators import dictionary as D
 from ..operators import evaluate as EV
+from ..operators import profile as P
 from ..session import read_table
 from ..sources import files as SF
 from . import catalog
 from .catalog import query, scratch_dir
-from .oracle import _COUNTERS, _rates, _with_scored, ORACLE
+from .oracle import _CODED, _COUNTERS, ORACLE, _rates, _with_scored, with_clean_dict
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {CH.IM_START: 50256, CH.IM_END: 50257}  # the vocabulary has no special tokens; these ids are free
 HEAD = 100
+MAP_KEYS = 1000
 
 
 def _documents(spark, sf):
@@ -51,6 +56,46 @@ def source_text_lines(spark, sf):
     return SF.read_text_lines(spark, path).groupBy(F.md5(F.col("narrative").cast("binary")).alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("source_sheets")
+def source_sheets(spark, sf):
+    """The three dictionary sheets as CSV with a header, read back with declared types, and the lookup built from them."""
+    path = f"{scratch_dir(spark)}/sheets"
+    sheets = dict(zip(("names", "levels", "edges"), catalog.dict_sheets(spark, sf)))
+    for kind, df in sheets.items():
+        df.select(SF.SHEETS[kind].names).write.option("header", True).csv(f"{path}/{kind}")
+    return D.build_lookup(*(SF.read_sheet(spark, f"{path}/{kind}", kind) for kind in sheets))
+
+
+@query("source_json_map")
+def source_json_map(spark, sf):
+    """Lookup files, each a JSON object of at most ``MAP_KEYS`` parts, read back as rows."""
+    path = f"{scratch_dir(spark)}/maps"
+    parts = read_table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size")
+    entry = F.struct(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("size")))
+    maps = parts.groupBy(F.floor(F.col("p_partkey") / MAP_KEYS).alias("at")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    maps.repartition("at").write.partitionBy("at").text(path)
+    return SF.read_json_map(spark, f"{path}/at=*", "struct<name:string,type:string,size:int>", "part")
+
+
+@query("optional_counts")
+def optional_counts(spark, sf):
+    """Value counts of the columns that documents have, of three asked for."""
+    return P.optional_counts(read_table(spark, sf, "documents"), ["lang", "source", "label_source"])
+
+
+@query("document_length_over")
+def document_length_over(spark, sf):
+    """Documents over 2,048 and 1,024 estimated tokens, with shares."""
+    docs = read_table(spark, sf, "documents", "text")
+    return P.over_limits(docs.select(token_estimate("text").alias("n_tokens")), "n_tokens", [2048, 1024])
+
+
+@query("code_unmatched_sample")
+def code_unmatched_sample(spark, sf):
+    """A10: the first fifteen terms that no code matches exactly (the limit is the feature)."""
+    return C.unmatched_sample(C.code_exact(catalog.clean_reports(spark, sf), catalog.lookup_table(spark, sf)))
+
+
 @query("eval_head")
 def eval_head(spark, sf):
     """V5: counters over the first ``HEAD`` records (the limit is the feature)."""
@@ -97,6 +142,14 @@ ORACLE["source_text_lines"] = rf"""WITH l AS (SELECT regexp_replace(unnest(regex
 SELECT md5(t) AS line_md5, count(*) AS n FROM l WHERE t <> '' GROUP BY 1"""
 ORACLE["infer_turns"] = f"""SELECT doc_id, md5('{_INFER}' || chr(10) || 'Narrative: ' || {_TRIMMED} || chr(10) || chr(10) || 'Output:') AS eval_md5,
   md5('{_INFER}' || chr(10) || chr(10) || 'Narrative: ' || {_TRIMMED} || chr(10) || chr(10) || 'Output:') AS infer_md5, infer_md5 AS demo_md5 {_HAVE}"""
+ORACLE["source_sheets"] = ORACLE["dict_lookup"]
+ORACLE["source_json_map"] = "SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, p_type AS type, CAST(p_size AS INTEGER) AS size FROM part"
+ORACLE["optional_counts"] = """SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source"""
+ORACLE["document_length_over"] = """SELECT count(t) AS n, count_if(t > 2048) AS over_2048, count_if(t > 2048) / nullif(count(t), 0) AS share_2048,
+  count_if(t > 1024) AS over_1024, count_if(t > 1024) / nullif(count(t), 0) AS share_1024 FROM (SELECT length(text) // 4 AS t FROM documents)"""
+ORACLE["code_unmatched_sample"] = with_clean_dict(
+    _CODED + "\nSELECT reaction_pt AS term, count(*) AS n FROM coded WHERE meddra_pt IS NULL GROUP BY 1 ORDER BY 1 LIMIT 15")
 ORACLE["eval_head"] = "WITH " + _with_scored("base") + f"""
 SELECT {_COUNTERS} FROM s WHERE "index" IN (SELECT doc_id FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT {HEAD})"""
 

@@ -11,11 +11,13 @@ from ..operators import coding as C
 from ..operators import dictionary as D
 from ..operators import evaluate as EV
 from ..operators import profile as P
+from ..schemas import RAW_REPORT
 from ..session import read_table
 from ..sources import files as SF
-from . import catalog
+from ..sources import reports as RP
+from . import bridge, catalog
 from .catalog import query, scratch_dir
-from .oracle import _CODED, _COUNTERS, ORACLE, _rates, _with_scored, with_clean_dict
+from .oracle import _CODED, _COUNTERS, CLEAN_CTE, ORACLE, _rates, _with_scored, with_clean_dict
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {CH.IM_START: 50256, CH.IM_END: 50257}  # the vocabulary has no special tokens; these ids are free
@@ -77,6 +79,17 @@ def source_json_map(spark, sf):
     return SF.read_json_map(spark, f"{path}/at=*", "struct<name:string,type:string,size:int>", "part")
 
 
+@query("source_report_array")
+def source_report_array(spark, sf):
+    """Files that each hold one JSON array of the raw reports of ``MAP_KEYS`` keys, read back."""
+    path = f"{scratch_dir(spark)}/arrays"
+    raw = bridge.raw_reports_nested(spark, sf).withColumn("at", F.floor(F.col("safetyreportid").cast("long") / MAP_KEYS))
+    arrays = raw.groupBy("at").agg(F.to_json(F.collect_list(F.struct(*RAW_REPORT.names))).alias("value"))
+    arrays.repartition("at").write.partitionBy("at").text(path)
+    back = RP.read_report_array(spark, f"{path}/at=*")
+    return back.select(F.col("safetyreportid").alias("id"), "serious", F.size("patient.reaction").alias("n_reactions"), F.size("patient.drug").alias("n_drugs"))
+
+
 @query("optional_counts")
 def optional_counts(spark, sf):
     """Value counts of the columns that documents have, of three asked for."""
@@ -143,6 +156,9 @@ SELECT md5(t) AS line_md5, count(*) AS n FROM l WHERE t <> '' GROUP BY 1"""
 ORACLE["infer_turns"] = f"""SELECT doc_id, md5('{_INFER}' || chr(10) || 'Narrative: ' || {_TRIMMED} || chr(10) || chr(10) || 'Output:') AS eval_md5,
   md5('{_INFER}' || chr(10) || chr(10) || 'Narrative: ' || {_TRIMMED} || chr(10) || chr(10) || 'Output:') AS infer_md5, infer_md5 AS demo_md5 {_HAVE}"""
 ORACLE["source_sheets"] = ORACLE["dict_lookup"]
+ORACLE["source_report_array"] = "WITH " + CLEAN_CTE.split("lnr AS")[0].rstrip().rstrip(",") + """
+SELECT h.safetyreportid AS id, h.serious, CAST(n AS INTEGER) AS n_reactions, CAST(n AS INTEGER) AS n_drugs
+FROM hdr h LEFT JOIN (SELECT report_key, count(*) AS n FROM ln GROUP BY 1) l ON l.report_key = h.report_key"""  # reports without a patient stay
 ORACLE["source_json_map"] = "SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, p_type AS type, CAST(p_size AS INTEGER) AS size FROM part"
 ORACLE["optional_counts"] = """SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang
 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source"""

@@ -134,7 +134,7 @@ def mask_subword(spark, sf):
     """T12, T13 with subword ids: whole length, cut rows marked, labels up to the last assistant turn masked.  No SQL: tested against a library."""
     import public_tokenizers
     flat = catalog.chat_flat_text(spark, sf)
-    encode = SW.tokenizer(SW.read_ranks(spark, "file://" + public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, SPECIAL)
+    encode = SW.tokenizer(SW.read_ranks(spark, "file://" + public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, SPECIAL, by_line=True)
     template = encode([CH.RESPONSE_TEMPLATE])[0]
     tok = CH.tokenize(flat, "text", tokenizer=encode, response_template=template, count_col="n_tokens")
     lab = CH.with_response_mask(tok, "input_ids", template, "labels", until_col="mask_until")

@@ -7,12 +7,18 @@ first.  After either the case can open a clock anew.  Clocks that aren't due yet
 
 Reports of a case are taken in the order of their received times within a micro-batch (ties by report id).  A report that
 comes later than the watermark allows can still open a clock, and is then judged by its received time; one received
-before the running clock was opened doesn't close it.  State is one row for each case with a running clock.
+before the running clock was opened doesn't close it.
+
+State is kept for buckets of cases, not for each case: a bucket's row holds the running clocks of its cases, its timer is
+the first of them to come due.  So a micro-batch calls Python once a bucket, and cases cost a few steps of a loop each.
+``buckets`` grows with the cases: some thousands of them a bucket are well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +27,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAYS = 15
 DAY_MS = 86_400_000
-STATE = "opened_by long, opened_ms long"
+BUCKETS = 1024
+NO_REPORT = -(1 << 63)  # stands for a null report id: pandas would turn its column into floats
+STATE = "cases array<long>, opened_by array<long>, opened_ms array<long>"
 OUT = "case_id long, opened_by long, opened_ms long, closed_by long, closed_ms long, status string"
 Clock = tuple[int, int]
 
@@ -44,35 +52,42 @@ def walk(clock: Clock | None, reports: list[tuple[int, int, bool]], days: int =
     return clock, ended
 
 
-def _frame(case: int, ended: list[tuple]) -> pd.DataFrame:
-    by, at, closed_by, closed_at, status = zip(*ended)
-    whole = lambda v: pd.array(v, dtype="Int64")
-    return pd.DataFrame({"case_id": whole([case] * len(ended)), "opened_by": whole(by), "opened_ms": whole(at), "closed_by": whole(closed_by),
+def _frame(ended: list[tuple]) -> pd.DataFrame:
+    case, by, at, closed_by, closed_at, status = zip(*ended)
+    whole = lambda v: pd.array([None if x == NO_REPORT else x for x in v], dtype="Int64")
+    return pd.DataFrame({"case_id": pd.array(case, dtype="Int64"), "opened_by": whole(by), "opened_ms": whole(at), "closed_by": whole(closed_by),
                          "closed_ms": whole(closed_at), "status": list(status)})
 
 
-def expedited(reports: DataFrame, days: int = DAYS, delay: str = "0 seconds") -> DataFrame:
+def expedited(reports: DataFrame, days: int = DAYS, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Ended clocks of a stream of case_id, report_id (longs), received (timestamp) and opens (serious and unexpected)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock: Clock | None = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield _frame(key[0], [(*clock, None, None, "overdue")])
-            return
-        rows = sorted(r for b in batches for r in zip(b["ms"].tolist(), b["report_id"].tolist(), b["opens"].tolist()))
-        clock, ended = walk(clock, rows, days)
-        if clock and clock[1] + days * DAY_MS < state.getCurrentWatermarkMs():  # a late report: due already
-            ended.append((*clock, None, None, "overdue"))
-            clock = None
-        if clock:
-            state.update(clock)
-            state.setTimeoutTimestamp(clock[1] + days * DAY_MS)
+        running: dict[int, Clock] = {}
+        if state.exists:
+            cases, by, at = state.get
+            running = dict(zip(cases, zip(by, at)))
+        ended = []
+        if not state.hasTimedOut:
+            rows = sorted(r for b in batches for r in zip(b["case_id"].tolist(), b["ms"].tolist(), b["report_id"].tolist(), b["opens"].tolist()))
+            for case, own in groupby(rows, itemgetter(0)):
+                clock, done = walk(running.pop(case, None), [r[1:] for r in own], days)
+                ended += [(case, *e) for e in done]
+                if clock:
+                    running[case] = clock
+        now = state.getCurrentWatermarkMs()
+        for case in [c for c, (_, at) in running.items() if at + days * DAY_MS < now]:  # no report came, or a late one opened it
+            ended.append((case, *running.pop(case), None, None, "overdue"))
+        if running:
+            state.update((list(running), *(list(v) for v in zip(*running.values()))))
+            state.setTimeoutTimestamp(min(at for _, at in running.values()) + days * DAY_MS)
         elif state.exists:
             state.remove()
         if ended:
-            yield _frame(key[0], ended)
+            yield _frame(ended)
 
-    own = reports.select("case_id", "report_id", "received", F.coalesce("opens", F.lit(False)).alias("opens"), F.unix_millis("received").alias("ms"))
-    return (own.where("case_id is not null and received is not null").withWatermark("received", delay).groupBy("case_id")
+    own = reports.select("case_id", F.coalesce("report_id", F.lit(NO_REPORT)).alias("report_id"), "received",
+                         F.coalesce("opens", F.lit(False)).alias("opens"), F.unix_millis("received").alias("ms"),
+                         F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket"))
+    return (own.where("case_id is not null and received is not null").withWatermark("received", delay).groupBy("bucket")
             .applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))

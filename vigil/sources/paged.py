@@ -17,11 +17,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, InputPartition, IsNotNull
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..schemas import RAW_REPORT
 
@@ -51,6 +53,25 @@ def report_row(r: dict) -> tuple:
             (_text(p.get("patientonsetage")), _text(p.get("patientsex")), entries("reaction"), entries("drug")))
 
 
+def page_batch(skip: int, reports: list[dict | None], error: str | None = None) -> pa.RecordBatch:
+    """Reports of a page as rows of ``PAGED_REPORT``; None is a row without a report."""
+    schema = to_arrow_schema(PAGED_REPORT)
+    kind = pa.struct(list(schema)[2:])
+    try:
+        rows = pa.array([r if r is None else {**r, "patient": r.get("patient") or {}} for r in reports], kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):  # values that aren't text
+        rows = pa.array([r if r is None else _named(report_row(r), RAW_REPORT) for r in reports], kind)
+    n = len(reports)
+    return pa.RecordBatch.from_arrays([pa.array([skip] * n, pa.int64()), pa.array([error] * n, pa.string()), *rows.flatten()], schema=schema)
+
+
+def _named(v, kind):
+    """Rows as dictionaries, which Arrow takes for structs."""
+    if isinstance(kind, StructType):
+        return None if v is None else {f.name: _named(x, f.dataType) for f, x in zip(kind.fields, v)}
+    return [_named(x, kind.elementType) for x in v] if isinstance(kind, ArrayType) and v is not None else v
+
+
 class PageStore:
     """Pages landed as ``page-<skip>.json``, or by Spark as a folder ``page=<skip>`` with one file."""
 
@@ -123,16 +144,17 @@ class _Paged:
         skips = range(start, end, self.limit)
         return [Pages(skips[i:i + self.pages]) for i in range(0, len(skips), self.pages)]
 
-    def rows(self, partition: Pages) -> Iterator[tuple]:
-        store, nothing = PageStore(self.uri), (None,) * len(RAW_REPORT.fields)
+    def rows(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        """An Arrow batch a page."""
+        store = PageStore(self.uri)
         for skip in partition.skips:
             try:
                 found = store.load(skip, self.search)
             except Exception as e:  # noqa: BLE001 - a failed page is a row, not the end of the fetch
-                yield (skip, f"{type(e).__name__}: {e}", *nothing)
+                yield page_batch(skip, [None], f"{type(e).__name__}: {e}")
                 continue
-            for r in found:
-                yield (skip, None, *report_row(r))
+            if found:
+                yield page_batch(skip, found)
 
 
 class PagedReader(_Paged, DataSourceReader):
@@ -147,7 +169,7 @@ class PagedReader(_Paged, DataSourceReader):
     def partitions(self) -> list[Pages]:
         return self.planned(0, PageStore(self.uri).end(self.limit))
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
 
@@ -161,7 +183,7 @@ class PagedStreamReader(_Paged, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Pages]:
         return self.planned(start["skip"], end["skip"])
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
     def commit(self, end: dict) -> None:
@@ -203,6 +225,6 @@ def stop_page(errors: DataFrame, limit: int, in_a_row: int = MAX_FAILED_PAGES) -
 
 
 def land_pages(reports: DataFrame, page: str, path: str) -> None:
-    """Raw reports as page folders of one file each; ``page`` is the column of the page's start."""
+    """Raw reports as page folders of one compressed file each, a row that the grouping has made; ``page`` is the column of the page's start."""
     body = F.to_json(F.struct(F.collect_list(F.struct(*RAW_REPORT.names)).alias("results")))
-    reports.groupBy(F.col(page).alias("page")).agg(body.alias("value")).repartition("page").write.partitionBy("page").text(path)
+    reports.groupBy(F.col(page).alias("page")).agg(body.alias("value")).write.partitionBy("page").text(path, compression="gzip")

@@ -68,9 +68,9 @@ def idempotent_write(batch: DataFrame, out_path: str, key: str, run: str, epoch:
         done = _existing_ids(spark, out_path, key, run, epoch)
         if done is not None:
             wanted = [r.key_bucket for r in fresh.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
-            out = fresh.join(done.where(F.col("key_bucket").isin(wanted)), [key, "key_bucket"], "left_anti")
+            out = fresh.join(done.where(F.col("key_bucket").isin(wanted)), [key, "key_bucket"], "left_anti").repartition("key_bucket")
         # a bucket in one task: one file for each bucket that the batch has
-        out.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
+        out.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
     finally:
         fresh.unpersist()
 

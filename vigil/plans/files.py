@@ -85,7 +85,7 @@ def source_report_array(spark, sf):
     path = f"{scratch_dir(spark)}/arrays"
     raw = bridge.raw_reports_nested(spark, sf).withColumn("at", F.floor(F.col("safetyreportid").cast("long") / MAP_KEYS))
     arrays = raw.groupBy("at").agg(F.to_json(F.collect_list(F.struct(*RAW_REPORT.names))).alias("value"))
-    arrays.repartition("at").write.partitionBy("at").text(path)
+    arrays.write.partitionBy("at").text(path, compression="gzip")  # a row a file
     back = RP.read_report_array(spark, f"{path}/at=*")
     return back.select(F.col("safetyreportid").alias("id"), "serious", F.size("patient.reaction").alias("n_reactions"), F.size("patient.drug").alias("n_drugs"))
 

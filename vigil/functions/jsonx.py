@@ -216,11 +216,11 @@ def with_json_tiers(df, src: str, out: str = "parsed"):
 # ---- T8 native fast path ---------------------------------------------------
 # Python's ensure_ascii escapes every character outside ' '..'~'; inside that
 # range only backslash and double quote need escaping, which is native.
-_PRINTABLE_ASCII = r"^[ -~]*$"
+_NOT_PRINTABLE_ASCII = "[^ -~]"
 
 
 def _jstr(c: Column) -> Column:
-    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
+    esc = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
 
 
@@ -253,11 +253,7 @@ def with_target_json(df, out: str = "assistant_json"):
     x = df.withColumn("_t", target_struct())
     texts = [F.col(f"_t.{k}") for k in ("seriousness", "meddra_pt", "meddra_soc", "labelling_status",
                                         "labelling_evidence", "who_umc_category")]
-    texts.append(F.array_join(F.col("_t.seriousness_criteria"), ""))
-    ok = F.lit(True)
-    for c in texts:
-        ok = ok & F.coalesce(c.rlike(_PRINTABLE_ASCII), F.lit(True))
-    x = x.withColumn("_ascii", ok)
+    x = x.withColumn("_ascii", ~F.concat_ws("", *texts, "_t.seriousness_criteria").rlike(_NOT_PRINTABLE_ASCII))
     native = x.where(F.col("_ascii")).withColumn(out, target_json_native(F.col("_t")))
     python = x.where(~F.col("_ascii")).withColumn(out, target_json(F.col("_t")))
     return native.unionByName(python).drop("_t", "_ascii")

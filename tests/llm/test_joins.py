@@ -257,3 +257,38 @@ def test_recall_with_far_more_leaves_than_probes(llm):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[i] & set([j for j in np.argsort(-(x @ x[i]), kind="stable").tolist() if j != i][:10])) for i in range(0, 4000, 40))
     assert hits >= 0.9 * 10 * 100
+
+
+# what the steps leave on disk, and what they move
+
+def test_parity_words_meet_only_where_shingles_do(docs_of, prose):
+    join = parity.Join(5, 80, 100)
+    apart = docs_of([(i, prose(60 + i % 40, 300 + i)) for i in range(300)])
+    assert parity.shared_words(parity.postings(apart, "text", join)).count() == 0
+
+
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80), (2, 85)])
+def test_similar_sets_share_a_posted_key(k, num):
+    import numpy as np
+    join, r = parity.Join(k, num, 100), np.random.default_rng(k)
+    for n in [*range(3, 40), 60, 99, 150, 400]:
+        for _ in range(20):
+            a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = a[:n - int(r.integers(0, n // 3 + 1))]
+            b = np.unique(np.concatenate([b, r.integers(0, 1 << 63, int(r.integers(0, n // 3 + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= num * (n + len(b) - both) and len(np.setxor1d(a, b)):
+                bands = set(join.bands(n)) & set(join.bands(len(b)))
+                assert any(set(join.posted_keys(a, x)) & set(join.posted_keys(b, x)) for x in bands)
+
+
+def test_tables_are_dropped_after_use(llm, docs_of, prose, monkeypatch):
+    import os
+    made = []
+    scratch = linededup.stored.__globals__["scratch"]
+    monkeypatch.setitem(linededup.stored.__globals__, "scratch", lambda spark, name: made.append(scratch(spark, name)) or made[-1])
+    d = docs_of(list(enumerate(family(prose, 20, 60, 6, 8))))
+    lines, near = linededup.dedup(d), parity.near_duplicates(d)
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.exists(p.removeprefix("file:"))}
+    assert left <= {"line-ids", "line-known", "parity-rows", "parity-classes", "parity-links"}
+    assert lines.count() > 0 and near.count() == 20

@@ -169,7 +169,7 @@ def bitmap(ids: DataFrame) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
-    """(k, l, s0, s1) of the lines ``x`` whose words are similar enough to those of their ``y``.
+    """(k, l, s0, s1) of the lines ``x`` whose words are similar enough to those of their ``y``, as a stored table.
 
     Words come from the texts again; a fixed-size map of the places wanted keeps other lines from being moved."""
     pairs = stored(pairs, "line-pairs")
@@ -184,7 +184,10 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, num: int, d
     both = pairs.join(a, ["xk", "xl"]).join(b, ["yk", "yl"]).filter((F.size("xw") == F.col("xn")) & (F.size("yw") == F.col("yn")))
     common = F.size(F.array_intersect("xw", "yw"))
     hit = both.filter(den * common >= num * (F.col("xn") + F.col("yn") - common))
-    return hit.select(*(F.col(f"x{c}").alias(c) for c in ("k", "l", "s0", "s1"))).distinct()
+    out = stored(hit.select(*(F.col(f"x{c}").alias(c) for c in ("k", "l", "s0", "s1"))).distinct(), "line-done")
+    dropped(pairs)
+    dropped(lines)
+    return out
 
 
 def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,20 +195,24 @@ def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: in
     first = stored(first_lines(sets), "line-first")
     dropped(sets)
     same = ["k", "l", "s0", "s1"]
-    done = stored(verified(star_pairs(first, num, den), docs, key, text, num, den), "line-done")
+    done = verified(star_pairs(first, num, den), docs, key, text, num, den)
     marked = stored(first.drop("star").join(done.withColumn("hit", F.lit(0)), same, "left").withColumn("open", F.coalesce("hit", F.lit(1))).drop("hit"), "line-open")
     dropped(first)
+    dropped(done)
     near = [stored(prefix_pairs(marked, num, den, i), "line-near") for i in range(SLICES)]
-    more = stored(verified(reduce(DataFrame.unionByName, near).distinct(), docs, key, text, num, den), "line-done")
-    return marked.join(more.withColumn("hit", F.lit(True)), same, "left").select(
-        "id", F.col("k").alias("fk"), F.col("l").alias("fl"), (F.coalesce("hit", F.lit(False)) | (F.col("open") == 0)).alias("gone"))
+    more = verified(reduce(DataFrame.unionByName, near).distinct(), docs, key, text, num, den)
+    out = stored(marked.join(more.withColumn("hit", F.lit(True)), same, "left").select(
+        "id", F.col("k").alias("fk"), F.col("l").alias("fl"), (F.coalesce("hit", F.lit(False)) | (F.col("open") == 0)).alias("gone")), "line-known")
+    for table in (marked, more, *near):
+        dropped(table)
+    return out
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, num: int = 4, den: int = 5) -> DataFrame:
     """k (key) and l (line number from 0) of the lines that go; a row for each line of repeated rows."""
     sets = stored(line_sets(docs, key, text, rarity(docs, text), min_words, num, den), "line-sets")
     own = stored(sets.select("k", "l", "id"), "line-ids")
-    known = stored(repeated_sets(docs, key, text, sets, num, den), "line-known")
+    known = repeated_sets(docs, key, text, sets, num, den)
     own = own.join(known, "id")
     return own.filter(F.col("gone") | (F.col("fk") < F.col("k")) | ((F.col("fk") == F.col("k")) & (F.col("fl") < F.col("l")))).select("k", "l", "id")
 

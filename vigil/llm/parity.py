@@ -5,10 +5,16 @@ the set is a row of 64-bit words: each shingle is dealt to a word and flips one
 of its bits, so equal shingles of two sets cancel and the Hamming distance of
 two sketches is at most the size of the sets' symmetric difference.  Sets with
 Jaccard similarity of t or more differ in at most (1-t)/(1+t) * (|A|+|B|)
-shingles.  In a band of sizes with at most D such differences, sketches have
-D + 1 words, so two similar sets agree in one word at least (pigeonhole), and
-are found by a join on (band, word number, word).  Candidates are verified on
-the whole sets.
+shingles.  In a band of sizes with at most D such differences, the sketches that
+are joined have more than D words, so two similar sets agree in one word at
+least (pigeonhole), and are found by a join on (band, word number, word).
+Candidates are verified on the whole sets.
+
+In the joined sketches a shingle flips the bits of a whole hash, so words agree
+only if the same shingles stand in them, not by chance.  Words without a shingle
+say nothing and are left out: a set with at most ``spare`` of them, in D + 1 +
+``spare`` words, agrees with a similar one in a word that has some.  A set with
+more is dealt anew, and after ``DEALS`` times its empty words join too.
 
 Bands grow by a quarter; a set also enters the next band if it could be the
 smaller partner of a set there, so each pair meets in the band of the larger.
@@ -34,6 +40,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +52,7 @@ from pyspark.sql import types as T
 
 from vigil.session import cut_lineage
 
-from .common import fresh, record_batch, stored
+from .common import dropped, fresh, record_batch, stored
 from .textvec import P, hashed_words, mix, windows
 
 U = np.uint64
@@ -53,6 +60,7 @@ MAP_BITS = 24
 SEEN_SETS = 1 << 20
 SKETCH_WORDS = 64
 BLOCK = 512
+DEALS = 4
 
 
 class Join:
@@ -61,6 +69,7 @@ class Join:
     def __init__(self, k: int = 3, num: int = 90, den: int = 100):
         self.k, self.num, self.den = k, num, den
         self.bounds = [1]
+        self.spares: dict[int, int] = {}
 
     def bound(self, i: int) -> int:
         """Smallest size in band ``i``."""
@@ -112,13 +121,40 @@ class Join:
         np.bitwise_xor.at(words, place.astype(np.int64), U(1) << (h & U(63)))
         return words
 
-    def sketch_keys(self, grams: np.ndarray, band: int) -> np.ndarray:
-        """One hash for each word of the sketch: of band, word number and word."""
-        words = np.zeros(self.differences(band) + 1, U)
-        h = mix(grams + U(band))
+    def spare(self, band: int) -> int:
+        """Words beyond D + 1: about as many as the smallest set of the band leaves empty."""
+        if band not in self.spares:
+            least = -(-self.num * self.bound(band) // self.den)
+            out = 0
+            for _ in range(3):
+                words = self.differences(band) + 1 + out
+                empty = words * math.exp(-least / words)
+                out = math.ceil(empty + math.sqrt(empty))
+            self.spares[band] = out
+        return self.spares[band]
+
+    def dealt(self, grams: np.ndarray, band: int, deal: int) -> tuple[np.ndarray, np.ndarray]:
+        """One hash for each word of the joined sketch, of band, deal, word number and word; and which words have a shingle."""
+        words = np.zeros(self.differences(band) + 1 + self.spare(band), U)
+        seed = U(band + (deal << 32))
+        h = mix(grams + seed)
         place = ((h >> U(32)) * U(len(words))) >> U(32)
-        np.bitwise_xor.at(words, place.astype(np.int64), U(1) << (h & U(63)))
-        return mix(mix(words) ^ (np.arange(len(words), dtype=U) * U(P) + U(band))).view(np.int64)
+        np.bitwise_xor.at(words, place.astype(np.int64), mix(h))
+        return mix(mix(words) ^ (np.arange(len(words), dtype=U) * U(P) + seed)).view(np.int64), words != 0
+
+    def sketch_keys(self, grams: np.ndarray, band: int) -> np.ndarray:
+        """The hashes of all words of the first deal."""
+        return self.dealt(grams, band, 0)[0]
+
+    def posted_keys(self, grams: np.ndarray, band: int) -> np.ndarray:
+        """The hashes by which a set is joined: two similar sets of a band share one at least."""
+        out = []
+        for deal in range(DEALS):
+            keys, full = self.dealt(grams, band, deal)
+            out.append(keys[full])
+            if len(keys) - full.sum() <= self.spare(band):
+                return np.concatenate(out)
+        return np.concatenate([*out, keys[~full]])
 
 
 def sets_of(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
@@ -153,7 +189,7 @@ def postings(docs: DataFrame, text: str, join: Join) -> DataFrame:
                     seen.clear()
                 seen.add(sid)
                 for band in join.bands(len(s)):
-                    words.append(join.sketch_keys(s, band))
+                    words.append(join.posted_keys(s, band))
                     bands.append(np.full(len(words[-1]), band, np.int32))
                     sids.append(np.full(len(words[-1]), sid, np.int64))
                     sizes.append(np.full(len(words[-1]), len(s), np.int64))
@@ -316,30 +352,42 @@ def cross_pairs(left: DataFrame, marks: DataFrame, join: Join) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links_between(docs: DataFrame, text: str, rows: DataFrame, join: Join) -> DataFrame:
+def links_between(docs: DataFrame, text: str, shared: DataFrame, marks: DataFrame, join: Join) -> DataFrame:
     """Verified links (a, b) between different sets, enough that sets are
-    connected by them exactly if they are connected by similar pairs.
+    connected by them exactly if they are connected by similar pairs.  Uses up
+    the tables ``shared`` and ``marks``.
 
     Whole sets are fetched only for pairs that sizes and sketches leave."""
-    shared = stored(shared_words(postings(docs, text, join)), "parity-words")
-    marks = stored(sketches(rows, shared), "parity-sketches")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "parity-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        return stored(verified(pairs, stored(whole_sets(docs, text, join, ids), "parity-sets"), join), "parity-links")
+        sets = stored(whole_sets(docs, text, join, ids), "parity-sets")
+        out = stored(verified(pairs, sets, join), "parity-links")
+        dropped(pairs)
+        dropped(sets)
+        return out
 
     links = checked(star_pairs(shared, marks, join))
     left = shared.drop("center").join(components(links), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     w = Window.partitionBy("word")
     left = left.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter("lo <> hi").drop("lo", "hi")
-    return links.unionByName(checked(cross_pairs(stored(left, "parity-left"), marks, join)))
+    left = stored(left, "parity-left")
+    dropped(shared)
+    out = links.unionByName(checked(cross_pairs(left, marks, join)))
+    dropped(left)
+    dropped(marks)
+    return out
 
 
 def classes(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame, DataFrame]:
     """Rows (key, sid, n) and the classes of their sets (sid, comp, component_id)."""
-    rows = stored(sets_of(docs, key, text, join), "parity-rows")
-    comps = components(links_between(docs, text, rows, join))
+    shared = stored(shared_words(postings(docs, text, join)), "parity-words")
+    whole = stored(sets_of(docs, key, text, join), "parity-rows")
+    rows = stored(whole.drop("marks"), "parity-rows")
+    marks = stored(sketches(whole, shared), "parity-sketches")
+    dropped(whole)  # its sketches are the larger part
+    comps = components(links_between(docs, text, shared, marks, join))
     first = rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key")).join(comps, "sid", "left") \
         .withColumn("comp", F.coalesce("comp", "sid"))
     ids = first.groupBy("comp").agg(F.min("key").alias("component_id"))

@@ -292,3 +292,9 @@ def test_tables_are_dropped_after_use(llm, docs_of, prose, monkeypatch):
     left = {os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.exists(p.removeprefix("file:"))}
     assert left <= {"line-ids", "line-known", "parity-rows", "parity-classes", "parity-links"}
     assert lines.count() > 0 and near.count() == 20
+
+
+def test_single_star_keys_meet_no_window_of_lines(docs_of, prose):
+    sets = linededup.line_sets(docs_of([(i, prose(12, i)) for i in range(5)]), "doc_id", "text", linededup.rarity(docs_of([(1, "a")]), "text"), 1, 4, 5)
+    plan = linededup.star_pairs(sets, 4, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*some#\d+L > 1", plan)

@@ -99,9 +99,10 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words:
     need = F.floor((num * n + (den - 1)) / den).cast("int")
     joins = den * n >= num * (n + 1)  # a set of n words is similar to another at all: at best to itself with one word more
     rare = F.slice("r", F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(3)))
-    ordered = ranked.select("k", "l", "n", "r", *(F.sort_array(F.transform(rare, lambda x: F.xxhash64(x, F.lit(seed)))).alias(f"o{seed}") for seed in (1, 2)))
+    # two orders of the words that have nothing to do with their classes: by the bits of their hashes from the first or from the middle
+    ordered = ranked.select("k", "l", "n", "r", *(F.sort_array(F.transform(rare, lambda x: F.call_function("shiftleft", x, F.lit(bits)))).alias(f"o{bits}") for bits in (9, 34)))
     return ordered.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
-                          F.when(joins, star_keys("o1", "o2")).otherwise(F.array().cast("array<bigint>")).alias("star"),
+                          F.when(joins, star_keys("o9", "o34")).otherwise(F.array().cast("array<bigint>")).alias("star"),
                           F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
                           F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
 
@@ -135,7 +136,7 @@ def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
     w = Window.partitionBy("key").orderBy("k", "l")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct(*SIDE)
-    rows = first.select(*SIDE, F.explode("star").alias("key")) \
+    rows = first.select(*SIDE, F.explode("star").alias("key")).withColumn("some", F.count(F.lit(1)).over(whole)).filter("some > 1") \
         .select(me.alias("x"), *(F.nth_value(me, i).over(whole).alias(f"first{i}") for i in range(1, CENTERS + 1)),
                 *(F.lag(me, i).over(w).alias(f"last{i}") for i in range(1, CENTERS + 1)))
     near = F.array(*(f"{a}{i}" for a in ("first", "last") for i in range(1, CENTERS + 1)))

@@ -1,13 +1,16 @@
 """What kept some queries from growing with their input: costs of a step, not results."""
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from vigil.functions import chat as CH
 from vigil.functions import jsonx as JX
 from vigil.functions import subword as SW
 from vigil.functions.text import utrim
+from vigil.operators import joins as J
 from vigil.operators import signals as SG
 from vigil.sources import paged
 from vigil.streaming import clocks as CK
@@ -76,3 +79,34 @@ def test_json_strings_without_patterns(spark):
     df = spark.createDataFrame([('a"b\\c',), (None,)], "t string").select(JX._jstr(F.col("t")).alias("j"))
     assert "regexp" not in plan(df).lower()
     assert [r.j for r in df.collect()] == ['"a\\"b\\\\c"', "null"]
+
+
+def test_ids_leave_python_once(spark):
+    texts = ["", "a<b>c<b>dé", "é" * 9, None, "<b>", "x" * 12, "<b>" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    tok = CH.tokenize(df, "text", max_len=10, response_template=list(b"<b>"), count_col="whole")
+    assert "attention_mask" not in re.search(r"MapInArrow .*", plan(tok)).group(0)
+    want = []
+    for i, t in enumerate(texts):
+        ids = (t or "").encode()
+        cut = ids[:10]
+        until = cut.rfind(b"<b>") + 3 if b"<b>" in cut else len(cut)
+        want.append((i, list(cut), [1] * len(cut), until, len(ids)))
+    assert sorted(map(tuple, tok.collect())) == want
+
+
+def test_small_tables_move_no_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id long, k string")
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
+    out = J.salted_join(rows, table, ["k"], "id")
+    assert "SortMergeJoin" not in plan(out) and "_salt" not in plan(out)
+    want = [("a", 1, 1), ("a", 4, 1), ("b", 2, None), (None, 3, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_large_tables_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(J, "DEFAULT_MAX_BROADCAST_BYTES", 0)
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)] + [(99, None)], "id long, k string")
+    out = J.salted_join(rows, spark.createDataFrame([("a", 1)], "k string, v int"), ["k"], "id")
+    assert out.columns == ["k", "id", "v"] and "_salt" in plan(out)
+    assert sorted((r.id, r.v) for r in out.collect()) == [(i, None if i % 2 else 1) for i in range(40)] + [(99, None)]

@@ -136,14 +136,34 @@ def _last_end(ids_bytes: bytes, tpl_bytes: bytes, width: int, n: int, t: int) ->
         end = pos + len(tpl_bytes) - 1
 
 
+def _byte_rows(texts, max_len: int):
+    """Bytes of the texts of an Arrow string array, each cut at ``max_len`` (null: none), one after the other, the
+    lengths kept, and the lengths before the cut.  The array's own buffers are read; no text becomes a Python object."""
+    import numpy as np
+    import pyarrow as pa
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    buf = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    whole = np.diff(at)
+    lens = np.minimum(whole, max_len)
+    if (whole > max_len).any():
+        start = at[:-1] - at[0]
+        buf = np.concatenate([buf[s:s + n] for s, n in zip(start.tolist(), lens.tolist())])
+    return buf, lens, whole
+
+
 def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int = MAX_SEQ_LENGTH,
              keep: list[str] | None = None, response_template: list[int] | None = None, count_col: str | None = None):
     """Batched tokenisation, truncated to ``max_len``; the text column is
     dropped.  Adds ``input_ids`` and ``attention_mask``.
 
     Runs as ``mapInArrow``: ids leave Python as one flat int32 buffer plus
-    offsets per batch (no per-row Python lists through pandas).  The default
-    byte tokenizer is vectorised (all texts of a batch encoded and viewed as
+    offsets per batch (no per-row Python lists through pandas).  The attention
+    mask, a one for each id, is made from their number where it is read.  The default
+    byte tokenizer is vectorised (the texts of a batch viewed as
     one byte buffer); any callable ``list[str] -> list[list[int]]`` plugs in.
     With ``response_template`` it also adds ``mask_until`` (T13 boundary: just
     past the last template occurrence, found by a C-level ``rfind`` in the
@@ -158,26 +178,22 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
     ints = ArrayType(IntegerType())
     extra = [StructField("mask_until", IntegerType())] if response_template is not None else []
     extra += [StructField(count_col, IntegerType())] if count_col else []
-    schema = StructType(list(df.select(*keep).schema.fields)
-                        + [StructField("input_ids", ints), StructField("attention_mask", ints)] + extra)
+    schema = StructType(list(df.select(*keep).schema.fields) + [StructField("input_ids", ints)] + extra)
     tpl = list(response_template or [])
     byte_tpl = bytes(tpl) if tpl and all(0 <= v < 256 for v in tpl) else None
     int_tpl = np.asarray(tpl, dtype=np.int32).tobytes()
 
     def run(batches):
         for rb in batches:
-            texts = rb.column(text_col).to_pylist()
             if tokenizer is byte_tokenizer:
-                enc = [(t or "").encode("utf-8") for t in texts]
-                whole = [len(e) for e in enc]
-                enc = [e[:max_len] for e in enc]
-                lens = np.fromiter((len(e) for e in enc), dtype=np.int32, count=len(enc))
-                flat = np.frombuffer(b"".join(enc), dtype=np.uint8).astype(np.int32)
+                buf, lens, whole = _byte_rows(rb.column(text_col), max_len)
+                flat = buf.astype(np.int32)
                 if response_template is not None:
-                    until = [(_last_end(e, byte_tpl, 1, len(e), len(tpl)) if byte_tpl is not None else len(e))
-                             for e in enc]
+                    joined, ends = buf.tobytes(), np.cumsum(lens).tolist()
+                    until = [(_last_end(joined[e - n:e], byte_tpl, 1, n, len(tpl)) if byte_tpl is not None else n)
+                             for e, n in zip(ends, lens.tolist())]
             else:
-                ids = tokenizer(texts)
+                ids = tokenizer(rb.column(text_col).to_pylist())
                 whole = [len(x) for x in ids]
                 ids = [x[:max_len] for x in ids]
                 lens = np.fromiter((len(x) for x in ids), dtype=np.int32, count=len(ids))
@@ -189,9 +205,8 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
             np.cumsum(lens, out=offsets[1:])
             off = pa.array(offsets)
             cols = [rb.column(c) for c in keep]
-            cols += [pa.ListArray.from_arrays(off, pa.array(flat, type=pa.int32())),
-                     pa.ListArray.from_arrays(off, pa.array(np.ones(len(flat), dtype=np.int32)))]
-            names = keep + ["input_ids", "attention_mask"]
+            cols.append(pa.ListArray.from_arrays(off, pa.array(flat, type=pa.int32())))
+            names = keep + ["input_ids"]
             if response_template is not None:
                 cols.append(pa.array(until, type=pa.int32()))
                 names.append("mask_until")
@@ -200,7 +215,9 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
                 names.append(count_col)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+    out = df.select(*keep, text_col).mapInArrow(run, schema)
+    ones = F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask")
+    return out.select(*keep, "input_ids", ones, *[f.name for f in extra])
 
 
 def with_response_mask(df, ids_col: str, template: list[int], out: str = "labels",

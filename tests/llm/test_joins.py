@@ -298,3 +298,18 @@ def test_single_star_keys_meet_no_window_of_lines(docs_of, prose):
     sets = linededup.line_sets(docs_of([(i, prose(12, i)) for i in range(5)]), "doc_id", "text", linededup.rarity(docs_of([(1, "a")]), "text"), 1, 4, 5)
     plan = linededup.star_pairs(sets, 4, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter .*some#\d+L > 1", plan)
+
+
+def test_rarity_is_one_row_and_small_numbers(docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame
+    collect, most = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: most.append(collect(self)) or most[-1])
+    d = docs_of([(1, "a b a\na c"), (2, None), (3, "a\tb a")])
+    classes = linededup.rarity(d, "text")
+    assert max(map(len, most)) == 1
+    one = d.limit(1).select(classes.alias("every"), *(linededup.bucket(F.xxhash64(F.lit(w))).alias(w) for w in "abc"))
+    assert len(one._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+    r = one.first()
+    assert len(r.every) == 1 << linededup.RARITY_BITS
+    assert [r.every[r[w]] for w in "abc"] == [8, 0, 0]

@@ -56,6 +56,14 @@ def test_subword_learns(prose):
     assert (again.weight == m.weight).all()
 
 
+def test_subword_features_stand_in_one_buffer(prose):
+    import numpy as np
+    docs = subword.features_of([prose(30, 1), "", None, "a a b"], 1 << 14)
+    assert all(x[0].base is docs[0][0].base is not None and x[1].base is docs[0][1].base is not None for x in docs)
+    assert [len(ids) for ids, _ in docs][1:3] == [0, 0] and all(abs(share.sum() - 1) < 1e-5 for ids, share in docs if len(ids))
+    assert all((np.diff(ids) > 0).all() for ids, _ in docs)
+
+
 def test_subword_no_labels():
     assert subword.score_texts(["a b"], subword.train([], [])) == [0.5]
     assert subword.score_texts(["a b"], subword.train(["x", "y"], [1, 1]))[0] > 0.5

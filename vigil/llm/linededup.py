@@ -67,14 +67,16 @@ def fixed_array(df: DataFrame, size: int) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """Class (about 4 log2 of the count, in the bits above 55) of each hash bucket of words, over all texts: as many numbers whatever the input."""
+    """Class (about 4 log2 of the count, 127 at most) of each hash bucket of words, over all texts: as many numbers whatever the input.
+
+    They come to the driver as one row and stand in the plan as small numbers: rows and long numbers would take some hundred MB of its heap."""
     lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line"))
     words = lines.select(F.explode(F.split("line", " ")).alias("w"))
-    rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * (1 << RARITY_BITS)
-    for r in rows:
-        out[r.b] = min(127, int(4 * math.log2(r.n)))
-    return F.split(F.lit(",".join(str(c << 55) for c in out)), ",").cast("array<bigint>")  # a constant when it runs
+    for x in counts.agg(F.collect_list(F.shiftleft("n", RARITY_BITS).bitwiseOR(F.col("b"))).alias("a")).first().a:
+        out[x % len(out)] = min(127, int(4 * math.log2(x >> RARITY_BITS)))
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")  # a constant when it runs
 
 
 def bucket(h: Column) -> Column:
@@ -88,7 +90,7 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words:
     The signature is the parity of the words by 64 bits of their hashes (s0), and
     for lines of over ``LONG`` words also that of the words with an odd hash (s1).
     The sets are made before the lines part, so that no filter or later column makes them again."""
-    rank = lambda h: F.get(classes, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 9))
+    rank = lambda h: F.call_function("shiftleft", F.get(classes, bucket(h)), F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))
     hashes = lambda line: F.array_distinct(F.array_remove(F.transform(words_of(line), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
     every = F.transform(F.split(F.col(text).cast("string"), "\n"), lambda line: F.sort_array(F.transform(hashes(line), rank)))
     ranked = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(every).alias("l", "r")).withColumn("n", F.size("r")).filter(F.col("n") >= min_words)

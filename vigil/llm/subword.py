@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,20 @@ def score_texts(texts: list[str | None], model: Model) -> list[float]:
     return [logistic(model.bias + (t / k if k else 0.0)) for t, k in zip(total, n)]
 
 
+def features_of(texts: list[str | None], slots: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots and their shares of each text: views of two long buffers, so that the driver gives their memory back after training.
+    As many small arrays they would leave the heap in pieces that stay with the process."""
+    slot, share, ends = array("i"), array("f"), [0]
+    for t in texts:
+        found = [s for _, s in slots_of([(t or "").encode()], slots)]
+        ids, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+        slot.frombytes(ids.astype(np.int32).tobytes())
+        share.frombytes((counts / max(counts.sum(), 1)).astype(np.float32).tobytes())
+        ends.append(len(slot))
+    ids, shares = np.frombuffer(slot, np.int32), np.frombuffer(share, np.float32)
+    return [(ids[a:b], shares[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float = 0.5, batch: int = 32,
           seed: int = 17, slots: int = SLOTS, dim: int = DIM) -> Model:
     """Fit vectors, softmax layer and bias on (text, 0/1) rows.
@@ -90,11 +105,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: flo
     if len(y) == 0 or ones in (0, len(y)):
         p = (ones + 0.5) / (len(y) + 1) if len(y) else 0.5
         return Model(np.zeros(slots, np.float32), math.log(p / (1 - p)))
-    docs = []
-    for t in texts:
-        found = [slot for _, slot in slots_of([(t or "").encode()], slots)]
-        ids, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
-        docs.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
+    docs = features_of(texts, slots)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (slots, dim)).astype(np.float32)
     layer = rng.uniform(-1, 1, (dim, 2)).astype(np.float32)

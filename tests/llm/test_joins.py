@@ -313,3 +313,10 @@ def test_rarity_is_one_row_and_small_numbers(docs_of, monkeypatch):
     r = one.first()
     assert len(r.every) == 1 << linededup.RARITY_BITS
     assert [r.every[r[w]] for w in "abc"] == [8, 0, 0]
+
+
+def test_places_of_a_map_are_joined_by_their_bits(docs_of, llm):
+    ids = llm.createDataFrame([(i,) for i in (0, 5, 63, 64, 64, (1 << linededup.MAP_BITS) + 1, -1)], "id long")
+    row = llm.range(1).select(linededup.bitmap(ids).alias("a")).first().a
+    assert len(row) == 1 << (linededup.MAP_BITS - 6)
+    assert (row[0], row[1], row[-1]) == ((1 | 2 | 1 << 5 | 1 << 63) - (1 << 64), 1, -(1 << 63)) and not any(row[2:-1])

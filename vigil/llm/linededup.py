@@ -46,12 +46,12 @@ RARITY_BITS = 16
 MAP_BITS = 22
 LONG = 64
 BLANKS = r"[\x20\x09-\x0D]+"
-ODD_BLANK = r"[\x09\x0B-\x0D]"
+ODD_BLANKS = "\t\x0b\x0c\r"
 
 
 def words_of(line: Column) -> Column:
     """Words, some of them empty; lines that have only blanks of the common kind are split without a pattern."""
-    return F.when(line.rlike(ODD_BLANK), F.split(line, BLANKS)).otherwise(F.split(line, " "))
+    return F.when(reduce(Column.__or__, (line.contains(x) for x in ODD_BLANKS)), F.split(line, BLANKS)).otherwise(F.split(line, " "))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,7 +60,7 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fixed_array(df: DataFrame, size: int) -> Column:
-    """The (at, value) rows of ``df`` as an array of ``size`` numbers, 0 where there is none, fetched once when the query runs."""
+    """The (at, value) rows of ``df``, those of one place joined by their bits, as an array of ``size`` numbers, 0 where there is none, fetched once when the query runs."""
     every = df.sparkSession.range(size).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("value"))
     full = df.select("at", "value").unionByName(every).groupBy("at").agg(F.bit_or("value").alias("value"))
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("a")).scalar()
@@ -70,8 +70,7 @@ def rarity(docs: DataFrame, text: str) -> Column:
     """Class (about 4 log2 of the count, 127 at most) of each hash bucket of words, over all texts: as many numbers whatever the input.
 
     They come to the driver as one row and stand in the plan as small numbers: rows and long numbers would take some hundred MB of its heap."""
-    lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(F.col(text).cast("string"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     out = [0] * (1 << RARITY_BITS)
     for x in counts.agg(F.collect_list(F.shiftleft("n", RARITY_BITS).bitwiseOR(F.col("b"))).alias("a")).first().a:
@@ -166,8 +165,8 @@ def prefix_pairs(first: DataFrame, num: int, den: int, part: int) -> DataFrame:
 def bitmap(ids: DataFrame) -> Column:
     """A bit for each id, in an array of fixed size."""
     at = F.pmod("id", F.lit(1 << MAP_BITS))
-    rows = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")) \
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("value"))
+    rows = ids.select(at.alias("b")).select(F.shiftright("b", 6).cast("int").alias("at"),
+                                            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int")).alias("value"))
     return fixed_array(rows, 1 << (MAP_BITS - 6))
 
 

@@ -139,6 +139,36 @@ def test_short_lines_as_by_brute_force(docs_of):
     assert {(x.k, x.l) for x in linededup.removed_lines(docs_of(rows), min_words=1).collect()} == want
 
 
+def test_line_sets_run_on_plain_numbers(docs_of, prose):
+    """Distinct and sort of nullable elements go through boxed values; a filter on the sets would make them twice."""
+    d = docs_of([(1, prose(20, 1) + "\n\n  a b a"), (2, None)])
+    sets = linededup.line_sets(d, "doc_id", "text", linededup.rarity(d, "text"), 1, 4, 5)
+    assert not sets.schema["prefix"].dataType.containsNull
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(array_distinct(") == 1 and "Filter" not in plan.replace("Filter isnotnull(doc_id", "")
+    assert sorted((r.k, r.l, r.n) for r in sets.collect()) == [(1, 0, len(set(prose(20, 1).split()))), (1, 1, 0), (1, 2, 2)]
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (1, 2), (9, 10)])
+def test_each_pair_of_lines_is_compared_once(docs_of, prose, num, den):
+    """The shorter prefix of the smaller set finds every similar pair, whichever line is earlier."""
+    base, r = prose(40, 3).split(), random.Random(8)
+    rows = list(enumerate(" ".join(r.sample(base, r.randint(20, 40)) + [f"new{i}x{j}" for j in range(r.randint(0, 3))]) for i in range(60)))
+    d = docs_of(rows)
+    sets = linededup.line_sets(d, "doc_id", "text", linededup.rarity(d, "text"), 1, num, den).withColumn("open", F.lit(1))
+    found = [(x.xk, x.yk) for i in range(linededup.SLICES) for x in linededup.prefix_pairs(sets, num, den, i).select("xk", "yk").collect()]
+    assert all(x > y for x, y in found)
+    words = [set(t.split()) for _, t in rows]
+    assert {(x, y) for x in range(60) for y in range(x) if den * len(words[x] & words[y]) >= num * len(words[x] | words[y]) and words[x] != words[y]} <= set(found)
+
+
+def test_crowds_of_near_copies(docs_of, prose):
+    """Groups larger than ``CROWD`` are settled by single lines, and the rest by the prefix join, in both orders of size."""
+    rows = [(i, t) for i, t in enumerate(family(prose, 80, 40, 3, 31) + family(prose, 40, 9, 1, 32))]
+    random.Random(1).shuffle(rows)
+    assert {(x.k, x.l) for x in linededup.removed_lines(docs_of(rows)).collect()} == slow_removed(rows)
+
+
 def test_line_dedup_is_native(docs_of, prose):
     plan = linededup.dedup(docs_of([(1, prose(20, 1)), (2, prose(20, 1))]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)

@@ -83,35 +83,34 @@ def bucket(h: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, key: str, text: str, classes: Column, min_words: int, num: int, den: int) -> DataFrame:
-    """k, l, n (set size), id (hash of the set), prefix (rarest words, as class and
-    hash in one number), star keys and signature.
+    """k, l, n (set size, 0 for lines that take no part), id (hash of the set), prefix (rarest
+    words, as class and hash in one number), star keys and signature.
 
     The signature is the parity of the words by 64 bits of their hashes (s0), and
     for lines of over ``LONG`` words also that of the words with an odd hash (s1).
-    The sets are made before the lines part, so that no filter or later column makes them again."""
-    rank = lambda h: F.call_function("shiftleft", F.get(classes, bucket(h)), F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))
-    hashes = lambda line: F.array_distinct(F.array_remove(F.transform(words_of(line), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
-    every = F.transform(F.split(F.col(text).cast("string"), "\n"), lambda line: F.sort_array(F.transform(hashes(line), rank)))
-    ranked = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.posexplode(every).alias("l", "r")).withColumn("n", F.size("r")).filter(F.col("n") >= min_words)
+    Lambdas are run a word at a time on boxed values: only what needs the word itself stands in one; distinct and sort
+    run on plain numbers, so no element may be nullable.  No row is filtered here, as a filter would make the sets twice."""
+    rank = lambda h: F.call_function("shiftleft", F.coalesce(classes[bucket(h)], F.lit(0).cast("long")), F.lit(55)).bitwiseOR(F.shiftrightunsigned(h, 9))
+    words = F.transform(F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)), rank)
+    ranked = lines_of(docs, key, text).select("k", "l", F.sort_array(F.array_distinct(F.array_remove(words, rank(F.xxhash64(F.lit("")))))).alias("r"))
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
-    odd = lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1
-    n = F.col("n")
+    at = lambda x: x.bitwiseAND(63).cast("int")
+    n = F.size("r")
     need = F.floor((num * n + (den - 1)) / den).cast("int")
     joins = den * n >= num * (n + 1)  # a set of n words is similar to another at all: at best to itself with one word more
     rare = F.slice("r", F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(3)))
-    # two orders of the words that have nothing to do with their classes: by the bits of their hashes from the first or from the middle
-    ordered = ranked.select("k", "l", "n", "r", *(F.sort_array(F.transform(rare, lambda x: F.call_function("shiftleft", x, F.lit(bits)))).alias(f"o{bits}") for bits in (9, 34)))
-    return ordered.select("k", "l", "n", F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
-                          F.when(joins, star_keys("o9", "o34")).otherwise(F.array().cast("array<bigint>")).alias("star"),
-                          F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(bit(x))).alias("s0"),
-                          F.when(n > LONG, F.aggregate("r", zero, lambda a, x: F.when(odd(x), a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(zero).alias("s1"))
+    # an order of the words that has nothing to do with their classes
+    ordered = ranked.select("k", "l", "r", F.sort_array(F.transform(rare, lambda x: F.call_function("shiftleft", x, F.lit(9)))).alias("o"))
+    return ordered.select("k", "l", F.when(n >= max(min_words, 1), n).otherwise(0).alias("n"), F.xxhash64("r").alias("id"), F.slice("r", F.lit(1), F.when(joins, n - need + 1).otherwise(0)).alias("prefix"),
+                          F.when(joins, star_keys("o")).otherwise(F.array().cast("array<bigint>")).alias("star"),
+                          F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, at(x)))).alias("s0"),
+                          F.when(n > LONG, F.aggregate("r", zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1), at(x))))).otherwise(zero).alias("s1"))
 
 
-def star_keys(*orders: str) -> Column:
-    """Hashes, each of two words that changes elsewhere in the line leave alone:
-    the smallest and the largest two of the rarer half, under each order."""
-    return F.flatten(F.array(*(F.array(F.xxhash64(F.slice(o, 1, 2)), F.xxhash64(F.slice(o, -2, 2))) for o in orders)))
+def star_keys(order: str) -> Column:
+    """Hashes, each of two words next to each other among the smallest or the largest
+    three of the rarer half, that changes elsewhere in the line leave alone."""
+    return F.array_distinct(F.array(*(F.xxhash64(F.slice(order, i, 2)) for i in (1, 2, -2, -3))))
 
 
 def first_lines(sets: DataFrame) -> DataFrame:
@@ -129,15 +128,16 @@ def may_be_similar(x: Column, y: Column, num: int, den: int) -> Column:
 
 SIDE = ("k", "l", "n", "s0", "s1")
 CENTERS = 4
-SLICES = 4  # the prefix join goes through the words in as many parts, one after the other, so that its shuffle stands on disk a part at a time
+CROWD = 4 * CENTERS  # lines that share a key with fewer others are few enough for the prefix join
+SLICES = 3  # the prefix join goes through the words in as many parts, one after the other, so that its shuffle stands on disk a part at a time
 
 
 def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
-    """Each line with the first few and the last few lines before it that share one of its star keys."""
+    """Each line with the first few and the last few lines before it that share one of its star keys, where more than ``CROWD`` lines do."""
     w = Window.partitionBy("key").orderBy("k", "l")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct(*SIDE)
-    rows = first.select(*SIDE, F.explode("star").alias("key")).withColumn("some", F.count(F.lit(1)).over(whole)).filter("some > 1") \
+    rows = first.select(*SIDE, F.explode("star").alias("key")).withColumn("some", F.count(F.lit(1)).over(whole)).filter(F.col("some") > CROWD) \
         .select(me.alias("x"), *(F.nth_value(me, i).over(whole).alias(f"first{i}") for i in range(1, CENTERS + 1)),
                 *(F.lag(me, i).over(w).alias(f"last{i}") for i in range(1, CENTERS + 1)))
     near = F.array(*(f"{a}{i}" for a in ("first", "last") for i in range(1, CENTERS + 1)))
@@ -148,18 +148,22 @@ def star_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def prefix_pairs(first: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """Each open line with the earlier lines that pass prefix, length and positional filter and signature, by the words of one of ``SLICES`` parts.
+    """Open lines with the earlier lines that pass prefix, length and positional filter and signature, by the words of one of ``SLICES`` parts.
 
-    Both sides are one exchange: that a line is open is asked in the join, beside a column of the other side."""
+    Of two similar sets the smaller shares ``2 num / (num + den)`` of its words or more, not just ``num / den``:
+    so its prefix is shorter (``small``), and the shorter prefixes meet the whole ones of sets at least as large, each pair once."""
     posts = first.select(*SIDE, "open", F.posexplode("prefix").alias("pos", "tok")).filter(F.pmod("tok", F.lit(SLICES)) == part)
-    a, b = (posts.select(*(F.col(c).alias(n + c) for c in ("tok", *SIDE, "open", "pos"))) for n in "xy")
-    x, y = ({c: F.col(n + c) for c in ("tok", *SIDE, "open", "pos")} for n in "xy")
+    small = (num + den) * F.col("pos") <= (den - num) * F.col("n")
+    a, b = (p.select(*(F.col(c).alias(n + c) for c in ("tok", *SIDE, "open", "pos"))) for n, p in (("a", posts), ("b", posts.filter(small))))
+    x, y = ({c: F.col(n + c) for c in ("tok", *SIDE, "open", "pos")} for n in "ab")
     rest = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
     enough = (num + den) * rest >= num * (x["n"] + y["n"])
-    is_open = x["open"] * y["n"] > 0
     before = (y["k"] < x["k"]) | ((y["k"] == x["k"]) & (y["l"] < x["l"]))
-    both = a.join(b, (x["tok"] == y["tok"]) & is_open & before & enough & may_be_similar(x, y, num, den))
-    return both.select(*(n + c for n in "xy" for c in SIDE)).distinct()
+    after = (x["k"] < y["k"]) | ((x["k"] == y["k"]) & (x["l"] < y["l"]))
+    larger = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & before)
+    is_open = F.when(before, x["open"]).when(after, y["open"]) == 1
+    both = a.join(b, (x["tok"] == y["tok"]) & larger & enough & may_be_similar(x, y, num, den) & is_open)
+    return both.select(*(F.when(before, F.col(p + c)).otherwise(F.col(q + c)).alias(n + c) for n, p, q in (("x", "a", "b"), ("y", "b", "a")) for c in SIDE)).distinct()
 
 
 def bitmap(ids: DataFrame) -> Column:
@@ -170,17 +174,20 @@ def bitmap(ids: DataFrame) -> Column:
     return fixed_array(rows, 1 << (MAP_BITS - 6))
 
 
+def in_bitmap(bits: Column, id: Column) -> Column:
+    at = F.pmod(id, F.lit(1 << MAP_BITS))
+    return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
     """(k, l, s0, s1) of the lines ``x`` whose words are similar enough to those of their ``y``, as a stored table.
 
-    Words come from the texts again; a fixed-size map of the places wanted keeps other lines from being moved."""
+    Words come from the texts again; fixed-size maps of the documents and places wanted keep other texts from being split and other lines from being moved."""
     pairs = stored(pairs, "line-pairs")
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{a}k").alias("k"), F.col(f"{a}l").alias("l")) for a in "xy"))).alias("at")).select("at.k", "at.l").distinct()
     place = F.xxhash64("k", "l")
-    wanted = bitmap(ids.select(place.alias("id")))
-    at = F.pmod(place, F.lit(1 << MAP_BITS))
-    lines = lines_of(docs, key, text).filter(
-        F.call_function("shiftright", F.get(wanted, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    texts, places = bitmap(ids.select(F.xxhash64("k").alias("id"))), bitmap(ids.select(place.alias("id")))
+    lines = lines_of(docs.filter(in_bitmap(texts, F.xxhash64(F.col(key)))), key, text).filter(in_bitmap(places, place))
     lines = stored(lines.join(ids, ["k", "l"], "left_semi").select("k", "l", F.array_distinct(F.array_remove(words_of(F.col("line")), "")).alias("w")), "line-words")
     a, b = (lines.select(*(F.col(c).alias(f"{n}{c}") for c in "klw")) for n in "xy")
     both = pairs.join(a, ["xk", "xl"]).join(b, ["yk", "yl"]).filter((F.size("xw") == F.col("xn")) & (F.size("yw") == F.col("yn")))
@@ -212,7 +219,8 @@ def repeated_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, num: in
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, num: int = 4, den: int = 5) -> DataFrame:
     """k (key) and l (line number from 0) of the lines that go; a row for each line of repeated rows."""
-    sets = stored(line_sets(docs, key, text, rarity(docs, text), min_words, num, den), "line-sets")
+    table = stored(line_sets(docs, key, text, rarity(docs, text), min_words, num, den), "line-sets")
+    sets = table.filter("n > 0")
     own = stored(sets.select("k", "l", "id"), "line-ids")
     known = repeated_sets(docs, key, text, sets, num, den)
     own = own.join(known, "id")

@@ -16,9 +16,9 @@ whose distance is at most the size of the symmetric difference, drops most
 pairs that are left.  The rest are verified on their words.
 
 Equal sets are one set, of which the first line stays.  Copies with small
-changes never make all pairs: a line is first compared with single lines that
-share some rare words, and what is found similar to an earlier line
-is done.  Only lines still open are joined with all earlier ones.
+changes never make all pairs: where more than ``CROWD`` lines share some rare
+words, each is first compared with single ones of them, and what is found similar
+to an earlier line is done.  Only lines still open are joined with all earlier ones.
 
 Defined results
     null text            no lines; the text stays null

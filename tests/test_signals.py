@@ -118,3 +118,27 @@ def test_posterior(spark):
         assert high[k] == pytest.approx(grid[np.searchsorted(mass, 0.95)], rel=1e-3)
     out = S.ebgm(table(spark, ROWS), prior).collect()
     assert len(out) == len(slow_cells(ROWS)) and all(r.eb05 < r.ebgm < r.eb95 for r in out)
+
+
+def test_posterior_of_common_pairs_ends_soon():
+    """Counts in the hundred thousands, as large tables have them."""
+    import time
+    prior = S.Prior(0.3, 0.7, 0.4, 2.5, 3.0)
+    n = np.random.default_rng(2).integers(100_000, 140_000, 2000).astype(float)
+    e = n * np.random.default_rng(3).uniform(0.8, 1.25, len(n))
+    began = time.process_time()
+    mean, low, high = S.posterior(prior, n, e)
+    assert time.process_time() - began < 20
+    assert ((low < mean) & (mean < high)).all()
+    assert low == pytest.approx(mean * np.exp(-1.6448536 / np.sqrt(n)), rel=1e-4) and high == pytest.approx(mean * np.exp(1.6448536 / np.sqrt(n)), rel=1e-4)
+
+
+def test_pairs_of_equal_counts_weigh_as_often_as_they_stand(spark):
+    n, e = simulated(300)
+    n, e = np.tile(n, 3), np.tile(e, 3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(n, e)], "a long, expected double").repartition(3)
+    pairs = S.weighted(df)
+    assert pairs.count() == len(set(zip(n.tolist(), e.tolist())))
+    want = S.em_sums(S.START, n.astype(float), e)
+    assert S.distributed_sums(pairs, S.START) == pytest.approx(want, rel=1e-12)
+    assert S.summing(df)(S.START) == pytest.approx(want, rel=1e-12)

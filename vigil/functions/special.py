@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 SHIFT = 10  # the asymptotic series are used from here on
+LEAVE = 8  # steps between two looks for values that have converged
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -46,31 +47,58 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 
 
 def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """P(X <= x) for a gamma distribution of rate 1: the series below shape + 1, the continued fraction above."""
+    """P(X <= x) for a gamma distribution of rate 1: the series below shape + 1, the continued fraction above.
+
+    Both take some multiple of sqrt(shape) steps near the mean; values that have converged leave the loops."""
     shape, x = np.broadcast_arrays(np.asarray(shape, float), np.asarray(x, float))
+    dims, shape, x = x.shape, shape.ravel(), x.ravel()
     front = np.exp(shape * np.log(np.maximum(x, 1e-300)) - x - log_gamma(shape))
-    steps = int(200 + 12 * np.sqrt(shape.max(initial=1.0)))
-    term = 1 / shape
-    total = term.copy()
-    for k in range(1, steps):
-        term = term * np.where(x < shape + 1, x / (shape + k), 0.0)
-        total += term
-        if (np.abs(term) < 1e-15 * np.abs(total)).all():
-            break
+    out = np.zeros(len(x))
+    low, high = np.flatnonzero((x > 0) & (x < shape + 1)), np.flatnonzero(x >= shape + 1)
+    out[low] = front[low] * _series(shape[low], x[low])
+    out[high] = 1 - front[high] * _fraction(shape[high], x[high])
+    return np.clip(out, 0.0, 1.0).reshape(dims)
+
+
+def _steps(shape: np.ndarray) -> int:
+    return int(200 + 12 * np.sqrt(shape.max(initial=1.0)))
+
+
+def _series(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = term = total = 1 / shape
+    out, live = out.copy(), np.arange(len(x))
+    for k in range(1, _steps(shape)):
+        term = term * (x / (shape + k))
+        total = total + term
+        if k % LEAVE == 0 and (done := np.abs(term) < 1e-15 * np.abs(total)).any():
+            out[live[done]] = total[done]
+            live, shape, x, term, total = (v[~done] for v in (live, shape, x, term, total))
+            if not len(live):
+                break
+    out[live] = total
+    return out
+
+
+def _fraction(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
     tiny = 1e-300
-    high = np.where(x >= shape + 1, x, shape + 2)  # any value of this range where the series is used
-    b = high + 1 - shape
+    b = x + 1 - shape
     c = np.full_like(b, 1 / tiny)
     d = 1 / b
     h = d.copy()
-    for k in range(1, steps):
+    out, live = h.copy(), np.arange(len(x))
+    for k in range(1, _steps(shape)):
         a = -k * (k - shape)
         b = b + 2
         d = a * d + b
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
         c = b + a / c
         c = np.where(np.abs(c) < tiny, tiny, c)
-        h = h * d * c
-        if (np.abs(d * c - 1) < 1e-14).all():
-            break
-    return np.clip(np.where(x <= 0, 0.0, np.where(x < shape + 1, front * total, 1 - front * h)), 0.0, 1.0)
+        by = d * c
+        h = h * by
+        if k % LEAVE == 0 and (done := np.abs(by - 1) < 1e-14).any():
+            out[live[done]] = h[done]
+            live, shape, b, c, d, h = (v[~done] for v in (live, shape, b, c, d, h))
+            if not len(live):
+                break
+    out[live] = h
+    return out

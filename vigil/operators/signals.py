@@ -8,9 +8,10 @@ of the whole table from one shuffle of the rows; ``cells`` joins them to the 2x2
     other drugs     c           d
 
 ``prr_ror`` and ``information_component`` are expressions over that table.  ``ebgm`` shrinks the ratio of observed
-to expected reports: its prior, a mixture of two gamma distributions, is fitted to all pairs.  Each EM step
-is one distributed sum over the pairs, of which the driver sees seven numbers; the posterior
-is computed row by row.  Pairs without a report aren't in the table, so the likelihood is that of counts of
+to expected reports: its prior, a mixture of two gamma distributions, is fitted to all pairs.  Pairs of the same observed and
+expected count stand in the fit as one with their number.  Each EM step
+is one distributed sum over these, of which the driver sees seven numbers a task (up to ``LOCAL_PAIRS`` of them are
+summed up on the driver); the posterior is computed row by row.  Pairs without a report aren't in the table, so the likelihood is that of counts of
 one or more: an EM step adds, for each pair, the zero counts that were expected unseen beside it.
 
 Null or blank drugs, events and reports don't count; repeated rows count once; an empty table gives no rows
@@ -19,7 +20,7 @@ Null or blank drugs, events and reports don't count; repeated rows count once; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from ..session import staged
 Z95 = 1.959963984540054  # standard normal quantile of 97.5 %
 #: Usual screening limits of a signal: reports, ratio and chi square.
 MIN_REPORTS, MIN_PRR, MIN_CHI2 = 3, 2.0, 4.0
+LOCAL_PAIRS = 1 << 16  # so many different (observed, expected) need no job a pass
 
 
 def counts(reports: DataFrame, report: str, drug: str, event: str) -> DataFrame:
@@ -144,15 +146,15 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(axis=0))
 
 
-def em_sums(prior: Prior, n: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Log likelihood, and of both parts the sums of membership, ratio and log ratio given the counts."""
+def em_sums(prior: Prior, n: np.ndarray, e: np.ndarray, w: np.ndarray | float = 1.0) -> np.ndarray:
+    """Log likelihood, and of both parts the sums of membership, ratio and log ratio given the counts; ``w`` is how often each stands."""
     seen, unseen = _log_joint(prior, n, e), _log_joint(prior, np.zeros_like(n), e)
     own, none = _log_sum(seen), _log_sum(unseen)
     some = -np.expm1(none)  # probability of one report or more
-    out = [float((own - np.log(some)).sum())]
-    beside = np.exp(none) / some
+    out = [float((w * (own - np.log(some))).sum())]
+    beside = w * np.exp(none) / some
     for k, (_, a, b) in enumerate(prior.parts()):
-        r, z = np.exp(seen[k] - own), beside * np.exp(unseen[k] - none)
+        r, z = w * np.exp(seen[k] - own), beside * np.exp(unseen[k] - none)
         out += [float((r + z).sum()), float((r * (a + n) / (b + e) + z * a / (b + e)).sum()),
                 float((r * (digamma(a + n) - np.log(b + e)) + z * (digamma(np.array(a)) - np.log(b + e))).sum())]
     return np.array(out)
@@ -172,17 +174,36 @@ def em_step(sums: np.ndarray) -> Prior:
     return Prior(float(sums[1] / (sums[1] + sums[4])), *parts)
 
 
-def distributed_sums(table: DataFrame, prior: Prior) -> np.ndarray:
-    """``em_sums`` over all pairs: a row of partial sums for each batch, added up by Spark."""
+def weighted(table: DataFrame) -> DataFrame:
+    """Different (a, expected) and the number of pairs that have them, as w."""
+    return table.groupBy("a", "expected").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _columns(b: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [np.asarray(b.column(c).to_numpy(), float) if isinstance(b, pa.Table) else b.column(c).to_numpy(False).astype(float) for c in ("a", "expected", "w")]
+
+
+def distributed_sums(pairs: DataFrame, prior: Prior) -> np.ndarray:
+    """``em_sums`` over all ``weighted`` pairs: each task adds up its batches, the driver the tasks."""
     schema = T.StructType([T.StructField(f"s{i}", T.DoubleType()) for i in range(7)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            s = em_sums(prior, b.column("a").to_numpy(False).astype(float), b.column("expected").to_numpy(False))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in s], schema.names)
+        total = sum((em_sums(prior, *_columns(b)) for b in it if len(b)), np.zeros(7))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], schema.names)
+
+    return sum((np.array(r) for r in pairs.select("a", "expected", "w").mapInArrow(run, schema).collect()), np.zeros(7))
+
 
-    row = table.select("a", "expected").mapInArrow(run, schema).agg(*[F.sum(c).alias(c) for c in schema.names]).first()
-    return np.array([x or 0.0 for x in row])
+def summing(table: DataFrame) -> Callable[[Prior], np.ndarray]:
+    """``em_sums`` of a table of (a, expected) for any prior; the table is read once."""
+    pairs = staged(weighted(table), "pairs")
+    few = pairs.limit(LOCAL_PAIRS + 1).toArrow()
+    if len(few) > LOCAL_PAIRS:
+        return lambda prior: distributed_sums(pairs, prior)
+    n, e, w = _columns(few)
+    order = np.lexsort((e, n))
+    n, e, w = n[order], e[order], w[order]
+    return lambda prior: em_sums(prior, n, e, w) if len(n) else np.zeros(7)
 
 
 def gradient(prior: Prior, sums: np.ndarray) -> np.ndarray:
@@ -197,12 +218,13 @@ def fit_prior(table: DataFrame, start: Prior = START, warm_up: int = 5, passes:
     """The likeliest mixture for (a, expected): ``warm_up`` EM steps, then, as EM crawls near the top, quasi-Newton steps on
     the gradient that the same sums give, halved until the likelihood rises.  It ends when a step raises the mean
     log likelihood by less than ``tolerance``, or after so many passes over the table."""
-    at, sums, used = start, distributed_sums(table, start), 1
+    sums_at = summing(table)
+    at, sums, used = start, sums_at(start), 1
     if not sums[1] + sums[4] > 0:
         return start
     for _ in range(warm_up):
         at = em_step(sums)
-        sums, used = distributed_sums(table, at), used + 1
+        sums, used = sums_at(at), used + 1
     n = sums[1] + sums[4]
     x, slope, bend = at.free(), gradient(at, sums) / n, np.eye(5)
     while used < passes:
@@ -213,7 +235,7 @@ def fit_prior(table: DataFrame, start: Prior = START, warm_up: int = 5, passes:
         size = 1.0
         while True:
             new = Prior.of(x + size * step)
-            found, used = distributed_sums(table, new), used + 1
+            found, used = sums_at(new), used + 1
             if found[0] >= sums[0] + 1e-4 * size * n * (step @ slope) or size < 1e-4 or used >= passes:
                 break
             size /= 4
@@ -232,15 +254,26 @@ def fit_prior(table: DataFrame, start: Prior = START, warm_up: int = 5, passes:
 
 
 def _quantile(prior: Prior, share: np.ndarray, n: np.ndarray, e: np.ndarray, p: float) -> np.ndarray:
-    """The ratio below which the posterior has mass ``p``, by bisection of its logarithm."""
+    """The ratio below which the posterior has mass ``p``: Newton steps for its logarithm, halving where they leave the
+    bounds found so far; rows that have converged leave."""
     (_, a1, b1), (_, a2, b2) = prior.parts()
+    out, live = np.zeros(len(n)), np.arange(len(n))
     low, high = np.full(len(n), -40.0), np.full(len(n), 40.0)
-    for _ in range(60):
-        mid = (low + high) / 2
-        x = np.exp(mid)
-        below = share * gamma_cdf(a1 + n, x * (b1 + e)) + (1 - share) * gamma_cdf(a2 + n, x * (b2 + e)) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return np.exp((low + high) / 2)
+    at = np.clip(np.log(share * (a1 + n) / (b1 + e) + (1 - share) * (a2 + n) / (b2 + e)), -39.0, 39.0)
+    while len(live):
+        x = np.exp(at)
+        below, slope = np.zeros(len(at)), np.zeros(len(at))
+        for part, shape, z in ((share, a1 + n, x * (b1 + e)), (1 - share, a2 + n, x * (b2 + e))):
+            below += part * gamma_cdf(shape, z)
+            slope += part * np.exp(shape * np.log(z) - z - log_gamma(shape))
+        low, high = np.where(below < p, at, low), np.where(below < p, high, at)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            new = at - (below - p) / slope
+        new = np.where((new > low) & (new < high), new, (low + high) / 2)
+        done = (np.abs(new - at) < 1e-11) | (high - low < 1e-13)
+        out[live[done]] = new[done]
+        live, share, n, e, low, high, at = (v[~done] for v in (live, share, n, e, low, high, new))
+    return np.exp(out)
 
 
 def posterior(prior: Prior, n: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +294,9 @@ def ebgm(table: DataFrame, prior: Prior | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = posterior(fitted, b.column("a").to_numpy(False).astype(float), b.column("expected").to_numpy(False))
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found)], [*b.schema.names, *names])
+            pairs = np.stack([b.column("a").to_numpy(False).astype(float), b.column("expected").to_numpy(False)])
+            (n, e), place = np.unique(pairs, axis=1, return_inverse=True)  # pairs of the same counts have one posterior
+            found = posterior(fitted, n, e)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[place.ravel()]) for x in found)], [*b.schema.names, *names])
 
     return x.mapInArrow(run, schema)

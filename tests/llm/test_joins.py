@@ -289,6 +289,51 @@ def test_recall_with_far_more_leaves_than_probes(llm):
     assert hits >= 0.9 * 10 * 100
 
 
+def test_visits_are_the_most_promising_leaves(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    forest = rpforest.Forest(rng.normal(size=(900, 9)).astype(np.float32), 6, 5, 1)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    margins = x @ forest.normal[:, :-1].T - forest.at
+    for whole in (1 << 16, 0):
+        monkeypatch.setattr(rpforest, "WHOLE", whole)
+        for count in (1, 7, 100, forest.leaves, forest.leaves + 5):
+            assert [sorted(f) for f in forest.visits(x, count).tolist()] == [sorted(forest.probes(m, count)) for m in margins]
+
+
+@pytest.mark.parametrize("kind,size", [("<f4", 1.0), ("<f8", 1.0), ("<f8", 1e100), ("<f8", 1e-100), ("<f4", 1e-20)])
+def test_block_scores_all_vectors_of_the_leaves(kind, size):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(500, 6)) * size).astype(kind)
+    x[100:140] = x[100] * (1 + 1e-7 * rng.normal(size=(40, 1)))  # near copies, whose order single precision can't tell
+    leaves = np.stack([rng.integers(0, 9, 500), rng.integers(9, 20, 500)], 1).astype(np.int32)
+    ids = rng.permutation(500)
+    block = rpforest.Block(np.arange(500), ids, x, leaves)
+    floor = np.full(30, -np.inf)
+    r, c, s = rpforest.best_of(x[100:130].astype(float), x.astype(float), ids, 5, floor)
+    for i in range(100, 130):
+        q, asked = x[i].astype(float), np.array([leaves[i, 0], 12, 25], np.int32)
+        score = (q * x).sum(1)
+        inside = [j for j in np.lexsort((ids, -score)).tolist() if set(leaves[j].tolist()) & set(asked.tolist())]
+        rows, found = block.best(q, asked, 5)
+        assert block.vid[rows].tolist() == inside[:5] and found.tolist() == score[inside[:5]].tolist()
+        assert c[r == i - 100].tolist() == np.lexsort((ids, -score))[:5].tolist() and floor[i - 100] == np.sort(score)[-5]
+
+
+def test_vectors_move_once(llm):
+    """Each vector stands in one block and each query once in each block, not once for every tree or leaf."""
+    import numpy as np
+    x = np.random.default_rng(9).normal(size=(1500, 8)).astype(np.float32)
+    d = llm.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "vid long, id long, v array<float>")
+    forest, most = rpforest.fit(d, 1500, 8, 16, 1000, 3)
+    rows = rpforest.dealt(d, d.filter("id < 20"), forest, most, 40, 3).select("block", "side", "vid", "v", "leaves").collect()
+    assert sorted(r.vid for r in rows if not r.side) == list(range(1500)) and {r.block for r in rows} == {0, 1, 2}
+    assert sorted((r.block, r.vid) for r in rows if r.side) == [(b, i) for b in range(3) for i in range(20)]
+    assert {(r.side, len(r.v), len(r.leaves)) for r in rows} == {(0, 32, 32), (1, 32, 160)}
+    assert rpforest.blocks_for(1, 6) == 1 and rpforest.blocks_for(10 * rpforest.BLOCK, 6) == 12
+
+
 # what the steps leave on disk, and what they move
 
 def test_parity_words_meet_only_where_shingles_do(docs_of, prose):

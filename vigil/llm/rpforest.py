@@ -7,6 +7,10 @@ priority queue: the branch that its projections least rule out comes next,
 whatever its tree, until enough leaves are found.  All vectors of these
 leaves are scored exactly, in double precision.
 
+Vectors move once, with the numbers of their leaves, into blocks of a bounded
+number; every query goes to every block with the numbers of the leaves that it
+visits, and a block answers with its best.
+
 How many leaves are enough is measured on the index itself: the nearest vectors
 of ``CALIBRATED`` queries are found by full comparison, and queries visit as
 many leaves as it takes to meet ``recall`` of them, ``probes`` at least.
@@ -41,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import dropped, stored
 
 LEAF = 128
 CALIBRATED = 128
-BLOCK = 4096
-SCORED = 1 << 22
+BLOCK = 1 << 18  # vectors of a block at most, or nearly
+SMALL_BLOCK = 1 << 13  # below that, no blocks for the sake of busy cores
+BUSY = 32  # blocks made for that sake at most, as each gets all queries
+WHOLE = 1 << 16  # nodes up to which a query's margins at all of them are one product
+STEP = 1 << 16  # margins computed at once where they aren't
 
 
 class Forest:
@@ -63,6 +70,7 @@ class Forest:
         self.roots = [self.grow(sample, np.arange(len(sample)), leaf, rng) for _ in range(trees)]
         self.normal = np.array(self.normal, np.float32).reshape(len(self.at), sample.shape[1])
         self.at = np.array(self.at, np.float32)
+        self.children = np.array([self.low, self.high], np.int64).reshape(2, len(self.at))
 
     def grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         if len(rows) > leaf:
@@ -87,7 +95,7 @@ class Forest:
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
-        low, high = np.array(self.low, np.int64), np.array(self.high, np.int64)
+        low, high = self.children
         out = np.zeros((len(x), len(self.roots)), np.int64)
         for t, root in enumerate(self.roots):
             node = np.full(len(x), root, np.int64)
@@ -102,6 +110,35 @@ class Forest:
         """The ``count`` most promising leaves of all trees for one query, given its margin at every node."""
         return list(islice(self.promising(margins), count))
 
+    def visits(self, x: np.ndarray, count: int) -> np.ndarray:
+        """``probes`` of each query (float32), in any order: all queries go down all trees at once, level by level.
+
+        Of the branches reached, only the ``count`` least ruled out go on, as each leads to a leaf no more ruled out."""
+        count = min(count, self.leaves)
+        node = np.broadcast_to(np.array(self.roots, np.int64), (len(x), len(self.roots)))
+        far = np.zeros(node.shape)
+        margins = x @ self.normal[:, :-1].T - self.at if len(self.at) <= WHOLE else None
+        while True:
+            if node.shape[1] > count:
+                least = np.argpartition(far, count - 1, axis=1)[:, :count]
+                node, far = np.take_along_axis(node, least, 1), np.take_along_axis(far, least, 1)
+            r, c = np.nonzero(node >= 0)
+            if not len(r):
+                return (-1 - node).astype(np.int32)
+            at = node[r, c]
+            if margins is not None:
+                m = margins[r, at].astype(float)
+            else:
+                m = np.concatenate([np.einsum("ij,ij->i", self.normal[at[i:i + STEP], :-1], x[r[i:i + STEP]]) - self.at[at[i:i + STEP]]
+                                    for i in range(0, len(at), STEP)]).astype(float)
+            # the low child takes the branch's place, the high child a new one; places without a branch are never taken
+            more, away = np.zeros_like(node), np.full(far.shape, np.inf)
+            more[r, c], away[r, c] = self.children[1][at], far[r, c] + np.minimum(m, 0.0) ** 2
+            node, far = node.copy(), far.copy()
+            node[r, c] = self.children[0][at]
+            far[r, c] += np.maximum(m, 0.0) ** 2
+            node, far = np.concatenate([node, np.where(np.isinf(away), -1, more)], 1), np.concatenate([far, away], 1)
+
     def promising(self, margins: np.ndarray) -> Iterator[int]:
         """All leaves, the most promising first."""
         heap = [(0.0, i, root) for i, root in enumerate(self.roots)]
@@ -144,9 +181,9 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
-    """vid (hash of the vector) and id: the ``k + 1`` smallest ids of each vector.  The
+    """vid and id: the ``k + 1`` smallest ids of each vector.  The
     limit is applied before the shuffle too, and again by salt, so copies never meet."""
-    rows = rows.select(F.xxhash64("v").alias("vid"), "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    rows = rows.select("vid", "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for keys in (["vid", "salt"], ["vid"]):
         w = Window.partitionBy(*keys).orderBy("id")
         rows = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
@@ -169,7 +206,7 @@ def fit(vectors: DataFrame, n: int, trees: int, leaf: int, max_sample: int, seed
     the largest squared norm.  Leaves hold ``leaf`` of all vectors, as far as the sample allows."""
     if not n:
         return None
-    most = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    most = vectors.agg(F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     picked = vectors.filter(F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_sample / n)) + 1)
     rows = sorted(picked.limit(max_sample + max_sample // 8).collect(), key=lambda r: r.vid)
     x = lifted(np.array([r.v for r in rows]), most)
@@ -186,14 +223,16 @@ def enough(wanted: DataFrame, vectors: DataFrame, forest: Forest, most: float, k
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vids, q = sent.value
+        floor = np.full(len(q), -np.inf)
         for b in it:
             if len(b):
-                r, c, s = best_of(q, matrix(b.column("v")), b.column("id").to_numpy(), k + 1)
+                r, c, s = best_of(q, matrix(b.column("v")).astype(float), b.column("id").to_numpy(), k + 1, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(vids[r]), *(b.column(n).take(pa.array(c)) for n in ("vid", "id", "v")), pa.array(s)],
                                                  ["qvid", "vid", "id", "v", "score"])
 
     near = Window.partitionBy("qvid").orderBy(F.desc("score"), "id")
-    rows = vectors.mapInArrow(score, "qvid bigint, vid bigint, id bigint, v array<double>, score double").filter("vid <> qvid") \
+    kind = vectors.schema["v"].dataType.simpleString()
+    rows = vectors.mapInArrow(score, f"qvid bigint, vid bigint, id bigint, v {kind}, score double").filter("vid <> qvid") \
         .withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k).select("qvid", "v").collect()
     by: dict[int, list] = {}
     for r in rows:
@@ -205,52 +244,72 @@ def enough(wanted: DataFrame, vectors: DataFrame, forest: Forest, most: float, k
     return sorted(at)[max(0, int(np.ceil(recall * len(at))) - 1)] if at else 0
 
 
+def narrowed(rows: DataFrame, element: str) -> DataFrame:
+    """With vid, the hash of the vector, and the vector as it was given."""
+    return rows.withColumn("vid", F.xxhash64("v")).withColumn("v", F.col("v").cast(f"array<{element}>"))
+
+
+def blocks_for(n: int, cores: int) -> int:
+    """Blocks that ``n`` vectors are dealt into: as few as hold them, rounded up to rounds of all cores."""
+    least = max(1, -(-n // BLOCK), min(cores, BUSY, -(-n // SMALL_BLOCK)))
+    return -(-least // cores) * cores if n > BLOCK and least > cores else least
+
+
+def dealt(vectors: DataFrame, wanted: DataFrame, forest: Forest, most: float, probes: int, blocks: int) -> DataFrame:
+    """block, side (0: a vector, 1: a query), vid, id, and as bytes v and the numbers of leaves (int32): those that hold
+    the vector, or that the query visits.  A vector is in one block, a query in all."""
+    sent = vectors.sparkSession.sparkContext.broadcast((forest, most))  # trees over a bounded sample
+    names = ["vid", "id", "v", "leaves"]
+
+    def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, most = sent.value
+        for b in it:
+            if len(b):
+                x = matrix(b.column("v"))
+                leaves = forest.leaf_of(lifted(x.astype(float), most)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("id"), packed(x), packed(leaves)], names)
+
+    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, _ = sent.value
+        for b in it:
+            if len(b):
+                x = matrix(b.column("v"))
+                near = x.astype(np.float32)
+                found = np.concatenate([forest.visits(near[at:at + 256], probes) for at in range(0, len(x), 256)])
+                yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("vid"), packed(x), packed(found)], names)
+
+    shape = "vid bigint, id bigint, v binary, leaves binary"
+    member = vectors.mapInArrow(index, shape).select(F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), *names)
+    cores = wanted.sparkSession.sparkContext.defaultParallelism
+    query = wanted.select("vid", "v").repartition(cores).mapInArrow(probe, shape).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), *names)
+    return member.unionByName(query)
+
+
 def search(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = 32,
            probes: int = 256, leaf: int = LEAF, max_sample: int = 20_000, seed: int = 3, recall: float = 0.95) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest rows found for each
     query, without the row of its own id."""
-    own = stored(usable(rows, key, vector).withColumn("vid", F.xxhash64("v")), "ann-rows")
-    asked = stored(usable(queries, key, vector).withColumn("vid", F.xxhash64("v")), "ann-queries")
+    single = all(df.schema[vector].dataType.simpleString() == "array<float>" for df in (queries, rows))
+    element, kind = ("float", "<f4") if single else ("double", "<f8")
+    own = stored(narrowed(usable(rows, key, vector), element), "ann-rows")
+    asked = stored(narrowed(usable(queries, key, vector), element), "ann-queries")
     ids = stored(entries(own, k), "ann-entries")
     first = ids.filter("rn = 1").select("vid", "id")
     vectors = stored(own.join(first, ["vid", "id"]).dropDuplicates(["vid"]).select("vid", "id", "v"), "ann-vectors")
+    dropped(own)
     wanted = asked.select("vid", "v").dropDuplicates(["vid"])
     spark = rows.sparkSession
-    fitted = fit(vectors, vectors.count(), trees, leaf, max_sample, seed)
+    n = vectors.count()
+    fitted = fit(vectors, n, trees, leaf, max_sample, seed)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     probes = max(probes, enough(wanted, vectors, *fitted, k, recall, seed))
-    sent = spark.sparkContext.broadcast(fitted)  # trees over a bounded sample
-
-    def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, most = sent.value
-        for b in it:
-            leaves = forest.leaf_of(lifted(matrix(b.column("v")), most))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vid", "id", "v")), pa.array(list(leaves), pa.list_(pa.int64()))], ["vid", "id", "v", "leaves"])
-
-    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, _ = sent.value
-        for b in it:
-            x = matrix(b.column("v")).astype(np.float32)
-            found = []
-            for at in range(0, len(x), 256):
-                q = x[at:at + 256]
-                margins = q @ forest.normal[:, :-1].T - forest.at
-                found += [forest.probes(m, probes) for m in margins]
-            yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("vid"), b.column("v"), pa.array(found, pa.list_(pa.int64()))], ["vid", "id", "v", "leaves"])
-
-    shape = "vid bigint, id bigint, v array<double>, leaves array<bigint>"
-    member = vectors.mapInArrow(index, shape).select("vid", "id", "v", F.explode("leaves").alias("leaf"))
-    size = member.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = member.join(size, "leaf").select("leaf", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "vid", "id", "v")
-    query = wanted.select("vid", "v").mapInArrow(probe, shape).select("vid", "id", "v", F.explode("leaves").alias("leaf")).join(size, "leaf") \
-        .select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "vid", "id", "v")
-    keys = ["leaf", "block", "side"]
-    both = member.unionByName(query).repartition("leaf", "block").sortWithinPartitions(*keys)
-    scored = both.mapInArrow(lambda it: score_runs(it, k + 1), "qvid bigint, vid bigint, id bigint, score double")
-    best = scored.groupBy("qvid", "vid").agg(F.min("id").alias("id"), F.max("score").alias("score"))
+    blocks = blocks_for(n, spark.sparkContext.defaultParallelism)
+    both = dealt(vectors, wanted, *fitted, probes, blocks).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side")
+    scored = both.mapInArrow(lambda it: score_blocks(it, k + 1, kind), "qvid bigint, vid bigint, id bigint, score double")
     near = Window.partitionBy("qvid").orderBy(F.desc("score"), "id")
-    best = best.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k + 1).select("qvid", "vid", "score")
+    best = scored.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k + 1).select("qvid", "vid", "score")
     every = best.join(ids.select("vid", "id"), "vid").withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= k + 1)
     rows_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (asked.select(F.col("id").alias("query_id"), F.col("vid").alias("qvid")).distinct().join(every, "qvid")
@@ -258,52 +317,111 @@ def search(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str
             .withColumn("rank", F.row_number().over(rows_of)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the ``k`` best of the block for each query, ties to smaller ids.
-
-    Products are summed along the vector alone, so a pair scores the same in every block."""
-    rows, cols, scores = [], [], []
-    step = max(1, SCORED // max(1, x.size))
-    for at in range(0, len(q), step):
-        s = (q[at:at + step, None, :] * x[None, :, :]).sum(-1)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s))[:, :k]
-        rows.append(np.repeat(np.arange(at, at + len(s)), order.shape[1]))
-        cols.append(order.ravel())
-        scores.append(np.take_along_axis(s, order, 1).ravel())
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
-
-
-def score_runs(it: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best vectors of each (leaf, block) for each query sent there.
+def packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _single(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in single precision, scaled where their size could be lost in it, and the scale of each or of all."""
+    top = float(np.abs(x).max(initial=0.0)) or 1.0
+    if x.dtype == np.float32 and 1e-12 < top < 1e12:
+        return x, 1.0
+    return (x / top).astype(np.float32), top
+
+
+def _slack(d: int) -> float:
+    """Twice the error of a product of ``d`` components in single precision, for vectors of length 1."""
+    return 2 * (d + 4) * 2.0 ** -23
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the ``k`` best of the block for each query, ties to smaller ids, without what
+    scores less than its ``floor``; the floor rises to the k-th best.
+
+    Products in single precision leave out what can't be among the best by more than their error; the rest are summed in
+    double precision along the vector alone, so a pair scores the same in every block."""
+    scale = np.abs(q).max(1)
+    first, (near, top) = (q / scale[:, None]).astype(np.float32), _single(x)
+    s = first @ near.T
+    slack = _slack(x.shape[1]) * np.linalg.norm(first, axis=1) * np.linalg.norm(near, axis=1).max()
+    cut = floor / scale / top
+    if s.shape[1] > k:
+        cut = np.maximum(cut, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    r, c = np.nonzero(s >= (cut - slack)[:, None])
+    score = (q[r] * x[c]).sum(-1)
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    good = (place < k) & (score >= floor[r])
+    last = place == k - 1
+    floor[r[last]] = np.maximum(floor[r[last]], score[last])
+    return r[good], c[good], score[good]
+
+
+class Block:
+    """Vectors with the leaves that hold them, by leaf."""
+
+    def __init__(self, vid: np.ndarray, ids: np.ndarray, v: np.ndarray, leaves: np.ndarray):
+        order = np.argsort(leaves[:, 0], kind="stable")  # what one leaf holds lies together
+        self.vid, self.ids, self.v = vid[order], ids[order], v[order]
+        flat = leaves[order].ravel()
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(flat))])
+        self.member = (np.argsort(flat, kind="stable") // leaves.shape[1]).astype(np.int32)
+        self.near, _ = _single(self.v)
+        self.slack = _slack(v.shape[1]) * float(np.sqrt(np.einsum("ij,ij->i", self.near, self.near).max()))
+        self.seen = np.zeros(len(vid), bool)
+
+    def best(self, q: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the ``k`` best vectors of the leaves, ties to smaller ids."""
+        leaves = leaves[leaves < len(self.ends) - 1]
+        start = self.ends[leaves]
+        n = self.ends[leaves + 1] - start
+        self.seen[self.member[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)]] = True
+        rows = np.flatnonzero(self.seen)
+        self.seen[rows] = False
+        if len(rows) > k:
+            first = (q / np.abs(q).max()).astype(np.float32)
+            s = self.near[rows] @ first
+            rows = rows[s >= np.partition(s, len(s) - k)[len(s) - k] - self.slack * float(np.linalg.norm(first))]
+        score = (q * self.v[rows]).sum(-1)
+        order = np.lexsort((self.ids[rows], -score))[:k]
+        return rows[order], score[order]
+
+
+def score_blocks(it: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best vectors of each block for each query, of those in the leaves that it visits.
 
     Rows come sorted, the vectors of a block before its queries; a block has
-    about ``BLOCK`` vectors, queries pass in any number.  Vectors that a query
-    can't need any more, as one block alone has ``k`` better ones, are left out."""
-    now, vectors = None, []
-    floor: dict[int, float] = {}  # k-th best of one block: what scores less is not among the k best
+    about ``BLOCK`` vectors, queries pass in any number."""
+    now, parts, held = None, [], None
     for b in it:
-        leaf, block, side = (b.column(c).to_numpy() for c in ("leaf", "block", "side"))
-        edge = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+        block, side = (b.column(c).to_numpy() for c in ("block", "side"))
+        edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1
         out: list = [[], [], [], []]
-        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(leaf)]):
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(block)]):
             if s == e:
                 continue
             part = b.slice(s, e - s)
-            vid, ids, v = part.column("vid").to_numpy(), part.column("id").to_numpy(), matrix(part.column("v"))
-            if now != (leaf[s], block[s]):
-                now, vectors = (leaf[s], block[s]), []
+            vid, ids = part.column("vid").to_numpy(), part.column("id").to_numpy()
+            v, leaves = unpacked(part.column("v"), kind), unpacked(part.column("leaves"), "<i4")
+            if now != block[s]:
+                now, parts, held = block[s], [], None
             if side[s] == 0:
-                vectors.append((vid, ids, v))
-            elif vectors:
-                if len(vectors) > 1:
-                    vectors = [tuple(np.concatenate(c) for c in zip(*vectors))]
-                held = vectors[0]
-                r, c, score = best_of(v, held[2], held[1], k)
-                low = np.array([floor.get(i, -np.inf) for i in vid.tolist()])
-                good = score >= low[r]
-                if len(held[0]) >= k:
-                    floor.update(zip(vid.tolist(), np.maximum(low, score[k - 1::k]).tolist()))
-                for o, a in zip(out, (vid[r], held[0][c], held[1][c], score)):
-                    o.append(a[good])
+                parts.append((vid, ids, v, leaves))
+                continue
+            if parts:
+                held, parts = Block(*(np.concatenate(c) for c in zip(*parts))), []
+            if held is not None:
+                for i in range(len(vid)):
+                    rows, score = held.best(v[i].astype(float), leaves[i], k)
+                    for o, a in zip(out, (np.full(len(rows), vid[i]), held.vid[rows], held.ids[rows], score)):
+                        o.append(a)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["qvid", "vid", "id", "score"])

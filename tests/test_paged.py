@@ -89,3 +89,50 @@ def test_files_per_batch(spark, tmp_path):
     W.idempotent_write(df, str(tmp_path / "o"), "k", "r", 0)
     files = [f for _, _, fs in os.walk(tmp_path / "o") for f in fs if f.startswith("part-")]
     assert len(files) <= W.KEY_BUCKETS and W.read_output(spark, str(tmp_path / "o")).count() == 5000
+
+
+def test_batches_are_bounded(spark, pages, tmp_path):
+    """Some pages at a time, each id once, and a run of failed pages over several batches still stops the fetch."""
+    whole, some = (str(tmp_path / x) for x in ("whole", "some"))
+    W.fetch_pages(spark, pages, whole, f"{whole}-check", limit=10)
+    W.fetch_pages(spark, pages, some, f"{some}-check", limit=10, batch_pages=2)
+    rows = lambda path: sorted((r.safetyreportid, r.page_skip) for r in out(spark, path).where("safetyreportid <> '5'").collect())
+    assert rows(some) == rows(whole) and out(spark, some).count() == 61
+    assert len({r.epoch for r in spark.read.parquet(f"{some}/errors").select("epoch").collect()} | {0}) > 1
+    assert W.reached(spark, f"{some}-check") == 90
+    for k in range(9, 15):
+        land(pages, 10 * k, None)
+    with pytest.raises(Exception, match="5 failed pages in a row, the last one at 130"):
+        W.fetch_pages(spark, pages, some, f"{some}-check", limit=10, batch_pages=2)
+
+
+def test_pages_land_in_parts(spark, tmp_path, monkeypatch):
+    """The same pages whether they land at once or in parts; each line moves once on its way to its page."""
+    from pyspark.sql import functions as F
+    from vigil.plans import bridge, streams
+    from vigil.session import partitions_kept
+    orders = [(i * 37 if i else None, 1, "O", "1-URGENT") for i in range(200)]
+    lines = [(i * 37, i % 5, 1, n, 1.0, 2.0, "A", None) for i in range(1, 200) for n in range(1 + i % 4)]
+    sf = str(tmp_path)
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, "
+                          "l_shipdate timestamp").write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(1, 3)], "c_custkey long, c_nationkey int").write.parquet(f"{sf}/customer.parquet")
+    spark.createDataFrame([(i, f"new {i}", "Brand#1", "T") for i in range(5)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{sf}/part.parquet")
+
+    def landed(failing):
+        found = spark.read.text(streams.landed_pages(spark, sf, failing), wholetext=True).select("page", F.get_json_object("value", "$.results").alias("r"))
+        return {r.page: r.r and sorted(json.dumps(x, sort_keys=True) for x in json.loads(r.r)) for r in found.collect()}
+
+    whole = [landed(True), landed(False)]
+    assert None in whole[1] and None not in whole[0] and sum(len(r) for r in whole[1].values()) == 200 and None in whole[0].values()
+    monkeypatch.setattr(streams, "LANDED_AT_ONCE", 70)
+    assert [landed(True), landed(False)] == whole
+    at = F.floor(F.col("report_key") / 1000) * 1000
+    with partitions_kept(spark):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = bridge.raw_reports_nested(spark, sf, at, F.lit(True)).groupBy("at").agg(F.count_if(F.size("patient.drug") > 1))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning(at#") == 2 and "hashpartitioning(report_key#" not in plan

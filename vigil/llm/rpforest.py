@@ -388,7 +388,7 @@ class Block:
         self.seen[rows] = False
         if len(rows) > k:
             first = (q / np.abs(q).max()).astype(np.float32)
-            s = self.near[rows] @ first
+            s = np.take(self.near, rows, axis=0) @ first
             rows = rows[s >= np.partition(s, len(s) - k)[len(s) - k] - self.slack * float(np.linalg.norm(first))]
         score = (q * self.v[rows]).sum(-1)
         order = np.lexsort((self.ids[rows], -score))[:k]

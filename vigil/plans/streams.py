@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
-from ..session import read_table, staged
+from ..session import free_shuffles, partitions_kept, read_table, staged
 from ..sources import paged
 from ..streaming import cases as SC
 from ..streaming import clocks as CK
@@ -16,15 +16,25 @@ from .catalog import query, scratch_dir
 from .oracle import CASES_CTE, CLEAN_CTE, DICT_CTE, LABEL_CTE, LABELLED_CTE, ORACLE
 
 PAGE = 1000
+LANDED_AT_ONCE = 8_000_000  # reports
 
 
 def landed_pages(spark, sf, failing: bool) -> str:
-    """Raw nested reports landed as pages by report key, ``PAGE`` keys each; every seventh page has failed if ``failing``."""
+    """Raw nested reports landed as pages by report key, ``PAGE`` keys each; every seventh page has failed if ``failing``.
+
+    Pages land some at a time, about ``LANDED_AT_ONCE`` reports, so that the rows on their way take a bounded part of the disk."""
     path = f"{scratch_dir(spark)}/pages"
-    raw = bridge.raw_reports_nested(spark, sf).withColumn("at", F.floor(F.col("safetyreportid").cast("long") / PAGE) * PAGE)
+    free_shuffles(spark)
+    at = F.floor(F.col("report_key") / PAGE) * PAGE
     bad = (F.col("at") / PAGE % 7 == 3) & F.lit(failing)
-    paged.land_pages(raw.where(~bad), "at", path)
-    lost = raw.where(bad).select(F.col("at").alias("page"), F.lit('{"error": "server"}').alias("value")).distinct()
+    parts = max(1, -(-read_table(spark, sf, "orders", "o_orderkey").count() // LANDED_AT_ONCE))
+    for k in range(parts):
+        # pages of null keys are in the first part
+        part = F.coalesce(F.pmod(F.floor(F.col("at") / PAGE), F.lit(parts)), F.lit(0)) == k if parts > 1 else F.lit(True)
+        with partitions_kept(spark):
+            paged.land_pages(bridge.raw_reports_nested(spark, sf, at, ~bad & part), "at", path, mode="append")
+    keys = read_table(spark, sf, "orders", "o_orderkey").withColumnRenamed("o_orderkey", "report_key")
+    lost = keys.withColumn("at", at).where(bad).select(F.col("at").alias("page"), F.lit('{"error": "server"}').alias("value")).distinct()
     lost.write.mode("append").partitionBy("page").text(path)
     return path
 

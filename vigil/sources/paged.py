@@ -139,6 +139,7 @@ class _Paged:
         self.limit = int(options.get("limit", DEFAULT_PAGE_SIZE))
         self.pages = int(options.get("pagespertask", options.get("pagesPerTask", "10")))
         self.search = options.get("search", "")
+        self.upto = int(options.get("upto", "0"))  # a stream reads no further for now; 0: all that is there
 
     def planned(self, start: int, end: int) -> list[Pages]:
         skips = range(start, end, self.limit)
@@ -178,7 +179,8 @@ class PagedStreamReader(_Paged, DataSourceStreamReader):
         return {"skip": 0}
 
     def latestOffset(self) -> dict:
-        return {"skip": PageStore(self.uri).end(self.limit)}
+        end = PageStore(self.uri).end(self.limit)
+        return {"skip": min(end, self.upto) if self.upto else end}
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
         return self.planned(start["skip"], end["skip"])
@@ -224,7 +226,7 @@ def stop_page(errors: DataFrame, limit: int, in_a_row: int = MAX_FAILED_PAGES) -
     return ends.agg(F.min("at")).first()[0]
 
 
-def land_pages(reports: DataFrame, page: str, path: str) -> None:
+def land_pages(reports: DataFrame, page: str, path: str, mode: str = "errorifexists") -> None:
     """Raw reports as page folders of one compressed file each, a row that the grouping has made; ``page`` is the column of the page's start."""
     body = F.to_json(F.struct(F.collect_list(F.struct(*RAW_REPORT.names)).alias("results")))
-    reports.groupBy(F.col(page).alias("page")).agg(body.alias("value")).write.partitionBy("page").text(path, compression="gzip")
+    reports.groupBy(F.col(page).alias("page")).agg(body.alias("value")).write.mode(mode).partitionBy("page").text(path, compression="gzip")

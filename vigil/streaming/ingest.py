@@ -19,10 +19,11 @@ from pyspark.sql.types import StructType
 
 from ..operators.normalize import normalize_reports
 from ..schemas import RAW_PAGE
-from ..session import path_exists
+from ..session import free_shuffles, partitions_kept, path_exists, staged, unstaged
 from ..sources import paged
 
 KEY_BUCKETS = 64
+BATCH_PAGES = 8192
 # JSON keeps microseconds only with an explicit pattern (the default writes ms).
 MICROS_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 MICROS_TS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -55,14 +56,25 @@ def _existing_ids(spark: SparkSession, out_path: str, key: str, run: str, epoch:
     return done.where((F.col("run") != run) | (F.col("epoch") != epoch)).select(key, "key_bucket")
 
 
-def idempotent_write(batch: DataFrame, out_path: str, key: str, run: str, epoch: int) -> None:
+def idempotent_write(batch: DataFrame, out_path: str, key: str, run: str, epoch: int, stable: bool = False) -> None:
     """Write one micro-batch as partition ``run=<id>/epoch=<n>`` (overwrite: a replayed
     batch replaces its own output and no other), keeping only keys not written before.
 
-    The batch is computed once.  Output is partitioned by a hash of the key, so
+    The batch is computed once, and kept meanwhile unless it is ``stable``: a stored table, of which the keys alone
+    can be read.  Output is partitioned by a hash of the key, so
     the check reads only the key buckets that the batch has."""
     spark = batch.sparkSession
-    fresh = batch.withColumn("key_bucket", _buckets(F.col(key))).repartition("key_bucket").dropDuplicates([key, "key_bucket"]).persist()
+    keyed = batch.withColumn("key_bucket", _buckets(F.col(key)))
+    if stable:
+        out, done = keyed.repartition("key_bucket"), _existing_ids(spark, out_path, key, run, epoch)
+        if done is not None:
+            wanted = [r.key_bucket for r in keyed.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
+            out = out.join(done.where(F.col("key_bucket").isin(wanted)).repartition("key_bucket"), [key, "key_bucket"], "left_anti")
+        out = out.dropDuplicates([key, "key_bucket"])
+        with partitions_kept(spark):  # rows move once
+            out.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out_path.rstrip('/')}/run={run}/epoch={epoch}")
+        return
+    fresh = keyed.repartition("key_bucket").dropDuplicates([key, "key_bucket"]).persist()
     try:
         out = fresh
         done = _existing_ids(spark, out_path, key, run, epoch)
@@ -119,37 +131,54 @@ def ingest_files(spark: SparkSession, landing: str, schema: StructType, out_path
     q.awaitTermination()
 
 
+def reached(spark: SparkSession, checkpoint: str) -> int:
+    """Start of the first page that the stream of ``checkpoint`` has not planned to read yet."""
+    path = f"{checkpoint.rstrip('/')}/offsets"
+    if not path_exists(spark, path):
+        return 0
+    logged = spark.read.text(path).where(F.col("value").startswith('{"skip"'))
+    return logged.agg(F.coalesce(F.max(F.get_json_object("value", "$.skip").cast("long")), F.lit(0))).first()[0]
+
+
 def fetch_pages(spark: SparkSession, pages: str, out_path: str, checkpoint: str, limit: int = paged.DEFAULT_PAGE_SIZE,
-                search: str = paged.REQUIRED_FIELDS_SEARCH, max_failed: int = paged.MAX_FAILED_PAGES) -> None:
+                search: str = paged.REQUIRED_FIELDS_SEARCH, max_failed: int = paged.MAX_FAILED_PAGES, batch_pages: int = BATCH_PAGES) -> None:
     """S1 + S2 as a stream: read all pages from where the checkpoint stands, unique by report id, into
     ``out_path``/reports, and failed pages into ``out_path``/errors.
 
-    After ``max_failed`` failed pages in a row it keeps what stands before them and raises ``FetchStopped``; as the
+    A batch takes up to ``batch_pages`` pages; its rows are stored once, as a service may not answer twice alike, and go
+    with the batch.  After ``max_failed`` failed pages in a row it keeps what stands before them and raises ``FetchStopped``; as the
     offset isn't committed then, the next call reads these pages again."""
     paged.register(spark)
+    free_shuffles(spark)
     run = run_id(spark, checkpoint)
     errors_path = f"{out_path.rstrip('/')}/errors"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        held = batch.persist()
+        held = staged(batch, "pages")
         try:
             failed = held.where(F.col("page_error").isNotNull()).select("page_skip", "page_error")
             failed.write.mode("overwrite").parquet(f"{errors_path}/run={run}/epoch={epoch}")
             known = spark.read.option("basePath", errors_path).schema("page_skip long, page_error string, run string, epoch long").parquet(errors_path)
-            known = known.where((F.col("run") == run) & (F.col("epoch").between(epoch - 1, epoch)))
+            known = known.where((F.col("run") == run) & (F.col("epoch").between(epoch - span, epoch)))
             stop = paged.stop_page(known, limit, max_failed)
             good = held.where(F.col("page_error").isNull())
             good = good if stop is None else good.where(F.col("page_skip") < stop)
-            idempotent_write(good.drop("page_error"), f"{out_path.rstrip('/')}/reports", "safetyreportid", run, epoch)
+            idempotent_write(good.drop("page_error"), f"{out_path.rstrip('/')}/reports", "safetyreportid", run, epoch, stable=True)
         finally:
-            held.unpersist()
+            unstaged(held)
         if stop is not None:
             raise paged.FetchStopped(f"{max_failed} failed pages in a row, the last one at {stop}")
 
-    options = {"path": pages, "limit": str(limit), "search": search}
-    q = (spark.readStream.format("paged_reports").options(**options).load().writeStream.foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    span = max(1, -(-max_failed // batch_pages))  # batches before this one that a run of failed pages may have begun in
+    end, upto = paged.PageStore(pages).end(limit), reached(spark, checkpoint)
+    while True:
+        upto += batch_pages * limit
+        options = {"path": pages, "limit": str(limit), "search": search, "upto": str(upto)}
+        q = (spark.readStream.format("paged_reports").options(**options).load().writeStream.foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if upto >= end:
+            return
 
 
 def reports_transform(stream: DataFrame) -> DataFrame:

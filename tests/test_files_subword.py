@@ -71,3 +71,19 @@ def test_unmatched_sample(spark):
     df = spark.createDataFrame([("b", None), ("a", None), ("b", None), ("c", "C")], "reaction_pt string, meddra_pt string")
     assert [tuple(r) for r in C.unmatched_sample(df, n=2).collect()] == [("a", 1), ("b", 2)]
     assert [tuple(r) for r in C.unmatched_sample(df, n=1).collect()] == [("a", 1)]
+
+
+def test_words_and_packed_ids_are_those_of_the_whole_text(spark):
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    ranks = {bytes([i]): i for i in range(256)} | {b" a": 256, b"it": 257, b"th": 258, b" th": 259, b"\n\n": 260, b"  ": 261}
+    plain, by_line = (SW.tokenizer(ranks, pattern, {"<x>": 300}, **o) for o in ({}, {"by_line": True}))
+    long = "it's the a, that \u00e9t\u00e9 isn't 12.5 % of them. " * 8
+    texts = [long, "\n" + long, long.strip(), "\n" + long.strip(), long.replace(". ", ".  "), long.replace(", ", ",\t"), long.replace(". ", ".\u00a0"),
+             "\n\n " + long.strip() + "\n \n" + long, long.replace(" ", "\x1c"), "<x>" + long.strip() + "<x>\n" + long, "", None, " ", "\n", *ODD]
+    assert by_line(texts) == by_line(texts) == plain(texts)
+    assert SW.words("\na b") == ["\na", " b"] and SW.words("a  b") is SW.words(" a") is SW.words("a\tb") is SW.words("a ") is None
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    listed = lambda ts: plain(ts)  # noqa: E731 - without ``packed``
+    got, want = ([r.asDict() for r in CH.tokenize(df, "text", tokenizer=tok, max_len=50, response_template=plain(["the"])[0], count_col="n").orderBy("i").collect()]
+                 for tok in (by_line, listed))
+    assert got == want and any(r["n"] > 50 for r in got) and any(r["mask_until"] < len(r["input_ids"]) for r in got)

@@ -164,7 +164,8 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
     offsets per batch (no per-row Python lists through pandas).  The attention
     mask, a one for each id, is made from their number where it is read.  The default
     byte tokenizer is vectorised (the texts of a batch viewed as
-    one byte buffer); any callable ``list[str] -> list[list[int]]`` plugs in.
+    one byte buffer); any callable ``list[str] -> list[list[int]]`` plugs in; if it has
+    ``packed``, which gives each text's ids as the bytes of int32 numbers, that is used.
     With ``response_template`` it also adds ``mask_until`` (T13 boundary: just
     past the last template occurrence, found by a C-level ``rfind`` in the
     batch) for ``with_response_mask(..., until_col="mask_until")``.  ``count_col``
@@ -182,6 +183,7 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
     tpl = list(response_template or [])
     byte_tpl = bytes(tpl) if tpl and all(0 <= v < 256 for v in tpl) else None
     int_tpl = np.asarray(tpl, dtype=np.int32).tobytes()
+    packed = getattr(tokenizer, "packed", None)
 
     def run(batches):
         for rb in batches:
@@ -192,6 +194,14 @@ def tokenize(df, text_col: str = "text", tokenizer=byte_tokenizer, max_len: int
                     joined, ends = buf.tobytes(), np.cumsum(lens).tolist()
                     until = [(_last_end(joined[e - n:e], byte_tpl, 1, n, len(tpl)) if byte_tpl is not None else n)
                              for e, n in zip(ends, lens.tolist())]
+            elif packed is not None:
+                ids = packed(rb.column(text_col).to_pylist())
+                whole = [len(x) // 4 for x in ids]
+                ids = [x[:4 * max_len] for x in ids]
+                lens = np.fromiter((len(x) // 4 for x in ids), dtype=np.int32, count=len(ids))
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+                if response_template is not None:
+                    until = [_last_end(x, int_tpl, 4, len(x) // 4, len(tpl)) for x in ids]
             else:
                 ids = tokenizer(rb.column(text_col).to_pylist())
                 whole = [len(x) for x in ids]
